@@ -1,10 +1,74 @@
-"""Training corpus pipeline: language ID, near duplicates, decontamination, secrets, tokens."""
-STAGES = []
+"""Training corpus pipeline: language ID, near duplicates, benchmark decontamination, secrets, tokens.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept.
+Stages but the last return the columns of documents; where a stage changes a text,
+n_chars follows it.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewatch.llm import bpe, decontaminate, jaccard_join, langid, secrets
+from tidewatch.llm.common import stored
+
+#: Texts whose likeliest language has less than this share of the probability are rejected.
+MIN_LANGUAGE_SCORE = 0.5
+#: Documents with more than this share of their words in benchmark items go as a whole; others lose those words.
+MAX_BENCHMARK_SHARE = 0.5
+
+
+def measured(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """n_chars as the text has now."""
+    return docs.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in columns])
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects texts without letters and texts of no clear language."""
+    found = langid.identify(docs, langid.fit(docs), keep=docs.columns)
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of linked ones."""
+    return jaccard_join.keep_one(docs).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes benchmark passages, and documents that are mostly such."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return measured(decontaminate.clean(docs, items, max_coverage=MAX_BENCHMARK_SHARE), docs.columns)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces secrets by a mark."""
+    return measured(secrets.redact(docs), docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of what is left."""
+    return bpe.BpeTokenizer(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).digest(docs)
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("secret scans", secret_scan),
+    ("byte-level BPE", tokens),
+]
+
+#: Language models, components and merges are not expressible in SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each result is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = stored(docs, "stage")
     return docs

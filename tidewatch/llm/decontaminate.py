@@ -19,7 +19,6 @@ more items than that take more passes over the documents.
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 from collections.abc import Iterator
 from itertools import repeat
@@ -167,29 +166,29 @@ def automaton(name: str, shipped, window: int) -> SuffixAutomaton:
     return _BUILT[name]
 
 
-def parts(items: DataFrame, item_id: str, text: str) -> Iterator[tuple[str, object]]:
-    """Names and broadcast lists of (item id as text, text), each of about PART_BYTES at most, and one at least."""
+def parts(items: DataFrame, item_id: str, text: str) -> Iterator[tuple[str, object, bool]]:
+    """Name, broadcast list of (item id as text, text) and whether it is the last, of parts of about PART_BYTES at most; one at least."""
     rows = items.select(F.col(item_id).cast("string").alias("i"), F.col(text).cast("string").alias("t")).where(F.col("t").isNotNull())
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = 1 + int(total * 1.2) // PART_BYTES
     for k in range(n):
-        yield uuid.uuid4().hex, rows.sparkSession.sparkContext.broadcast([tuple(r) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()])
+        yield uuid.uuid4().hex, rows.sparkSession.sparkContext.broadcast([tuple(r) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()]), k == n - 1
 
 
-def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, keep: list[str] | None = None) -> DataFrame:
-    """Columns keep (key alone, if not given), n_words, spans (begin, end of maximal hit word ranges) and items (ids) of every row."""
+def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, keep: list[str] | None = None, cut: bool = False) -> DataFrame:
+    """Columns keep (key alone, if not given), the text as `__text` (cut: without its hit words), n_words, spans (begin, end of maximal hit word ranges) and items (ids) of every row."""
     keep = [key] if keep is None else keep
-    kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    kept = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
     out = docs.select(*keep, F.col(text).cast("string").alias("__text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("__ends"), F.array().cast("array<string>").alias("items"))
-    for k, (name, shipped) in enumerate(parts(items, item_id, item_text)):
+    for k, (name, shipped, last) in enumerate(parts(items, item_id, item_text)):
         if k:
             out = stored(out, "decontaminate")
 
-        def run(batches, name=name, shipped=shipped):
+        def run(batches, name=name, shipped=shipped, cut=cut and last):
             sam = automaton(name, shipped, window)
             for batch in batches:
                 n = len(keep)
-                counts, ends, ids = [], [], []
+                counts, ends, ids, texts = [], [], [], []
                 for t, had, names in zip(batch.column(n).to_pylist(), batch.column(n + 2).to_pylist(), batch.column(n + 3).to_pylist()):
                     words = words_of(t)
                     mask, found = sam.covered(words)
@@ -197,10 +196,11 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
                         mask[a:b] = True
                     counts.append(len(words))
                     ends.append(np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]]))).tolist() if found or had else [])
+                    texts.append(without(t, ends[-1]) if cut else t)
                     ids.append(sorted({*names, *(sam.names[i] for i in found if sam.names[i] is not None)}))
-                yield pa.RecordBatch.from_arrays([*batch.columns[: n + 1], pa.array(counts, pa.int64()), pa.array(ends, pa.list_(pa.int64())), pa.array(ids, pa.list_(pa.string()))], names=[*keep, "__text", "n_words", "__ends", "items"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(texts, pa.string()) if cut else batch.column(n), pa.array(counts, pa.int64()), pa.array(ends, pa.list_(pa.int64())), pa.array(ids, pa.list_(pa.string()))], names=[*keep, "__text", "n_words", "__ends", "items"])
 
-        out = out.mapInArrow(run, f"{kept}, __text string, n_words long, __ends array<long>, items array<string>")
+        out = out.mapInArrow(run, f"{kept}__text string, n_words long, __ends array<long>, items array<string>")
     return out.withColumnRenamed("__ends", "span_ends")
 
 
@@ -223,14 +223,9 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", max_coverage: f
     word's last. Columns and types are those of docs.
     """
     cols = docs.columns
-    found = contamination(docs, items, text=text, keep=cols, **columns)
+    found = contamination(docs.select(*cols), items, text=text, keep=[c for c in cols if c != text], cut=True, **columns)
     found = found.where((F.col("n_words") == 0) | (n_hit() <= max_coverage * F.col("n_words")))
-
-    @F.pandas_udf("string")
-    def cut(texts, ends):
-        return texts.combine(ends, without)
-
-    return found.select(*[F.when(F.size("span_ends") > 0, cut("__text", "span_ends")).otherwise(F.col(text)).alias(c) if c == text else F.col(c) for c in cols])
+    return found.select(*[F.col("__text").alias(c) if c == text else F.col(c) for c in cols])
 
 
 def without(text: str | None, ends) -> str | None:
@@ -245,7 +240,3 @@ def without(text: str | None, ends) -> str | None:
         out.append(raw[at : begin[a]])
         at = end[b - 1]
     return b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")
-
-
-def items_digest(ids: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(set(ids))).encode()).hexdigest()

@@ -132,10 +132,11 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", key: str
     keep = [key] if keep is None else keep
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", lang_pred string, score double"
+    at = keep.index(text) if text in keep else len(keep)
 
     def run(batches):
         for batch in batches:
-            names, scores = shipped.value.predict(batch.column(len(keep)).to_pylist())
+            names, scores = shipped.value.predict(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    return docs.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, *[] if text in keep else [F.col(text).cast("string").alias("__text")]).mapInArrow(run, schema)
