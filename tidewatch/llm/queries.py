@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, decontaminate, jaccard_join, knn, langid, secrets, urltree
+from tidewatch.llm import bpe, decontaminate, jaccard_join, knn, langid, secrets, toxicity, urltree
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,14 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: 0 fit to use, 1 of low quality, 2 toxic."""
+    docs = table(spark, sf_dir, "documents")
+    labelled = docs.join(table(spark, sf_dir, "labels").dropDuplicates(["doc_id"]), "doc_id")
+    grade = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 0)
+    return toxicity.score(docs, toxicity.fit(labelled, grade))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -57,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filter": op4_url_filter,
     "op5_decontaminate": op5_decontaminate,
     "op6_language_id": op6_language_id,
+    "op8_toxicity": op8_toxicity,
     "op9_jaccard_join": op9_jaccard_join,
 }
 
