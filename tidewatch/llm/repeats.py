@@ -21,6 +21,8 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 #: Rows of the sketch, cells to an anchor and row, bounds of a row's cells (2 bits each: 128 MB in all), cells of a piece.
 DEPTH, CELLS_PER_KEY, MIN_CELLS, MAX_CELLS, PIECE = 2, 4, 1 << 16, 1 << 28, 1 << 22
+#: Rounds at most, and cells to an anchor from which another round is worth it. A sketch that is fuller passes more anchors on, and loses none.
+MAX_ROUNDS, LEAST_CELLS_PER_KEY = 8, 2
 #: Low bits that hold a position while the least hash of a window is sought.
 PLACE = np.uint64((1 << 28) - 1)
 
@@ -90,11 +92,11 @@ def cell(keys: np.ndarray, row: int, cells: int) -> np.ndarray:
 
 
 def plan(keys: float) -> tuple[int, int]:
-    """(cells of a row, rounds): cells follow the expected number of keys up to a bound; beyond it, keys are dealt to rounds by hash."""
+    """(cells of a row, rounds): cells follow the expected number of keys up to a bound; beyond it, keys are dealt to a few rounds by hash."""
     cells = MIN_CELLS
     while cells < min(MAX_CELLS, keys * CELLS_PER_KEY):
         cells *= 2
-    return cells, max(1, -(-int(keys * CELLS_PER_KEY) // MAX_CELLS))
+    return cells, min(MAX_ROUNDS, max(1, -(-int(keys * LEAST_CELLS_PER_KEY) // MAX_CELLS)))
 
 
 def of_round(keys: np.ndarray, k: int, rounds: int) -> np.ndarray:
