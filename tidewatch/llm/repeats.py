@@ -103,6 +103,20 @@ def of_round(keys: np.ndarray, k: int, rounds: int) -> np.ndarray:
     return np.ones(len(keys), bool) if rounds == 1 else mix(keys, 3) % np.uint64(rounds) == k
 
 
+def gaps(at: np.ndarray) -> bytes:
+    """Sorted integers as differences, a byte each: 255 adds 255 and goes on."""
+    step = np.diff(at, prepend=0)
+    more = step // 255
+    out = np.full(len(at) + int(more.sum()), 255, np.uint8)
+    out[np.cumsum(more + 1) - 1] = step % 255
+    return out.tobytes()
+
+
+def from_gaps(raw) -> np.ndarray:
+    step = np.frombuffer(raw, np.uint8)
+    return np.cumsum(step, dtype=np.int64)[step < 255]
+
+
 def build(rows: DataFrame, keys_of, cells: int, k: int, rounds: int) -> Sketch:
     """Sketch of the keys that keys_of yields for a column of texts.
 
@@ -120,8 +134,7 @@ def build(rows: DataFrame, keys_of, cells: int, k: int, rounds: int) -> Sketch:
             edge = np.concatenate([[0], np.flatnonzero(np.diff(number)) + 1, [len(at)]])
             for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
                 if b > a:
-                    local = (at[a:b] - number[a] * piece).astype(np.uint32)
-                    yield pa.RecordBatch.from_arrays([pa.array([int(number[a])], pa.int32()), pa.array([local.tobytes()], pa.binary())], names=["piece", "cells"])
+                    yield pa.RecordBatch.from_arrays([pa.array([int(number[a])], pa.int32()), pa.array([gaps(at[a:b] - number[a] * piece)], pa.binary())], names=["piece", "cells"])
 
         held, size = [], 0
         for batch in batches:
@@ -140,7 +153,7 @@ def build(rows: DataFrame, keys_of, cells: int, k: int, rounds: int) -> Sketch:
         for batch in batches:
             for number, local in zip(batch.column(0).to_pylist(), batch.column(1)):
                 had = sums.setdefault(number, np.zeros(piece, np.uint8))
-                at, times = np.unique(np.frombuffer(local.as_buffer(), np.uint32), return_counts=True)
+                at, times = np.unique(from_gaps(local.as_buffer()), return_counts=True)
                 had[at] = np.minimum(2, had[at] + np.minimum(times, 2)).astype(np.uint8)
         for number, had in sums.items():
             quads = had.reshape(-1, 4)

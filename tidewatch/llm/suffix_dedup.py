@@ -12,7 +12,7 @@ their first WINDOW bytes, so what is sorted are the strings themselves.
    has the same anchor. Tasks sort these suffixes into runs, in which equal ones
    are already settled, and front-code them: a suffix is its common prefix with
    the one before and the rest.
-3. Runs are cut by splitters from a sample of run heads and exchanged. For each
+3. Runs are cut by splitters from a bounded sample of suffixes and exchanged. For each
    range a loser tree merges the parts of all runs. It keeps with each suffix the
    length of the prefix it is known to share with the last winner, and compares
    only what lies beyond. Suffixes that share all bytes are equal.
@@ -29,20 +29,21 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm import repeats
-from tidewatch.llm.common import stored
+from tidewatch.llm.common import forget, stored
 from tidewatch.llm.hashing import ODD, mix
 
 WINDOW, GRAM = 50, 32
 #: Bytes that are scanned at once.
 PIECE = 1 << 18
-#: Suffixes of a run, of a part that is stored, and of a range, as planned.
+#: Suffixes of a run, of a part that is sent, and of a range, as planned.
 RUN, PART, RANGE = 400_000, 8_192, 200_000
-#: Run heads that splitters are drawn from.
-MAX_HEADS = 10_000
+#: Rows, and segments of each, that splitters are drawn from.
+SAMPLE_ROWS, SAMPLE_EACH = 2_000, 8
 #: A value for each byte.
 BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64), 1)
 
@@ -88,7 +89,7 @@ def blocks(texts: list[bytes | None], window: int, gram: int):
 
 
 def segments(rows: DataFrame, window: int, gram: int) -> DataFrame:
-    """(h1, h2: hashes of a segment; k: of its anchor; id, x, start, n) of the segments whose anchor is estimated as repeated."""
+    """(k: hash of the anchor, h: of the segment; id, x, start, n) of the segments whose anchor is estimated as repeated."""
     keys = repeats.total_bytes(rows.select("b")) * 2 / (window - gram + 2)
     cells, rounds = repeats.plan(keys)
     id_type = rows.schema["id"].dataType.simpleString()
@@ -103,29 +104,16 @@ def segments(rows: DataFrame, window: int, gram: int) -> DataFrame:
                     if not len(hit):
                         continue
                     begin, n, row = b.begin[hit], b.n[hit], pa.array(b.row[hit])
-                    end = begin + n + window - 1
-                    h2 = (repeats.Rolling(b.values, 1).spans(begin, end) >> np.uint64(32)).astype(np.uint32)
+                    h = (b.rolling.spans(begin, begin + n + window - 1) >> np.uint64(32)).astype(np.uint32)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(b.rolling.spans(begin, end).view(np.int64)), pa.array(h2.view(np.int32)), pa.array(b.key[hit].view(np.int64)), batch.column(0).take(row), batch.column(1).take(row), pa.array(b.start[hit]), pa.array(n.astype(np.int32))],
-                        names=["h1", "h2", "k", "id", "x", "start", "n"],
+                        [pa.array(b.key[hit].view(np.int64)), pa.array(h.view(np.int32)), batch.column(0).take(row), batch.column(1).take(row), pa.array(b.start[hit]), pa.array(n.astype(np.int32))], names=["k", "h", "id", "x", "start", "n"]
                     )
 
-        part = rows.mapInArrow(scan, f"h1 long, h2 int, k long, id {id_type}, x long, start long, n int")
+        part = rows.mapInArrow(scan, f"k long, h int, id {id_type}, x long, start long, n int")
         found = part if found is None else found.unionByName(part)
     return found
 
 
-class Run:
-    """Sorted distinct suffixes; of each the least id that has it, and the places of that id."""
-
-    def __init__(self, keys: list[bytes], ids: list, places: list[list[tuple[int, int]]]):
-        self.keys, self.ids, self.places = keys, ids, places
-
-    def parts(self, window: int, size: int):
-        for a in range(0, len(self.keys), size):
-            yield front_coded(self.keys[a : a + size], self.ids[a : a + size], self.places[a : a + size], window)
-
-
 def front_coded(keys: list[bytes], ids: list, places: list[list[tuple[int, int]]], window: int) -> dict:
     table = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, window)
     shared = np.zeros(len(keys), np.int64)
@@ -135,40 +123,40 @@ def front_coded(keys: list[bytes], ids: list, places: list[list[tuple[int, int]]
     return {"head": keys[0], "size": len(keys), "shared": shared.astype(np.uint8).tobytes(), "rest": rest.tobytes(), "ids": ids, "many": [len(p) for p in places], "xs": [x for x, _ in flat], "starts": [s for _, s in flat]}
 
 
-def decoded(shared: bytes, rest: bytes, window: int) -> list[bytes]:
-    out, key, at = [], b"", 0
-    for n in shared:
-        upto = at + window - n
-        key = key[:n] + rest[at:upto]
-        at = upto
-        out.append(key)
-    return out
+def parts_schema(id_type: pa.DataType) -> pa.Schema:
+    return pa.schema([("head", pa.binary()), ("size", pa.int64()), ("shared", pa.binary()), ("rest", pa.binary()), ("ids", pa.list_(id_type)), ("many", pa.list_(pa.int32())), ("xs", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())), ("range", pa.int32())])
 
 
-def parts_schema(id_type: pa.DataType) -> pa.Schema:
-    return pa.schema([("head", pa.binary()), ("size", pa.int64()), ("shared", pa.binary()), ("rest", pa.binary()), ("ids", pa.list_(id_type)), ("many", pa.list_(pa.int32())), ("xs", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64()))])
+def parts_ddl(id_type: str) -> str:
+    return f"head binary, size long, shared binary, rest binary, ids array<{id_type}>, many array<int>, xs array<long>, starts array<long>, range int"
 
 
-def runs(rows: DataFrame, window: int) -> DataFrame:
-    """Front-coded parts of sorted runs of the windows in column `open` of rows (id, x, b, open: start * WINDOW + n); repeats inside a run are settled: parts without a head list places."""
-    id_type = rows.schema["id"].dataType.simpleString()
+def runs(rows: DataFrame, window: int, splitters: list[bytes]) -> DataFrame:
+    """Front-coded parts of sorted runs of the windows in column `open` of rows (id, x, b, open: start * window + n), cut where a range ends.
+
+    Column `range` says which. Repeats inside a run are settled: parts of a negative range list their places.
+    """
+    edges = np.array([*splitters, None], object)[:-1]
 
     def sort(batches):
-        kind = None
+        least: dict[bytes, object] = {}
+        places: dict[bytes, list[tuple[int, int]]] = {}
+        gone: list[tuple] = []
 
-        def flush():
+        def flush(kind):
             keys = sorted(least)
-            run = Run(keys, [least[k] for k in keys], [places[k] for k in keys])
-            found = list(run.parts(window, PART))
-            if gone:
-                found.append({"head": None, "size": 0, "shared": None, "rest": None, "ids": [i for i, _, _ in gone], "many": [], "xs": [x for _, x, _ in gone], "starts": [s for _, _, s in gone]})
-            if found:
-                yield pa.RecordBatch.from_pylist(found, parts_schema(kind))
+            at = [0, *np.searchsorted(np.array([*keys, None], object)[:-1], edges).tolist(), len(keys)]
+            found = []
+            for number, (a, b) in enumerate(zip(at, at[1:])):
+                for c in range(a, b, PART):
+                    part = keys[c : min(b, c + PART)]
+                    found.append(front_coded(part, [least[k] for k in part], [places[k] for k in part], window) | {"range": number})
+            for a in range(0, len(gone), PART):
+                ids, xs, starts = zip(*gone[a : a + PART])
+                found.append({"size": 0, "ids": ids, "xs": xs, "starts": starts, "range": -1 - xxhash.xxh32_intdigest(str((ids[0], starts[0]))) % (len(edges) + 1)})
             least.clear(), places.clear(), gone.clear()
+            return pa.RecordBatch.from_pylist(found, parts_schema(kind))
 
-        least: dict[bytes, object] = {}
-        places: dict[bytes, list[tuple[int, int]]] = {}
-        gone: list[tuple] = []
         seen = 0
         for batch in batches:
             kind = batch.column(0).type
@@ -186,39 +174,14 @@ def runs(rows: DataFrame, window: int) -> DataFrame:
                             places[key].append((x, s))
                         else:
                             gone.append((i, x, s))
-                        seen += 1
+                    seen += code % window
                     if seen >= RUN:
-                        yield from flush()
+                        yield flush(kind)
                         seen = 0
         if seen:
-            yield from flush()
-
-    return rows.select("id", "x", "b", "open").mapInArrow(sort, f"head binary, size long, shared binary, rest binary, ids array<{id_type}>, many array<int>, xs array<long>, starts array<long>")
-
-
-def cut(parts: DataFrame, splitters: list[bytes], window: int) -> DataFrame:
-    """Parts, split where a range ends; column `range` says which."""
-    id_type = parts.schema["ids"].dataType.elementType.simpleString()
-    edges = np.array(splitters, object)
+            yield flush(kind)
 
-    def split(batches):
-        for batch in batches:
-            kind, out = batch.schema.field("ids").type.value_type, []
-            for p in batch.to_pylist():
-                keys = decoded(p["shared"], p["rest"], window)
-                low, high = (int(np.searchsorted(edges, k, "right")) for k in (keys[0], keys[-1]))
-                if low == high:
-                    out.append(p | {"range": low})
-                    continue
-                upto = np.cumsum([0, *p["many"]]).tolist()
-                places = [list(zip(p["xs"][a:b], p["starts"][a:b])) for a, b in zip(upto, upto[1:])]
-                ranges = np.searchsorted(edges, np.array(keys, object), "right")
-                at = [0, *(np.flatnonzero(np.diff(ranges)) + 1).tolist(), len(keys)]
-                out += [front_coded(keys[a:b], p["ids"][a:b], places[a:b], window) | {"range": int(ranges[a])} for a, b in zip(at, at[1:])]
-            if out:
-                yield pa.RecordBatch.from_pylist(out, parts_schema(kind).append(pa.field("range", pa.int32())))
-
-    return parts.mapInArrow(split, f"head binary, size long, shared binary, rest binary, ids array<{id_type}>, many array<int>, xs array<long>, starts array<long>, range int")
+    return rows.select("id", "x", "b", "open").mapInArrow(sort, parts_ddl(rows.schema["id"].dataType.simpleString()))
 
 
 class LoserTree:
@@ -316,42 +279,51 @@ def merged(parts: list[dict], window: int) -> list[tuple]:
     return out
 
 
-def sorted_repeats(rows: DataFrame, window: int) -> DataFrame:
-    """(id, x, start) of the windows in column `open` that also start in a row of smaller id."""
-    found = stored(runs(rows, window), "runs")
-    id_type = rows.schema["id"].dataType.simpleString()
-    total = found.agg(F.sum("size")).first()[0] or 0
-    inside = found.where("head is null").select(F.explode(F.arrays_zip("ids", "xs", "starts")).alias("p")).select(F.col("p.ids").alias("id"), F.col("p.xs").alias("x"), F.col("p.starts").alias("start"))
-    parts = found.where("head is not null")
+def splitters_of(rows: DataFrame, opened: DataFrame, window: int) -> list[bytes]:
+    """Ends of ranges of about RANGE suffixes, from those of a bounded sample of rows."""
+    total = opened.agg(F.sum(F.aggregate("open", F.lit(0).cast("long"), lambda a, c: a + c % window))).first()[0] or 0
     wanted = -(-total // RANGE)
-    if wanted < 1:
-        return inside
-    heads = sorted(bytes(r[0]) for r in parts.select("head").orderBy(F.xxhash64("head")).limit(MAX_HEADS).collect())
-    splitters = sorted({heads[k * len(heads) // wanted] for k in range(1, wanted)} - {heads[0]}) if wanted > 1 else []
+    if wanted < 2:
+        return []
+    some = opened.orderBy(F.xxhash64("id_", "x_")).limit(SAMPLE_ROWS).withColumn("code", F.explode(F.slice(F.shuffle("open", seed=1), 1, SAMPLE_EACH)))
+    texts = rows.join(F.broadcast(some), (F.col("id") == F.col("id_")) & (F.col("x") == F.col("x_")))
+    heads = sorted(bytes(r[0]) for r in texts.select(F.substring("b", (F.floor(F.col("code") / window) + 1).cast("int"), F.lit(window))).collect())
+    return sorted({heads[k * len(heads) // wanted] for k in range(1, wanted)})
+
+
+def sorted_repeats(rows: DataFrame, opened: DataFrame, window: int) -> DataFrame:
+    """(id, x, start) of the windows in column `open` of opened that also start in a row of smaller id."""
+    splitters = splitters_of(rows, opened, window)
+    both = rows.join(opened, (F.col("id") == F.col("id_")) & (F.col("x") == F.col("x_")))
 
     def merge(table: pa.Table) -> pa.Table:
-        kind = table.schema.field("ids").type.value_type
-        gone = merged(table.to_pylist(), window)
+        kind, parts = table.schema.field("ids").type.value_type, table.to_pylist()
+        if parts[0]["range"] < 0:
+            gone = [g for p in parts for g in zip(p["ids"], p["xs"], p["starts"])]
+        else:
+            gone = merged(parts, window)
         return pa.table([pa.array([g[k] for g in gone], t) for k, t in enumerate((kind, pa.int64(), pa.int64()))], names=["id", "x", "start"])
 
-    across = cut(parts, splitters, window).groupBy("range").applyInArrow(merge, f"id {id_type}, x long, start long")
-    return inside.union(across)
+    return runs(both, window, splitters).groupBy("range").applyInArrow(merge, f"id {rows.schema['id'].dataType.simpleString()}, x long, start long")
 
 
 def removed_ranges(rows: DataFrame, window: int, gram: int) -> DataFrame:
-    """(id, x, gone): of rows (id, x, b), runs of removed windows as start * WINDOW + n."""
+    """(id, x, gone): of rows (id, x, b), runs of removed windows as start * window + n."""
     places = stored(segments(rows.where("id is not null"), window, gram), "segments")
-    classes = places.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.min("k").alias("k"))
-    classes = stored(classes, "classes")
-    crowded = classes.groupBy("k").count().where("count > 1").select(F.col("k").alias("k_"))
-    judged = classes.join(crowded, F.col("k") == F.col("k_"), "left").where("first <> last or k_ is not null").select(F.col("h1").alias("h1_"), F.col("h2").alias("h2_"), "first", F.col("k_").isNotNull().alias("crowded"))
+    classes = places.groupBy("k", "h").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+    crowded = classes.groupBy("k").agg((F.min("h") < F.max("h")).alias("crowded")).where("crowded").select(F.col("k").alias("k_"))
+    judged = classes.join(crowded, F.col("k") == F.col("k_"), "left").where("first <> last or k_ is not null").select(F.col("k").alias("k1"), F.col("h").alias("h1"), "first", F.col("k_").isNotNull().alias("crowded"))
     code = F.col("start") * window + F.col("n")
-    marked = places.join(judged, (F.col("h1") == F.col("h1_")) & (F.col("h2") == F.col("h2_"))).where("id > first or crowded").groupBy("id", "x").agg(F.collect_list(F.when(F.col("id") > F.col("first"), code)).alias("gone"), F.collect_list(F.when(F.col("id") == F.col("first"), code)).alias("open"))
+    marked = places.join(judged, (F.col("k") == F.col("k1")) & (F.col("h") == F.col("h1"))).where("id > first or crowded").groupBy("id", "x").agg(F.collect_list(F.when(F.col("id") > F.col("first"), code)).alias("gone"), F.collect_list(F.when(F.col("id") == F.col("first"), code)).alias("open"))
     marked = stored(marked, "marked")
+    del classes, crowded, judged
+    forget(places)
     opened = marked.where(F.size("open") > 0).select(F.col("id").alias("id_"), F.col("x").alias("x_"), "open")
-    found = sorted_repeats(rows.join(opened, (F.col("id") == F.col("id_")) & (F.col("x") == F.col("x_"))), window)
-    single = found.groupBy("id", "x").agg(F.collect_list(F.col("start") * window + 1).alias("gone"))
-    return marked.where(F.size("gone") > 0).select("id", "x", "gone").union(single).groupBy("id", "x").agg(F.flatten(F.collect_list("gone")).alias("gone"))
+    single = sorted_repeats(rows, opened, window).groupBy("id", "x").agg(F.collect_list(F.col("start") * window + 1).alias("gone"))
+    out = stored(marked.where(F.size("gone") > 0).select("id", "x", "gone").union(single).groupBy("id", "x").agg(F.flatten(F.collect_list("gone")).alias("gone")), "gone")
+    del single, opened
+    forget(marked)
+    return out
 
 
 def merged_spans(codes, window: int) -> tuple[list[int], list[int]]:
