@@ -32,6 +32,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/tidewatch/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()  # shuffle files of earlier steps that nothing refers to go now
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
     return out

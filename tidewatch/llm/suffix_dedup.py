@@ -4,10 +4,10 @@ Each byte that is covered by a WINDOW-byte string which also starts in a row of
 smaller id is removed; strings are judged on the input. Suffixes are compared on
 their first WINDOW bytes, so what is sorted are the strings themselves.
 
-1. Windows with the same anchor (see repeats) that follow each other form a
+1. Whole copies are settled by digest. Windows with the same anchor (see repeats) that follow each other form a
    segment. A sketch drops segments whose anchor occurs once. Equal segments form
    a class; those in a row of larger id than the class's least are repeats as a
-   whole. This pre-aggregation takes copies, near copies and common passages.
+   whole. This pre-aggregation takes near copies and common passages.
 2. What is left to decide are the windows of a class's first row if another class
    has the same anchor. Tasks sort these suffixes into runs, in which equal ones
    are already settled, and front-code them: a suffix is its common prefix with
@@ -44,6 +44,10 @@ PIECE = 1 << 18
 RUN, PART, RANGE = 400_000, 8_192, 200_000
 #: Rows, and segments of each, that splitters are drawn from.
 SAMPLE_ROWS, SAMPLE_EACH = 2_000, 8
+#: Ids of copies that are sent to every executor; more are joined by a shuffle.
+MAX_BROADCAST_IDS = 1_000_000
+#: What stands for the whole text among removed runs.
+WHOLE = -1
 #: A value for each byte.
 BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64), 1)
 
@@ -89,13 +93,14 @@ def blocks(texts: list[bytes | None], window: int, gram: int):
 
 
 def segments(rows: DataFrame, window: int, gram: int) -> DataFrame:
-    """(k: hash of the anchor, h: of the segment; id, x, start, n) of the segments whose anchor is estimated as repeated."""
+    """(k: hash of the anchor, h: of the segment; id, x, start, n) of the segments whose anchor is estimated as repeated, stored."""
     keys = repeats.total_bytes(rows.select("b")) * 2 / (window - gram + 2)
     cells, rounds = repeats.plan(keys)
     id_type = rows.schema["id"].dataType.simpleString()
-    found = None
+    found, sketches = None, []
     for k in range(rounds):
         sketch = rows.sparkSession.sparkContext.broadcast(repeats.build(rows.select("b"), lambda texts: (b.key for b in blocks(texts, window, gram)), cells, k, rounds))
+        sketches.append(sketch)
 
         def scan(batches, sketch=sketch, k=k):
             for batch in batches:
@@ -111,7 +116,17 @@ def segments(rows: DataFrame, window: int, gram: int) -> DataFrame:
 
         part = rows.mapInArrow(scan, f"k long, h int, id {id_type}, x long, start long, n int")
         found = part if found is None else found.unionByName(part)
-    return found
+    out = stored(found, "segments")
+    for sketch in sketches:
+        sketch.destroy()
+    return out
+
+
+def copies_of(rows: DataFrame, window: int) -> DataFrame:
+    """(id, x) of rows whose whole text, if it is a window at least, is that of a row of smaller id; stored."""
+    digests = rows.where(F.col("id").isNotNull() & (F.octet_length("b") >= window)).select("id", "x", F.md5("b").alias("d"), F.octet_length("b").alias("n"))
+    first = digests.groupBy("d", "n").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select(F.col("d").alias("d_"), F.col("n").alias("n_"), "first")
+    return stored(digests.join(first, (F.col("d") == F.col("d_")) & (F.col("n") == F.col("n_"))).where("id > first").select("id", "x"), "copies")
 
 
 def front_coded(keys: list[bytes], ids: list, places: list[list[tuple[int, int]]], window: int) -> dict:
@@ -309,25 +324,32 @@ def sorted_repeats(rows: DataFrame, opened: DataFrame, window: int) -> DataFrame
 
 def removed_ranges(rows: DataFrame, window: int, gram: int) -> DataFrame:
     """(id, x, gone): of rows (id, x, b), runs of removed windows as start * window + n."""
-    places = stored(segments(rows.where("id is not null"), window, gram), "segments")
-    classes = places.groupBy("k", "h").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+    copies = copies_of(rows, window)
+    known = copies.select(F.col("id").alias("id_"), F.col("x").alias("x_"))
+    few = known.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
+    rows = rows.where("id is not null").join(F.broadcast(known) if few else known, (F.col("id") == F.col("id_")) & (F.col("x") == F.col("x_")), "left_anti")
+    places = segments(rows, window, gram)
+    classes = stored(places.groupBy("k", "h").agg(F.min("id").alias("first"), F.max("id").alias("last")), "classes")
     crowded = classes.groupBy("k").agg((F.min("h") < F.max("h")).alias("crowded")).where("crowded").select(F.col("k").alias("k_"))
     judged = classes.join(crowded, F.col("k") == F.col("k_"), "left").where("first <> last or k_ is not null").select(F.col("k").alias("k1"), F.col("h").alias("h1"), "first", F.col("k_").isNotNull().alias("crowded"))
     code = F.col("start") * window + F.col("n")
     marked = places.join(judged, (F.col("k") == F.col("k1")) & (F.col("h") == F.col("h1"))).where("id > first or crowded").groupBy("id", "x").agg(F.collect_list(F.when(F.col("id") > F.col("first"), code)).alias("gone"), F.collect_list(F.when(F.col("id") == F.col("first"), code)).alias("open"))
     marked = stored(marked, "marked")
-    del classes, crowded, judged
-    forget(places)
+    del crowded, judged
+    forget(places, classes)
     opened = marked.where(F.size("open") > 0).select(F.col("id").alias("id_"), F.col("x").alias("x_"), "open")
     single = sorted_repeats(rows, opened, window).groupBy("id", "x").agg(F.collect_list(F.col("start") * window + 1).alias("gone"))
-    out = stored(marked.where(F.size("gone") > 0).select("id", "x", "gone").union(single).groupBy("id", "x").agg(F.flatten(F.collect_list("gone")).alias("gone")), "gone")
+    whole = copies.select("id", "x", F.array(F.lit(WHOLE)).alias("gone"))
+    out = stored(marked.where(F.size("gone") > 0).select("id", "x", "gone").union(single).union(whole).groupBy("id", "x").agg(F.flatten(F.collect_list("gone")).alias("gone")), "gone")
     del single, opened
-    forget(marked)
+    forget(marked, copies)
     return out
 
 
-def merged_spans(codes, window: int) -> tuple[list[int], list[int]]:
-    """Begins and ends of maximal removed byte ranges."""
+def merged_spans(codes, window: int, size: int) -> tuple[list[int], list[int]]:
+    """Begins and ends of maximal removed byte ranges of a text of some size."""
+    if WHOLE in codes:
+        return [0], [size]
     codes = np.sort(np.asarray(codes, np.int64))
     begin, end = codes // window, codes // window + codes % window + window - 1
     upto = np.maximum.accumulate(end)
@@ -348,7 +370,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
             columns = [], [], [], []
             for raw, codes in zip(batch.column(1).to_pylist(), batch.column(2)):
                 raw = raw or b""
-                begins, ends = merged_spans(codes.values.to_numpy(), window) if codes.is_valid else ([], [])
+                begins, ends = merged_spans(codes.values.to_numpy(), window, len(raw)) if codes.is_valid else ([], [])
                 kept = [raw[a:b] for a, b in zip([0, *ends], [*begins, len(raw)])]
                 if digest:
                     h = hashlib.sha256()
