@@ -154,8 +154,8 @@ def runs(rows: DataFrame, window: int, splitters: list[bytes]) -> DataFrame:
     edges = np.array([*splitters, None], object)[:-1]
 
     def sort(batches):
-        least: dict[bytes, object] = {}
-        places: dict[bytes, list[tuple[int, int]]] = {}
+        least: dict[bytes, tuple] = {}  # (id, x, start) of each suffix
+        more: dict[bytes, list[tuple[int, int]]] = {}  # further places of that id
         gone: list[tuple] = []
 
         def flush(kind):
@@ -165,14 +165,15 @@ def runs(rows: DataFrame, window: int, splitters: list[bytes]) -> DataFrame:
             for number, (a, b) in enumerate(zip(at, at[1:])):
                 for c in range(a, b, PART):
                     part = keys[c : min(b, c + PART)]
-                    found.append(front_coded(part, [least[k] for k in part], [places[k] for k in part], window) | {"range": number})
+                    had = [least[k] for k in part]
+                    found.append(front_coded(part, [h[0] for h in had], [[h[1:], *more.get(k, ())] for h, k in zip(had, part)] if more else [(h[1:],) for h in had], window) | {"range": number})
             for a in range(0, len(gone), PART):
                 ids, xs, starts = zip(*gone[a : a + PART])
                 found.append({"size": 0, "ids": ids, "xs": xs, "starts": starts, "range": -1 - xxhash.xxh32_intdigest(str((ids[0], starts[0]))) % (len(edges) + 1)})
-            least.clear(), places.clear(), gone.clear()
+            least.clear(), more.clear(), gone.clear()
             return pa.RecordBatch.from_pylist(found, parts_schema(kind))
 
-        seen = 0
+        seen, put = 0, least.setdefault
         for batch in batches:
             kind = batch.column(0).type
             for i, x, text, starts in zip(*(c.to_pylist() for c in batch.columns)):
@@ -180,15 +181,16 @@ def runs(rows: DataFrame, window: int, splitters: list[bytes]) -> DataFrame:
                     begin = code // window
                     for s in range(begin, begin + code % window):
                         key = text[s : s + window]
-                        had = least.get(key)
-                        if had is None or i < had:
-                            if had is not None:
-                                gone += [(had, *p) for p in places[key]]
-                            least[key], places[key] = i, [(x, s)]
-                        elif had == i:
-                            places[key].append((x, s))
-                        else:
+                        had = put(key, (i, x, s))
+                        if had[0] == i:
+                            if had[2] != s or had[1] != x:
+                                more.setdefault(key, []).append((x, s))
+                        elif had[0] < i:
                             gone.append((i, x, s))
+                        else:
+                            gone.append(had)
+                            gone += [(had[0], *p) for p in more.pop(key, ())]
+                            least[key] = (i, x, s)
                     seen += code % window
                     if seen >= RUN:
                         yield flush(kind)
@@ -268,10 +270,16 @@ class LoserTree:
             self.best = r
 
 
+def as_parts(table: pa.Table) -> list[dict]:
+    """Rows of a table of parts; lists of numbers stay arrays."""
+    columns = {c: table[c].to_pylist() if c in ("shared", "rest", "range") else [x.values if x.values is None else x.values.to_numpy(zero_copy_only=False) for x in table[c]] for c in ("shared", "rest", "ids", "many", "xs", "starts", "range")}
+    return [dict(zip(columns, row)) for row in zip(*columns.values())]
+
+
 def merged(parts: list[dict], window: int) -> list[tuple]:
     """Places (id, x, start) of suffixes that equal one of smaller id, among runs of one range."""
     out: list[tuple] = []
-    offsets = [np.cumsum([0, *p["many"]]).tolist() for p in parts]
+    offsets = [np.concatenate([[0], np.cumsum(p["many"])]) for p in parts]
 
     def settle(same: list[tuple[int, int]]) -> None:
         ids = [parts[r]["ids"][i] for r, i in same]
@@ -312,7 +320,7 @@ def sorted_repeats(rows: DataFrame, opened: DataFrame, window: int) -> DataFrame
     both = rows.join(opened, (F.col("id") == F.col("id_")) & (F.col("x") == F.col("x_")))
 
     def merge(table: pa.Table) -> pa.Table:
-        kind, parts = table.schema.field("ids").type.value_type, table.to_pylist()
+        kind, parts = table.schema.field("ids").type.value_type, as_parts(table)
         if parts[0]["range"] < 0:
             gone = [g for p in parts for g in zip(p["ids"], p["xs"], p["starts"])]
         else:
