@@ -16,11 +16,17 @@ segments are empty, the principle still holds. In bands of up to SMALL segments
 all are indexed as they are.
 
 Equal sets form one class; classes are what is joined. In each bucket of equal
-signatures classes are first compared with the bucket's least class, exactly.
-What is then connected needs no further comparison; remaining pairs of a bucket
-whose classes lie in different components are all compared. So no link between
+signatures classes are first compared with the bucket's least class, exactly,
+then, where a bucket still holds several components, with its class of most links.
+What is connected needs no further comparison; remaining pairs of a bucket whose
+classes lie in different components are all compared. So no link between
 components is lost, and a large group of near copies does not become all pairs.
 
+Before shingles are fetched, pairs are held against two exact bounds: sizes, and
+the parities of the shingles' counts in BITS places. Each shingle that only one
+set has turns one parity, so parities that differ in more places than the sets
+may differ in shingles rule the pair out.
+
 Null text, empty text and text without words have the empty set, linked with
 nothing: n_shingles 0, a component of its own. Fewer than three words are one
 shingle. Repeated rows are equal sets, so they share a component. Rows that share
@@ -44,6 +50,10 @@ SHINGLE = 3
 SMALL = 4
 #: Ids of documents that are sent to every executor; more are joined by a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
+#: Parities kept of a set, in 64-bit words.
+WORDS = 8
+BITS = 64 * WORDS
+FACTS = ["n", *[f"p{i}" for i in range(WORDS)]]
 #: Bands of set sizes: first size of each; the last holds more shingles than any text can have.
 EDGES = [1]
 while EDGES[-1] < 1 << 40:
@@ -85,6 +95,19 @@ def class_of(s: np.ndarray) -> tuple[int, int]:
     return a - (a >> 63 << 64), b - (b >> 63 << 64)
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """Of the number of shingles in each of BITS places, packed."""
+    odd = np.bincount((mix(s, 1) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def may_link(a: str, b: str):
+    """No bound rules out the pair whose facts have the suffixes a and b."""
+    differ = sum((F.bit_count(F.col(f"p{i}{a}").bitwiseXOR(F.col(f"p{i}{b}"))) for i in range(1, WORDS)), F.bit_count(F.col(f"p0{a}").bitwiseXOR(F.col(f"p0{b}"))))
+    na, nb = F.col(f"n{a}"), F.col(f"n{b}")
+    return (differ * 19 <= na + nb) & (na * 10 >= nb * 9) & (nb * 10 >= na * 9)
+
+
 def signatures(s: np.ndarray) -> np.ndarray:
     """Signatures under which a set is indexed."""
     n, out = len(s), []
@@ -107,15 +130,15 @@ def signatures(s: np.ndarray) -> np.ndarray:
 
 
 def scan_sets(docs: DataFrame, seed: int) -> DataFrame:
-    """(row's key, n, c, d): size and two digests of each row's set."""
+    """(row's key, n, c, d, parities): size, two digests and parities of each row's set."""
 
     def run(batches):
         for batch in batches:
-            found = [(len(s), *class_of(s)) for s in sets_of(batch.column(1).to_pylist(), seed)]
-            n, c, d = zip(*found) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.int64())], names=["id", "n", "c", "d"])
+            found = [(len(s), *class_of(s), *parities(s).tolist()) for s in sets_of(batch.column(1).to_pylist(), seed)]
+            columns = list(zip(*found)) if found else [()] * (3 + WORDS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in columns)], names=["id", "n", "c", "d", *FACTS[1:]])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n long, c long, d long")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n long, c long, d long, {', '.join(f'{x} long' for x in FACTS[1:])}")
 
 
 def scan_signatures(docs: DataFrame, seed: int) -> DataFrame:
@@ -157,36 +180,50 @@ def linked(pairs: DataFrame, shingle_sets: DataFrame) -> DataFrame:
     return both.where("100L * i >= 90L * (size(su) + size(sv) - i)").select("u", "v")
 
 
+def shingles_for(pairs: DataFrame, classes: DataFrame, rows: DataFrame, seed: int) -> DataFrame:
+    """(c, s) of the classes in pairs, from a row of each, stored."""
+    compared = pairs.select(F.col("u").alias("c")).union(pairs.select("v")).distinct()
+    wanted = stored(classes.join(compared, "c", "left_semi").where("rep is not null").select(F.col("rep").alias("id")).distinct(), "compared")
+    few = wanted.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
+    return stored(scan_shingles(rows.join(F.broadcast(wanted) if few else wanted, "id", "left_semi"), seed).dropDuplicates(["c"]), "shingles")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, n_shingles and component_id."""
     rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("t"))
     for seed in range(8):
         sets = stored(scan_sets(rows, seed), "sets")
-        classes = sets.where("n > 0").groupBy("c").agg(F.min("id").alias("rep"), (F.min("d") != F.max("d")).alias("mixed"))
+        classes = stored(sets.where("n > 0").groupBy("c").agg(F.min("id").alias("rep"), (F.min("d") != F.max("d")).alias("mixed"), *[F.max(x).alias(x) for x in FACTS]), "classes")
         if classes.where("mixed").isEmpty():
             break
-    classes = classes.select("c", "rep")
+    facts, classes = classes.select("c", *FACTS), classes.select("c", "rep")
+    facts_of = lambda side: facts.select(F.col("c").alias(side), *[F.col(x).alias(f"{x}_{side}") for x in FACTS])
     hits = scan_signatures(rows, seed)
     live = hits.groupBy("sig").agg(F.min("c").alias("m"), F.max("c").alias("x")).where("m <> x").select("sig", "m")
     buckets = stored(scan_signatures(rows, seed).join(live, "sig").distinct(), "buckets")
-    first = stored(buckets.where("c <> m").select(F.col("c").alias("u"), F.col("m").alias("v")).distinct(), "pairs")
-    compared = first.select(F.col("u").alias("c")).union(first.select("v")).distinct()
-    wanted = stored(classes.join(compared, "c", "left_semi").where("rep is not null").select(F.col("rep").alias("id")).distinct(), "compared")
-    few = wanted.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
-    shingle_sets = stored(scan_shingles(rows.join(F.broadcast(wanted) if few else wanted, "id", "left_semi"), seed).dropDuplicates(["c"]), "shingles")
-    links = stored(linked(first, shingle_sets), "links")
+    first = buckets.where("c <> m").select(F.col("c").alias("u"), F.col("m").alias("v")).distinct()
+    first = stored(first.join(facts_of("u"), "u").join(facts_of("v"), "v").where(may_link("_u", "_v")).select("u", "v"), "pairs")
+    links = stored(linked(first, shingles_for(first, classes, rows, seed)), "links")
     known = components(links)
-    # buckets that still hold several components: compare across them
-    placed = buckets.join(known.withColumnRenamed("id", "c"), "c", "left").select("sig", "c", "m", F.coalesce("component", "c").alias("component"))
-    placed = stored(placed, "placed")
-    several = placed.groupBy("sig").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("k")).where("a <> b and k > 2").select("sig")
-    open_rows = placed.join(several, "sig", "left_semi")
-    left = open_rows.select("sig", F.col("c").alias("u"), F.col("component").alias("cu"), "m")
-    right = open_rows.select("sig", F.col("c").alias("v"), F.col("component").alias("cv"))
-    more = left.join(right, "sig").where("u > v and cu <> cv and v <> m and u <> m").select("u", "v").distinct()
-    more = stored(more, "pairs")
-    if not more.isEmpty():
-        known = components(links.union(linked(more, shingle_sets)))
+    for hubs in (True, False):
+        # buckets that still hold several components: compare with the class of most links, then across components
+        placed = stored(buckets.join(known.withColumnRenamed("id", "c"), "c", "left").select("sig", "c", F.coalesce("component", "c").alias("component")), "placed")
+        several = placed.groupBy("sig").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("k")).where("a <> b and k > 2").select("sig")
+        left = placed.join(several, "sig", "left_semi").withColumnsRenamed({"c": "u", "component": "cu"}).join(facts_of("u"), "u")
+        if hubs:
+            degree = links.select("u").union(links.select("v")).groupBy("u").agg(F.count("*").alias("degree"))
+            hub = left.join(degree, "u", "left").groupBy("sig").agg(F.max_by(F.struct("u", "cu", *[f"{x}_u" for x in FACTS]), F.struct(F.coalesce("degree", F.lit(0)), "u")).alias("h"))
+            right = hub.select("sig", F.col("h.u").alias("v"), F.col("h.cu").alias("cv"), *[F.col(f"h.{x}_u").alias(f"{x}_v") for x in FACTS])
+            apart = (F.col("cu") != F.col("cv")) & (F.col("u") != F.col("v"))
+        else:
+            right = left.select("sig", F.col("u").alias("v"), F.col("cu").alias("cv"), *[F.col(f"{x}_u").alias(f"{x}_v") for x in FACTS])
+            apart = (F.col("cu") != F.col("cv")) & (F.col("u") > F.col("v"))
+        right = right.withColumnRenamed("sig", "sig_")
+        more = left.join(right, (F.col("sig") == F.col("sig_")) & apart & may_link("_u", "_v")).select("u", "v").distinct()
+        more = stored(more.join(links, ["u", "v"], "left_anti"), "pairs")
+        if not more.isEmpty():
+            links = stored(links.union(linked(more, shingles_for(more, classes, rows, seed))), "links")
+            known = components(links)
     least = classes.join(known.withColumnRenamed("id", "c"), "c", "left").select("c", "rep", F.coalesce("component", "c").alias("component"))
     least = stored(least, "placed")
     named = least.join(least.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("c", "component_id")
