@@ -60,7 +60,7 @@ STAGES = [
     ("byte-level BPE", tokens),
 ]
 
-#: Language models, components and merges are not expressible in SQL; tests hold run() against a brute-force version.
+#: Language models, components and merges are not expressible in SQL. Tests hold the operators against brute force, run() so far only by counts and columns.
 ORACLE_SQL = None
 
 
