@@ -13,3 +13,34 @@ def test_run(spark):
     assert set(out.columns) >= {"doc_id", "n_tokens"}
     assert 0.5 * docs.count() < len(rows) <= docs.count()
     assert len({r["doc_id"] for r in rows}) == len(rows)
+
+
+def test_stages_on_planted_cases(spark, tmp_path):
+    """Each stage but the first and last on a small table: what goes, what changes, and that clean documents stay as they are."""
+    words = lambda k, n: " ".join(f"w{k}x{j}" for j in range(n))
+    passage = words("bench", 30)
+    rows = [(1, words("a", 60)), (2, words("a", 60)), (3, words("a", 60) + " more"), (4, words("b", 60)), (5, f"{words('c', 40)} {passage} {words('d', 40)}"), (6, passage + " end"), (7, words("e", 20) + " password=hunter2222 " + words("f", 20)), (8, None), (9, "")]
+    docs = spark.createDataFrame([(i, t, "aa", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([("i", passage)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    text = lambda df: {r["doc_id"]: r["text"] for r in df.collect()}
+    given = dict(rows)
+
+    kept = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    left = text(kept)
+    assert len(left) == 7 and len({1, 2, 3} & set(left)) == 1
+    assert all(given[i] == t for i, t in left.items())
+
+    clean = corpus_pipeline.decontamination(spark, docs, str(tmp_path))
+    assert clean.columns == docs.columns
+    left = text(clean)
+    assert set(left) == set(given) - {6}
+    assert left[5].split() == (words("c", 40) + " " + words("d", 40)).split()
+    assert all(given[i] == t for i, t in left.items() if i != 5)
+
+    redacted = corpus_pipeline.secret_scan(spark, docs, str(tmp_path))
+    assert redacted.columns == docs.columns
+    left = text(redacted)
+    assert set(left) == set(given) and "hunter2222" not in left[7]
+    assert all((given[i] or "") == (t or "") for i, t in left.items() if i != 7)
+    assert all(r["n_chars"] == len(r["text"]) for r in redacted.where("doc_id = 7").collect())
