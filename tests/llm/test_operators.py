@@ -1,10 +1,12 @@
 """The ten operators against brute force, on small tables with nulls, empty and long texts, ties, repeated rows and extra columns."""
 
+import collections
 import hashlib
 import random
 import re
 
 import duckdb
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -195,6 +197,25 @@ def test_suffix_dedup(spark, texts, monkeypatch, sizes):
     assert by_row(out, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]) == brute_suffixes(texts)
 
 
+def test_suffix_dedup_tells_contexts_of_an_anchor_apart(spark):
+    """Two texts of one window, one anchor and equal upper 32 bits of the hash."""
+    rng = random.Random(7)
+    grams = ["".join(rng.choices("abcdefgh", k=32)).encode() for _ in range(2_000)]
+    order = lambda g: (suffix_dedup.repeats.Rolling(suffix_dedup.BYTE_VALUES[np.frombuffer(g, np.uint8)]).sums[-1:] * suffix_dedup.ODD[2])[0]
+    gram = min(grams, key=order)
+    pieces = [(k, 0, gram + "".join(rng.choices("ABCDEFGH", k=18)).encode()) for k in range(400_000)]
+    block = suffix_dedup.Block(pieces, 50, 32)
+    h = block.rolling.spans(block.begin, block.begin + 50) >> np.uint64(32)
+    usual = np.flatnonzero(block.key == np.uint64(collections.Counter(block.key.tolist()).most_common(1)[0][0]))
+    at = usual[np.argsort(h[usual], kind="stable")]
+    first = np.flatnonzero(h[at[1:]] == h[at[:-1]])[0]
+    one, two = (pieces[block.row[at[k]]][2].decode() for k in (first, first + 1))
+    assert one != two
+    rows = [(1, one), (2, two), (3, f"{'x' * 20}{two}{'y' * 20}"), (4, f"{one}{'z' * 9}")]
+    out = suffix_dedup.dedup(table(spark, rows), digest=True)
+    assert by_row(out, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]) == brute_suffixes(rows)
+
+
 def test_loser_tree():
     rng = random.Random(3)
     runs = [sorted({bytes(rng.choice(b"ab") for _ in range(6)) for _ in range(rng.randrange(1, 20))}) for _ in range(7)]

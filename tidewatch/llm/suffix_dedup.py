@@ -5,8 +5,8 @@ smaller id is removed; strings are judged on the input. Suffixes are compared on
 their first WINDOW bytes, so what is sorted are the strings themselves.
 
 1. Whole copies are settled by digest. Windows with the same anchor (see repeats) that follow each other form a
-   segment. A sketch drops segments whose anchor occurs once. Equal segments form
-   a class; those in a row of larger id than the class's least are repeats as a
+   segment. A sketch drops segments whose anchor occurs once. Equal segments (of equal size and 64-bit hash,
+   beside that of the anchor) form a class; those in a row of larger id than the class's least are repeats as a
    whole. This pre-aggregation takes near copies and common passages.
 2. What is left to decide are the windows of a class's first row if another class
    has the same anchor. Tasks sort these suffixes into runs, in which equal ones
@@ -109,12 +109,12 @@ def segments(rows: DataFrame, window: int, gram: int) -> DataFrame:
                     if not len(hit):
                         continue
                     begin, n, row = b.begin[hit], b.n[hit], pa.array(b.row[hit])
-                    h = (b.rolling.spans(begin, begin + n + window - 1) >> np.uint64(32)).astype(np.uint32)
+                    h = b.rolling.spans(begin, begin + n + window - 1)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(b.key[hit].view(np.int64)), pa.array(h.view(np.int32)), batch.column(0).take(row), batch.column(1).take(row), pa.array(b.start[hit]), pa.array(n.astype(np.int32))], names=["k", "h", "id", "x", "start", "n"]
+                        [pa.array(b.key[hit].view(np.int64)), pa.array(h.view(np.int64)), batch.column(0).take(row), batch.column(1).take(row), pa.array(b.start[hit]), pa.array(n.astype(np.int32))], names=["k", "h", "id", "x", "start", "n"]
                     )
 
-        part = rows.mapInArrow(scan, f"k long, h int, id {id_type}, x long, start long, n int")
+        part = rows.mapInArrow(scan, f"k long, h long, id {id_type}, x long, start long, n int")
         found = part if found is None else found.unionByName(part)
     out = stored(found, "segments")
     for sketch in sketches:
@@ -337,11 +337,11 @@ def removed_ranges(rows: DataFrame, window: int, gram: int) -> DataFrame:
     few = known.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
     rows = rows.where("id is not null").join(F.broadcast(known) if few else known, (F.col("id") == F.col("id_")) & (F.col("x") == F.col("x_")), "left_anti")
     places = segments(rows, window, gram)
-    classes = stored(places.groupBy("k", "h").agg(F.min("id").alias("first"), F.max("id").alias("last")), "classes")
-    crowded = classes.groupBy("k").agg((F.min("h") < F.max("h")).alias("crowded")).where("crowded").select(F.col("k").alias("k_"))
-    judged = classes.join(crowded, F.col("k") == F.col("k_"), "left").where("first <> last or k_ is not null").select(F.col("k").alias("k1"), F.col("h").alias("h1"), "first", F.col("k_").isNotNull().alias("crowded"))
+    classes = stored(places.groupBy("k", "h", "n").agg(F.min("id").alias("first"), F.max("id").alias("last")), "classes")
+    crowded = classes.groupBy("k").agg(((F.min("h") < F.max("h")) | (F.min("n") < F.max("n"))).alias("crowded")).where("crowded").select(F.col("k").alias("k_"))
+    judged = classes.join(crowded, F.col("k") == F.col("k_"), "left").where("first <> last or k_ is not null").select(F.col("k").alias("k1"), F.col("h").alias("h1"), F.col("n").alias("n1"), "first", F.col("k_").isNotNull().alias("crowded"))
     code = F.col("start") * window + F.col("n")
-    marked = places.join(judged, (F.col("k") == F.col("k1")) & (F.col("h") == F.col("h1"))).where("id > first or crowded").groupBy("id", "x").agg(F.collect_list(F.when(F.col("id") > F.col("first"), code)).alias("gone"), F.collect_list(F.when(F.col("id") == F.col("first"), code)).alias("open"))
+    marked = places.join(judged, (F.col("k") == F.col("k1")) & (F.col("h") == F.col("h1")) & (F.col("n") == F.col("n1"))).where("id > first or crowded").groupBy("id", "x").agg(F.collect_list(F.when(F.col("id") > F.col("first"), code)).alias("gone"), F.collect_list(F.when(F.col("id") == F.col("first"), code)).alias("open"))
     marked = stored(marked, "marked")
     del crowded, judged
     forget(places, classes)
