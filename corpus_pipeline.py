@@ -19,6 +19,9 @@ MIN_LANGUAGE_SCORE = 0.5
 #: Documents with more than this share of their words in benchmark items go as a whole; others lose those words.
 MAX_BENCHMARK_SHARE = 0.5
 
+#: Documents link from so many percent of common shingles of so many words.
+SHINGLE_WORDS, MIN_JACCARD_PERCENT = 5, 80
+
 
 def measured(docs: DataFrame, columns: list[str]) -> DataFrame:
     """n_chars as the text has now."""
@@ -33,7 +36,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of linked ones."""
-    return jaccard_join.keep_one(docs).select(*docs.columns)
+    return jaccard_join.keep_one(docs, words=SHINGLE_WORDS, percent=MIN_JACCARD_PERCENT).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

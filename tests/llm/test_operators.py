@@ -264,6 +264,37 @@ def test_jaccard_join(spark, texts):
     assert kept.columns == table(spark, texts).columns
 
 
+def shingle_sets(rows, size):
+    out = []
+    for i, t in rows:
+        w = (t or "").lower().split()
+        out.append((i, frozenset(tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1)) if w)))
+    return out
+
+
+def test_jaccard_join_of_five_words(spark):
+    """Groups of edited copies of all sizes around the threshold, against brute force at 5 words and 80 %."""
+    rng = random.Random(8)
+    rows = []
+    for n in (4, 6, 9, 14, 25, 40, 60, 100, 104, 180):
+        base = [f"{rng.choice(VOCABULARY)}{n}x{k}" for k in range(n)]
+        for edits in (0, 1, 1, 2, 2, 3, 5):
+            w = list(base)
+            for k in rng.sample(range(n), min(edits, n)):
+                w[k] = f"edit{len(rows)}x{k}"
+            rows.append((len(rows), " ".join(w[: n - rng.randrange(2)])))
+    sets = shingle_sets(rows, 5)
+    group = list(range(len(sets)))
+    for _ in sets:
+        for a, (_, s) in enumerate(sets):
+            for b, (_, u) in enumerate(sets[:a]):
+                if 100 * len(s & u) >= 80 * len(s | u):
+                    group[a] = group[b] = min(group[a], group[b])
+    assert len({g for g in group if group.count(g) > 1}) > 5
+    out = jaccard_join.near_duplicates(table(spark, rows), words=5, percent=80)
+    assert by_row(out, ["doc_id", "n_shingles", "component_id"]) == sorted(map(repr, [(i, len(s), g) for (i, s), g in zip(sets, group)]))
+
+
 def test_empty_tables(spark):
     docs = table(spark, [])
     items = spark.createDataFrame([], "item_id string, text string")

@@ -44,3 +44,11 @@ def test_stages_on_planted_cases(spark, tmp_path):
     assert set(left) == set(given) and "hunter2222" not in left[7]
     assert all((given[i] or "") == (t or "") for i, t in left.items() if i != 7)
     assert all(r["n_chars"] == len(r["text"]) for r in redacted.where("doc_id = 7").collect())
+
+
+def test_scattered_edits_are_near_duplicates(spark, tmp_path):
+    """Two changed words of 104: 90 of 110 five-word shingles in common, but 96 of 108 of three words."""
+    words = [f"w{k}" for k in range(104)]
+    edited = [f"edit{k}" if k in (30, 70) else w for k, w in enumerate(words)]
+    docs = spark.createDataFrame([(1, " ".join(words), "aa", "s", 0), (2, " ".join(edited), "aa", "s", 0), (3, "another text", "aa", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()} == {1, 3}

@@ -1,8 +1,9 @@
 """N-gram Jaccard self-join by universe partitioning and the pigeonhole principle.
 
-A document's set holds its distinct three-word shingles. Two documents link when
-100 * intersection >= 90 * union. Sets fall into size bands, each a ninth wider
-than the one before, so partners lie in the same or the next band. For a band
+A document's set holds its distinct shingles of some words. Two documents link when
+100 * intersection >= percent * union; a Join holds both numbers and what follows
+from them. Sets fall into size bands, each wider than the one before by
+(100 - percent) / percent, so partners lie in the same or the next band. For a band
 whose sets can differ from a partner in H shingles at most, shingles are hashed
 to H + 1 segments: partners agree in one segment at least. Each set indexes its
 segments' signatures under its own band and, where it can have smaller partners
@@ -28,7 +29,7 @@ set has turns one parity, so parities that differ in more places than the sets
 may differ in shingles rule the pair out.
 
 Null text, empty text and text without words have the empty set, linked with
-nothing: n_shingles 0, a component of its own. Fewer than three words are one
+nothing: n_shingles 0, a component of its own. Fewer words than a shingle has are one
 shingle. Repeated rows are equal sets, so they share a component. Rows that share
 an id but differ in text are documents of their own. A row without an id keeps
 its n_shingles; its component is the least id it reaches, null if none. Extra columns are ignored.
@@ -45,7 +46,6 @@ from tidewatch.llm.common import stored
 from tidewatch.llm.components import components
 from tidewatch.llm.hashing import ODD, mix, word_hashes, words_lower
 
-SHINGLE = 3
 #: Bands of up to so many segments index empty segments like others.
 SMALL = 4
 #: Ids of documents that are sent to every executor; more are joined by a shuffle.
@@ -54,39 +54,52 @@ MAX_BROADCAST_IDS = 1_000_000
 WORDS = 8
 BITS = 64 * WORDS
 FACTS = ["n", *[f"p{i}" for i in range(WORDS)]]
-#: Bands of set sizes: first size of each; the last holds more shingles than any text can have.
-EDGES = [1]
-while EDGES[-1] < 1 << 40:
-    EDGES.append(EDGES[-1] * 10 // 9 + 1)
-_EDGES = np.array(EDGES, np.int64)
 
 
-def band(size: int) -> int:
-    return int(np.searchsorted(_EDGES, size, "right")) - 1
+class Join:
+    """Shingle size and threshold, and the size bands that follow."""
 
+    def __init__(self, words: int = 3, percent: int = 90):
+        if words < 1 or not 50 < percent <= 100:
+            raise ValueError("shingles need a word, and the threshold lies above 50 %")
+        self.words, self.percent = words, percent
+        #: First size of each band; the last holds more shingles than any text can have.
+        self.edges = [1]
+        while self.edges[-1] < 1 << 40:
+            self.edges.append(self.edges[-1] * 100 // percent + 1)
+        self._edges = np.array(self.edges, np.int64)
 
-def segments(k: int) -> int:
-    """One more than the most shingles in which a set of band k can differ from a partner of its size or larger."""
-    r = EDGES[k + 1] - 1
-    return (r + r * 10 // 9) // 19 + 1
+    def band(self, size: int) -> int:
+        return int(np.searchsorted(self._edges, size, "right")) - 1
 
+    def segments(self, k: int) -> int:
+        """One more than the most shingles in which a set of band k can differ from a partner of its size or larger."""
+        r = self.edges[k + 1] - 1
+        return (r + r * 100 // self.percent) * (100 - self.percent) // (100 + self.percent) + 1
 
-def shingles(words: list[bytes], hashes: np.ndarray, seed: int) -> np.ndarray:
+    def may_link(self, a: str, b: str):
+        """No bound rules out the pair whose facts have the suffixes a and b."""
+        differ = sum((F.bit_count(F.col(f"p{i}{a}").bitwiseXOR(F.col(f"p{i}{b}"))) for i in range(1, WORDS)), F.bit_count(F.col(f"p0{a}").bitwiseXOR(F.col(f"p0{b}"))))
+        na, nb = F.col(f"n{a}"), F.col(f"n{b}")
+        return (differ * (100 + self.percent) <= (na + nb) * (100 - self.percent)) & (na * 100 >= nb * self.percent) & (nb * 100 >= na * self.percent)
+
+
+def shingles(words: list[bytes], hashes: np.ndarray, seed: int, size: int) -> np.ndarray:
     """Sorted distinct 64-bit shingle hashes."""
     if not words:
         return np.empty(0, np.uint64)
-    n = min(SHINGLE, len(words))
+    n = min(size, len(words))
     h = np.full(len(words) - n + 1, (n << 8) + seed, np.uint64)
     for k in range(n):
         h = mix(h * ODD[0] + hashes[k : len(hashes) - n + 1 + k])
     return np.unique(h)
 
 
-def sets_of(texts: list[str | None], seed: int):
+def sets_of(texts: list[str | None], seed: int, size: int):
     """The shingle set of each text."""
     for text in texts:
         words = words_lower(text)
-        yield shingles(words, word_hashes(words), seed)
+        yield shingles(words, word_hashes(words), seed, size)
 
 
 def class_of(s: np.ndarray) -> tuple[int, int]:
@@ -101,23 +114,16 @@ def parities(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def may_link(a: str, b: str):
-    """No bound rules out the pair whose facts have the suffixes a and b."""
-    differ = sum((F.bit_count(F.col(f"p{i}{a}").bitwiseXOR(F.col(f"p{i}{b}"))) for i in range(1, WORDS)), F.bit_count(F.col(f"p0{a}").bitwiseXOR(F.col(f"p0{b}"))))
-    na, nb = F.col(f"n{a}"), F.col(f"n{b}")
-    return (differ * 19 <= na + nb) & (na * 10 >= nb * 9) & (nb * 10 >= na * 9)
-
-
-def signatures(s: np.ndarray) -> np.ndarray:
+def signatures(s: np.ndarray, join: Join) -> np.ndarray:
     """Signatures under which a set is indexed."""
     n, out = len(s), []
     if not n:
         return np.empty(0, np.uint64)
-    own = band(n)
+    own = join.band(n)
     content = mix(s, 1)
     low, high = (content & np.uint64(0xFFFFFFFF)).astype(np.float64), (content >> np.uint64(32)).astype(np.float64)
-    for k in (own, own - 1) if own and -(-n * 9 // 10) < EDGES[own] else (own,):
-        m = segments(k)
+    for k in (own, own - 1) if own and -(-n * join.percent // 100) < join.edges[own] else (own,):
+        m = join.segments(k)
         at = (s % np.uint64(m)).astype(np.int64)
         total = np.bincount(at, low, m).astype(np.uint64) + (np.bincount(at, high, m).astype(np.uint64) << np.uint64(32))
         place = mix(np.arange(m, dtype=np.uint64) + np.uint64(k << 40), 1)
@@ -129,24 +135,24 @@ def signatures(s: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-def scan_sets(docs: DataFrame, seed: int) -> DataFrame:
+def scan_sets(docs: DataFrame, seed: int, join: Join) -> DataFrame:
     """(row's key, n, c, d, parities): size, two digests and parities of each row's set."""
 
     def run(batches):
         for batch in batches:
-            found = [(len(s), *class_of(s), *parities(s).tolist()) for s in sets_of(batch.column(1).to_pylist(), seed)]
+            found = [(len(s), *class_of(s), *parities(s).tolist()) for s in sets_of(batch.column(1).to_pylist(), seed, join.words)]
             columns = list(zip(*found)) if found else [()] * (3 + WORDS)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in columns)], names=["id", "n", "c", "d", *FACTS[1:]])
 
     return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n long, c long, d long, {', '.join(f'{x} long' for x in FACTS[1:])}")
 
 
-def scan_signatures(docs: DataFrame, seed: int) -> DataFrame:
+def scan_signatures(docs: DataFrame, seed: int, join: Join) -> DataFrame:
     def run(batches):
         for batch in batches:
             sig, cls, size = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
-            for s in sets_of(batch.column(1).to_pylist(), seed):
-                got = signatures(s)
+            for s in sets_of(batch.column(1).to_pylist(), seed, join.words):
+                got = signatures(s, join)
                 sig.append(got)
                 cls.append(np.full(len(got), class_of(s)[0] if len(s) else 0, np.int64))
                 size += len(got)
@@ -159,13 +165,13 @@ def scan_signatures(docs: DataFrame, seed: int) -> DataFrame:
     return docs.mapInArrow(run, "sig long, c long")
 
 
-def scan_shingles(docs: DataFrame, seed: int) -> DataFrame:
+def scan_shingles(docs: DataFrame, seed: int, join: Join) -> DataFrame:
     """(c, s): digest and shingles of each row's set, for rows that are compared."""
 
     def run(batches):
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):
-                found = [s.view(np.int64) for s in sets_of(batch.column(1).slice(begin, 256).to_pylist(), seed)]
+                found = [s.view(np.int64) for s in sets_of(batch.column(1).slice(begin, 256).to_pylist(), seed, join.words)]
                 at = np.concatenate([[0], np.cumsum([len(s) for s in found])]).astype(np.int32)
                 values = pa.array(np.concatenate([np.empty(0, np.int64), *found]))
                 yield pa.RecordBatch.from_arrays([pa.array([class_of(s.view(np.uint64))[0] for s in found], pa.int64()), pa.ListArray.from_arrays(pa.array(at), values)], names=["c", "s"])
@@ -173,37 +179,38 @@ def scan_shingles(docs: DataFrame, seed: int) -> DataFrame:
     return docs.mapInArrow(run, "c long, s array<long>")
 
 
-def linked(pairs: DataFrame, shingle_sets: DataFrame) -> DataFrame:
+def linked(pairs: DataFrame, shingle_sets: DataFrame, join: Join) -> DataFrame:
     """The pairs (u, v) whose sets meet the threshold, by exact intersection. v can be a hub: its rows are joined while they are small."""
     a, b = shingle_sets.select(F.col("c").alias("u"), F.col("s").alias("su")), shingle_sets.select(F.col("c").alias("v"), F.col("s").alias("sv"))
     both = pairs.join(b, "v").join(a, "u").withColumn("i", F.size(F.array_intersect("su", "sv")))
-    return both.where("100L * i >= 90L * (size(su) + size(sv) - i)").select("u", "v")
+    return both.where(f"100L * i >= {join.percent}L * (size(su) + size(sv) - i)").select("u", "v")
 
 
-def shingles_for(pairs: DataFrame, classes: DataFrame, rows: DataFrame, seed: int) -> DataFrame:
+def shingles_for(pairs: DataFrame, classes: DataFrame, rows: DataFrame, seed: int, join: Join) -> DataFrame:
     """(c, s) of the classes in pairs, from a row of each, stored."""
     compared = pairs.select(F.col("u").alias("c")).union(pairs.select("v")).distinct()
     wanted = stored(classes.join(compared, "c", "left_semi").where("rep is not null").select(F.col("rep").alias("id")).distinct(), "compared")
     few = wanted.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
-    return stored(scan_shingles(rows.join(F.broadcast(wanted) if few else wanted, "id", "left_semi"), seed).dropDuplicates(["c"]), "shingles")
+    return stored(scan_shingles(rows.join(F.broadcast(wanted) if few else wanted, "id", "left_semi"), seed, join).dropDuplicates(["c"]), "shingles")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, percent: int = 90) -> DataFrame:
     """Per row: key, n_shingles and component_id."""
+    join = Join(words, percent)
     rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("t"))
     for seed in range(8):
-        sets = stored(scan_sets(rows, seed), "sets")
+        sets = stored(scan_sets(rows, seed, join), "sets")
         classes = stored(sets.where("n > 0").groupBy("c").agg(F.min("id").alias("rep"), (F.min("d") != F.max("d")).alias("mixed"), *[F.max(x).alias(x) for x in FACTS]), "classes")
         if classes.where("mixed").isEmpty():
             break
     facts, classes = classes.select("c", *FACTS), classes.select("c", "rep")
     facts_of = lambda side: facts.select(F.col("c").alias(side), *[F.col(x).alias(f"{x}_{side}") for x in FACTS])
-    hits = scan_signatures(rows, seed)
+    hits = scan_signatures(rows, seed, join)
     live = hits.groupBy("sig").agg(F.min("c").alias("m"), F.max("c").alias("x")).where("m <> x").select("sig", "m")
-    buckets = stored(scan_signatures(rows, seed).join(live, "sig").distinct(), "buckets")
+    buckets = stored(scan_signatures(rows, seed, join).join(live, "sig").distinct(), "buckets")
     first = buckets.where("c <> m").select(F.col("c").alias("u"), F.col("m").alias("v")).distinct()
-    first = stored(first.join(facts_of("u"), "u").join(facts_of("v"), "v").where(may_link("_u", "_v")).select("u", "v"), "pairs")
-    links = stored(linked(first, shingles_for(first, classes, rows, seed)), "links")
+    first = stored(first.join(facts_of("u"), "u").join(facts_of("v"), "v").where(join.may_link("_u", "_v")).select("u", "v"), "pairs")
+    links = stored(linked(first, shingles_for(first, classes, rows, seed, join), join), "links")
     known = components(links)
     for hubs in (True, False):
         # buckets that still hold several components: compare with the class of most links, then across components
@@ -219,10 +226,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             right = left.select("sig", F.col("u").alias("v"), F.col("cu").alias("cv"), *[F.col(f"{x}_u").alias(f"{x}_v") for x in FACTS])
             apart = (F.col("cu") != F.col("cv")) & (F.col("u") > F.col("v"))
         right = right.withColumnRenamed("sig", "sig_")
-        more = left.join(right, (F.col("sig") == F.col("sig_")) & apart & may_link("_u", "_v")).select("u", "v").distinct()
+        more = left.join(right, (F.col("sig") == F.col("sig_")) & apart & join.may_link("_u", "_v")).select("u", "v").distinct()
         more = stored(more.join(links, ["u", "v"], "left_anti"), "pairs")
         if not more.isEmpty():
-            links = stored(links.union(linked(more, shingles_for(more, classes, rows, seed))), "links")
+            links = stored(links.union(linked(more, shingles_for(more, classes, rows, seed, join), join)), "links")
             known = components(links)
     least = classes.join(known.withColumnRenamed("id", "c"), "c", "left").select("c", "rep", F.coalesce("component", "c").alias("component"))
     least = stored(least, "placed")
@@ -231,9 +238,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, percent: int = 90) -> DataFrame:
     """docs with one document of each component, the one of least id; columns are those of docs."""
-    found = stored(near_duplicates(docs, key, text), "components")
+    found = stored(near_duplicates(docs, key, text, words, percent), "components")
     kept = found.where(F.col(key).isNull() | (F.col(key) == F.col("component_id"))).select(F.col(key).alias("__kept"))
     out = docs.join(kept.distinct(), F.col(key).eqNullSafe(F.col("__kept")), "left_semi")
     if found.groupBy(key).count().where("count > 1").isEmpty():
