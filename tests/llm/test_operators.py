@@ -295,6 +295,23 @@ def test_jaccard_join_of_five_words(spark):
     assert by_row(out, ["doc_id", "n_shingles", "component_id"]) == sorted(map(repr, [(i, len(s), g) for (i, s), g in zip(sets, group)]))
 
 
+def test_keep_one_of_repeated_and_null_ids(spark):
+    """Survivors are documents: by id (none last), whatever else has that id."""
+    words = lambda k, n=40: " ".join(f"w{k}x{j}" for j in range(n))
+    rows = [(1, words("a")), (5, words("a")), (5, words("b")), (5, words("c")), (7, words("c")), (7, words("d")), (9, words("d")), (9, words("d"))]
+    rows += [(None, words("e")), (None, words("e")), (None, words("a")), (None, words("f")), (None, None), (None, None), (3, ""), (3, ""), (3, None)]
+    kept = jaccard_join.keep_one(table(spark, rows))
+    want = [(1, words("a")), (5, words("b")), (5, words("c")), (7, words("d")), (None, words("e")), (None, words("f")), (None, None), (None, None), (3, ""), (3, None)]
+    assert by_row(kept, ["doc_id", "text"]) == sorted(map(repr, want))
+
+
+def test_jaccard_join_links_through_a_row_without_id(spark):
+    word = lambda k: f"w{k}"
+    texts = [" ".join(map(word, range(a, a + 100))) for a in (0, 4, 8)]
+    out = jaccard_join.near_duplicates(table(spark, [(1, texts[0]), (None, texts[1]), (2, texts[2])]))
+    assert by_row(out, ["doc_id", "component_id"]) == sorted(map(repr, [(1, 1), (None, 1), (2, 1)]))
+
+
 def test_empty_tables(spark):
     docs = table(spark, [])
     items = spark.createDataFrame([], "item_id string, text string")

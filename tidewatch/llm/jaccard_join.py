@@ -31,7 +31,7 @@ may differ in shingles rule the pair out.
 Null text, empty text and text without words have the empty set, linked with
 nothing: n_shingles 0, a component of its own. Fewer words than a shingle has are one
 shingle. Repeated rows are equal sets, so they share a component. Rows that share
-an id but differ in text are documents of their own. A row without an id keeps
+an id but differ in text are documents of their own, told apart by a hash of the text. A row without an id keeps
 its n_shingles; its component is the least id it reaches, null if none. Extra columns are ignored.
 """
 
@@ -136,22 +136,22 @@ def signatures(s: np.ndarray, join: Join) -> np.ndarray:
 
 
 def scan_sets(docs: DataFrame, seed: int, join: Join) -> DataFrame:
-    """(row's key, n, c, d, parities): size, two digests and parities of each row's set."""
+    """(row's id and x, n, c, d, parities): size, two digests and parities of each row's set."""
 
     def run(batches):
         for batch in batches:
-            found = [(len(s), *class_of(s), *parities(s).tolist()) for s in sets_of(batch.column(1).to_pylist(), seed, join.words)]
+            found = [(len(s), *class_of(s), *parities(s).tolist()) for s in sets_of(batch.column(2).to_pylist(), seed, join.words)]
             columns = list(zip(*found)) if found else [()] * (3 + WORDS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in columns)], names=["id", "n", "c", "d", *FACTS[1:]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in columns)], names=["id", "x", "n", "c", "d", *FACTS[1:]])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n long, c long, d long, {', '.join(f'{x} long' for x in FACTS[1:])}")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, x long, n long, c long, d long, {', '.join(f'{x} long' for x in FACTS[1:])}")
 
 
 def scan_signatures(docs: DataFrame, seed: int, join: Join) -> DataFrame:
     def run(batches):
         for batch in batches:
             sig, cls, size = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
-            for s in sets_of(batch.column(1).to_pylist(), seed, join.words):
+            for s in sets_of(batch.column(2).to_pylist(), seed, join.words):
                 got = signatures(s, join)
                 sig.append(got)
                 cls.append(np.full(len(got), class_of(s)[0] if len(s) else 0, np.int64))
@@ -171,7 +171,7 @@ def scan_shingles(docs: DataFrame, seed: int, join: Join) -> DataFrame:
     def run(batches):
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):
-                found = [s.view(np.int64) for s in sets_of(batch.column(1).slice(begin, 256).to_pylist(), seed, join.words)]
+                found = [s.view(np.int64) for s in sets_of(batch.column(2).slice(begin, 256).to_pylist(), seed, join.words)]
                 at = np.concatenate([[0], np.cumsum([len(s) for s in found])]).astype(np.int32)
                 values = pa.array(np.concatenate([np.empty(0, np.int64), *found]))
                 yield pa.RecordBatch.from_arrays([pa.array([class_of(s.view(np.uint64))[0] for s in found], pa.int64()), pa.ListArray.from_arrays(pa.array(at), values)], names=["c", "s"])
@@ -189,21 +189,26 @@ def linked(pairs: DataFrame, shingle_sets: DataFrame, join: Join) -> DataFrame:
 def shingles_for(pairs: DataFrame, classes: DataFrame, rows: DataFrame, seed: int, join: Join) -> DataFrame:
     """(c, s) of the classes in pairs, from a row of each, stored."""
     compared = pairs.select(F.col("u").alias("c")).union(pairs.select("v")).distinct()
-    wanted = stored(classes.join(compared, "c", "left_semi").where("rep is not null").select(F.col("rep").alias("id")).distinct(), "compared")
+    wanted = stored(classes.join(compared, "c", "left_semi").select(F.col("rep").alias("id_"), F.col("rep_x").alias("x_")), "compared")
     few = wanted.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
-    return stored(scan_shingles(rows.join(F.broadcast(wanted) if few else wanted, "id", "left_semi"), seed, join).dropDuplicates(["c"]), "shingles")
+    found = rows.join(F.broadcast(wanted) if few else wanted, F.col("id").eqNullSafe(F.col("id_")) & (F.col("x") == F.col("x_")), "left_semi")
+    return stored(scan_shingles(found, seed, join).dropDuplicates(["c"]), "shingles")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, percent: int = 90) -> DataFrame:
-    """Per row: key, n_shingles and component_id."""
-    join = Join(words, percent)
-    rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("t"))
+def text_hash(text: str):
+    """Tells rows of one id, or of none, apart."""
+    return F.xxhash64(F.col(text).cast("string"))
+
+
+def members(docs: DataFrame, key: str, text: str, join: Join) -> tuple[DataFrame, DataFrame]:
+    """Per row: id, x (hash of the text), n, c (class). Per class: c, rep (its least id) and component."""
+    rows = docs.select(F.col(key).alias("id"), text_hash(text).alias("x"), F.col(text).cast("string").alias("t"))
     for seed in range(8):
         sets = stored(scan_sets(rows, seed, join), "sets")
-        classes = stored(sets.where("n > 0").groupBy("c").agg(F.min("id").alias("rep"), (F.min("d") != F.max("d")).alias("mixed"), *[F.max(x).alias(x) for x in FACTS]), "classes")
+        classes = stored(sets.where("n > 0").groupBy("c").agg(F.min("id").alias("rep"), F.coalesce(F.min_by("x", "id"), F.min("x")).alias("rep_x"), (F.min("d") != F.max("d")).alias("mixed"), *[F.max(x).alias(x) for x in FACTS]), "classes")
         if classes.where("mixed").isEmpty():
             break
-    facts, classes = classes.select("c", *FACTS), classes.select("c", "rep")
+    facts, classes = classes.select("c", *FACTS), classes.select("c", "rep", "rep_x")
     facts_of = lambda side: facts.select(F.col("c").alias(side), *[F.col(x).alias(f"{x}_{side}") for x in FACTS])
     hits = scan_signatures(rows, seed, join)
     live = hits.groupBy("sig").agg(F.min("c").alias("m"), F.max("c").alias("x")).where("m <> x").select("sig", "m")
@@ -232,17 +237,29 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
             links = stored(links.union(linked(more, shingles_for(more, classes, rows, seed, join), join)), "links")
             known = components(links)
     least = classes.join(known.withColumnRenamed("id", "c"), "c", "left").select("c", "rep", F.coalesce("component", "c").alias("component"))
-    least = stored(least, "placed")
+    return sets.select("id", "x", "n", "c"), stored(least, "placed")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, percent: int = 90) -> DataFrame:
+    """Per row: key, n_shingles and component_id."""
+    sets, least = members(docs, key, text, Join(words, percent))
     named = least.join(least.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("c", "component_id")
     out = sets.join(named, "c", "left")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, percent: int = 90) -> DataFrame:
-    """docs with one document of each component, the one of least id; columns are those of docs."""
-    found = stored(near_duplicates(docs, key, text, words, percent), "components")
-    kept = found.where(F.col(key).isNull() | (F.col(key) == F.col("component_id"))).select(F.col(key).alias("__kept"))
-    out = docs.join(kept.distinct(), F.col(key).eqNullSafe(F.col("__kept")), "left_semi")
-    if found.groupBy(key).count().where("count > 1").isEmpty():
-        return out
-    return out.where(F.col(key).isNull()).union(out.where(F.col(key).isNotNull()).dropDuplicates([key]))
+    """docs with one row of each component: of least id (none comes last), then of least class and text hash; columns are those of docs.
+
+    Rows with the empty set are components of their own; of those, repeated rows of one id stay once.
+    """
+    sets, least = members(docs, key, text, Join(words, percent))
+    placed = sets.where("n > 0").join(least.select("c", "component"), "c")
+    first = placed.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "c", "x")).alias("first"))
+    kept = first.select(F.col("first.id").alias("__id"), F.col("first.x").alias("__x"), F.lit(False).alias("__own")).union(sets.where("n = 0").select("id", "x", F.col("id").isNull()).distinct())
+    kept = stored(kept, "kept")
+    held = docs.withColumn("__hash", text_hash(text)).join(kept, F.col(key).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__x")))
+    again = sets.groupBy("id", "x").count().where("count > 1")
+    if again.isEmpty():
+        return held.select(*docs.columns)
+    return held.where("__own").union(held.where("not __own").dropDuplicates([key, "__hash"])).select(*docs.columns)
