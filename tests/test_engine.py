@@ -90,3 +90,23 @@ def test_rows_only(spark, name):
 def test_windows_ties(spark):
     rows = spark.createDataFrame(pd.DataFrame({"estate": ["e"] * 4, "alert_id": range(4), "at_us": [0, 0, 60_000_000, 60_000_001], "fingerprint": list("abac")}))
     assert {r["alert_id"]: r["w"] for r in windows.trailing_distinct(rows).collect()} == {0: 2, 1: 2, 2: 2, 3: 2}
+
+
+def test_river_fold(spark):
+    """now is 100 s; the silent page is found, a late confirmation is none."""
+    made, sure = "decision_made", "forward_confirmed"
+    rows = [
+        (1, 1, made, "page_now", "o1", 0),
+        (2, 1, made, "page_now", "o2", 40), (3, 1, made, "page_business_hours", "o3", 39),
+        (4, 1, made, "page_now", "o4", 0), (4, 2, sure, None, "o4", 99),
+        (5, 1, made, "page_now", "o5", 0), (5, 2, sure, None, "other", 1),
+        (6, 1, made, "page_now", "o6", 0), (6, 2, sure, None, "o6", 1), (6, 3, made, "suppress", None, 2),
+        (7, 1, "decision_requested", None, None, 0), (7, 2, "decision_requested", None, None, 1),
+        (8, 1, made, "passthrough", "o8", 0), (9, 1, made, "passthrough", None, 0), (10, 1, made, "passthrough", "o10", 0), (10, 2, sure, None, "o10", 1),
+        (11, 1, made, "folded", None, 0), (12, 1, "feedback", None, None, 0), (13, 1, made, "page_now", None, 0), (13, 2, sure, None, None, 1),
+        (14, 1, made, "suppress", "o14", 0), (14, 2, made, "page_now", "p14", 1), (14, 3, sure, None, "o14", 2), (15, 1, made, None, None, 0),
+    ]
+    log = spark.createDataFrame([(*r[:5], r[5] * 1_000_000) for r in rows], "alert_id long, seq long, type string, disposition string, outbox_id string, at_us long")
+    got = {r["alert_id"]: r["status"] for r in eventlog.river_fold(log, 100_000_000).collect()}
+    late, some = "PAGED_ANOMALY", "passthrough_decided"
+    assert got == {1: late, 2: "decided_unconfirmed", 3: late, 4: "paged", 5: late, 6: "suppressed", 7: "requested", 8: "passthrough_unconfirmed", 9: some, 10: some, 11: "folded_into_aggregate", 12: "unknown", 13: late, 14: late, 15: "unknown"}

@@ -27,6 +27,37 @@ def river(outbox: DataFrame, receipts: DataFrame) -> DataFrame:
     return rows.select("alert_id", "action", status.alias("status"), F.coalesce("receipts", F.lit(0)).cast("long").alias("receipts"))
 
 
+def river_fold(log: DataFrame, now_us: Column | int, sla_us: int = 60_000_000) -> DataFrame:
+    """Status of each alert of a log (alert_id, seq, type, disposition, outbox_id, at_us) by the river rule.
+
+    The latest decision_made counts; it is confirmed by a forward_confirmed of its outbox_id.
+    A page without one is PAGED_ANOMALY once it is older than sla_us.
+    """
+    last = log.groupBy("alert_id").agg(
+        F.max("seq").alias("seq"),
+        F.max_by(F.struct("disposition", F.when(F.col("outbox_id") != "", F.col("outbox_id")).alias("outbox_id"), "at_us"), F.when(F.col("type") == "decision_made", F.col("seq"))).alias("d"),
+        F.count_if(F.col("type") == "decision_requested").alias("n_requested"),
+        F.count_if(F.col("type") == "decision_made").alias("n_decisions"),
+    )
+    confirmed = log.where((F.col("type") == "forward_confirmed") & F.col("outbox_id").isNotNull()).select(F.col("alert_id").alias("a_"), F.col("outbox_id").alias("o_")).distinct()
+    rows = last.join(confirmed, (F.col("alert_id") == F.col("a_")) & (F.col("d.outbox_id") == F.col("o_")), "left")
+    has, disposition, sure = F.col("n_decisions") > 0, F.col("d.disposition"), F.col("o_").isNotNull()
+    paging = has & disposition.isin("page_now", "page_business_hours")
+    now = F.lit(now_us) if isinstance(now_us, int) else now_us
+    status = (
+        F.when(has & (disposition == "suppress"), "suppressed")
+        .when(paging & sure, "paged")
+        .when(paging & (now - F.col("d.at_us") > sla_us), "PAGED_ANOMALY")
+        .when(paging, "decided_unconfirmed")
+        .when(has & (disposition == "passthrough") & F.col("d.outbox_id").isNotNull() & ~sure, "passthrough_unconfirmed")
+        .when(has & (disposition == "passthrough"), "passthrough_decided")
+        .when(has & (disposition == "folded"), "folded_into_aggregate")
+        .when(~has & (F.col("n_requested") > 0), "requested")
+        .otherwise("unknown")
+    )
+    return rows.select("alert_id", "seq", F.col("d.outbox_id").alias("outbox_id"), status.alias("status"), "n_requested", "n_decisions")
+
+
 def orphans(requests: DataFrame, answered: DataFrame, now_us: Column, age_us: int) -> DataFrame:
     """Requests older than age_us without an answer."""
     return requests.where(now_us - F.col("at_us") > age_us).join(answered.select("alert_id"), "alert_id", "left_anti")
