@@ -295,6 +295,16 @@ def test_jaccard_join_of_five_words(spark):
     assert by_row(out, ["doc_id", "n_shingles", "component_id"]) == sorted(map(repr, [(i, len(s), g) for (i, s), g in zip(sets, group)]))
 
 
+def test_bands_that_index_empty_segments():
+    join = jaccard_join.Join(5, 80)
+    assert jaccard_join.Join(3, 90).small == 4 and 6 < join.small < 20
+    # 20 shingles in 2 of 5 segments, and the 16 that are left without two of each
+    a = np.concatenate([np.uint64(5) * np.arange(1, 11, dtype=np.uint64) + np.uint64(k) for k in range(2)])
+    b = np.delete(a, [0, 1, 10, 11])
+    one, two = (set(jaccard_join.signatures(np.unique(x), join).tolist()) for x in (a, b))
+    assert one & two
+
+
 def test_keep_one_of_repeated_and_null_ids(spark):
     """Survivors are documents: by id (none last), whatever else has that id."""
     words = lambda k, n=40: " ".join(f"w{k}x{j}" for j in range(n))

@@ -13,8 +13,8 @@ Allocation by cost: an empty segment would agree with every other empty one, the
 longest posting list there is. A set with empty segments leaves them out and
 indexes its other segments with their one-deletion neighbourhoods as well, which
 find partners that differ by one shingle in a segment. If fewer than half of the
-segments are empty, the principle still holds. In bands of up to SMALL segments
-all are indexed as they are.
+segments are empty, the principle still holds. In bands of small sets, where that is not
+as good as certain (MAX_HALF_EMPTY), all are indexed as they are.
 
 Equal sets form one class; classes are what is joined. In each bucket of equal
 signatures classes are first compared with the bucket's least class, exactly,
@@ -37,6 +37,8 @@ its n_shingles; its component is the least id it reaches, null if none. Extra co
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,8 +48,8 @@ from tidewatch.llm.common import stored
 from tidewatch.llm.components import components
 from tidewatch.llm.hashing import ODD, mix, word_hashes, words_lower
 
-#: Bands of up to so many segments index empty segments like others.
-SMALL = 4
+#: Bands index empty segments like others where a set has half of its segments empty with at least this probability.
+MAX_HALF_EMPTY = 1e-9
 #: Ids of documents that are sent to every executor; more are joined by a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
 #: Parities kept of a set, in 64-bit words.
@@ -69,6 +71,9 @@ class Join:
             self.edges.append(self.edges[-1] * 100 // percent + 1)
         self._edges = np.array(self.edges, np.int64)
 
+        #: Bands of up to so many segments index empty segments like others.
+        self.small = max(m for k in range(len(self.edges) - 1) if (m := self.segments(k)) < 200 and (m == 1 or math.comb(m, m // 2) * (m // 2 / m) ** self.edges[k] >= MAX_HALF_EMPTY))
+
     def band(self, size: int) -> int:
         return int(np.searchsorted(self._edges, size, "right")) - 1
 
@@ -128,7 +133,7 @@ def signatures(s: np.ndarray, join: Join) -> np.ndarray:
         total = np.bincount(at, low, m).astype(np.uint64) + (np.bincount(at, high, m).astype(np.uint64) << np.uint64(32))
         place = mix(np.arange(m, dtype=np.uint64) + np.uint64(k << 40), 1)
         full = np.bincount(at, minlength=m) > 0
-        if m <= SMALL or full.all():
+        if m <= join.small or full.all():
             out.append(mix(total ^ place))
         else:
             out += [mix(total[full] ^ place[full]), mix((total[at] - content) ^ place[at])]
