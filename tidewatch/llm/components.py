@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import stored
+from tidewatch.llm.common import forget, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -28,7 +28,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     now = stored(edges.where("u <> v").select("u", "v"), "edges")
     before = None
     for _ in range(rounds):
-        now = stored(_star(_star(now, True), False), "edges")
+        had, now = now, stored(_star(_star(now, True), False), "edges")
+        forget(had)
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == before:
             return now.select(F.col("u").alias("id"), F.col("v").alias("component"))

@@ -9,12 +9,18 @@ to H + 1 segments: partners agree in one segment at least. Each set indexes its
 segments' signatures under its own band and, where it can have smaller partners
 there, under the band before.
 
-Allocation by cost: an empty segment would agree with every other empty one, the
-longest posting list there is. A set with empty segments leaves them out and
-indexes its other segments with their one-deletion neighbourhoods as well, which
-find partners that differ by one shingle in a segment. If fewer than half of the
-segments are empty, the principle still holds. In bands of small sets, where that is not
-as good as certain (MAX_HALF_EMPTY), all are indexed as they are.
+Allocation by cost: an empty segment agrees with every other empty one, the
+longest posting list there is. From the sizes of all sets, each band's cost of
+those lists is weighed against the cost of doing without: a set then leaves its
+empty segments out and indexes the others with their one-deletion neighbourhoods
+as well, which find partners that differ by one shingle in a segment. Two sets
+that share empty segments only, and differ by two shingles or more in each segment
+that neither leaves out, have more than half of their segments empty; a set with
+so many indexes the empty ones too. So no link is lost, whichever way a band goes.
+
+Signatures are shuffled once, and sorted; those of one class alone end there. A
+signature that a sample of rows shows to be frequent is salted by class, so its
+postings are spread over tasks; the sample decides nothing else.
 
 Equal sets form one class; classes are what is joined. In each bucket of equal
 signatures classes are first compared with the bucket's least class, exactly,
@@ -37,21 +43,19 @@ its n_shingles; its component is the least id it reaches, null if none. Extra co
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import stored
+from tidewatch.llm.common import forget, stored
 from tidewatch.llm.components import components
 from tidewatch.llm.hashing import ODD, mix, word_hashes, words_lower
 
-#: Bands index empty segments like others where a set has half of its segments empty with at least this probability.
-MAX_HALF_EMPTY = 1e-9
 #: Ids of documents that are sent to every executor; more are joined by a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
+#: Rows of the sample that shows frequent signatures, the share from which one is salted, and by how many salts.
+SAMPLE_ROWS, FREQUENT, SALTS = 2_000, 0.01, 64
 #: Parities kept of a set, in 64-bit words.
 WORDS = 8
 BITS = 64 * WORDS
@@ -71,8 +75,24 @@ class Join:
             self.edges.append(self.edges[-1] * 100 // percent + 1)
         self._edges = np.array(self.edges, np.int64)
 
-        #: Bands of up to so many segments index empty segments like others.
-        self.small = max(m for k in range(len(self.edges) - 1) if (m := self.segments(k)) < 200 and (m == 1 or math.comb(m, m // 2) * (m // 2 / m) ** self.edges[k] >= MAX_HALF_EMPTY))
+        #: Bands whose empty segments are left out; see allocate.
+        self.leave_out: set[int] = set()
+
+    def allocate(self, sizes: list[tuple[int, int]]) -> None:
+        """From (set size, number of sets): bands in which pairs of equal empty segments would cost more than one-deletion neighbourhoods."""
+        pairs, more = {}, {}
+        for n, count in sizes:
+            for k in self.bands(n):
+                m = self.segments(k)
+                empty = (1 - 1 / m) ** n
+                pairs[k] = pairs.get(k, 0.0) + count * empty
+                more[k] = more.get(k, 0.0) + count * min(1.0, m * empty) * n
+        self.leave_out = {k for k, listed in pairs.items() if self.segments(k) * listed * listed / 2 > more[k]}
+
+    def bands(self, n: int) -> tuple[int, ...]:
+        """Under which a set of n shingles is indexed: its own, and the one before if partners can be there."""
+        own = self.band(n)
+        return (own, own - 1) if own and -(-n * self.percent // 100) < self.edges[own] else (own,)
 
     def band(self, size: int) -> int:
         return int(np.searchsorted(self._edges, size, "right")) - 1
@@ -124,19 +144,19 @@ def signatures(s: np.ndarray, join: Join) -> np.ndarray:
     n, out = len(s), []
     if not n:
         return np.empty(0, np.uint64)
-    own = join.band(n)
     content = mix(s, 1)
     low, high = (content & np.uint64(0xFFFFFFFF)).astype(np.float64), (content >> np.uint64(32)).astype(np.float64)
-    for k in (own, own - 1) if own and -(-n * join.percent // 100) < join.edges[own] else (own,):
+    for k in join.bands(n):
         m = join.segments(k)
         at = (s % np.uint64(m)).astype(np.int64)
         total = np.bincount(at, low, m).astype(np.uint64) + (np.bincount(at, high, m).astype(np.uint64) << np.uint64(32))
         place = mix(np.arange(m, dtype=np.uint64) + np.uint64(k << 40), 1)
         full = np.bincount(at, minlength=m) > 0
-        if m <= join.small or full.all():
+        if k not in join.leave_out or full.all():
             out.append(mix(total ^ place))
         else:
-            out += [mix(total[full] ^ place[full]), mix((total[at] - content) ^ place[at])]
+            shown = full if 2 * full.sum() >= m else np.ones(m, bool)
+            out += [mix(total[shown] ^ place[shown]), mix((total[at] - content) ^ place[at])]
     return np.unique(np.concatenate(out))
 
 
@@ -152,22 +172,57 @@ def scan_sets(docs: DataFrame, seed: int, join: Join) -> DataFrame:
     return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, x long, n long, c long, d long, {', '.join(f'{x} long' for x in FACTS[1:])}")
 
 
-def scan_signatures(docs: DataFrame, seed: int, join: Join) -> DataFrame:
+def scan_signatures(docs: DataFrame, seed: int, join: Join, frequent: np.ndarray) -> DataFrame:
+    """(sig, salt, c) of each class, once a task. salt is 0 unless sig is one of frequent, a sorted array."""
+
     def run(batches):
+        done: set[int] = set()
         for batch in batches:
             sig, cls, size = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
+
+            def send():
+                at, c = np.concatenate(sig).view(np.int64), np.concatenate(cls)
+                often = np.isin(at, frequent) if len(frequent) else np.zeros(len(at), bool)
+                salt = np.where(often, 1 + c % SALTS, 0).astype(np.int8)
+                return pa.RecordBatch.from_arrays([pa.array(at), pa.array(salt), pa.array(c)], names=["sig", "salt", "c"])
+
             for s in sets_of(batch.column(2).to_pylist(), seed, join.words):
+                c = class_of(s)[0] if len(s) else 0
+                if not len(s) or c in done:
+                    continue
+                done.add(c)
                 got = signatures(s, join)
                 sig.append(got)
-                cls.append(np.full(len(got), class_of(s)[0] if len(s) else 0, np.int64))
+                cls.append(np.full(len(got), c, np.int64))
                 size += len(got)
                 if size > 1 << 18:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64)), pa.array(np.concatenate(cls))], names=["sig", "c"])
+                    yield send()
                     sig, cls, size = [], [], 0
-            if sig:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64)), pa.array(np.concatenate(cls))], names=["sig", "c"])
+            if size:
+                yield send()
+
+    return docs.mapInArrow(run, "sig long, salt byte, c long")
+
+
+def frequent_signatures(rows: DataFrame, n: int, seed: int, join: Join) -> np.ndarray:
+    """Signatures that a share of FREQUENT of a bounded sample of rows has: at most 1 / FREQUENT times those of a row."""
+    some = rows.sample(min(1.0, SAMPLE_ROWS / max(1, n)), seed=1)
+
+    def run(batches):
+        for batch in batches:
+            for s in sets_of(batch.column(2).to_pylist(), seed, join.words):
+                yield pa.RecordBatch.from_arrays([pa.array(signatures(s, join).view(np.int64))], names=["sig"])
+
+    often = some.mapInArrow(run, "sig long").groupBy("sig").agg(F.count("*").alias("n")).where(F.col("n") >= max(4, SAMPLE_ROWS * FREQUENT))
+    return np.sort(often.select("sig").toArrow()["sig"].to_numpy())
+
 
-    return docs.mapInArrow(run, "sig long, c long")
+def shared_signatures(rows: DataFrame, seed: int, join: Join, frequent: np.ndarray) -> DataFrame:
+    """(sig, c, m) of signatures that several classes have, each once; m is the least class of the signature, among those of its salt."""
+    each = Window.partitionBy("sig", "salt")
+    hits = scan_signatures(rows, seed, join, frequent).withColumn("before", F.lag("c").over(each.orderBy("c"))).where("before is null or before <> c")
+    hits = hits.withColumns({"m": F.min("c").over(each), "top": F.max("c").over(each)})
+    return hits.where("m <> top or salt > 0").select("sig", "c", "m")
 
 
 def scan_shingles(docs: DataFrame, seed: int, join: Join) -> DataFrame:
@@ -191,13 +246,16 @@ def linked(pairs: DataFrame, shingle_sets: DataFrame, join: Join) -> DataFrame:
     return both.where(f"100L * i >= {join.percent}L * (size(su) + size(sv) - i)").select("u", "v")
 
 
-def shingles_for(pairs: DataFrame, classes: DataFrame, rows: DataFrame, seed: int, join: Join) -> DataFrame:
-    """(c, s) of the classes in pairs, from a row of each, stored."""
+def verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, seed: int, join: Join) -> DataFrame:
+    """The pairs (u, v) that link, stored; shingles are read from a row of each class in pairs."""
     compared = pairs.select(F.col("u").alias("c")).union(pairs.select("v")).distinct()
     wanted = stored(classes.join(compared, "c", "left_semi").select(F.col("rep").alias("id_"), F.col("rep_x").alias("x_")), "compared")
     few = wanted.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
     found = rows.join(F.broadcast(wanted) if few else wanted, F.col("id").eqNullSafe(F.col("id_")) & (F.col("x") == F.col("x_")), "left_semi")
-    return stored(scan_shingles(found, seed, join).dropDuplicates(["c"]), "shingles")
+    sets = stored(scan_shingles(found, seed, join).dropDuplicates(["c"]), "shingles")
+    out = stored(linked(pairs, sets, join), "links")
+    forget(wanted, sets)
+    return out
 
 
 def text_hash(text: str):
@@ -213,15 +271,20 @@ def members(docs: DataFrame, key: str, text: str, join: Join) -> tuple[DataFrame
         classes = stored(sets.where("n > 0").groupBy("c").agg(F.min("id").alias("rep"), F.coalesce(F.min_by("x", "id"), F.min("x")).alias("rep_x"), (F.min("d") != F.max("d")).alias("mixed"), *[F.max(x).alias(x) for x in FACTS]), "classes")
         if classes.where("mixed").isEmpty():
             break
+    sizes = sets.where("n > 0").groupBy("n").agg(F.countDistinct("c").alias("sets")).collect()  # a row for each distinct size
+    join.allocate([tuple(r) for r in sizes])
     facts, classes = classes.select("c", *FACTS), classes.select("c", "rep", "rep_x")
     facts_of = lambda side: facts.select(F.col("c").alias(side), *[F.col(x).alias(f"{x}_{side}") for x in FACTS])
-    hits = scan_signatures(rows, seed, join)
-    live = hits.groupBy("sig").agg(F.min("c").alias("m"), F.max("c").alias("x")).where("m <> x").select("sig", "m")
-    buckets = stored(scan_signatures(rows, seed, join).join(live, "sig").distinct(), "buckets")
-    first = buckets.where("c <> m").select(F.col("c").alias("u"), F.col("m").alias("v")).distinct()
-    first = stored(first.join(facts_of("u"), "u").join(facts_of("v"), "v").where(join.may_link("_u", "_v")).select("u", "v"), "pairs")
-    links = stored(linked(first, shingles_for(first, classes, rows, seed, join), join), "links")
+    frequent = frequent_signatures(rows, sets.count(), seed, join)
+    buckets = stored(shared_signatures(rows, seed, join, frequent), "buckets")
+    near = buckets.where("c <> m").select(F.col("c").alias("u"), F.col("m").alias("v"))
+    if len(frequent):
+        least = buckets.groupBy("sig").agg(F.min("m").alias("v"), F.max("m").alias("x")).where("v <> x").select("sig", "v")
+        near = near.union(buckets.select("sig", F.col("m").alias("u")).distinct().join(least, "sig").where("u <> v").select("u", "v"))
+    first = stored(near.distinct().join(facts_of("u"), "u").join(facts_of("v"), "v").where(join.may_link("_u", "_v")).select("u", "v"), "pairs")
+    links = verified(first, classes, rows, seed, join)
     known = components(links)
+    forget(first)
     for hubs in (True, False):
         # buckets that still hold several components: compare with the class of most links, then across components
         placed = stored(buckets.join(known.withColumnRenamed("id", "c"), "c", "left").select("sig", "c", F.coalesce("component", "c").alias("component")), "placed")
@@ -239,10 +302,16 @@ def members(docs: DataFrame, key: str, text: str, join: Join) -> tuple[DataFrame
         more = left.join(right, (F.col("sig") == F.col("sig_")) & apart & join.may_link("_u", "_v")).select("u", "v").distinct()
         more = stored(more.join(links, ["u", "v"], "left_anti"), "pairs")
         if not more.isEmpty():
-            links = stored(links.union(linked(more, shingles_for(more, classes, rows, seed, join), join)), "links")
+            had, new = links, verified(more, classes, rows, seed, join)
+            links = stored(had.union(new), "links")
+            forget(had, new)
             known = components(links)
+        del several, left, right
+        forget(placed, more)
     least = classes.join(known.withColumnRenamed("id", "c"), "c", "left").select("c", "rep", F.coalesce("component", "c").alias("component"))
-    return sets.select("id", "x", "n", "c"), stored(least, "placed")
+    least = stored(least, "placed")
+    forget(buckets, links)
+    return sets.select("id", "x", "n", "c"), least
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, percent: int = 90) -> DataFrame:
