@@ -1,12 +1,14 @@
 """Exact top-k search as a Voronoi kNN join for integer inner products.
 
 Vectors become integers, floor(64 * x). Pivots, a bounded sample, divide all rows
-into cells; summaries of the cells (size, radius, distances of the members next
-to the pivot) bound the scores between a group of queries and a cell. A cell goes
-to a query group only if its upper bound reaches the group's lower bound of the
-k-th score. Groups and cells are cut into blocks of bounded size, so that a
-common vector or a crowded cell is spread over tasks; each pair of blocks is
-solved exactly, and the best k of all blocks are kept.
+into cells. First each query is solved in its own cell, which gives a lower bound
+of its k-th score. Summaries of the other cells (radius about the pivot, longest
+vector) bound the query's scores there from above: with pivot p and radius r no
+member scores more than q.p + |q| r, nor more than |q| times the longest. Only the
+cells that reach the lower bound are asked. Queries that need a cell are cut into blocks, and so is the
+cell, so a common vector or a crowded cell is spread over tasks, and a row of a cell
+is sent once for each block of queries that need it, not for each query or group. Each pair of
+blocks is solved exactly, and the best k of all blocks are kept.
 
 Vectors that are null or hold null or non-finite components take no part, nor do
 rows without an id. Shorter vectors count as padded with zeros. Rows that share an
@@ -76,22 +78,14 @@ def solve(k: int):
     return run
 
 
-def necessary(pivots: np.ndarray, cells: dict[int, tuple[int, float, list[float]]], groups: dict[int, tuple[int, float]], k: int) -> list[tuple[int, int]]:
-    """Pairs (query group, cell) that bounds from summaries cannot rule out."""
-    if not cells or not groups:
-        return []
-    norm = np.sqrt((pivots**2).sum(1))
-    names = sorted(cells)
-    radius = np.array([cells[s][1] for s in names])
-    out = []
-    for g, (_, reach) in groups.items():
-        cross = pivots[names] @ pivots[g]
-        slack = 1e-6 + 1e-9 * (np.abs(cross) + (norm[g] + reach + 1) * (norm[names] + radius + 1))
-        upper = cross + norm[g] * radius + reach * norm[names] + reach * radius + slack
-        near = np.concatenate([cross[i] - slack[i] - reach * norm[s] - (norm[g] + reach) * np.array(cells[s][2]) for i, s in enumerate(names)])
-        # one more than k, as a query may be among the members
-        least = np.sort(near)[-(k + 1)] if len(near) > k else -math.inf
-        out += [(g, names[i]) for i in np.flatnonzero(upper >= least).tolist()]
+def needed(q: np.ndarray, own: np.ndarray, least: np.ndarray, pivots: np.ndarray, radius: np.ndarray, longest: np.ndarray) -> np.ndarray:
+    """Which cells each query must ask: all but its own whose upper bound reaches the query's lower bound. Cells without rows have radius -inf."""
+    norm = np.sqrt((q**2).sum(1))[:, None]
+    cross = q @ pivots.T
+    reach = np.maximum(radius, 0)
+    slack = 1e-6 + 1e-9 * (np.abs(cross) + norm * (reach + 1) + norm * longest)
+    out = (np.minimum(cross + norm * reach, norm * longest) + slack >= least[:, None]) & (radius >= 0)
+    out[np.arange(len(q)), own] = False
     return out
 
 
@@ -116,22 +110,38 @@ def top_k(vectors: DataFrame, k: int = 20, key: str = "vec_id", column: str = "e
 
     placed = stored(rows.mapInArrow(assign, "id long, v array<long>, cell int, away double"), "cells")
     is_query = F.col("id") % query_every == 0
-    nearest = placed.select("cell", "away", F.row_number().over(Window.partitionBy("cell").orderBy("away")).alias("r")).where(F.col("r") <= k + 1)
-    close: dict[int, list[float]] = {}
-    for r in nearest.collect():
-        close.setdefault(r["cell"], []).append(r["away"])
-    summary = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius"), F.count_if(is_query).alias("nq"), F.max(F.when(is_query, F.col("away"))).alias("reach")).collect()
-    cells = {r["cell"]: (r["n"], r["radius"], close[r["cell"]]) for r in summary}
-    groups = {r["cell"]: (r["nq"], r["reach"]) for r in summary if r["nq"]}
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double")))
+    summary = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius"), F.max(norm).alias("longest"), F.count_if(is_query).alias("nq")).collect()
+    size = {r["cell"]: r["n"] for r in summary}
+    radius, longest = np.full(len(chosen), -np.inf), np.zeros(len(chosen))
+    for r in summary:
+        radius[r["cell"]], longest[r["cell"]] = r["radius"], r["longest"]
     blocks = lambda count, size: -(-count // size)
-    pairs = [(g, s, blocks(groups[g][0], QUERY_BLOCK), blocks(cells[s][0], DATA_BLOCK)) for g, s in necessary(pivots, cells, groups, k)]
-    # at most MAX_PIVOTS squared rows
-    plan = F.broadcast(spark.createDataFrame(pairs, "g int, s int, nq int, nd int"))
     part = lambda count: F.pmod(F.xxhash64("id"), F.col(count)).cast("int")
-    asks = placed.where(is_query).join(plan, F.col("cell") == F.col("g")).select("id", "v", "g", part("nq").alias("qb"), "s", F.explode(F.sequence(F.lit(0), F.col("nd") - 1)).alias("db"))
-    data = placed.join(plan, F.col("cell") == F.col("s")).select("id", "v", "g", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qb"), "s", part("nd").alias("db"))
-    data = data.select([F.col(c).alias(f"{c}_") for c in data.columns]).toDF(*data.columns)
-    by = ["g", "qb", "s", "db"]
-    found = asks.groupBy(*by).cogroup(data.groupBy(*by)).applyInArrow(solve(k), "query_id long, vec_id long, score long")
+
+    def solved(asks: DataFrame, asked: dict[int, int]) -> DataFrame:
+        """Best k of each block for asks (id, v, s: cell); asked: queries of each cell."""
+        plan = spark.createDataFrame([(s, blocks(n, QUERY_BLOCK), blocks(size[s], DATA_BLOCK)) for s, n in asked.items()], "s int, nq int, nd int")  # a row for each pivot at most
+        ask = asks.join(F.broadcast(plan), "s").select("id", "v", "s", part("nq").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("nd") - 1)).alias("db"))
+        data = placed.join(F.broadcast(plan), F.col("cell") == F.col("s")).select("id", "v", "s", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qb"), part("nd").alias("db"))
+        data = data.select([F.col(c).alias(f"{c}_") for c in data.columns]).toDF(*data.columns)
+        by = ["s", "qb", "db"]
+        return ask.groupBy(*by).cogroup(data.groupBy(*by)).applyInArrow(solve(k), "query_id long, vec_id long, score long").distinct()
+
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
-    return found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = lambda df: df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    queries = placed.where(is_query)
+    first = stored(best(solved(queries.select("id", "v", F.col("cell").alias("s")), {r["cell"]: r["nq"] for r in summary if r["nq"]})).select("query_id", "vec_id", "score"), "first")
+    bound = first.groupBy("query_id").agg(F.count("*").alias("found"), F.min("score").alias("least")).where(F.col("found") >= k).select("query_id", "least")
+
+    def choose(batches):
+        for batch in batches:
+            q = matrix(batch.column(1)).astype(float)
+            least = batch.column(3).cast(pa.float64()).fill_null(-np.inf).to_numpy(zero_copy_only=False)
+            at, cell = np.nonzero(needed(q, batch.column(2).to_numpy(), least, pivots, radius, longest))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(cell.astype(np.int32))], names=["id", "v", "s"])
+
+    rest = stored(queries.join(bound, F.col("id") == F.col("query_id"), "left").select("id", "v", "cell", "least").mapInArrow(choose, "id long, v array<long>, s int"), "asks")
+    asked = {r["s"]: r["n"] for r in rest.groupBy("s").agg(F.count("*").alias("n")).collect()}
+    found = first.union(solved(rest, asked)).distinct() if asked else first
+    return best(found).select("query_id", "rank", "vec_id", "score")
