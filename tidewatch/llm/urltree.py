@@ -7,18 +7,21 @@ rule gives the verdict.
 
 Other urls are judged by the tree. Per host, paths are cut into segments; a
 segment of digits, of hexadecimal digits or with digits inside becomes a typed
-wildcard, and so does any segment below a node with more than MAX_BRANCHES
-different ones. Sibling branches whose share of blocked labels does not differ
-from that of their siblings together, by a two-proportion test, are merged into
-one wildcard; branches that differ stay. A template is rejected if its smoothed
-share of blocked labels reaches PURITY. Labels are the urls that a rule judges
-(or a column of the caller's).
+wildcard. Sibling branches are merged into one wildcard if they are statistically
+similar: by a two-proportion test of their share of blocked labels against that of
+their siblings together, where both have labels, and by a chi-squared test of what
+comes next in the path (number, hexadecimal, word or end). Branches that differ
+stay apart. So a branch without labels takes part in what its like siblings' labels say. A template is
+rejected if its smoothed share of blocked labels reaches PURITY; the prior weighs
+WEIGHT labels and a share UNLABELLED of the template's pages without one, so few labels
+do not decide for many pages. Labels are the urls that a rule judges (or a column of the caller's).
 
 Everything is aggregated by (host, path of typed segments) before it is shuffled,
 so a host with a third of all pages costs no task more than its distinct paths.
 Null urls and urls without `://` have an empty host and path; no rule fits them
 and the tree allows them. Repeated rows get equal verdicts. Extra columns are
-ignored; a url of any length is handled, segments after DEPTH count as one.
+ignored; a url of any length is handled, and segments from the depth-th on are one
+segment of the tree (a parameter, DEPTH unless given). Without rows there is no result.
 """
 
 from __future__ import annotations
@@ -26,16 +29,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import stored
+from tidewatch.llm.common import forget, stored
 
 #: verdict, host and path of each rule.
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/")]
 DEPTH = 6
-MAX_BRANCHES = 50
 #: Prior of a blocked label and its weight, and the smoothed share from which a template is rejected.
-PRIOR, WEIGHT, PURITY = 0.2, 4.0, 0.8
-#: Two-proportion z beyond which a branch is kept apart.
-Z_APART = 2.58
+PRIOR, WEIGHT, UNLABELLED, PURITY = 0.2, 4.0, 0.1, 0.8
+#: Two-proportion z, and chi-squared of the next segments' shapes, beyond which a branch is kept apart (99 % and 99.9 %).
+Z_APART, CHI_APART = 2.58, 16.27
+SHAPES = ["number", "hexadecimal", "word", "end"]
 
 
 def host_of(url: Column) -> Column:
@@ -70,48 +73,58 @@ def typed(segment: Column) -> Column:
     )
 
 
-def segments_of(path: Column) -> Column:
-    """Typed segments, DEPTH at most; a slash at the end is a segment of its own."""
-    parts = F.transform(F.slice(F.split(F.substring(path, 2, 1 << 30), "/", DEPTH), 1, DEPTH), typed)
+def segments_of(path: Column, depth: int) -> Column:
+    """Typed segments, depth at most; a slash at the end is a segment of its own."""
+    parts = F.transform(F.slice(F.split(F.substring(path, 2, 1 << 30), "/", depth), 1, depth), typed)
     return F.when(path == "", F.array().cast("array<string>")).otherwise(parts)
 
 
+def shape(segment: Column) -> Column:
+    return F.when(segment.isNull(), "end").when(segment == "{n}", "number").when(segment == "{h}", "hexadecimal").otherwise("word")
+
+
 def templates(paths: DataFrame) -> DataFrame:
-    """(host, segs, bad, good) to (host, segs, template): from the root down, branches are kept or merged.
+    """(host, segs, n, bad, good) to (..., template): from the root down, branches are kept or merged.
 
     A node's statistics are aggregates of partial aggregates; the kept branches of a
     level are joined back by (host, template so far, segment).
     """
     now = stored(paths.withColumn("template", F.lit("")), "paths")
+    counts = ["bad", "good", *SHAPES]
     for level in range(now.agg(F.max(F.size("segs"))).first()[0] or 0):
-        seg = F.get("segs", F.lit(level))
-        here = now.where(seg.isNotNull()).groupBy("host", "template", seg.alias("seg")).agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-        nodes = here.groupBy("host", "template").agg(F.count("*").alias("branches"), F.sum("bad").alias("all_bad"), F.sum("good").alias("all_good"))
-        labelled, others = F.col("bad") + F.col("good"), F.col("all_bad") + F.col("all_good") - F.col("bad") - F.col("good")
+        seg, then = F.get("segs", F.lit(level)), shape(F.get("segs", F.lit(level + 1)))
+        here = now.where(seg.isNotNull()).groupBy("host", "template", seg.alias("seg")).agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), *[F.sum(F.when(then == x, F.col("n")).otherwise(0)).alias(x) for x in SHAPES])
+        nodes = here.groupBy("host", "template").agg(F.count("*").alias("branches"), *[F.sum(c).alias(f"all_{c}") for c in counts])
+        total = lambda names, prefix="": sum((F.col(f"{prefix}{x}") for x in names[1:]), F.col(f"{prefix}{names[0]}"))
+        labelled, pages = total(["bad", "good"]), total(SHAPES)
+        others, other_pages = total(["bad", "good"], "all_") - labelled, total(SHAPES, "all_") - pages
         pooled = F.try_divide(F.col("all_bad"), F.col("all_bad") + F.col("all_good"))
         apart_by = F.abs(F.try_divide(F.col("bad"), labelled) - F.try_divide(F.col("all_bad") - F.col("bad"), others))
         spread = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1), labelled) + F.try_divide(F.lit(1), others)))
-        z = F.try_divide(apart_by, spread)
-        # unlike its siblings; labels on one side only tell nothing of the other, and the branch stays, as does one of few
-        apart = F.when((labelled > 0) & (others > 0), F.coalesce(z > Z_APART, F.lit(False))).otherwise(F.col("branches") <= MAX_BRANCHES)
-        kept = here.join(nodes, ["host", "template"]).where(apart | (F.col("branches") == 1)).select(F.col("host").alias("at_host"), F.col("template").alias("at"), F.col("seg").alias("kept"))
+        unlike_labels = F.coalesce(F.try_divide(apart_by, spread) > Z_APART, F.lit(False))
+        cells = [F.coalesce(F.try_divide(F.pow(F.col(x) * other_pages - (F.col(f"all_{x}") - F.col(x)) * pages, F.lit(2)), pages * other_pages * F.col(f"all_{x}")), F.lit(0.0)) for x in SHAPES]
+        unlike_shape = sum(cells[1:], cells[0]) > CHI_APART
+        kept = here.join(nodes, ["host", "template"]).where(unlike_labels | unlike_shape | (F.col("branches") == 1)).select(F.col("host").alias("at_host"), F.col("template").alias("at"), F.col("seg").alias("kept"))
         step = now.join(kept, (F.col("host") == F.col("at_host")) & (F.col("template") == F.col("at")) & (seg == F.col("kept")), "left")
         name = F.when(seg.isNull(), F.col("template")).otherwise(F.concat(F.col("template"), F.lit("/"), F.coalesce("kept", F.when(seg.startswith("{"), seg).otherwise("*"))))
-        now = stored(step.withColumn("template", name).select("host", "segs", "bad", "good", "template"), "paths")
+        had, now = now, stored(step.withColumn("template", name).select("host", "segs", "n", "bad", "good", "template"), "paths")
+        forget(had)
     return now
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, key: str = "page_id", url: str = "url", label: str | None = None) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, key: str = "page_id", url: str = "url", label: str | None = None, depth: int = DEPTH) -> DataFrame:
     """key, host, path, rule, verdict, template and purity of every row. label: a column with `block` or `allow`, else the rules' verdicts."""
-    rows = pages.select(F.col(key), F.col(url).cast("string").alias("__url"), (F.col(label) if label else F.lit(None)).cast("string").alias("__label"))
-    rows = rows.select(key, "__label", host_of(F.col("__url")).alias("host"), path_of(F.col("__url")).alias("path")).na.fill("", ["host", "path"])
+    rows = pages.select(F.col(key).alias("__key"), F.col(url).cast("string").alias("__url"), (F.col(label) if label else F.lit(None)).cast("string").alias("__label"))
+    rows = rows.select("__key", "__label", host_of(F.col("__url")).alias("host"), path_of(F.col("__url")).alias("path")).na.fill("", ["host", "path"])
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumns({"rule": rule, "ruled": verdict, "segs": segments_of(F.col("path"))})
+    rows = rows.withColumns({"rule": rule, "ruled": verdict, "segs": segments_of(F.col("path"), depth)})
     said = F.coalesce("__label", "ruled")
-    paths = rows.groupBy("host", "segs").agg(F.count_if(said == "block").alias("bad"), F.count_if(said == "allow").alias("good"))
+    paths = rows.groupBy("host", "segs").agg(F.count("*").alias("n"), F.count_if(said == "block").alias("bad"), F.count_if(said == "allow").alias("good"))
     tree = templates(paths)
-    pure = tree.groupBy("host", "template").agg(((F.sum("bad") + PRIOR * WEIGHT) / (F.sum("bad") + F.sum("good") + WEIGHT)).alias("purity"))
+    labelled = F.sum("bad") + F.sum("good")
+    weight = WEIGHT + UNLABELLED * (F.sum("n") - labelled)
+    pure = tree.groupBy("host", "template").agg(((F.sum("bad") + PRIOR * weight) / (labelled + weight)).alias("purity"))
     known = tree.select("host", "segs", "template").join(pure, ["host", "template"]).select(F.col("host").alias("h"), F.col("segs").alias("s"), "template", "purity")
     out = rows.join(known, (F.col("host") == F.col("h")) & (F.col("segs") == F.col("s")), "left")
     by_tree = F.when((F.col("host") != "") & (F.col("purity") >= PURITY), "block").otherwise("allow")
-    return out.select(key, "host", "path", "rule", F.coalesce("ruled", by_tree).alias("verdict"), "template", F.round("purity", 6).alias("purity"))
+    return out.select(F.col("__key").alias(key), "host", "path", "rule", F.coalesce("ruled", by_tree).alias("verdict"), "template", F.round("purity", 6).alias("purity"))
