@@ -2,14 +2,17 @@
 
 Features are the distinct hashed words of a text. P(grade <= k) is the logistic
 function of cut_k - w.x: one weight vector shared by ordered cuts. Fitting draws a
-bounded sample of graded rows by a hash of the id, keeps the buckets whose share
-of texts is clearly higher in the highest grade, and descends the likelihood, with
-weights of 0 or more, so that neutral words never outweigh toxic ones; scoring reads whole texts in Spark tasks and yields the expected grade.
+bounded sample of graded rows, an equal part of each grade as far as there are so
+many, so that rare grades are learnt from; each row weighs what its grade's part
+stands for. It keeps the buckets whose share of texts is clearly higher above one of the cuts
+than below it, and descends the likelihood. Weights are held at floor or more (0 unless given), so that
+many neutral words never outweigh a few toxic ones; floor None lets them have either sign. Scoring reads whole texts
+in Spark tasks and yields the expected grade.
 
 Null and empty texts have no features and get the base severity. Rows without a
 grade are not learned from; without any graded rows, or with one grade only, the
 severity is that grade, or 0. Repeated rows get equal results and extra columns
-are ignored.
+are ignored. Very long texts are one set of words; without rows there is no result.
 """
 
 from __future__ import annotations
@@ -57,12 +60,13 @@ class OrdinalModel:
         return logistic(total[:, None] - self.cuts[None, :])
 
 
-def fit_sparse(rows: np.ndarray, columns: np.ndarray, grade: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+def fit_sparse(rows: np.ndarray, columns: np.ndarray, grade: np.ndarray, width: int, weight: np.ndarray | None = None, floor: float | None = 0.0) -> tuple[np.ndarray, np.ndarray]:
     """(weights, cuts) by Adam on the penalised likelihood; cuts stay ordered as a first cut and positive gaps."""
     n, levels = len(grade), int(grade.max())
+    weight = np.full(n, 1 / n) if weight is None else weight / weight.sum()
     w = np.zeros(width)
     # params: first cut, logarithms of the gaps
-    share = np.clip([(grade <= k).mean() for k in range(levels)], 1e-4, 1 - 1e-4)
+    share = np.clip([weight[grade <= k].sum() for k in range(levels)], 1e-4, 1 - 1e-4)
     start = np.log(share / (1 - share))
     c = np.concatenate([start[:1], np.log(np.maximum(np.diff(start), 1e-2))])
     m = [np.zeros(width), np.zeros(levels)]
@@ -75,24 +79,43 @@ def fit_sparse(rows: np.ndarray, columns: np.ndarray, grade: np.ndarray, width:
         at = np.arange(n)
         p = np.maximum(edges[at, grade + 1] - edges[at, grade], 1e-12)
         slope = edges * (1 - edges)
-        g_eta = (slope[at, grade + 1] - slope[at, grade]) / p / n
-        g_cut = np.array([(np.where(grade == k, slope[:, k + 1], 0) - np.where(grade == k + 1, slope[:, k + 1], 0)) @ (-1 / p) / n for k in range(levels)])
+        g_eta = (slope[at, grade + 1] - slope[at, grade]) / p * weight
+        g_cut = np.array([(np.where(grade == k, slope[:, k + 1], 0) - np.where(grade == k + 1, slope[:, k + 1], 0)) @ (-weight / p) for k in range(levels)])
         tail = np.cumsum(g_cut[::-1])[::-1]
         grads = [np.bincount(columns, g_eta[rows], width) + DECAY * w, np.concatenate([tail[:1], tail[1:] * gaps])]
         for k, (x, g) in enumerate(zip((w, c), grads)):
             m[k] = 0.9 * m[k] + 0.1 * g
             v[k] = 0.999 * v[k] + 0.001 * g * g
             x -= RATE * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
-        np.maximum(w, 0, out=w)  # evidence only raises the grade
+        if floor is not None:
+            np.maximum(w, floor, out=w)
     return w, c[0] + np.concatenate([[0.0], np.cumsum(np.exp(np.clip(c[1:], -10, 10)))])
 
 
-def fit(rows: DataFrame, grade: Column, text: str = "text", key: str = "doc_id", fit_rows: int = FIT_ROWS) -> OrdinalModel:
+def contrast(buckets: np.ndarray, row: np.ndarray, upper: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """By bucket: how many standard errors its share of the upper texts is above that of the others."""
+    shares, n = [], []
+    for side in (upper, ~upper):
+        w = np.where(side, weight, 0)
+        shares.append(np.bincount(buckets, w[row], BUCKETS) / max(w.sum(), 1e-12))
+        n.append(max(1, side.sum()))
+    pooled = (shares[0] * n[0] + shares[1] * n[1]) / sum(n)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        z = (shares[0] - shares[1]) / np.sqrt(pooled * (1 - pooled) * (1 / n[0] + 1 / n[1]))
+    z[~np.isfinite(z)] = 0
+    return z
+
+
+def fit(rows: DataFrame, grade: Column, text: str = "text", key: str = "doc_id", fit_rows: int = FIT_ROWS, floor: float | None = 0.0) -> OrdinalModel:
     """Fit on about fit_rows of the rows whose grade (0, 1, ...) is not null."""
     graded = rows.select(F.col(key).cast("string").alias("k"), grade.cast("int").alias("y"), F.col(text).alias("t")).where("y is not null")
-    n = graded.select("y").count()
-    if n > fit_rows:
-        graded = graded.where(F.pmod(F.xxhash64("k", F.lit("toxicity")), F.lit(1 << 20)) < int((1 << 20) * fit_rows / n))
+    there = dict(graded.groupBy("y").count().collect())
+    part, left = {}, fit_rows
+    for k, (y, n) in enumerate(sorted(there.items(), key=lambda x: x[1])):  # rarest first: what it leaves goes to the others
+        part[y] = min(1.0, left / (len(there) - k) / n)
+        left -= part[y] * n
+    draw = F.pmod(F.xxhash64("k", F.lit("toxicity")), F.lit(1 << 20))
+    graded = graded.where(F.coalesce(*[F.when(F.col("y") == y, draw < int((1 << 20) * p)) for y, p in part.items()], F.lit(True)))
 
     def features(batches):
         for batch in batches:
@@ -109,19 +132,18 @@ def fit(rows: DataFrame, grade: Column, text: str = "text", key: str = "doc_id",
         return OrdinalModel(none, none.astype(float), np.where(np.arange(max(1, y[0])) < y[0], -np.inf, np.inf))
     x = sample["x"].combine_chunks()
     buckets, row = x.flatten().to_numpy(), np.repeat(np.arange(len(y)), np.diff(x.offsets.to_numpy()))
-    top = y == y.max()
-    hit, n1, n0 = top[row], top.sum(), (~top).sum()
-    b1, b0 = np.bincount(buckets[hit], minlength=BUCKETS), np.bincount(buckets[~hit], minlength=BUCKETS)
-    pooled = (b1 + b0) / (n1 + n0)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        z = (b1 / max(1, n1) - b0 / max(1, n0)) / np.sqrt(pooled * (1 - pooled) * (1 / max(1, n1) + 1 / max(1, n0)))
-    z[(b1 + b0 < MIN_TEXTS) | ~np.isfinite(z)] = 0
-    chosen = np.argsort(-z, kind="stable")[:MAX_FEATURES]
-    chosen = np.sort(chosen[z[chosen] >= MIN_Z])
+    weight = np.array([1 / part[g] for g in y.tolist()])
+    best, texts = np.zeros(BUCKETS), np.bincount(buckets, minlength=BUCKETS)
+    for cut in range(y.max()):
+        z = contrast(buckets, row, y > cut, weight)
+        best = np.where(np.abs(z) > np.abs(best), z, best) if floor is None else np.maximum(best, z)
+    best[texts < MIN_TEXTS] = 0
+    chosen = np.argsort(-np.abs(best), kind="stable")[:MAX_FEATURES]
+    chosen = np.sort(chosen[np.abs(best[chosen]) >= MIN_Z])
     place = np.full(BUCKETS, -1, np.int64)
     place[chosen] = np.arange(len(chosen))
     column = place[buckets]
-    weights, cuts = fit_sparse(row[column >= 0], column[column >= 0], y, len(chosen))
+    weights, cuts = fit_sparse(row[column >= 0], column[column >= 0], y, len(chosen), weight, floor)
     return OrdinalModel(chosen, weights, cuts)
 
 
@@ -134,4 +156,4 @@ def score(docs: DataFrame, model: OrdinalModel, text: str = "text", key: str = "
             above = shipped.value.above(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(above.sum(1)), pa.array((above >= 0.5).sum(1).astype(np.int32)), pa.array(above[:, -1] >= toxic_from)], names=[key, "severity", "grade", "toxic"])
 
-    return docs.select(key, F.col(text).cast("string").alias("t")).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, severity double, grade int, toxic boolean")
+    return docs.select(F.col(key), F.col(text).cast("string").alias("__text")).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, severity double, grade int, toxic boolean")
