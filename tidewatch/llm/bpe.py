@@ -5,7 +5,7 @@ that is a vocabulary entry. A pre-token that is none is merged by a heap of
 ranked pairs over a linked list of its bytes. Distinct pre-tokens of a chunk are
 resolved once; a bounded memo keeps merged misses between chunks.
 
-Null text counts as empty text: no ids. Empty text has no ids. Texts of any
+Null text counts as empty text: no ids. Empty text has no ids; without rows there is no result. Texts of any
 length are handled in pieces of pre-tokens, so memory does not grow with them.
 Rows are independent: repeated rows and repeated ids give repeated results.
 Extra columns of the input are ignored.
@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import unicodedata
 from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
@@ -24,6 +25,7 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,13 +108,44 @@ def latin_pattern(pattern: str) -> re.Pattern | None:
     return re.compile("".join(out))
 
 
+def other_classes(pattern: str) -> tuple[str, str] | None:
+    """(expression for the characters whose classes differ, pattern with those taken out of its classes); None if there are none.
+
+    The regex package follows a later version of Unicode than tiktoken: characters
+    that are letters or numbers here but were not assigned there. tiktoken itself is
+    asked, about the characters that this Python's own tables do not know.
+    """
+    later = [c for c in map(chr, range(0x110000)) if unicodedata.category(c) == "Cn"]
+    out, found = pattern, set()
+    for name in (r"\p{L}", r"\p{N}"):
+        here = regex.compile(name)
+        asked = tiktoken.Encoding("class", pat_str=name, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+        differ = [c for c in later if here.match(c) and not asked.encode_ordinary(c)]
+        if differ and name in pattern:
+            found.update(differ)
+            out = out.replace(name, f"[{name}--[{ranges(differ)}]]")
+    return (f"[{ranges(sorted(found))}]", out) if found else None
+
+
+def ranges(chars: list[str]) -> str:
+    """Sorted characters as ranges of a character class."""
+    out: list[list[int]] = []
+    for c in map(ord, chars):
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
+
+
 class ByteBpe:
     """Encoder and decoder for a table of ranked byte strings."""
 
-    def __init__(self, ranked: list[tuple[bytes, int]], pattern: str):
+    def __init__(self, ranked: list[tuple[bytes, int]], pattern: str, other: tuple[str, str] | None = None):
         self.keys = [k for k, _ in ranked]
         self.hash = PerfectHash(self.keys)
         self.split = regex.compile(pattern)
+        self.other = other and (re.compile(other[0]), regex.compile(other[1], regex.V1))
         self.split_latin = latin_pattern(pattern)
         self.bytes_of = [b""] * (1 + max(r for _, r in ranked))
         for k, r in ranked:
@@ -126,7 +159,13 @@ class ByteBpe:
         self.memo: dict[str, bytes] = {}
 
     def pre_tokens(self, text: str) -> list[str]:
-        return (self.split if self.split_latin is None or BEYOND_LATIN.search(text) else self.split_latin).findall(text)
+        if self.split_latin is not None and not BEYOND_LATIN.search(text):
+            return self.split_latin.findall(text)
+        return self.splitter(text).findall(text)
+
+    def splitter(self, text: str) -> regex.Pattern:
+        """The pattern, with classes as the vocabulary's own library has them where the text needs it."""
+        return self.other[1] if self.other and self.other[0].search(text) else self.split
 
     def merge(self, token: bytes) -> list[int]:
         """Ids of a pre-token that is no vocabulary entry: lowest rank first, leftmost among equals."""
@@ -190,7 +229,7 @@ class ByteBpe:
 
     def digest_long(self, text: str) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids and of the decoded bytes, a piece at a time."""
-        found, n, coded, decoded = (m.group() for m in self.split.finditer(text)), 0, hashlib.sha256(), hashlib.sha256()
+        found, n, coded, decoded = (m.group() for m in self.splitter(text).finditer(text)), 0, hashlib.sha256(), hashlib.sha256()
         while piece := list(islice(found, PIECE_TOKENS)):
             ids, _ = self.encode_tokens(piece)
             n += len(ids)
@@ -229,11 +268,11 @@ def read_ranks(spark: SparkSession, path: str) -> list[tuple[bytes, int]]:
 _BUILT: dict[str, ByteBpe] = {}
 
 
-def built(key: str, ranked: list[tuple[bytes, int]], pattern: str) -> ByteBpe:
+def built(key: str, shipped: tuple, pattern: str) -> ByteBpe:
     """One encoder for a worker process, as long as it lives."""
     if key not in _BUILT:
         _BUILT.clear()
-        _BUILT[key] = ByteBpe(ranked, pattern)
+        _BUILT[key] = ByteBpe(shipped[0], pattern, shipped[1])
     return _BUILT[key]
 
 
@@ -243,7 +282,7 @@ class BpeTokenizer:
     def __init__(self, spark: SparkSession, path: str, pattern: str):
         ranked = read_ranks(spark, path)
         self.key = hashlib.sha256(repr((ranked, pattern)).encode()).hexdigest()
-        self.pattern, self.ranked = pattern, spark.sparkContext.broadcast(ranked)
+        self.pattern, self.ranked = pattern, spark.sparkContext.broadcast((ranked, other_classes(pattern)))
 
     def encode(self, df: DataFrame, text: str = "text", into: str = "ids") -> DataFrame:
         """All columns of df and the ids of column text."""
