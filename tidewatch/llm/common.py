@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 from collections.abc import Iterator
 from weakref import WeakKeyDictionary
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the session has no checkpoint folder, and only in local mode.
@@ -28,25 +26,31 @@ def shared_dir(spark: SparkSession) -> str:
 _PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
+#: Spark drops the shuffle files of an execution when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/tidewatch/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()  # shuffle files of earlier steps that nothing refers to go now
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors, and leaves no shuffle files."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/tidewatch/{name}-{uuid.uuid4().hex}"
+    had = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, had)
+    out = spark.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
     return out
 
 
 def forget(*frames: DataFrame) -> None:
-    """Delete stored tables that no later step reads, and let Spark drop shuffle files that nothing refers to."""
+    """Delete stored tables that no later step reads."""
     for df in frames:
         jvm, path = df.sparkSession.sparkContext._jvm, _PATHS.pop(df)
         place = jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-    gc.collect()
-    frames[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def chunks(texts: list[str | None], limit: int) -> Iterator[tuple[int, int]]:
@@ -60,7 +64,3 @@ def chunks(texts: list[str | None], limit: int) -> Iterator[tuple[int, int]]:
         size += n
     if begin < len(texts):
         yield begin, len(texts)
-
-
-def as_batch(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([columns[f.name] if isinstance(columns[f.name], pa.Array) else pa.array(columns[f.name], f.type) for f in schema], schema=schema)

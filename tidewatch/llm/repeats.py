@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.llm.common import forget, stored
 from tidewatch.llm.hashing import ODD, mix
 
 BASES = [int(ODD[0]), int(ODD[1])]
@@ -162,8 +163,10 @@ def build(rows: DataFrame, keys_of, cells: int, k: int, rounds: int) -> Sketch:
 
     sent = rows.mapInArrow(touched, "piece int, cells binary")
     packed = np.zeros(DEPTH * cells // 4, np.uint8)
-    for row in sent.repartition(min(pieces, 64), "piece").mapInArrow(merged, "piece int, cells binary").toLocalIterator():
+    whole = stored(sent.repartition(min(pieces, 64), "piece").mapInArrow(merged, "piece int, cells binary"), "sketch")
+    for row in whole.toLocalIterator():
         packed[row["piece"] * piece // 4 : (row["piece"] + 1) * piece // 4] = np.frombuffer(row["cells"], np.uint8)
+    forget(whole)
     return Sketch(cells, packed)
 
 

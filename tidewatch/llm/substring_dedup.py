@@ -124,13 +124,17 @@ def opened_windows(rows: DataFrame, opened: DataFrame, window: int) -> DataFrame
 
     def run(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
+            found, row, starts, lone = [np.empty((0, 2), np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, bool)]
+            for i, text in enumerate(batch.column(2).to_pylist()):
                 code, alone = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (3, 4))
                 n = code % window + 1
                 start = np.repeat(code // window, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                h = digests(words_raw(batch.column(2)[i].as_py()), start, start + window)
-                same = pa.array(np.full(len(start), i))
-                yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), batch.column(0).take(same), batch.column(1).take(same), pa.array(start), pa.array(np.repeat(alone, n))], names=["h1", "h2", "id", "x", "start", "alone"])
+                found.append(digests(words_raw(text), start, start + window))
+                row.append(np.full(len(start), i))
+                starts.append(start)
+                lone.append(np.repeat(alone, n))
+            h, same = np.concatenate(found), pa.array(np.concatenate(row))
+            yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), batch.column(0).take(same), batch.column(1).take(same), pa.array(np.concatenate(starts)), pa.array(np.concatenate(lone))], names=["h1", "h2", "id", "x", "start", "alone"])
 
     return both.mapInArrow(run, f"h1 long, h2 long, id {rows.schema['id'].dataType.simpleString()}, x long, start long, alone boolean")
 

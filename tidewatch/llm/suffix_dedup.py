@@ -4,23 +4,23 @@ Each byte that is covered by a WINDOW-byte string which also starts in a row of
 smaller id is removed; strings are judged on the input. Suffixes are compared on
 their first WINDOW bytes, so what is sorted are the strings themselves.
 
-1. Whole copies are settled by digest. Windows with the same anchor (see repeats) that follow each other form a
-   segment. A sketch drops segments whose anchor occurs once. Equal segments (of equal size and 64-bit hash,
-   beside that of the anchor) form a class; those in a row of larger id than the class's least are repeats as a
-   whole. This pre-aggregation takes near copies and common passages.
-2. What is left to decide are the windows of a class's first row if another class
-   has the same anchor. Tasks sort these suffixes into runs, in which equal ones
-   are already settled, and front-code them: a suffix is its common prefix with
-   the one before and the rest.
-3. Runs are cut by splitters from a bounded sample of suffixes and exchanged. For each
-   range a loser tree merges the parts of all runs. It keeps with each suffix the
-   length of the prefix it is known to share with the last winner, and compares
-   only what lies beyond. Suffixes that share all bytes are equal.
+1. Windows with the same anchor (see repeats) that follow each other form a segment, a suffix cut where its
+   last window ends. A sketch drops segments whose anchor occurs once; it never drops one that repeats.
+2. Tasks sort segments into runs, in which equal ones are already settled, and front-code them: a segment is
+   its common prefix with the one before and the rest. Runs are cut by splitters from a bounded sample and
+   exchanged. For each range a loser tree merges the parts of all runs. It keeps with each suffix the length of
+   the prefix it is known to share with the last winner, and compares only what lies beyond. Segments that share
+   all bytes are equal; those in a row of larger id than the least are repeats as a whole.
+3. Windows of unlike segments can be equal too, if the anchor is. The windows of such segments, where they are
+   first seen, go through a sketch of their own and then, as suffixes of WINDOW bytes, through runs, exchange and
+   loser trees again.
+
+Whatever is removed has been found equal byte for byte; hashes only decide what need not be compared.
 
 Null text and texts shorter than a window lose nothing. Repeated rows have equal
 ids, so neither removes the other. Rows without an id take no part and keep
 everything. Rows of equal id and different text are told apart. Extra columns
-are ignored. Long texts are scanned in pieces.
+are ignored. Long texts are scanned in pieces. Without rows there is no result.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,22 +41,18 @@ WINDOW, GRAM = 50, 32
 #: Bytes that are scanned at once.
 PIECE = 1 << 18
 #: Suffixes of a run, of a part that is sent, and of a range, as planned.
-RUN, PART, RANGE = 400_000, 8_192, 200_000
+RUN, PART, RANGE = 200_000, 8_192, 200_000
 #: Rows, and segments of each, that splitters are drawn from.
 SAMPLE_ROWS, SAMPLE_EACH = 2_000, 8
-#: Ids of copies that are sent to every executor; more are joined by a shuffle.
-MAX_BROADCAST_IDS = 1_000_000
-#: What stands for the whole text among removed runs.
-WHOLE = -1
 #: A value for each byte.
 BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64), 1)
 
 
 class Block:
-    """Segments of the pieces of some texts: row, start, n (windows), key (of the anchor)."""
+    """Segments of the pieces of some texts: row, start, n (windows), key (hash of the anchor), offset (of the anchor from the start)."""
 
     def __init__(self, pieces: list[tuple[int, int, bytes]], window: int, gram: int):
-        blob = np.frombuffer(b"".join(p for _, _, p in pieces), np.uint8)
+        blob = self.blob = np.frombuffer(b"".join(p for _, _, p in pieces), np.uint8)
         size = np.array([len(p) for _, _, p in pieces], np.int64)
         begin = np.cumsum(size) - size
         self.values = BYTE_VALUES[blob]
@@ -72,7 +68,7 @@ class Block:
         new = np.ones(len(start), bool)
         new[1:] = (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])
         first = np.flatnonzero(new)
-        self.begin, self.n = start[first], np.diff(np.append(first, len(start)))
+        self.begin, self.n, self.offset = start[first], np.diff(np.append(first, len(start))), anchor[first] - start[first]
         self.key = mix(order[anchor[first]])
         self.row = np.array([r for r, _, _ in pieces], np.int64)[owner[first]]
         self.start = within[first] + np.array([o for _, o, _ in pieces], np.int64)[owner[first]]
@@ -92,117 +88,152 @@ def blocks(texts: list[bytes | None], window: int, gram: int):
         yield Block(held, window, gram)
 
 
-def segments(rows: DataFrame, window: int, gram: int) -> DataFrame:
-    """(k: hash of the anchor, h: of the segment; id, x, start, n) of the segments whose anchor is estimated as repeated, stored."""
-    keys = repeats.total_bytes(rows.select("b")) * 2 / (window - gram + 2)
-    cells, rounds = repeats.plan(keys)
-    id_type = rows.schema["id"].dataType.simpleString()
-    found, sketches = None, []
-    for k in range(rounds):
-        sketch = rows.sparkSession.sparkContext.broadcast(repeats.build(rows.select("b"), lambda texts: (b.key for b in blocks(texts, window, gram)), cells, k, rounds))
-        sketches.append(sketch)
-
-        def scan(batches, sketch=sketch, k=k):
-            for batch in batches:
-                for b in blocks(batch.column(2).to_pylist(), window, gram):
-                    hit = np.flatnonzero(sketch.value.repeated(b.key) & repeats.of_round(b.key, k, rounds))
-                    if not len(hit):
-                        continue
-                    begin, n, row = b.begin[hit], b.n[hit], pa.array(b.row[hit])
-                    h = b.rolling.spans(begin, begin + n + window - 1)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(b.key[hit].view(np.int64)), pa.array(h.view(np.int64)), batch.column(0).take(row), batch.column(1).take(row), pa.array(b.start[hit]), pa.array(n.astype(np.int32))], names=["k", "h", "id", "x", "start", "n"]
-                    )
-
-        part = rows.mapInArrow(scan, f"k long, h long, id {id_type}, x long, start long, n int")
-        found = part if found is None else found.unionByName(part)
-    out = stored(found, "segments")
-    for sketch in sketches:
-        sketch.destroy()
-    return out
+def width_of(window: int, gram: int) -> int:
+    """Bytes of a segment's key: the longest segment, and a byte each for the anchor's offset and the number of windows."""
+    return 2 * window - gram + 2
 
 
-def copies_of(rows: DataFrame, window: int) -> DataFrame:
-    """(id, x) of rows whose whole text, if it is a window at least, is that of a row of smaller id; stored."""
-    digests = rows.where(F.col("id").isNotNull() & (F.octet_length("b") >= window)).select("id", "x", F.md5("b").alias("d"), F.octet_length("b").alias("n"))
-    first = digests.groupBy("d", "n").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select(F.col("d").alias("d_"), F.col("n").alias("n_"), "first")
-    return stored(digests.join(first, (F.col("d") == F.col("d_")) & (F.col("n") == F.col("n_"))).where("id > first").select("id", "x"), "copies")
+def segment_keys(b: Block, hit: np.ndarray, window: int, gram: int) -> np.ndarray:
+    """A row of bytes for each segment: its own, zeros up to the longest, offset and number of windows. Equal rows are equal segments."""
+    longest = 2 * window - gram
+    place = np.arange(longest)
+    inside = place < (b.n[hit] + window - 1)[:, None]
+    out = np.zeros((len(hit), longest + 2), np.uint8)
+    out[:, :longest] = np.where(inside, b.blob[np.minimum(b.begin[hit][:, None] + place, len(b.blob) - 1)], 0)
+    out[:, longest], out[:, longest + 1] = b.offset[hit], b.n[hit]
+    return out
 
 
-def front_coded(keys: list[bytes], ids: list, places: list[list[tuple[int, int]]], window: int) -> dict:
-    table = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, window)
-    shared = np.zeros(len(keys), np.int64)
-    shared[1:] = (table[1:] == table[:-1]).argmin(1)
-    rest = table[np.arange(window) >= shared[:, None]]
-    flat = [p for some in places for p in some]
-    return {"head": keys[0], "size": len(keys), "shared": shared.astype(np.uint8).tobytes(), "rest": rest.tobytes(), "ids": ids, "many": [len(p) for p in places], "xs": [x for x, _ in flat], "starts": [s for _, s in flat]}
+def anchor_of(keys: np.ndarray, gram: int) -> np.ndarray:
+    """Hash of the anchor of each segment, from its key."""
+    at = keys[:, -2].astype(np.int64)[:, None] + np.arange(gram)
+    values = BYTE_VALUES[np.take_along_axis(keys, at, 1)]
+    return mix((values * repeats.powers(0, gram)[0][:gram]).sum(1, dtype=np.uint64)).view(np.int64)
 
 
-def parts_schema(id_type: pa.DataType) -> pa.Schema:
-    return pa.schema([("head", pa.binary()), ("size", pa.int64()), ("shared", pa.binary()), ("rest", pa.binary()), ("ids", pa.list_(id_type)), ("many", pa.list_(pa.int32())), ("xs", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())), ("range", pa.int32())])
+def parts_ddl(id_type: str) -> str:
+    return f"range int, shared binary, rest binary, ids array<{id_type}>, many array<int>, xs array<long>, starts array<long>, ns array<int>"
+
+
+def lists(values, edges: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), values if isinstance(values, pa.Array) else pa.array(values))
+
+
+def blobs(data: np.ndarray, edges: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+class Run:
+    """Keys of one width with their places, sorted once it is full."""
+
+    def __init__(self, width: int, splitters: list[bytes]):
+        self.width, self.edges = width, np.array(splitters, f"S{width}")
+        self.held: list[tuple] = []
+        self.size = 0
+
+    def add(self, keys: np.ndarray, ids: pa.Array, x: pa.Array, start: np.ndarray, n: np.ndarray) -> None:
+        self.held.append((keys, ids, x, start, n))
+        self.size += len(keys)
+
+    def flush(self) -> pa.RecordBatch:
+        """Front-coded parts of a range each, and parts of negative range: places that equal one of smaller id in this run."""
+        keys, start, n = (np.concatenate([h[k] for h in self.held]) for k in (0, 3, 4))
+        ids, x = (pa.concat_arrays([h[k] for h in self.held]) for k in (1, 2))
+        self.held, self.size = [], 0
+        rank = pc.rank(ids, tiebreaker="dense").to_numpy().astype(np.int64)
+        by_id = np.argsort(rank, kind="stable")
+        order = by_id[np.argsort(np.ascontiguousarray(keys[by_id]).view(f"S{self.width}").ravel(), kind="stable")]
+        keys, rank = keys[order], rank[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = (keys[1:] != keys[:-1]).any(1)
+        first, group = np.flatnonzero(new), np.cumsum(new) - 1
+        own = rank == rank[first][group]
+        kept, many, distinct = order[own], np.bincount(group[own], minlength=len(first)), keys[first]
+        # parts: cut where a range ends, and after PART keys
+        upto = np.searchsorted(np.ascontiguousarray(distinct).view(f"S{self.width}").ravel(), self.edges)
+        cut = np.unique(np.concatenate([np.arange(0, len(distinct), PART), upto, [0, len(distinct)]]))
+        shared = np.zeros(len(distinct), np.int64)
+        shared[1:] = (distinct[1:] != distinct[:-1]).argmax(1)
+        shared[cut[:-1]] = 0
+        rest = distinct[np.arange(self.width) >= shared[:, None]]
+        at = lambda sizes: np.concatenate([[0], np.cumsum(sizes)])[cut]
+        none = np.zeros(len(cut), np.int64)
+        coded = [np.searchsorted(upto, cut[:-1], "right").astype(np.int32), blobs(shared.astype(np.uint8), cut), blobs(rest, at(self.width - shared)), lists(ids.take(pa.array(order[first])), cut), lists(many.astype(np.int32), cut), lists(x.take(pa.array(kept)), at(many)), lists(start[kept], at(many)), lists(np.empty(0, np.int32), none)]
+        # settled places: neighbours of a row become one
+        gone = order[~own]
+        gone = gone[np.lexsort((start[gone], x.take(pa.array(gone)).to_numpy(), rank_of(ids, gone)))]
+        gx, gs, gn, gr = x.take(pa.array(gone)).to_numpy(), start[gone], n[gone].astype(np.int64), rank_of(ids, gone)
+        apart = np.ones(len(gone), bool)
+        apart[1:] = (gr[1:] != gr[:-1]) | (gx[1:] != gx[:-1]) | (gs[1:] != gs[:-1] + gn[:-1])
+        lead = np.flatnonzero(apart)
+        total = np.add.reduceat(gn, lead) if len(lead) else np.empty(0, np.int64)
+        cut = np.unique(np.append(np.arange(0, len(lead), PART), len(lead)))
+        none = np.zeros(len(cut), np.int64)
+        where = -1 - (mix(gs[lead][cut[:-1]].astype(np.uint64) + np.uint64(len(lead))) % np.uint64(len(self.edges) + 1)).astype(np.int32)
+        told = [where.astype(np.int32), blobs(np.empty(0, np.uint8), none), blobs(np.empty(0, np.uint8), none), lists(ids.take(pa.array(gone[lead])), cut), lists(np.empty(0, np.int32), none), lists(gx[lead], cut), lists(gs[lead], cut), lists(total.astype(np.int32), cut)]
+        names = ["range", "shared", "rest", "ids", "many", "xs", "starts", "ns"]
+        both = [pa.concat_arrays([a if isinstance(a, pa.Array) else pa.array(a), b if isinstance(b, pa.Array) else pa.array(b)]) for a, b in zip(coded, told)]
+        return pa.RecordBatch.from_arrays(both, names=names)
+
+
+def rank_of(ids: pa.Array, at: np.ndarray) -> np.ndarray:
+    return pc.rank(ids.take(pa.array(at)), tiebreaker="dense").to_numpy().astype(np.int64)
+
+
+def repeated_segments(texts: list[bytes | None], sketch, k: int, rounds: int, window: int, gram: int):
+    """(block, its segments of this round whose anchor is estimated as repeated)."""
+    for b in blocks(texts, window, gram):
+        hit = np.flatnonzero(sketch.value.repeated(b.key) & repeats.of_round(b.key, k, rounds))
+        if len(hit):
+            yield b, hit
+
+
+def segment_runs(rows: DataFrame, window: int, gram: int) -> tuple[DataFrame, list]:
+    """Parts of sorted runs of the segments whose anchor is estimated as repeated, and the sketches, to be destroyed later. rows: id, x, b."""
+    width, id_type = width_of(window, gram), rows.schema["id"].dataType.simpleString()
+    n_rows, n_bytes = rows.agg(F.count("*"), F.sum(F.octet_length("b").cast("long"))).first()
+    keys = (n_bytes or 0) * 2 / (window - gram + 2)
+    cells, rounds = repeats.plan(keys)
+    found, sketches = None, []
+    for k in range(rounds):
+        sketch = rows.sparkSession.sparkContext.broadcast(repeats.build(rows.select("b"), lambda texts: (b.key for b in blocks(texts, window, gram)), cells, k, rounds))
+        sketches.append(sketch)
 
+        def heads(batches, sketch=sketch, k=k):
+            for batch in batches:
+                for b, hit in repeated_segments(batch.column(0).to_pylist(), sketch, k, rounds, window, gram):
+                    some = np.sort(np.random.default_rng(len(hit)).permutation(len(hit))[: SAMPLE_EACH * len(np.unique(b.row[hit]))])
+                    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in segment_keys(b, hit[some], window, gram)], pa.binary())], names=["head"])
 
-def parts_ddl(id_type: str) -> str:
-    return f"head binary, size long, shared binary, rest binary, ids array<{id_type}>, many array<int>, xs array<long>, starts array<long>, range int"
+        splitters = splitters_of(rows.select("b").sample(min(1.0, SAMPLE_ROWS / max(1, n_rows)), seed=1).mapInArrow(heads, "head binary"), keys / rounds)
 
+        def sort(batches, sketch=sketch, k=k, splitters=splitters):
+            run = Run(width, splitters)
+            for batch in batches:
+                for b, hit in repeated_segments(batch.column(2).to_pylist(), sketch, k, rounds, window, gram):
+                    row = pa.array(b.row[hit])
+                    run.add(segment_keys(b, hit, window, gram), batch.column(0).take(row), batch.column(1).take(row), b.start[hit], b.n[hit])
+                    if run.size >= RUN:
+                        yield run.flush()
+            if run.size:
+                yield run.flush()
+
+        part = rows.mapInArrow(sort, parts_ddl(id_type)).withColumn("range", F.col("range") + F.when(F.col("range") < 0, -k << 20).otherwise(k << 20))
+        found = part if found is None else found.unionByName(part)
+    return found, sketches
 
-def runs(rows: DataFrame, window: int, splitters: list[bytes]) -> DataFrame:
-    """Front-coded parts of sorted runs of the windows in column `open` of rows (id, x, b, open: start * window + n), cut where a range ends.
 
-    Column `range` says which. Repeats inside a run are settled: parts of a negative range list their places.
-    """
-    edges = np.array([*splitters, None], object)[:-1]
-
-    def sort(batches):
-        least: dict[bytes, tuple] = {}  # (id, x, start) of each suffix
-        more: dict[bytes, list[tuple[int, int]]] = {}  # further places of that id
-        gone: list[tuple] = []
-
-        def flush(kind):
-            keys = sorted(least)
-            at = [0, *np.searchsorted(np.array([*keys, None], object)[:-1], edges).tolist(), len(keys)]
-            found = []
-            for number, (a, b) in enumerate(zip(at, at[1:])):
-                for c in range(a, b, PART):
-                    part = keys[c : min(b, c + PART)]
-                    had = [least[k] for k in part]
-                    found.append(front_coded(part, [h[0] for h in had], [[h[1:], *more.get(k, ())] for h, k in zip(had, part)] if more else [(h[1:],) for h in had], window) | {"range": number})
-            for a in range(0, len(gone), PART):
-                ids, xs, starts = zip(*gone[a : a + PART])
-                found.append({"size": 0, "ids": ids, "xs": xs, "starts": starts, "range": -1 - xxhash.xxh32_intdigest(str((ids[0], starts[0]))) % (len(edges) + 1)})
-            least.clear(), more.clear(), gone.clear()
-            return pa.RecordBatch.from_pylist(found, parts_schema(kind))
-
-        seen, put = 0, least.setdefault
-        for batch in batches:
-            kind = batch.column(0).type
-            for i, x, text, starts in zip(*(c.to_pylist() for c in batch.columns)):
-                for code in starts:
-                    begin = code // window
-                    for s in range(begin, begin + code % window):
-                        key = text[s : s + window]
-                        had = put(key, (i, x, s))
-                        if had[0] == i:
-                            if had[2] != s or had[1] != x:
-                                more.setdefault(key, []).append((x, s))
-                        elif had[0] < i:
-                            gone.append((i, x, s))
-                        else:
-                            gone.append(had)
-                            gone += [(had[0], *p) for p in more.pop(key, ())]
-                            least[key] = (i, x, s)
-                    seen += code % window
-                    if seen >= RUN:
-                        yield flush(kind)
-                        seen = 0
-        if seen:
-            yield flush(kind)
-
-    return rows.select("id", "x", "b", "open").mapInArrow(sort, parts_ddl(rows.schema["id"].dataType.simpleString()))
+def splitters_of(heads: DataFrame, total: float) -> list[bytes]:
+    """Ends of ranges of about RANGE keys, from a bounded sample of keys."""
+    wanted = int(-(-total // RANGE))
+    if wanted < 2:
+        return []
+    some = sorted(heads.toArrow()["head"].to_pylist())
+    return sorted({some[k * len(some) // wanted] for k in range(1, wanted)}) if some else []
 
 
 class LoserTree:
-    """Merges sorted front-coded runs: pops (bytes shared with the last one, run, index in the run).
+    """Merges sorted front-coded runs.
 
     known[r] is how many bytes the run's next suffix shares with the last suffix that
     beat it; of two that lost to the same winner, the one that shares more is the less.
@@ -250,116 +281,194 @@ class LoserTree:
         known[a] = self.window - ((x ^ y).bit_length() + 7) // 8
         return b, a
 
-    def __iter__(self):
-        known, loser = self.known, self.loser
-        while known[self.best] >= 0:
-            r = self.best
-            yield known[r], r, self.index[r]
-            self._advance(r)
-            node = (r + self.width) >> 1
+    def merged(self, base: list[int], keep: bool) -> tuple[list[int], list[int], list[bytes]]:
+        """(base of the run and index of each suffix, in order; where a new suffix begins; those suffixes, if kept)."""
+        known, loser, index, at, string, coded, width, size = self.known, self.loser, self.index, self.at, self.next, self.coded, self.window, self.width
+        items, new, keys, r = [], [], [], self.best
+        number = int.from_bytes
+        while (n := known[r]) >= 0:
+            i = index[r]
+            if n < width:
+                new.append(len(items))
+                if keep:
+                    keys.append(string[r])
+            items.append(base[r] + i)
+            shared, rest = coded[r]
+            i += 1
+            index[r] = i
+            if i < len(shared):
+                n = shared[i]
+                begin = at[r]
+                end = at[r] = begin + width - n
+                string[r] = string[r][:n] + rest[begin:end]
+            else:
+                n = -1
+            known[r] = n
+            node = (r + size) >> 1
             while node:
                 other = loser[node]
-                # most games are settled by what is known
-                if known[r] > known[other]:
-                    pass
-                elif known[r] < known[other]:
-                    r, loser[node] = other, r
-                else:
-                    r, loser[node] = self._play(r, other)
+                o = known[other]
+                # most games are settled by what is known; n is what the present winner shares
+                if n < o:
+                    loser[node] = r
+                    r, n = other, o
+                elif n == o and 0 <= n < width:
+                    x, y = number(string[r][n:]), number(string[other][n:])
+                    if x <= y:
+                        known[other] = width - ((x ^ y).bit_length() + 7) // 8
+                    else:
+                        known[r] = width - ((x ^ y).bit_length() + 7) // 8
+                        loser[node], r = r, other
                 node >>= 1
-            self.best = r
-
-
-def as_parts(table: pa.Table) -> list[dict]:
-    """Rows of a table of parts; lists of numbers stay arrays."""
-    columns = {c: table[c].to_pylist() if c in ("shared", "rest", "range") else [x.values if x.values is None else x.values.to_numpy(zero_copy_only=False) for x in table[c]] for c in ("shared", "rest", "ids", "many", "xs", "starts", "range")}
-    return [dict(zip(columns, row)) for row in zip(*columns.values())]
-
-
-def merged(parts: list[dict], window: int) -> list[tuple]:
-    """Places (id, x, start) of suffixes that equal one of smaller id, among runs of one range."""
-    out: list[tuple] = []
-    offsets = [np.concatenate([[0], np.cumsum(p["many"])]) for p in parts]
-
-    def settle(same: list[tuple[int, int]]) -> None:
-        ids = [parts[r]["ids"][i] for r, i in same]
-        least = min(ids)
-        for own, (r, i) in zip(ids, same):
-            if own > least:
-                a, b = offsets[r][i], offsets[r][i + 1]
-                out.extend((own, x, s) for x, s in zip(parts[r]["xs"][a:b], parts[r]["starts"][a:b]))
-
-    same: list[tuple[int, int]] = []
-    for shared, r, i in LoserTree([(p["shared"], p["rest"]) for p in parts], window):
-        if shared < window:
-            if len(same) > 1:
-                settle(same)
-            same = [(r, i)]
-        else:
-            same.append((r, i))
-    if len(same) > 1:
-        settle(same)
-    return out
+        return items, new, keys
 
 
-def splitters_of(rows: DataFrame, opened: DataFrame, window: int) -> list[bytes]:
-    """Ends of ranges of about RANGE suffixes, from those of a bounded sample of rows."""
-    total = opened.agg(F.sum(F.aggregate("open", F.lit(0).cast("long"), lambda a, c: a + c % window))).first()[0] or 0
-    wanted = -(-total // RANGE)
-    if wanted < 2:
-        return []
-    some = opened.orderBy(F.xxhash64("id_", "x_")).limit(SAMPLE_ROWS).withColumn("code", F.explode(F.slice(F.shuffle("open", seed=1), 1, SAMPLE_EACH)))
-    texts = rows.join(F.broadcast(some), (F.col("id") == F.col("id_")) & (F.col("x") == F.col("x_")))
-    heads = sorted(bytes(r[0]) for r in texts.select(F.substring("b", (F.floor(F.col("code") / window) + 1).cast("int"), F.lit(window))).collect())
-    return sorted({heads[k * len(heads) // wanted] for k in range(1, wanted)})
+def merge(width: int, gram: int | None):
+    """Merges the parts of one range: places that equal one of smaller id and, with gram, places of the least id of each key.
+
+    Result: id, x, start, n and, for the latter, k (hash of the anchor) and lead (1 once a key).
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        names = ["id", "x", "start", "n", "k", "lead"]
+        flat = lambda c: table[c].combine_chunks().flatten()
+        ids, x, start = flat("ids"), flat("xs"), flat("starts").to_numpy()
+        if table["range"][0].as_py() < 0:
+            none = pa.nulls(len(ids), pa.int64())
+            return pa.table([ids, x, pa.array(start), flat("ns"), none, none.cast(pa.int32())], names=names)
+        coded = list(zip(table["shared"].to_pylist(), table["rest"].to_pylist()))
+        base = np.cumsum([0, *(len(c[0]) for c in coded)]).tolist()
+        at, new, keys = LoserTree(coded, width).merged(base, gram is not None)
+        # items in merged order, and the group of equal ones that each is in
+        at, new = np.array(at, np.int64), np.array(new, np.int64)
+        group = np.zeros(len(at), np.int64)
+        group[new[1:]] = 1
+        group = np.cumsum(group)
+        rank = pc.rank(ids, tiebreaker="dense").to_numpy().astype(np.int64)[at]
+        least = np.minimum.reduceat(rank, new)
+        many = flat("many").to_numpy()
+        first = np.cumsum(many) - many
+        n = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, width)[:, -1].astype(np.int32) if gram else np.ones(len(new), np.int32)
+
+        def places(chosen):
+            """(place, item) of all places of chosen items."""
+            size = many[at[chosen]]
+            return np.repeat(first[at[chosen]] - (np.cumsum(size) - size), size) + np.arange(size.sum()), np.repeat(chosen, size)
+
+        place, item = places(np.flatnonzero(rank > least[group]))
+        out = [ids.take(pa.array(at[item])), x.take(pa.array(place)), pa.array(start[place]), pa.array(n[group[item]]), pa.nulls(len(item), pa.int64()), pa.nulls(len(item), pa.int32())]
+        if gram:
+            anchor = anchor_of(np.frombuffer(b"".join(keys), np.uint8).reshape(-1, width), gram)
+            place, item = places(np.flatnonzero(rank == least[group]))
+            lead = np.ones(len(item), np.int32)
+            lead[1:] = group[item][1:] != group[item][:-1]
+            more = [ids.take(pa.array(at[item])), x.take(pa.array(place)), pa.array(start[place]), pa.array(n[group[item]]), pa.array(anchor[group[item]]), pa.array(lead)]
+            out = [pa.concat_arrays([a, b]) for a, b in zip(out, more)]
+        return pa.table(out, names=names)
+
+    return run
+
+
+def merged(parts: DataFrame, width: int, gram: int | None, id_type: str) -> DataFrame:
+    return parts.groupBy("range").applyInArrow(merge(width, gram), f"id {id_type}, x long, start long, n int, k long, lead int")
+
+
+class Windows:
+    """Windows of segments, given as strings, end to end: hash, owner and begin of each."""
+
+    def __init__(self, strings: list[bytes], window: int):
+        size = np.fromiter(map(len, strings), np.int64, len(strings))
+        self.blob = np.frombuffer(b"".join(strings), np.uint8)
+        n = size - window + 1
+        self.owner = np.repeat(np.arange(len(strings)), n)
+        self.within = np.arange(len(self.owner)) - np.repeat(np.cumsum(n) - n, n)
+        self.begin = (np.cumsum(size) - size)[self.owner] + self.within
+        self.hash = repeats.Rolling(BYTE_VALUES[self.blob]).spans(self.begin, self.begin + window)
+
+
+def opened_segments(rows: DataFrame, opened: DataFrame, window: int) -> DataFrame:
+    """(s, id, x, start) of the segments in column open (start, n) of opened (id_, x_)."""
+    both = rows.join(opened, (F.col("id") == F.col("id_")) & (F.col("x") == F.col("x_"))).select("id", "x", "b", "open.start", "open.n")
+
+    def run(batches):
+        for batch in batches:
+            strings, row, at = [], [], []
+            for i, (text, starts, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)))):
+                strings += [text[s : s + m + window - 1] for s, m in zip(starts, n)]
+                row += [i] * len(starts)
+                at += starts
+            same = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(strings, pa.binary()), batch.column(0).take(same), batch.column(1).take(same), pa.array(at, pa.int64())], names=["s", "id", "x", "start"])
+
+    return both.mapInArrow(run, f"s binary, id {rows.schema['id'].dataType.simpleString()}, x long, start long")
+
 
+def window_runs(opened: DataFrame, window: int, total: int) -> DataFrame:
+    """Parts of sorted runs of the windows of opened (s, id, x, start) that are estimated as repeated. total: how many windows there are."""
+    cells, rounds = repeats.plan(total)
+    found = None
+    for k in range(rounds):
+        sketch = opened.sparkSession.sparkContext.broadcast(repeats.build(opened.select("s"), lambda texts: iter([Windows(texts, window).hash]), cells, k, rounds))
 
-def sorted_repeats(rows: DataFrame, opened: DataFrame, window: int) -> DataFrame:
-    """(id, x, start) of the windows in column `open` of opened that also start in a row of smaller id."""
-    splitters = splitters_of(rows, opened, window)
-    both = rows.join(opened, (F.col("id") == F.col("id_")) & (F.col("x") == F.col("x_")))
+        def repeated(strings, sketch=sketch, k=k):
+            w = Windows(strings, window)
+            hit = np.flatnonzero(sketch.value.repeated(w.hash) & repeats.of_round(w.hash, k, rounds)) if len(strings) else np.empty(0, np.int64)
+            return w, hit
 
-    def merge(table: pa.Table) -> pa.Table:
-        kind, parts = table.schema.field("ids").type.value_type, as_parts(table)
-        if parts[0]["range"] < 0:
-            gone = [g for p in parts for g in zip(p["ids"], p["xs"], p["starts"])]
-        else:
-            gone = merged(parts, window)
-        return pa.table([pa.array([g[k] for g in gone], t) for k, t in enumerate((kind, pa.int64(), pa.int64()))], names=["id", "x", "start"])
+        def keys(w, hit):
+            return w.blob[w.begin[hit][:, None] + np.arange(window)]
 
-    return runs(both, window, splitters).groupBy("range").applyInArrow(merge, f"id {rows.schema['id'].dataType.simpleString()}, x long, start long")
+        def heads(batches, repeated=repeated):
+            for batch in batches:
+                w, hit = repeated(batch.column(0).to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in keys(w, hit)], pa.binary())], names=["head"])
+
+        splitters = splitters_of(opened.select("s").sample(min(1.0, SAMPLE_ROWS * SAMPLE_EACH / max(1, total)), seed=1).mapInArrow(heads, "head binary"), total / rounds)
+
+        def sort(batches, repeated=repeated, splitters=splitters):
+            run = Run(window, splitters)
+            for batch in batches:
+                for a in range(0, batch.num_rows, 5_000):
+                    part = batch.slice(a, 5_000)
+                    w, hit = repeated(part.column(0).to_pylist())
+                    if len(hit):
+                        row = pa.array(w.owner[hit])
+                        run.add(keys(w, hit), part.column(1).take(row), part.column(2).take(row), part.column(3).to_numpy()[w.owner[hit]] + w.within[hit], np.ones(len(hit), np.int64))
+                    if run.size >= RUN:
+                        yield run.flush()
+            if run.size:
+                yield run.flush()
+
+        part = opened.mapInArrow(sort, parts_ddl(opened.schema["id"].dataType.simpleString())).withColumn("range", F.col("range") + F.when(F.col("range") < 0, -k << 20).otherwise(k << 20))
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
 def removed_ranges(rows: DataFrame, window: int, gram: int) -> DataFrame:
-    """(id, x, gone): of rows (id, x, b), runs of removed windows as start * window + n."""
-    copies = copies_of(rows, window)
-    known = copies.select(F.col("id").alias("id_"), F.col("x").alias("x_"))
-    few = known.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
-    rows = rows.where("id is not null").join(F.broadcast(known) if few else known, (F.col("id") == F.col("id_")) & (F.col("x") == F.col("x_")), "left_anti")
-    places = segments(rows, window, gram)
-    classes = stored(places.groupBy("k", "h", "n").agg(F.min("id").alias("first"), F.max("id").alias("last")), "classes")
-    crowded = classes.groupBy("k").agg(((F.min("h") < F.max("h")) | (F.min("n") < F.max("n"))).alias("crowded")).where("crowded").select(F.col("k").alias("k_"))
-    judged = classes.join(crowded, F.col("k") == F.col("k_"), "left").where("first <> last or k_ is not null").select(F.col("k").alias("k1"), F.col("h").alias("h1"), F.col("n").alias("n1"), "first", F.col("k_").isNotNull().alias("crowded"))
-    code = F.col("start") * window + F.col("n")
-    marked = places.join(judged, (F.col("k") == F.col("k1")) & (F.col("h") == F.col("h1")) & (F.col("n") == F.col("n1"))).where("id > first or crowded").groupBy("id", "x").agg(F.collect_list(F.when(F.col("id") > F.col("first"), code)).alias("gone"), F.collect_list(F.when(F.col("id") == F.col("first"), code)).alias("open"))
-    marked = stored(marked, "marked")
-    del crowded, judged
-    forget(places, classes)
-    opened = marked.where(F.size("open") > 0).select(F.col("id").alias("id_"), F.col("x").alias("x_"), "open")
-    single = sorted_repeats(rows, opened, window).groupBy("id", "x").agg(F.collect_list(F.col("start") * window + 1).alias("gone"))
-    whole = copies.select("id", "x", F.array(F.lit(WHOLE)).alias("gone"))
-    out = stored(marked.where(F.size("gone") > 0).select("id", "x", "gone").union(single).union(whole).groupBy("id", "x").agg(F.flatten(F.collect_list("gone")).alias("gone")), "gone")
-    del single, opened
-    forget(marked, copies)
+    """(id, x, start, n): of rows (id, x, b), lists of the first byte and the number of removed windows that follow each other."""
+    rows, id_type = rows.where("id is not null"), rows.schema["id"].dataType.simpleString()
+    runs, sketches = segment_runs(rows, window, gram)
+    settled = stored(merged(runs, width_of(window, gram), gram, id_type), "settled")
+    for sketch in sketches:
+        sketch.destroy()
+    classes = settled.where("k is not null")
+    crowded = classes.groupBy("k").agg(F.sum("lead").alias("classes")).where("classes > 1").select("k")
+    chosen = classes.join(crowded, "k", "left_semi")
+    opened = stored(chosen.groupBy(F.col("id").alias("id_"), F.col("x").alias("x_")).agg(F.collect_list(F.struct("start", "n")).alias("open")), "chosen")
+    strings = stored(opened_segments(rows, opened, window), "opened")
+    forget(opened)
+    total = strings.agg(F.sum(F.octet_length("s").cast("long") - (window - 1))).first()[0] or 0
+    single = merged(window_runs(strings, window, total), window, None, id_type)
+    gone = settled.where("k is null").select("id", "x", "start", "n").union(single.select("id", "x", "start", "n"))
+    out = stored(gone.groupBy("id", "x").agg(F.collect_list(F.struct("start", "n")).alias("g")).select("id", "x", "g.start", "g.n"), "gone")
+    forget(settled, strings)
     return out
 
 
-def merged_spans(codes, window: int, size: int) -> tuple[list[int], list[int]]:
-    """Begins and ends of maximal removed byte ranges of a text of some size."""
-    if WHOLE in codes:
-        return [0], [size]
-    codes = np.sort(np.asarray(codes, np.int64))
-    begin, end = codes // window, codes // window + codes % window + window - 1
+def merged_spans(start: np.ndarray, n: np.ndarray, window: int) -> tuple[list[int], list[int]]:
+    """Begins and ends of maximal removed byte ranges."""
+    order = np.argsort(start, kind="stable")
+    begin, end = start[order], (start + n + window - 1)[order]
     upto = np.maximum.accumulate(end)
     new = np.concatenate([[True], begin[1:] > upto[:-1]])
     return begin[new].tolist(), upto[np.append(np.flatnonzero(new)[1:] - 1, len(upto) - 1)].tolist()
@@ -371,14 +480,14 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     again = not rows.where("id is not null").groupBy("id").count().where("count > 1").isEmpty()
     rows = rows.select("id", (F.xxhash64("b") if again else F.lit(0).cast("long")).alias("x"), "b")
     gone = removed_ranges(rows, window, gram).withColumnsRenamed({"id": "id_", "x": "x_"})
-    both = rows.join(gone, (F.col("id") == F.col("id_")) & (F.col("x") == F.col("x_")), "left").select("id", "b", "gone")
+    both = rows.join(gone, (F.col("id") == F.col("id_")) & (F.col("x") == F.col("x_")), "left").select("id", "b", "start", "n")
 
     def remove(batches):
         for batch in batches:
             columns = [], [], [], []
-            for raw, codes in zip(batch.column(1).to_pylist(), batch.column(2)):
+            for raw, start, n in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
                 raw = raw or b""
-                begins, ends = merged_spans(codes.values.to_numpy(), window, len(raw)) if codes.is_valid else ([], [])
+                begins, ends = merged_spans(start.values.to_numpy(), n.values.to_numpy().astype(np.int64), window) if start.is_valid else ([], [])
                 kept = [raw[a:b] for a, b in zip([0, *ends], [*begins, len(raw)])]
                 if digest:
                     h = hashlib.sha256()
