@@ -37,7 +37,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     had = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEANUP, had)
     out = spark.read.schema(df.schema).parquet(path)

@@ -32,7 +32,7 @@ components is lost, and a large group of near copies does not become all pairs.
 Before shingles are fetched, pairs are held against two exact bounds: sizes, and
 the parities of the shingles' counts in BITS places. Each shingle that only one
 set has turns one parity, so parities that differ in more places than the sets
-may differ in shingles rule the pair out.
+may differ in shingles rule the pair out. Large sets have as many places as shingles.
 
 Null text, empty text and text without words have the empty set, linked with
 nothing: n_shingles 0, a component of its own. Fewer words than a shingle has are one
@@ -60,6 +60,8 @@ SAMPLE_ROWS, FREQUENT, SALTS = 2_000, 0.01, 64
 WORDS = 8
 BITS = 64 * WORDS
 FACTS = ["n", *[f"p{i}" for i in range(WORDS)]]
+#: Sets of more shingles than this have parities in as many places as shingles, too, in a column of their own.
+WIDE_FROM = 1024
 
 
 class Join:
@@ -139,6 +141,24 @@ def parities(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def wide_parities(s: np.ndarray) -> bytes | None:
+    """Parities of a large set in a power of two of places, at least its size."""
+    if len(s) <= WIDE_FROM:
+        return None
+    bits = 1 << len(s).bit_length()
+    odd = np.bincount((mix(s, 1) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def turned(a: bytes, b: bytes) -> int:
+    """In how many places the parities of two large sets differ; the longer one is folded to the other's size."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) != len(y):
+        x, y = (x, y) if len(x) > len(y) else (y, x)
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def signatures(s: np.ndarray, join: Join) -> np.ndarray:
     """Signatures under which a set is indexed."""
     n, out = len(s), []
@@ -165,11 +185,14 @@ def scan_sets(docs: DataFrame, seed: int, join: Join) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            found = [(len(s), *class_of(s), *parities(s).tolist()) for s in sets_of(batch.column(2).to_pylist(), seed, join.words)]
+            found, wide = [], []
+            for s in sets_of(batch.column(2).to_pylist(), seed, join.words):
+                found.append((len(s), *class_of(s), *parities(s).tolist()))
+                wide.append(wide_parities(s))
             columns = list(zip(*found)) if found else [()] * (3 + WORDS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in columns)], names=["id", "x", "n", "c", "d", *FACTS[1:]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in columns), pa.array(wide, pa.binary())], names=["id", "x", "n", "c", "d", *FACTS[1:], "wide"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, x long, n long, c long, d long, {', '.join(f'{x} long' for x in FACTS[1:])}")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, x long, n long, c long, d long, {', '.join(f'{x} long' for x in FACTS[1:])}, wide binary")
 
 
 def scan_signatures(docs: DataFrame, seed: int, join: Join, frequent: np.ndarray) -> DataFrame:
@@ -246,6 +269,20 @@ def linked(pairs: DataFrame, shingle_sets: DataFrame, join: Join) -> DataFrame:
     return both.where(f"100L * i >= {join.percent}L * (size(su) + size(sv) - i)").select("u", "v")
 
 
+def narrowed(pairs: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
+    """pairs without those of large sets whose wide parities rule them out."""
+    wide = classes.where("wide is not null")
+    of = lambda side: wide.select(F.col("c").alias(side), F.col("n").alias(f"n{side}"), F.col("wide").alias(f"w{side}"))
+    both = pairs.join(of("u"), "u", "left").join(of("v"), "v", "left").select("u", "v", "nu", "nv", "wu", "wv")
+
+    def run(batches):
+        for batch in batches:
+            ok = [a is None or b is None or turned(a, b) * (100 + join.percent) <= (m + n) * (100 - join.percent) for m, n, a, b in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    return both.mapInArrow(run, "u long, v long")
+
+
 def verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, seed: int, join: Join) -> DataFrame:
     """The pairs (u, v) that link, stored; shingles are read from a row of each class in pairs."""
     compared = pairs.select(F.col("u").alias("c")).union(pairs.select("v")).distinct()
@@ -268,23 +305,31 @@ def members(docs: DataFrame, key: str, text: str, join: Join) -> tuple[DataFrame
     rows = docs.select(F.col(key).alias("id"), text_hash(text).alias("x"), F.col(text).cast("string").alias("t"))
     for seed in range(8):
         sets = stored(scan_sets(rows, seed, join), "sets")
-        classes = stored(sets.where("n > 0").groupBy("c").agg(F.min("id").alias("rep"), F.coalesce(F.min_by("x", "id"), F.min("x")).alias("rep_x"), (F.min("d") != F.max("d")).alias("mixed"), *[F.max(x).alias(x) for x in FACTS]), "classes")
+        classes = stored(sets.where("n > 0").groupBy("c").agg(F.min("id").alias("rep"), F.coalesce(F.min_by("x", "id"), F.min("x")).alias("rep_x"), F.max("wide").alias("wide"), (F.min("d") != F.max("d")).alias("mixed"), *[F.max(x).alias(x) for x in FACTS]), "classes")
         if classes.where("mixed").isEmpty():
             break
     sizes = sets.where("n > 0").groupBy("n").agg(F.countDistinct("c").alias("sets")).collect()  # a row for each distinct size
     join.allocate([tuple(r) for r in sizes])
-    facts, classes = classes.select("c", *FACTS), classes.select("c", "rep", "rep_x")
+    facts, classes = classes.select("c", *FACTS), classes.select("c", "rep", "rep_x", "n", "wide")
     facts_of = lambda side: facts.select(F.col("c").alias(side), *[F.col(x).alias(f"{x}_{side}") for x in FACTS])
     frequent = frequent_signatures(rows, sets.count(), seed, join)
     buckets = stored(shared_signatures(rows, seed, join, frequent), "buckets")
+    shown = lambda df: df.distinct().join(facts_of("u"), "u").join(facts_of("v"), "v").where(join.may_link("_u", "_v")).select("u", "v")
+    # with the least class of all its buckets; then with the least of each bucket, unless they are connected by now
+    first = stored(narrowed(shown(buckets.where("c <> m").groupBy(F.col("c").alias("u")).agg(F.min("m").alias("v"))), classes, join), "pairs")
+    links = verified(first, classes, rows, seed, join)
+    known = components(links)
     near = buckets.where("c <> m").select(F.col("c").alias("u"), F.col("m").alias("v"))
     if len(frequent):
         least = buckets.groupBy("sig").agg(F.min("m").alias("v"), F.max("m").alias("x")).where("v <> x").select("sig", "v")
         near = near.union(buckets.select("sig", F.col("m").alias("u")).distinct().join(least, "sig").where("u <> v").select("u", "v"))
-    first = stored(near.distinct().join(facts_of("u"), "u").join(facts_of("v"), "v").where(join.may_link("_u", "_v")).select("u", "v"), "pairs")
-    links = verified(first, classes, rows, seed, join)
+    placed_of = lambda side: known.select(F.col("id").alias(side), F.col("component").alias(f"c{side}"))
+    near = near.distinct().join(placed_of("u"), "u", "left").join(placed_of("v"), "v", "left").where("not coalesce(cu, u) <=> coalesce(cv, v)").select("u", "v").join(first, ["u", "v"], "left_anti")
+    second = stored(narrowed(shown(near), classes, join), "pairs")
+    new = verified(second, classes, rows, seed, join)
+    had, links = links, stored(links.union(new), "links")
     known = components(links)
-    forget(first)
+    forget(first, second, had, new)
     for hubs in (True, False):
         # buckets that still hold several components: compare with the class of most links, then across components
         placed = stored(buckets.join(known.withColumnRenamed("id", "c"), "c", "left").select("sig", "c", F.coalesce("component", "c").alias("component")), "placed")
@@ -300,7 +345,7 @@ def members(docs: DataFrame, key: str, text: str, join: Join) -> tuple[DataFrame
             apart = (F.col("cu") != F.col("cv")) & (F.col("u") > F.col("v"))
         right = right.withColumnRenamed("sig", "sig_")
         more = left.join(right, (F.col("sig") == F.col("sig_")) & apart & join.may_link("_u", "_v")).select("u", "v").distinct()
-        more = stored(more.join(links, ["u", "v"], "left_anti"), "pairs")
+        more = stored(narrowed(more.join(links, ["u", "v"], "left_anti"), classes, join), "pairs")
         if not more.isEmpty():
             had, new = links, verified(more, classes, rows, seed, join)
             links = stored(had.union(new), "links")
