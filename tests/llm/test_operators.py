@@ -52,6 +52,11 @@ def test_bpe(spark, texts):
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     tokenizer = bpe.BpeTokenizer(spark, path, public_tokenizers.PATTERN)
+    # letters and numbers of later versions of Unicode, and texts beyond a chunk
+    rng = random.Random(6)
+    later = re.findall(bpe.other_classes(public_tokenizers.PATTERN)[0], "".join(map(chr, [*range(0x250, 0xD800), *range(0xE000, 0x110000)])))
+    more = ["".join(rng.choice(["a", "7", " ", "é", "語", rng.choice(later)]) for _ in range(60)) for _ in range(40)]
+    texts = texts + [(300 + k, t) for k, t in enumerate([*more, "\u0558a \u088f1 \u209d", "word " * 100_000 + "語", "x" * 3_000 + " \n" * 500])]
     want = []
     for i, t in texts:
         ids = own.encode_ordinary(t or "")
@@ -97,6 +102,30 @@ def test_top_k_oracle(spark):
     assert by_row(queries.op3_top_k(spark, sf), ["query_id", "rank", "vec_id", "score"]) == sorted(map(repr, want))
 
 
+def test_url_tree_decides(spark):
+    """Hosts where labelled branches speak for a like one without labels, and hosts where they must not."""
+    labelled = lambda host, what, n, branch: [(f"http://{host}/{branch}/{k}", what) for k in range(n)]
+    rows = []
+    for host, what in (("bad.com", "block"), ("good.com", "allow")):
+        for branch in ("a", "b", "c"):
+            rows += labelled(host, what, 40, branch)
+        rows += labelled(host, None, 30, "d")
+    # mixed: one branch is blocked, another allowed; both stay apart and speak for themselves
+    rows += labelled("mixed.com", "block", 60, "spam") + labelled("mixed.com", "allow", 60, "news") + labelled("mixed.com", None, 20, "spam") + labelled("mixed.com", None, 20, "news")
+    # the unlabelled branch is of another shape, and few labels do not decide for many pages
+    rows += labelled("other.com", "block", 80, "a") + [(f"http://other.com/d/{'word' * (k % 7 + 1)}/end", None) for k in range(80)]
+    rows += labelled("few.com", "block", 6, "a") + labelled("few.com", None, 600, "b")
+    rows += [("http://bad.com/" + "x/" * 3_000, None), (None, None)]
+    table = spark.createDataFrame([(k, u, w, "n", "h") for k, (u, w) in enumerate(rows)], "page_id long, url string, label string, template string, host string")
+    got = {r["page_id"]: r for r in urltree.judge(table, rules=[], label="label").collect()}
+    assert len(got) == len(rows)
+    verdict = lambda host, branch: {got[k]["verdict"] for k, (u, w) in enumerate(rows) if w is None and u and u.startswith(f"http://{host}/{branch}/")}
+    assert verdict("bad.com", "d") == {"block"} and verdict("good.com", "d") == {"allow"}
+    assert verdict("mixed.com", "spam") == {"block"} and verdict("mixed.com", "news") == {"allow"}
+    assert verdict("other.com", "d") == {"allow"} and verdict("few.com", "b") == {"allow"}
+    assert any("*" in r["template"] for r in got.values() if r["template"])
+
+
 def test_url_filter(spark):
     urls = [None, "", "no scheme/en/", "http://A.Example.COM/en/7x?q#f", "https://example.net/de/81", "https://net/de/", "x://sub.org/es/1", "http://b.com", "http://b.com#/en/", "a://b://c/d"] + [f"http://shop.com/en/{k}" for k in range(30)]
     want = []
@@ -189,7 +218,7 @@ def brute_suffixes(texts, window=50):
     return sorted(map(repr, out))
 
 
-@pytest.mark.parametrize("sizes", [(400_000, 200_000, 1 << 18), (300, 150, 700)])
+@pytest.mark.parametrize("sizes", [(300_000, 200_000, 1 << 18), (300, 150, 700)])
 def test_suffix_dedup(spark, texts, monkeypatch, sizes):
     for name, value in zip(("RUN", "RANGE", "PIECE"), sizes):
         monkeypatch.setattr(suffix_dedup, name, value)
@@ -219,14 +248,19 @@ def test_suffix_dedup_tells_contexts_of_an_anchor_apart(spark):
 def test_loser_tree():
     rng = random.Random(3)
     runs = [sorted({bytes(rng.choice(b"ab") for _ in range(6)) for _ in range(rng.randrange(1, 20))}) for _ in range(7)]
-    coded = [suffix_dedup.front_coded(r, [0] * len(r), [[(0, 0)]] * len(r), 6) for r in runs]
-    got, last = [], b""
-    for shared, r, i in suffix_dedup.LoserTree([(c["shared"], c["rest"]) for c in coded], 6):
-        key = runs[r][i]
-        assert not got or shared == len(re.match(rb"(?s)(.*).*\n\1", last + b"\n" + key)[1])
-        got.append(key)
-        last = key
-    assert got == sorted(k for r in runs for k in r)
+    coded = []
+    for keys in runs:
+        run, some = suffix_dedup.Run(6, []), rng.sample(keys, len(keys))
+        run.add(np.frombuffer(b"".join(some), np.uint8).reshape(-1, 6), *[suffix_dedup.pa.array([0] * len(some))] * 2, *[np.zeros(len(some), np.int64)] * 2)
+        part = run.flush().to_pylist()[0]
+        coded.append((part["shared"], part["rest"]))
+        assert len(part["rest"]) < 6 * len(keys) or len(keys) == 1
+    base = np.cumsum([0, *map(len, runs)]).tolist()
+    items, new, keys = suffix_dedup.LoserTree(coded, 6).merged(base, True)
+    flat = [k for r in runs for k in r]
+    assert sorted(items) == list(range(len(flat)))
+    assert [flat[k] for k in items] == sorted(flat)
+    assert keys == [flat[items[k]] for k in new] == sorted(set(flat))
 
 
 def test_toxicity(spark):
@@ -243,6 +277,58 @@ def test_toxicity(spark):
     assert toxicity.score(graded, toxicity.fit(graded.limit(0), F.col("y"))).where("toxic").isEmpty()
 
 
+def test_toxicity_of_clashing_names_and_several_labels(spark):
+    docs = spark.createDataFrame([(1, "a", "x"), (1, "a", "x"), (2, None, "y")], "doc_id long, text string, toxic string")
+    labels = spark.createDataFrame([(1, 1, 0, "t"), (1, 1, 1, "t"), (2, 0, 0, "t"), (2, 1, 0, "t"), (3, 1, 0, "t")], "doc_id long, quality int, toxic int, text string")
+    assert sorted((r["doc_id"], r["grade"]) for r in queries.graded(docs, labels).collect()) == [(1, 2), (1, 2), (2, 1)]
+    assert toxicity.score(docs, toxicity.fit(docs, F.lit(0))).count() == 3
+
+
+@pytest.mark.parametrize("floor", [0.0, None])
+def test_toxicity_fit_descends_the_likelihood(floor):
+    """Weights and cuts against a plain loop over the same likelihood: no step of one parameter lowers it."""
+    rng = random.Random(5)
+    y = np.array([rng.choice([0, 0, 1, 2]) for _ in range(80)])
+    x = [{j for j in range(5) if rng.random() < (0.6 if j == g else 0.2)} for g in y]
+    weight = np.array([rng.choice([1.0, 3.0]) for _ in y])
+    rows, columns = (np.array(v) for v in zip(*[(i, j) for i, has in enumerate(x) for j in has]))
+    w, cuts = toxicity.fit_sparse(rows, columns, y, 5, weight, floor)
+
+    def loss(w, cuts):
+        total = 0.0
+        for g, has, k in zip(y, x, weight):
+            edge = [0.0, *[1 / (1 + np.exp(-(c - sum(w[j] for j in has)))) for c in cuts], 1.0]
+            total -= k * np.log(max(edge[g + 1] - edge[g], 1e-12))
+        return total / weight.sum()
+
+    least = loss(w, cuts)
+    assert cuts[0] < cuts[1] and (floor is None or w.min() >= floor)
+    for j in range(7):
+        for step in (-0.05, 0.05):
+            a, c = w.copy(), cuts.copy()
+            if j < 5:
+                a[j] = a[j] + step if floor is None else max(floor, a[j] + step)
+            else:
+                c[j - 5] += step
+            assert loss(a, c) > least - 1e-4
+
+
+def test_language_id_is_naive_bayes(spark):
+    """The model against counts and sums in plain Python, over bucketed n-grams."""
+    rows = [(1, "Ab c", "x"), (2, "b! ab", "x"), (3, "äb", "y"), (4, "c c c", "y")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    grams = lambda t: langid.hashed_ngrams([t])[0].tolist()
+    counts = {lang: collections.Counter(g for _, t, l in rows if l == lang for g in grams(t)) for lang in ("x", "y")}
+    for text in ("ab c", "äb c", "b", "zzz"):
+        logs = []
+        for lang in ("x", "y"):
+            total = sum(counts[lang].values()) + 0.5 * langid.BUCKETS
+            logs.append(np.log(0.5) + sum(np.log((counts[lang][g] + 0.5) / total) for g in grams(text)))
+        (name,), (score,) = model.predict([text])
+        assert name == ("x", "y")[int(np.argmax(logs))]
+        assert abs(score - 1 / np.exp(np.array(logs) - max(logs)).sum()) < 1e-9
+
+
 def test_jaccard_join(spark, texts):
     sets = []
     for i, t in texts:
@@ -295,14 +381,42 @@ def test_jaccard_join_of_five_words(spark):
     assert by_row(out, ["doc_id", "n_shingles", "component_id"]) == sorted(map(repr, [(i, len(s), g) for (i, s), g in zip(sets, group)]))
 
 
-def test_bands_that_index_empty_segments():
-    join = jaccard_join.Join(5, 80)
-    assert jaccard_join.Join(3, 90).small == 4 and 6 < join.small < 20
-    # 20 shingles in 2 of 5 segments, and the 16 that are left without two of each
-    a = np.concatenate([np.uint64(5) * np.arange(1, 11, dtype=np.uint64) + np.uint64(k) for k in range(2)])
-    b = np.delete(a, [0, 1, 10, 11])
-    one, two = (set(jaccard_join.signatures(np.unique(x), join).tolist()) for x in (a, b))
-    assert one & two
+@pytest.mark.parametrize("left_out", [False, True])
+@pytest.mark.parametrize("words, percent", [(3, 90), (5, 80), (1, 60)])
+def test_linked_sets_share_a_signature(words, percent, left_out):
+    """Whether empty segments are left out or not, also where most shingles fall into few segments."""
+    rng = np.random.default_rng(9)
+    join = jaccard_join.Join(words, percent)
+    join.leave_out = set(range(60)) if left_out else set()
+    for n in [*range(1, 40), 60, 101, 150]:
+        for spread in (1, 2, 5, 1 << 40):
+            m = np.uint64(join.segments(join.band(n)))
+            a = np.unique(rng.integers(0, 1 << 40, n, np.uint64) * m + rng.integers(0, spread, n, np.uint64) % m)
+            apart = int(len(a) * (100 - percent) / percent) if spread % 2 else (len(a) * (100 - percent)) // 100
+            b = np.union1d(a, rng.integers(1 << 50, 1 << 51, apart, np.uint64)) if spread % 2 else rng.permutation(a)[: len(a) - apart]
+            one, two = (set(jaccard_join.signatures(np.unique(x), join).tolist()) for x in (a, b))
+            both = len(np.intersect1d(a, b))
+            assert 100 * both < percent * (len(a) + len(b) - both) or one & two
+
+
+def test_allocation_follows_the_sizes():
+    join = jaccard_join.Join(3, 90)
+    join.allocate([(12, 1_000_000)])
+    assert join.leave_out
+    join.allocate([(400, 1_000_000)])
+    assert not join.leave_out
+
+
+def test_frequent_signatures_are_salted(spark):
+    """A group of near copies with a third of all rows, whose signatures the sample shows."""
+    words = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join([*words[:57], f"e{k}", "x", "y"])) for k in range(90)] + [(100 + k, " ".join(f"v{k}x{j}" for j in range(40))) for k in range(60)]
+    docs = table(spark, rows)
+    rows_ = docs.select(F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("x"), F.col("text").alias("t"))
+    join = jaccard_join.Join(3, 90)
+    assert len(jaccard_join.frequent_signatures(rows_, len(rows), 0, join))
+    out = jaccard_join.near_duplicates(docs)
+    assert by_row(out, ["doc_id", "component_id"]) == sorted(map(repr, [(k, 0 if k < 90 else k) for k, _ in rows]))
 
 
 def test_keep_one_of_repeated_and_null_ids(spark):
