@@ -107,6 +107,6 @@ def test_river_fold(spark):
         (14, 1, made, "suppress", "o14", 0), (14, 2, made, "page_now", "p14", 1), (14, 3, sure, None, "o14", 2), (15, 1, made, None, None, 0),
     ]
     log = spark.createDataFrame([(*r[:5], r[5] * 1_000_000) for r in rows], "alert_id long, seq long, type string, disposition string, outbox_id string, at_us long")
-    got = {r["alert_id"]: r["status"] for r in eventlog.river_fold(log, 100_000_000).collect()}
+    got = {r["alert_id"]: r["status"] for r in eventlog.river(log, 100_000_000).collect()}
     late, some = "PAGED_ANOMALY", "passthrough_decided"
     assert got == {1: late, 2: "decided_unconfirmed", 3: late, 4: "paged", 5: late, 6: "suppressed", 7: "requested", 8: "passthrough_unconfirmed", 9: some, 10: some, 11: "folded_into_aggregate", 12: "unknown", 13: late, 14: late, 15: "unknown"}

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.kernel import kernel_action, tuner_bucket
-from tidewatch.functions.stats import Z1, mcnemar_chi2, wilson
+from tidewatch.functions.stats import Z1, erfc, mcnemar_chi2, wilson
 
 is_action = lambda a: F.count_if(F.col("action") == a)
 
@@ -43,21 +43,27 @@ def rank_auc(d: DataFrame, score: str = "p1_h", label: str = "became_sev12") ->
     return out.select("positives", "negatives", F.round(F.col("twice") / F.try_divide(F.lit(1.0), F.lit(0.5)) / F.when(F.col("positives") * F.col("negatives") > 0, F.col("positives") * F.col("negatives")), 6).alias("auc"))
 
 
-def global_rank(d: DataFrame, order: list[Column], keep: list[str], buckets: int = 32) -> DataFrame:
-    """r: 0-based global rank. Range-partitioned; only the partitions' counts are summed, so no task sees all rows."""
-    parted = d.select(*keep, *[c.alias(f"o{i}") for i, c in enumerate(order)]).repartitionByRange(buckets, *[F.col(f"o{i}") for i in range(len(order))]).withColumn("part", F.spark_partition_id())
-    names = [f"o{i}" for i in range(len(order))]
-    edges = parted.groupBy("part").agg(F.count("*").alias("c"))
-    before = edges.select(F.col("part").alias("p"), (F.sum("c").over(Window.orderBy("part")) - F.col("c")).alias("offset"))
-    inside = parted.withColumn("i", F.row_number().over(Window.partitionBy("part").orderBy(*names)) - 1)
-    return inside.join(F.broadcast(before), F.col("part") == F.col("p")).select(*keep, (F.col("offset") + F.col("i")).alias("r"))
+def global_rank(d: DataFrame, score: str, key: str, keep: list[str], buckets: int = 1024) -> DataFrame:
+    """r: 0-based rank by score, ties by key (an integer), without a sort of all rows in one task.
+
+    Keys are cut into equal ranges. A histogram of (score, range) gives where each cell
+    begins; rows are only ranked within their cell. score has few distinct values, so
+    the histogram is small. Nothing depends on how rows are dealt out.
+    """
+    ends = d.agg(F.min(key).alias("lo"), (F.max(key) + 1).alias("hi"))
+    rows = d.select(*keep, F.col(score).alias("o"), F.col(key).alias("i")).crossJoin(F.broadcast(ends))
+    rows = rows.withColumn("cell", F.floor((F.col("i") - F.col("lo")) * buckets / (F.col("hi") - F.col("lo"))))
+    edges = rows.groupBy("o", "cell").agg(F.count("*").alias("c"))
+    before = edges.select(F.col("o").alias("o_"), F.col("cell").alias("cell_"), (F.sum("c").over(Window.orderBy("o", "cell")) - F.col("c")).alias("offset"))
+    inside = rows.withColumn("at", F.row_number().over(Window.partitionBy("o", "cell").orderBy("i")) - 1)
+    return inside.join(before, (F.col("o") == F.col("o_")) & (F.col("cell") == F.col("cell_"))).select(*keep, (F.col("offset") + F.col("at")).alias("r"))
 
 
 def deciles(d: DataFrame) -> DataFrame:
     """Equal-count deciles by p1, ties by id, observed rate and Wilson interval."""
     rows = d.where("became_sev12 is not null")
     n = rows.agg(F.count("*").alias("total"))
-    ranked = global_rank(rows, [F.col("p1_h"), F.col("alert_id")], ["became_sev12"]).crossJoin(F.broadcast(n))
+    ranked = global_rank(rows, "p1_h", "alert_id", ["became_sev12"]).crossJoin(F.broadcast(n))
     by = ranked.withColumn("decile", F.floor((10 * (F.col("r") + 1) - 1) / F.col("total"))).groupBy("decile").agg(F.count("*").alias("n"), F.sum("became_sev12").alias("k"))
     low, high = wilson(F.col("k"), F.col("n"))
     return by.select("decile", "n", "k", F.round(F.col("k") / F.col("n"), 6).alias("rate"), F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
@@ -84,11 +90,14 @@ def tuner_grid(d: DataFrame, grid=(80, 85, 90, 95), c_fp: int = 100, c_fn: int =
     return wide.select("n", F.expr(f"stack({len(grid)}, {', '.join(f'{g}, s{g}, p{g}, q{g}, e{g}' for g in grid)}) as (conf_min, suppressed, paged, queued, expected_h)")).withColumn("cost", (F.col("n") - F.col("suppressed")) * c_fp * 100 + F.col("expected_h") * c_fn)
 
 
-def certificate(d: DataFrame, bar: float = 0.002, min_n: int = 300) -> DataFrame:
-    """Suppressed rows with a label: n, SEVs k, unlabelled m, one-sided bound, verdict."""
-    by = d.where("action = 'suppress'").agg(F.count("became_sev12").alias("n"), F.coalesce(F.sum("became_sev12"), F.lit(0)).alias("k"), F.count_if(F.col("became_sev12").isNull()).alias("m"))
-    upper = F.round(wilson(F.col("k"), F.col("n"), Z1)[1], 6)
-    return by.select("n", "k", "m", upper.alias("upper"), F.when(F.col("n") < min_n, "INSUFFICIENT-N").when(upper < bar, "PASS").when(F.col("k") == 0, "FLAG").otherwise("FAIL").alias("verdict"))
+def certificate(d: DataFrame, pass_u: float = 0.005, fail_u: float = 0.01, min_n: int = 300, min_confirmed: int = 25, rot: float = 0.2) -> DataFrame:
+    """Suppressed rows: labelled n, SEVs k, unlabelled m, one-sided bound, label rot and verdict. Below either floor there is no bound."""
+    quiet = F.col("action") == "suppress"
+    by = d.agg(F.count_if(quiet & F.col("became_sev12").isNotNull()).alias("n"), F.count_if(quiet & (F.col("became_sev12") == 1)).alias("k"), F.count_if(quiet & F.col("became_sev12").isNull()).alias("m"), F.count_if(F.col("became_sev12") == 1).alias("confirmed"))
+    enough = (F.col("n") >= min_n) & (F.col("confirmed") >= min_confirmed)
+    u = wilson(F.col("k"), F.col("n"), Z1)[1]
+    verdict = F.when(~enough, "INSUFFICIENT-N").when((u <= pass_u) & (F.col("k") == 0), "PASS").when((u > fail_u) | (F.col("k") >= 1), "FAIL").otherwise("FLAG")
+    return by.select("n", "k", "m", "confirmed", F.when(enough, F.round(u, 6)).alias("upper"), F.coalesce(F.try_divide("m", F.col("n") + F.col("m")) > rot, F.lit(False)).alias("label_rot"), verdict.alias("verdict"))
 
 
 def accuracy(d: DataFrame) -> DataFrame:
@@ -119,7 +128,8 @@ def paired_mcnemar(d: DataFrame) -> DataFrame:
     """Three arms of each alert: b agrees in the control pair only, c in the variant only."""
     a1, a2, b = kernel_action(90), kernel_action(90, page_h=32), kernel_action(80, uncertain_h=45)
     by = d.select(a1.alias("x"), a2.alias("y"), b.alias("z")).agg(F.count("*").alias("n"), F.count_if((F.col("x") == F.col("y")) & (F.col("x") != F.col("z"))).alias("b"), F.count_if((F.col("x") != F.col("y")) & (F.col("x") == F.col("z"))).alias("c"))
-    return by.withColumn("chi2", F.round(mcnemar_chi2(F.col("b"), F.col("c")), 6))
+    chi2 = mcnemar_chi2(F.col("b"), F.col("c"))
+    return by.withColumns({"chi2": F.round(chi2, 6), "p": F.round(erfc(F.sqrt(chi2 / 2)), 5)})
 
 
 def backtest(d: DataFrame) -> DataFrame:

@@ -11,23 +11,7 @@ from pyspark.sql import functions as F
 CHAIN = "segment long, alert_id long, body string, prev_hash string, row_hash string"
 
 
-def river(outbox: DataFrame, receipts: DataFrame) -> DataFrame:
-    """Status of each page. outbox: alert_id, action, at_us; receipts: alert_id, at_us. One shuffle: receipts are a partial aggregate before the join."""
-    confirmed = receipts.groupBy("alert_id").agg(F.min("at_us").alias("confirmed_us"), F.count("*").alias("receipts"))
-    rows = outbox.join(confirmed, "alert_id", "left")
-    paging = F.col("action").startswith("page")
-    status = (
-        F.when(F.col("action") == "suppress", "suppressed")
-        .when(paging & F.col("confirmed_us").isNotNull() & (F.col("confirmed_us") - F.col("at_us") <= 60 * 86_400_000_000), "paged")
-        .when(paging & F.col("confirmed_us").isNotNull(), "PAGED_ANOMALY")
-        .when(paging, "decided_unconfirmed")
-        .when(F.col("action") == "folded", "folded_into_aggregate")
-        .otherwise("passthrough_decided")
-    )
-    return rows.select("alert_id", "action", status.alias("status"), F.coalesce("receipts", F.lit(0)).cast("long").alias("receipts"))
-
-
-def river_fold(log: DataFrame, now_us: Column | int, sla_us: int = 60_000_000) -> DataFrame:
+def river(log: DataFrame, now_us: Column | int, sla_us: int = 60_000_000) -> DataFrame:
     """Status of each alert of a log (alert_id, seq, type, disposition, outbox_id, at_us) by the river rule.
 
     The latest decision_made counts; it is confirmed by a forward_confirmed of its outbox_id.

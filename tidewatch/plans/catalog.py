@@ -76,13 +76,14 @@ over_decisions("rank_auc", analytics.rank_auc, ", q AS (SELECT p1_h, became_sev1
 over_decisions("deciles", analytics.deciles, f", q AS (SELECT became_sev12, row_number() OVER (ORDER BY p1_h, alert_id) AS rn, count(*) OVER () AS total FROM d WHERE became_sev12 IS NOT NULL), t AS (SELECT (10 * rn - 1) // total AS decile, count(*) AS n, CAST(sum(became_sev12) AS BIGINT) AS k FROM q GROUP BY 1) SELECT decile, n, k, round(k / n, 6) AS rate, round({wilson_sql('k', 'n', 1.96, '-')}, 6) AS low, round({wilson_sql('k', 'n', 1.96, '+')}, 6) AS high FROM t")
 over_decisions("confidence_bands", analytics.confidence_bands, f", t AS (SELECT band, count(*) AS n, CAST(sum(became_sev12) AS BIGINT) AS k FROM d JOIN (VALUES ('50-59',50,59),('60-69',60,69),('70-79',70,79),('80-94',80,94),('95-100',95,100)) b(band, lo, hi) ON conf_h BETWEEN lo AND hi WHERE became_sev12 IS NOT NULL GROUP BY 1) SELECT band, n, k, round({wilson_sql('k', 'n', 1.96, '-')}, 6) AS low, round({wilson_sql('k', 'n', 1.96, '+')}, 6) AS high, n < 30 AS thin FROM t")
 over_decisions("tuner_grid", analytics.tuner_grid, ", g AS (SELECT *, CASE WHEN p1_h * 50100 < 10000 AND conf_h >= conf_min AND allowed THEN 's' WHEN p1_h + p2_h > 30 THEN 'p' WHEN p3_h + p4_h >= p1_h + p2_h AND conf_h >= 70 THEN 'q' ELSE 'b' END AS b FROM d, (VALUES (80), (85), (90), (95)) t(conf_min)), t AS (SELECT count(*) AS n, conf_min, count(*) FILTER (b = 's') AS suppressed, count(*) FILTER (b = 'p') AS paged, count(*) FILTER (b = 'q') AS queued, CAST(coalesce(sum(p1_h) FILTER (b = 's'), 0) AS BIGINT) AS expected_h FROM g GROUP BY conf_min) SELECT *, (n - suppressed) * 10000 + expected_h * 50000 AS cost FROM t")
-over_decisions("certificate", analytics.certificate, f", t AS (SELECT count(became_sev12) AS n, CAST(coalesce(sum(became_sev12), 0) AS BIGINT) AS k, count(*) FILTER (became_sev12 IS NULL) AS m FROM d WHERE action = 'suppress'), u AS (SELECT *, round({wilson_sql('k', 'n', 1.6449, '+')}, 6) AS upper FROM t) SELECT *, CASE WHEN n < 300 THEN 'INSUFFICIENT-N' WHEN upper < 0.002 THEN 'PASS' WHEN k = 0 THEN 'FLAG' ELSE 'FAIL' END AS verdict FROM u")
+over_decisions("certificate", analytics.certificate, f", t AS (SELECT count(*) FILTER (action = 'suppress' AND became_sev12 IS NOT NULL) AS n, count(*) FILTER (action = 'suppress' AND became_sev12 = 1) AS k, count(*) FILTER (action = 'suppress' AND became_sev12 IS NULL) AS m, count(*) FILTER (became_sev12 = 1) AS confirmed FROM d), u AS (SELECT *, {wilson_sql('k', 'n', 1.6449, '+')} AS p FROM t) SELECT n, k, m, confirmed, CASE WHEN n >= 300 AND confirmed >= 25 THEN round(p, 6) END AS upper, coalesce(m / nullif(n + m, 0) > 0.2, false) AS label_rot, CASE WHEN n < 300 OR confirmed < 25 THEN 'INSUFFICIENT-N' WHEN p <= 0.005 AND k = 0 THEN 'PASS' WHEN p > 0.01 OR k >= 1 THEN 'FAIL' ELSE 'FLAG' END AS verdict FROM u")
 over_decisions("outcome_accuracy", analytics.accuracy, ", t AS (SELECT severity_in, count(*) AS n, CAST(sum(became_sev12) AS BIGINT) AS sev12, count(*) FILTER (became_sev12 = 1 AND action = 'suppress') AS false_suppressed, count(*) FILTER (became_sev12 = 1 AND action = 'page_now') AS right_pages, count(*) FILTER (action = 'page_now') AS pages FROM d WHERE became_sev12 IS NOT NULL GROUP BY 1) SELECT *, round(coalesce(false_suppressed / nullif(sev12, 0), 0.0), 6) AS false_suppress_rate, round(right_pages / nullif(pages, 0), 6) AS page_precision FROM t")
 over_decisions("psi", lambda d: analytics.psi(d, F.col("severity_in"), F.col("alert_id") % 3 == 0), ", t AS (SELECT severity_in AS bucket, count(*) FILTER (alert_id % 3 = 0) AS e, count(*) FILTER (alert_id % 3 <> 0) AS a FROM d GROUP BY 1), u AS (SELECT *, greatest(e / (SELECT sum(e) FROM t), 1e-9) AS pe, greatest(a / (SELECT sum(a) FROM t), 1e-9) AS pa FROM t) SELECT bucket, e, a, round((pa - pe) * ln(pa / pe), 6) AS psi FROM u")
 over_decisions("flip_records", analytics.flip_records, "SELECT sha256(concat_ws('|', service, check_name, CAST(k // 10 AS VARCHAR))) AS input_sha256, count(*) AS n, min(alert_id) AS first_id, max(alert_id) AS last_id, count(DISTINCT action) AS actions, count(DISTINCT action) > 1 AS flipped FROM d GROUP BY 1 HAVING count(*) > 1")
 over_decisions("impact_report", analytics.impact, "SELECT concat(action, '->', CASE WHEN q3_choice = 'cannot_determine' THEN 'passthrough' WHEN p1_h = 0 AND conf_h >= 80 AND allowed THEN 'suppress' WHEN p1_h + p2_h > 30 OR conf_h < 50 THEN 'page_now' WHEN p3_h + p4_h >= 50 AND conf_h >= 70 THEN 'page_business_hours' ELSE 'passthrough' END) AS transition, count(*) AS n FROM d GROUP BY 1")
 _ARM = "CASE WHEN q3_choice = 'cannot_determine' THEN 'passthrough' WHEN p1_h = 0 AND conf_h >= {c} AND allowed THEN 'suppress' WHEN p1_h + p2_h > {p} OR conf_h < {u} THEN 'page_now' WHEN p3_h + p4_h >= 50 AND conf_h >= 70 THEN 'page_business_hours' ELSE 'passthrough' END"
-over_decisions("paired_mcnemar", analytics.paired_mcnemar, f", q AS (SELECT {_ARM.format(c=90, p=30, u=50)} AS x, {_ARM.format(c=90, p=32, u=50)} AS y, {_ARM.format(c=80, p=30, u=45)} AS z FROM d), t AS (SELECT count(*) AS n, count(*) FILTER (x = y AND x <> z) AS b, count(*) FILTER (x <> y AND x = z) AS c FROM q) SELECT n, b, c, CASE WHEN b + c >= 10 THEN round(pow(abs(b - c) - 1, 2) / (b + c), 6) END AS chi2 FROM t")
+_ERFC = "(1/(1+0.3275911*{x}))*(0.254829592+(1/(1+0.3275911*{x}))*(-0.284496736+(1/(1+0.3275911*{x}))*(1.421413741+(1/(1+0.3275911*{x}))*(-1.453152027+(1/(1+0.3275911*{x}))*1.061405429))))*exp(-{x}*{x})"
+over_decisions("paired_mcnemar", analytics.paired_mcnemar, f", q AS (SELECT {_ARM.format(c=90, p=30, u=50)} AS x, {_ARM.format(c=90, p=32, u=50)} AS y, {_ARM.format(c=80, p=30, u=45)} AS z FROM d), t AS (SELECT count(*) AS n, count(*) FILTER (x = y AND x <> z) AS b, count(*) FILTER (x <> y AND x = z) AS c FROM q) SELECT n, b, c, CASE WHEN b + c >= 10 THEN round(pow(abs(b - c) - 1, 2) / (b + c), 6) END AS chi2, round({_ERFC.format(x='sqrt(pow(abs(b - c) - 1, 2) / (b + c) / 2)')}, 5) AS p FROM (SELECT n, b, c FROM t WHERE b + c >= 10) UNION ALL SELECT n, b, c, NULL, NULL FROM t WHERE b + c < 10")
 over_decisions("backtest", analytics.backtest, ", t AS (SELECT service, at_us // 86400000000 AS day, arg_min(action, (at_us, alert_id)) AS opening, max(became_sev12) AS sev, count(*) AS n FROM d GROUP BY 1, 2) SELECT *, coalesce(sev, 0) = 1 AND opening = 'suppress' AS miss FROM t")
 over_decisions("latency_quantiles", analytics.latency_quantiles, "SELECT check_name, count(*) AS n, round(quantile_cont(metric_value, 0.5), 6) AS p50, round(quantile_cont(metric_value, 0.95), 6) AS p95, round(quantile_disc(metric_value, 0.99), 6) AS p99_disc, max(metric_value) AS worst FROM d GROUP BY 1")
 over_decisions("cold_summary", analytics.cold_summary, "SELECT action, check_name, at_us // 86400000000 AS day, count(*) AS n FROM d GROUP BY GROUPING SETS ((action), (check_name), (day))")
@@ -110,9 +111,32 @@ def _pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 _ORDERS = "WITH o AS (SELECT o_orderkey AS alert_id, CASE o_orderstatus WHEN 'F' THEN 'page_now' WHEN 'O' THEN 'page_business_hours' ELSE 'passthrough' END AS action, epoch_us(o_orderdate) AS at_us FROM orders)"
 
 
-@add("river", f"{_ORDERS}, c AS (SELECT l_orderkey AS alert_id, min(epoch_us(l_shipdate)) AS c_us, count(*) AS receipts FROM lineitem GROUP BY 1) SELECT alert_id, action, CASE WHEN action LIKE 'page%' AND c_us - at_us <= 5184000000000 THEN 'paged' WHEN action LIKE 'page%' AND c_us IS NOT NULL THEN 'PAGED_ANOMALY' WHEN action LIKE 'page%' THEN 'decided_unconfirmed' ELSE 'passthrough_decided' END AS status, coalesce(receipts, 0) AS receipts FROM o LEFT JOIN c USING (alert_id)")
+#: 1997-01-01, when the river is looked at: later orders are young.
+_NOW_US = 852_076_800_000_000
+_RIVER_LOG = """WITH log AS (SELECT o_orderkey AS alert_id, 10 * o_orderkey AS seq, 'decision_requested' AS type, NULL AS disposition, NULL AS outbox_id, epoch_us(o_orderdate) AS at_us FROM orders
+UNION ALL SELECT o_orderkey, 10 * o_orderkey + 1, 'decision_made', CASE WHEN o_orderkey % 13 = 0 THEN 'suppress' WHEN o_orderkey % 17 = 0 THEN 'folded' WHEN o_orderstatus = 'F' THEN 'page_now' WHEN o_orderstatus = 'O' THEN 'page_business_hours' ELSE 'passthrough' END, CASE WHEN o_orderkey % 5 > 0 THEN concat('ob-', o_orderkey) END, epoch_us(o_orderdate) FROM orders WHERE o_orderkey % 11 > 0
+UNION ALL SELECT l_orderkey, 10 * l_orderkey + 1 + l_linenumber, 'forward_confirmed', NULL, concat(CASE WHEN l_returnflag = 'R' THEN 'other-' ELSE 'ob-' END, l_orderkey), epoch_us(l_shipdate) FROM lineitem WHERE l_linenumber = 1 AND l_returnflag <> 'N')"""
+
+
+@add("river", _RIVER_LOG + """, made AS (SELECT *, row_number() OVER (PARTITION BY alert_id ORDER BY seq DESC) AS r FROM log WHERE type = 'decision_made'),
+a AS (SELECT alert_id, max(seq) AS seq, count(*) FILTER (type = 'decision_requested') AS n_requested, count(*) FILTER (type = 'decision_made') AS n_decisions FROM log GROUP BY 1),
+j AS (SELECT a.*, m.disposition, m.outbox_id, m.at_us, EXISTS (SELECT 1 FROM log c WHERE c.type = 'forward_confirmed' AND c.alert_id = a.alert_id AND c.outbox_id = m.outbox_id) AS sure FROM a LEFT JOIN made m ON m.alert_id = a.alert_id AND m.r = 1)
+SELECT alert_id, seq, outbox_id, n_requested, n_decisions, CASE WHEN n_decisions = 0 THEN CASE WHEN n_requested > 0 THEN 'requested' ELSE 'unknown' END WHEN disposition = 'suppress' THEN 'suppressed' WHEN disposition LIKE 'page%' THEN CASE WHEN sure THEN 'paged' WHEN 852076800000000 - at_us > 60000000 THEN 'PAGED_ANOMALY' ELSE 'decided_unconfirmed' END WHEN disposition = 'passthrough' THEN CASE WHEN outbox_id IS NOT NULL AND NOT sure THEN 'passthrough_unconfirmed' ELSE 'passthrough_decided' END WHEN disposition = 'folded' THEN 'folded_into_aggregate' ELSE 'unknown' END AS status FROM j""")
 def river(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return eventlog.river(*_pages(spark, sf_dir))
+    return eventlog.river(river_log(spark, sf_dir), _NOW_US)
+
+
+def river_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of requests, decisions and confirmations, from orders and their first lines."""
+    o, lines = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem").where("l_linenumber = 1 and l_returnflag <> 'N'")
+    key, none = F.col("o_orderkey"), F.lit(None).cast("string")
+    said = F.when(key % 13 == 0, "suppress").when(key % 17 == 0, "folded").when(F.col("o_orderstatus") == "F", "page_now").when(F.col("o_orderstatus") == "O", "page_business_hours").otherwise("passthrough")
+    rows = lambda df, k, seq, kind, what, box, at: df.select(k.alias("alert_id"), seq.alias("seq"), F.lit(kind).alias("type"), what.alias("disposition"), box.alias("outbox_id"), src.micros(at).alias("at_us"))
+    asked = rows(o, key, key * 10, "decision_requested", none, none, F.col("o_orderdate"))
+    made = rows(o.where(key % 11 > 0), key, key * 10 + 1, "decision_made", said, F.when(key % 5 > 0, F.concat(F.lit("ob-"), key.cast("string"))), F.col("o_orderdate"))
+    line = F.col("l_orderkey")
+    sure = rows(lines, line, line * 10 + 1 + F.col("l_linenumber"), "forward_confirmed", none, F.concat(F.when(F.col("l_returnflag") == "R", "other-").otherwise("ob-"), line.cast("string")), F.col("l_shipdate"))
+    return asked.unionByName(made).unionByName(sure)
 
 
 @add("orphans", f"{_ORDERS} SELECT alert_id, action, at_us FROM o WHERE 1000000000000000 - at_us > 30000000 AND alert_id NOT IN (SELECT l_orderkey FROM lineitem)")
