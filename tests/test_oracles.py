@@ -2,7 +2,9 @@
 
 import duckdb
 import pytest
-from tidewatch.plans import catalog
+from tidewatch.plans import catalog, legs
+
+assert legs  # adds its queries to the catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = "nation customer orders lineitem events conversations".split()
