@@ -445,3 +445,28 @@ def test_empty_tables(spark):
         assert out.isEmpty()
     labelled = docs.withColumn("lang", F.lit("a"))
     assert langid.identify(docs, langid.fit(labelled)).isEmpty()
+
+
+def test_wide_parities():
+    """Folding to the smaller size, and never more places than shingles that differ."""
+    rng = np.random.default_rng(2)
+    for n, m in ((1_100, 1_100), (2_100, 1_900), (5_000, 1_200)):
+        a = np.unique(rng.integers(0, 1 << 62, n, np.uint64))
+        b = np.unique(np.concatenate([a[: m // 2], rng.integers(0, 1 << 62, m - m // 2, np.uint64)]))
+        apart = len(np.setxor1d(a, b))
+        places = jaccard_join.turned(jaccard_join.wide_parities(a), jaccard_join.wide_parities(b))
+        assert 0 < places <= apart and (places - apart) % 2 == 0
+        assert jaccard_join.turned(jaccard_join.wide_parities(a), jaccard_join.wide_parities(a)) == 0
+    assert jaccard_join.wide_parities(a[:10]) is None
+
+
+@pytest.mark.parametrize("name", ["op5_decontaminate", "op7_substring_dedup", "op9_jaccard_join"])
+def test_oracles(spark, name):
+    """The queries over whole tables against independent SQL."""
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want = con.execute(queries.ORACLES[name])
+    columns = [c[0] for c in want.description]
+    assert by_row(queries.QUERIES[name](spark, sf), columns) == sorted(map(repr, want.fetchall()))

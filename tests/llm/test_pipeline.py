@@ -52,3 +52,20 @@ def test_scattered_edits_are_near_duplicates(spark, tmp_path):
     edited = [f"edit{k}" if k in (30, 70) else w for k, w in enumerate(words)]
     docs = spark.createDataFrame([(1, " ".join(words), "aa", "s", 0), (2, " ".join(edited), "aa", "s", 0), (3, "another text", "aa", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
     assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()} == {1, 3}
+
+
+def test_stages_with_clashing_columns_and_empty_tables(spark, tmp_path):
+    names = "lang_pred string, score double, n_words long, items string, __none string, c long, component string"
+    schema = f"doc_id long, text string, lang string, source string, n_chars long, {names}"
+    extra = ("x", 1.0, 1, "i", "n", 1, "k")
+    texts = [(1, "kara mala tara " * 5, "aa"), (2, "kara mala tara " * 5, "aa"), (3, None, None), (4, "", "bb"), (5, "öxi lüti zök " * 5, "bb"), (5, "öxi lüti zök " * 5, "bb")]
+    docs = spark.createDataFrame([(i, t, lang, "s", 0, *extra) for i, t, lang in texts], schema)
+    spark.createDataFrame([("i", "zök lüti")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for df in (docs, docs.limit(0)):
+        counts = []
+        for _, stage in corpus_pipeline.STAGES[:4]:
+            df = stage(spark, df, str(tmp_path))
+            assert df.columns == docs.columns
+            counts.append(df.count())
+        counts.append(corpus_pipeline.STAGES[4][1](spark, df, str(tmp_path)).count())
+        assert counts == ([4, 2, 2, 2, 2] if max(counts) else [0] * 5)

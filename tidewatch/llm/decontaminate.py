@@ -14,7 +14,8 @@ Null text has no words. Items without words or with null text match nothing.
 Items with equal ids count once, also if their texts differ; a null id marks
 words but is not listed. Repeated documents get equal results, and extra columns
 are ignored. Items are sent to executors in parts of at most PART_BYTES of text;
-more items than that take more passes over the documents.
+more items than that take more passes over the documents. A text of any length is
+walked as a whole; without documents there is no result.
 """
 
 from __future__ import annotations
@@ -176,10 +177,10 @@ def parts(items: DataFrame, item_id: str, text: str) -> Iterator[tuple[str, obje
 
 
 def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, keep: list[str] | None = None, cut: bool = False) -> DataFrame:
-    """Columns keep (key alone, if not given), the text as `__text` (cut: without its hit words), n_words, spans (begin, end of maximal hit word ranges) and items (ids) of every row."""
+    """Columns keep (key alone, if not given), the text as `__text` (cut: without its hit words), `__n_words`, `__ends` (begin, end of maximal hit word ranges) and `__items` (ids) of every row."""
     keep = [key] if keep is None else keep
     kept = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    out = docs.select(*keep, F.col(text).cast("string").alias("__text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("__ends"), F.array().cast("array<string>").alias("items"))
+    out = docs.select(*keep, F.col(text).cast("string").alias("__text"), F.lit(0).cast("long").alias("__n_words"), F.array().cast("array<long>").alias("__ends"), F.array().cast("array<string>").alias("__items"))
     for k, (name, shipped, last) in enumerate(parts(items, item_id, item_text)):
         if k:
             out = stored(out, "decontaminate")
@@ -198,13 +199,13 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
                     ends.append(np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]]))).tolist() if found or had else [])
                     texts.append(without(t, ends[-1]) if cut else t)
                     ids.append(sorted({*names, *(sam.names[i] for i in found if sam.names[i] is not None)}))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(texts, pa.string()) if cut else batch.column(n), pa.array(counts, pa.int64()), pa.array(ends, pa.list_(pa.int64())), pa.array(ids, pa.list_(pa.string()))], names=[*keep, "__text", "n_words", "__ends", "items"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(texts, pa.string()) if cut else batch.column(n), pa.array(counts, pa.int64()), pa.array(ends, pa.list_(pa.int64())), pa.array(ids, pa.list_(pa.string()))], names=[*keep, "__text", "__n_words", "__ends", "__items"])
 
-        out = out.mapInArrow(run, f"{kept}__text string, n_words long, __ends array<long>, items array<string>")
-    return out.withColumnRenamed("__ends", "span_ends")
+        out = out.mapInArrow(run, f"{kept}__text string, __n_words long, __ends array<long>, __items array<string>")
+    return out
 
 
-def n_hit(ends: str = "span_ends"):
+def n_hit(ends: str = "__ends"):
     """Hit words: ends less begins of the ranges."""
     return F.aggregate(ends, F.struct(F.lit(0).cast("long").alias("s"), F.lit(-1).cast("long").alias("sign")), lambda a, x: F.struct((a.s + a.sign * x).alias("s"), (-a.sign).alias("sign")), lambda a: a.s)
 
@@ -212,7 +213,7 @@ def n_hit(ends: str = "span_ends"):
 def report(docs: DataFrame, items: DataFrame, key: str = "doc_id", **columns) -> DataFrame:
     """Per document: n_words, n_hit, n_items, items_sha256 and contaminated."""
     return contamination(docs, items, key, **columns).select(
-        key, "n_words", n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("span_ends") > 0).alias("contaminated")
+        key, F.col("__n_words").alias("n_words"), n_hit().alias("n_hit"), F.size("__items").cast("long").alias("n_items"), F.sha2(F.array_join("__items", ","), 256).alias("items_sha256"), (F.size("__ends") > 0).alias("contaminated")
     )
 
 
@@ -224,7 +225,7 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", max_coverage: f
     """
     cols = docs.columns
     found = contamination(docs.select(*cols), items, text=text, keep=[c for c in cols if c != text], cut=True, **columns)
-    found = found.where((F.col("n_words") == 0) | (n_hit() <= max_coverage * F.col("n_words")))
+    found = found.where((F.col("__n_words") == 0) | (n_hit() <= max_coverage * F.col("__n_words")))
     return found.select(*[F.col("__text").alias(c) if c == text else F.col(c) for c in cols])
 
 

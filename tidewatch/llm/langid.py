@@ -127,16 +127,16 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     return LanguageModel(languages, logp, prior)
 
 
-def identify(docs: DataFrame, model: LanguageModel, text: str = "text", key: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
-    """Columns keep (key alone, if not given), lang_pred and score of every row."""
+def identify(docs: DataFrame, model: LanguageModel, text: str = "text", key: str = "doc_id", keep: list[str] | None = None, into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Columns keep (key alone, if not given), and the language and score of every row, by the names of into."""
     keep = [key] if keep is None else keep
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", lang_pred string, score double"
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + f", {into[0]} string, {into[1]} double"
     at = keep.index(text) if text in keep else len(keep)
 
     def run(batches):
         for batch in batches:
             names, scores = shipped.value.predict(batch.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, *into])
 
     return docs.select(*keep, *[] if text in keep else [F.col(text).cast("string").alias("__text")]).mapInArrow(run, schema)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, decontaminate, jaccard_join, knn, langid, secrets, substring_dedup, suffix_dedup, toxicity, urltree
+from tidewatch.llm import bpe, decontaminate, jaccard_join, knn, langid, oracles, secrets, substring_dedup, suffix_dedup, toxicity, urltree
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,8 +84,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
-#: The others need learned models, components, or exact regular expressions over code points; tests hold them against brute force.
+#: The others need learned models, ranked merges, or positions of regular expressions; tests hold them against brute force.
 ORACLES: dict[str, str] = {
+    "op5_decontaminate": oracles.OP5,
+    "op7_substring_dedup": oracles.OP7,
+    "op9_jaccard_join": oracles.OP9,
     "op3_top_k": """WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * v.e[i])) AS BIGINT) AS score FROM v q JOIN v ON q.vec_id % 20 = 0 AND v.vec_id <> q.vec_id),

@@ -11,7 +11,8 @@ Per kind, matches are leftmost and do not overlap; a match whose measured group
 is too short is dropped and what it consumed stays consumed. Positions count
 code points, the end is exclusive. Null and empty texts have no spans. Repeated
 rows are reported each; rows that share an id share candidates, and verification
-keeps them exact. Null ids are joined null-safely. Extra columns are ignored.
+keeps them exact. Null ids are joined null-safely. Very long texts are
+scanned as a whole, positions summed by blocks; without rows there is no result. Extra columns are ignored.
 """
 
 from __future__ import annotations
