@@ -29,29 +29,29 @@ def measured(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without letters and texts of no clear language."""
-    found = langid.identify(docs, langid.fit(docs), keep=docs.columns)
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    """Rejects texts without letters (null and empty ones too) and texts of no clear language. Ties in score go to the first language by name; repeated rows fare alike."""
+    found = langid.identify(docs, langid.fit(docs), keep=docs.columns, into=("__lang", "__score"))
+    return found.where((F.col("__lang") != langid.UNKNOWN) & (F.col("__score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of linked ones."""
+    """Keeps one document of each group of linked ones, the one of least id; texts without words are groups of their own."""
     return jaccard_join.keep_one(docs, words=SHINGLE_WORDS, percent=MIN_JACCARD_PERCENT).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes benchmark passages, and documents that are mostly such."""
+    """Removes benchmark passages, and documents that are mostly such. Null and empty texts stay; without items nothing goes."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return measured(decontaminate.clean(docs, items, max_coverage=MAX_BENCHMARK_SHARE), docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces secrets by a mark."""
+    """Replaces secrets by a mark. Null and empty texts stay as they are."""
     return measured(secrets.redact(docs), docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of what is left."""
+    """Token counts and digests of what is left; null counts as empty."""
     return bpe.BpeTokenizer(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).digest(docs)
 
 
