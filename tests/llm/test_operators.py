@@ -177,6 +177,14 @@ def test_language_id(spark, texts):
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_rare_languages_are_drawn_first(spark):
+    assert langid.shares({"a": 1000, "b": 10, "c": 100}, 300) == {"b": 1.0, "c": 1.0, "a": 0.19}
+    rows = spark.range(2000).selectExpr("id AS doc_id", "if(id % 500 = 7, 'zzzz', 'aaaa') AS text", "if(id % 500 = 7, 'rare', 'common') AS lang")
+    model = langid.fit(rows, fit_rows=50)
+    assert model.languages == ["common", "rare"] and model.predict(["zzz", "aaa"])[0] == ["rare", "common"]
+    assert np.exp(model.prior).round(6).tolist() == [0.998, 0.002]
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.001"
     found = queries.op6_language_id(spark, sf).where("held_out").join(queries.table(spark, sf, "documents").where("lang is not null"), "doc_id")

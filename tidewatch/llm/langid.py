@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import chunks
 
 BUCKETS = 1 << 15
-#: Expected number of labelled rows that a fit reads, drawn by a hash of the row's key.
+#: Expected number of labelled rows that a fit reads, drawn by language and a hash of the row's key.
 FIT_ROWS = 20_000
 #: The matrix goes to every executor: more languages than this are refused.
 MAX_LANGUAGES = 1_000
@@ -91,12 +91,24 @@ class LanguageModel:
         return names, scores
 
 
+def shares(sizes: dict[str, int], total: int) -> dict[str, float]:
+    """What share of each language's rows is drawn, so that about total are: what rare ones leave goes to the others."""
+    out = {}
+    for k, (name, n) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], x[0]))):
+        take = min(n, total / (len(sizes) - k))
+        out[name], total = take / n, total - take
+    return out
+
+
 def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", fit_rows: int = FIT_ROWS) -> LanguageModel:
-    """Fit on about fit_rows of the rows with a language and a text, drawn by a hash of key."""
+    """Fit on about fit_rows of the rows with a language and a text: all rows of rare languages first, then equal shares, drawn by a hash of key. Priors are those of all rows."""
     usable = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(lang).alias("l"), F.col(text).alias("t"))
-    n = usable.select("l").count()
-    if n > fit_rows:
-        usable = usable.where(F.pmod(F.xxhash64("k", F.lit("langid")), F.lit(1 << 20)) < int((1 << 20) * fit_rows / n))
+    docs = dict(usable.groupBy("l").count().limit(MAX_LANGUAGES + 1).collect())
+    if len(docs) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    if sum(docs.values()) > fit_rows:
+        below = F.create_map(*[x for name, share in shares(docs, fit_rows).items() for x in (F.lit(name), F.lit(int(share * (1 << 62))).cast("long"))])
+        usable = usable.where(F.pmod(F.xxhash64("k", F.lit("langid")), F.lit(1 << 62)) < below[F.col("l")])
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
@@ -112,9 +124,6 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
             at = np.flatnonzero(had)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(had[at], pa.int64())], names=["l", "b", "n"])
     summed = usable.select("t", "l").mapInArrow(count, "l string, b int, n long").groupBy("l", "b").agg(F.sum("n").alias("n"))
-    docs = dict(usable.groupBy("l").count().limit(MAX_LANGUAGES + 1).collect())
-    if len(docs) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     languages = sorted(docs)
     counts = np.zeros((BUCKETS, len(languages)))
     found = summed.toArrow()
