@@ -29,8 +29,11 @@ def measured(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without letters (null and empty ones too) and texts of no clear language. Ties in score go to the first language by name; repeated rows fare alike."""
-    found = langid.identify(docs, langid.fit(docs), keep=docs.columns, into=("__lang", "__score"))
+    """Rejects texts without letters (null and empty ones too) and texts of no clear language. Ties in score go to the first language by name; repeated rows fare alike. Where no document has a language, nothing is learned and all stay."""
+    model = langid.fit(docs)
+    if not model.languages:
+        return docs
+    found = langid.identify(docs, model, keep=docs.columns, into=("__lang", "__score"))
     return found.where((F.col("__lang") != langid.UNKNOWN) & (F.col("__score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
 
 
