@@ -69,3 +69,9 @@ def test_stages_with_clashing_columns_and_empty_tables(spark, tmp_path):
             counts.append(df.count())
         counts.append(corpus_pipeline.STAGES[4][1](spark, df, str(tmp_path)).count())
         assert counts == ([4, 2, 2, 2, 2] if max(counts) else [0] * 5)
+
+
+def test_language_stage_without_languages(spark):
+    rows = lambda lang: spark.createDataFrame([(1, "a b", lang), (2, None, None)], "doc_id long, text string, lang string")
+    assert sorted(r[0] for r in corpus_pipeline.language_id(spark, rows(None), "").collect()) == [1, 2]
+    assert [r[0] for r in corpus_pipeline.language_id(spark, rows("x"), "").collect()] == [1]
