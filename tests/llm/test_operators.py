@@ -407,12 +407,36 @@ def test_linked_sets_share_a_signature(words, percent, left_out):
             assert 100 * both < percent * (len(a) + len(b) - both) or one & two
 
 
+@pytest.mark.parametrize("words, percent", [(3, 90), (5, 80), (1, 60)])
+def test_spare_segments_lose_no_link(words, percent):
+    """Partners of the threshold's similarity whose numbers of empty segments lie about the spare ones, for several spare numbers."""
+    rng = np.random.default_rng(4)
+    seen = set()
+    for spare in (0, 1, 3, 8):
+        for left_out in (False, True):
+            join = jaccard_join.Join(words, percent)
+            join.spare, join.leave_out = dict.fromkeys(range(60), spare), set(range(60)) if left_out else set()
+            for n in [*range(1, 60, 2), 90, 200]:
+                a = np.unique(rng.integers(0, 1 << 40, n, np.uint64))
+                few = a - a % np.uint64(join.segments(join.band(n)) + spare) if n % 3 else a  # all in one segment
+                for base in (a, np.unique(few)):
+                    apart = int(len(base) * (100 - percent) / percent)
+                    other = np.union1d(base, rng.integers(1 << 50, 1 << 51, apart, np.uint64))
+                    both = len(np.intersect1d(base, other))
+                    if 100 * both >= percent * len(np.union1d(base, other)):
+                        one, two = (set(jaccard_join.signatures(x, join).tolist()) for x in (base, other))
+                        assert one & two
+                        seen.add((spare, left_out))
+    assert len(seen) == 8
+
+
 def test_allocation_follows_the_sizes():
     join = jaccard_join.Join(3, 90)
     join.allocate([(12, 1_000_000)])
     assert join.leave_out
     join.allocate([(400, 1_000_000)])
     assert not join.leave_out
+    assert set(join.spare.values()) == {1}
 
 
 def test_frequent_signatures_are_salted(spark):

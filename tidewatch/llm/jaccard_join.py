@@ -10,13 +10,18 @@ segments' signatures under its own band and, where it can have smaller partners
 there, under the band before.
 
 Allocation by cost: an empty segment agrees with every other empty one, the
-longest posting list there is. From the sizes of all sets, each band's cost of
-those lists is weighed against the cost of doing without: a set then leaves its
-empty segments out and indexes the others with their one-deletion neighbourhoods
-as well, which find partners that differ by one shingle in a segment. Two sets
-that share empty segments only, and differ by two shingles or more in each segment
-that neither leaves out, have more than half of their segments empty; a set with
-so many indexes the empty ones too. So no link is lost, whichever way a band goes.
+longest posting list there is, so empty segments are not listed. Each band takes
+some segments more than H + 1 instead: if one of two partners has no more empty
+segments than that, they agree in a segment that holds shingles. A set with more
+empty ones is listed once more, over H + 1 segments and among such sets only; there
+the cost of lists of empty segments is weighed against leaving them out and
+indexing the others with their one-deletion neighbourhoods as well, which find
+partners that differ by one shingle in a segment. Two sets that share empty
+segments only, and differ by two shingles or more in each segment that neither
+leaves out, have more than half of their segments empty; a set with so many indexes
+the empty ones too. How many segments a band takes more, and whether empty ones are
+left out, is what costs least by the sizes of all sets. No link is lost, whichever
+way a band goes.
 
 Signatures are shuffled once, and sorted; those of one class alone end there. A
 signature that a sample of rows shows to be frequent is salted by class, so its
@@ -43,6 +48,8 @@ its n_shingles; its component is the least id it reaches, null if none. Extra co
 
 from __future__ import annotations
 
+from math import erfc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -77,19 +84,27 @@ class Join:
             self.edges.append(self.edges[-1] * 100 // percent + 1)
         self._edges = np.array(self.edges, np.int64)
 
-        #: Bands whose empty segments are left out; see allocate.
+        #: Segments that each band has beyond H + 1, and bands whose listed empty segments are left out; see allocate.
+        self.spare: dict[int, int] = {}
         self.leave_out: set[int] = set()
 
     def allocate(self, sizes: list[tuple[int, int]]) -> None:
-        """From (set size, number of sets): bands in which pairs of equal empty segments would cost more than one-deletion neighbourhoods."""
-        pairs, more = {}, {}
+        """From (set size, number of sets): per band the spare segments that make fewest signatures, and whether one-deletion neighbourhoods cost less than pairs of equal empty segments."""
+        self.spare, self.leave_out = {}, set()
+        held: dict[int, list[tuple[int, int]]] = {}
         for n, count in sizes:
             for k in self.bands(n):
-                m = self.segments(k)
-                empty = (1 - 1 / m) ** n
-                pairs[k] = pairs.get(k, 0.0) + count * empty
-                more[k] = more.get(k, 0.0) + count * min(1.0, m * empty) * n
-        self.leave_out = {k for k, listed in pairs.items() if self.segments(k) * listed * listed / 2 > more[k]}
+                held.setdefault(k, []).append((n, count))
+        for k, listed in held.items():
+            n, count = np.array(listed, np.float64).T
+            m = self.segments(k)
+            tries = {0, 1, 2, 3, *(-(-m * share // 100) for share in range(1, 41))}
+            beyond = {g: share_beyond(n, m + g, g) for g in tries}
+            self.spare[k] = min(sorted(tries), key=lambda g: float((count * (m + g + beyond[g] * (m + n))).sum()))
+            rare = count * beyond[self.spare[k]]
+            pairs = (float(rare.sum()) * (self.spare[k] + 1)) ** 2 / m / 2
+            if pairs > float((rare * n).sum()):
+                self.leave_out.add(k)
 
     def bands(self, n: int) -> tuple[int, ...]:
         """Under which a set of n shingles is indexed: its own, and the one before if partners can be there."""
@@ -111,6 +126,18 @@ class Join:
         return (differ * (100 + self.percent) <= (na + nb) * (100 - self.percent)) & (na * 100 >= nb * self.percent) & (nb * 100 >= na * self.percent)
 
 
+def share_beyond(n: np.ndarray, segments: int, spare: int) -> np.ndarray:
+    """About the share of sets of n shingles with more than spare of the segments empty: their number is taken as Poisson, from 30 on as normal."""
+    empty = segments * (1 - 1 / segments) ** n
+    z = (spare + 0.5 - empty) / np.sqrt(2 * np.maximum(empty, 30))
+    normal = np.array([erfc(x) / 2 for x in z.tolist()])
+    term, fewer = np.exp(-empty), np.zeros(len(n))
+    for j in range(min(spare, 200) + 1):
+        fewer += term
+        term = term * empty / (j + 1)
+    return np.where(empty < 30, np.maximum(1 - fewer, 0), normal)
+
+
 def shingles(words: list[bytes], hashes: np.ndarray, seed: int, size: int) -> np.ndarray:
     """Sorted distinct 64-bit shingle hashes."""
     if not words:
@@ -166,12 +193,20 @@ def signatures(s: np.ndarray, join: Join) -> np.ndarray:
         return np.empty(0, np.uint64)
     content = mix(s, 1)
     low, high = (content & np.uint64(0xFFFFFFFF)).astype(np.float64), (content >> np.uint64(32)).astype(np.float64)
-    for k in join.bands(n):
-        m = join.segments(k)
+
+    def dealt(m: int, family: int):
+        """Over m segments: each shingle's segment, and of the segments the sum of contents, the place and whether it holds any."""
         at = (s % np.uint64(m)).astype(np.int64)
         total = np.bincount(at, low, m).astype(np.uint64) + (np.bincount(at, high, m).astype(np.uint64) << np.uint64(32))
-        place = mix(np.arange(m, dtype=np.uint64) + np.uint64(k << 40), 1)
-        full = np.bincount(at, minlength=m) > 0
+        return at, total, mix(np.arange(m, dtype=np.uint64) + np.uint64(family << 40), 1), np.bincount(at, minlength=m) > 0
+
+    for k in join.bands(n):
+        m, spare = join.segments(k), join.spare.get(k, 0)
+        _, total, place, full = dealt(m + spare, 2 * k)
+        out.append(mix(total[full] ^ place[full]))
+        if m + spare - full.sum() <= spare:
+            continue
+        at, total, place, full = dealt(m, 2 * k + 1)
         if k not in join.leave_out or full.all():
             out.append(mix(total ^ place))
         else:
