@@ -25,7 +25,7 @@ BUCKETS = 1 << 15
 FIT_ROWS = 20_000
 #: The matrix goes to every executor: more languages than this are refused.
 MAX_LANGUAGES = 1_000
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 250_000
 UNKNOWN = "und"
 
 _FOLD: list[np.ndarray] = []
