@@ -69,6 +69,8 @@ BITS = 64 * WORDS
 FACTS = ["n", *[f"p{i}" for i in range(WORDS)]]
 #: Sets of more shingles than this have parities in as many places as shingles, too, in a column of their own.
 WIDE_FROM = 1024
+#: Texts that are Python strings at a time.
+SLICE = 256
 
 
 class Join:
@@ -156,6 +158,12 @@ def sets_of(texts: list[str | None], seed: int, size: int):
         yield shingles(words, word_hashes(words), seed, size)
 
 
+def sets_in(column: pa.Array, seed: int, size: int):
+    """The shingle set of each text of a column, of which a slice at a time becomes Python strings."""
+    for begin in range(0, len(column), SLICE):
+        yield from sets_of(column.slice(begin, SLICE).to_pylist(), seed, size)
+
+
 def class_of(s: np.ndarray) -> tuple[int, int]:
     """Two independent 64-bit digests of a set."""
     a, b = (int(mix(s, k).sum(dtype=np.uint64)) for k in (2, 3))
@@ -221,7 +229,7 @@ def scan_sets(docs: DataFrame, seed: int, join: Join) -> DataFrame:
     def run(batches):
         for batch in batches:
             found, wide = [], []
-            for s in sets_of(batch.column(2).to_pylist(), seed, join.words):
+            for s in sets_in(batch.column(2), seed, join.words):
                 found.append((len(s), *class_of(s), *parities(s).tolist()))
                 wide.append(wide_parities(s))
             columns = list(zip(*found)) if found else [()] * (3 + WORDS)
@@ -244,7 +252,7 @@ def scan_signatures(docs: DataFrame, seed: int, join: Join, frequent: np.ndarray
                 salt = np.where(often, 1 + c % SALTS, 0).astype(np.int8)
                 return pa.RecordBatch.from_arrays([pa.array(at), pa.array(salt), pa.array(c)], names=["sig", "salt", "c"])
 
-            for s in sets_of(batch.column(2).to_pylist(), seed, join.words):
+            for s in sets_in(batch.column(2), seed, join.words):
                 c = class_of(s)[0] if len(s) else 0
                 if not len(s) or c in done:
                     continue
@@ -268,7 +276,7 @@ def frequent_signatures(rows: DataFrame, n: int, seed: int, join: Join) -> np.nd
 
     def run(batches):
         for batch in batches:
-            for s in sets_of(batch.column(2).to_pylist(), seed, join.words):
+            for s in sets_in(batch.column(2), seed, join.words):
                 yield pa.RecordBatch.from_arrays([pa.array(signatures(s, join).view(np.int64))], names=["sig"])
 
     often = some.mapInArrow(run, "sig long").groupBy("sig").agg(F.count("*").alias("n")).where(F.col("n") >= max(4, SAMPLE_ROWS * FREQUENT))
@@ -288,8 +296,8 @@ def scan_shingles(docs: DataFrame, seed: int, join: Join) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                found = [s.view(np.int64) for s in sets_of(batch.column(2).slice(begin, 256).to_pylist(), seed, join.words)]
+            for begin in range(0, batch.num_rows, SLICE):
+                found = [s.view(np.int64) for s in sets_of(batch.column(2).slice(begin, SLICE).to_pylist(), seed, join.words)]
                 at = np.concatenate([[0], np.cumsum([len(s) for s in found])]).astype(np.int32)
                 values = pa.array(np.concatenate([np.empty(0, np.int64), *found]))
                 yield pa.RecordBatch.from_arrays([pa.array([class_of(s.view(np.uint64))[0] for s in found], pa.int64()), pa.ListArray.from_arrays(pa.array(at), values)], names=["c", "s"])
