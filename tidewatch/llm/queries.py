@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, decontaminate, jaccard_join, knn, langid, oracles, secrets, substring_dedup, suffix_dedup, toxicity, urltree
+from tidewatch.llm import bpe, decontaminate, divergence, jaccard_join, knn, langid, merkle, oracles, packing, secrets, substring_dedup, suffix_dedup, toxicity, urltree
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,22 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf_dir, "documents"), digest=True)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    hit = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(2)) == 0
+    text = F.when(F.coalesce(hit, F.lit(False)), F.translate("text", "\n", "")).otherwise(F.col("text"))
+    found = merkle.manifest(docs, tampered={"text": text})
+    return found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op12_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_secrets": op2_secrets,
@@ -82,6 +98,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_divergence_audit": op12_divergence_audit,
+    "op13_best_fit_packing": op13_best_fit_packing,
 }
 
 #: The others need learned models, ranked merges, or positions of regular expressions; tests hold them against brute force.
@@ -89,6 +108,8 @@ ORACLES: dict[str, str] = {
     "op5_decontaminate": oracles.OP5,
     "op7_substring_dedup": oracles.OP7,
     "op9_jaccard_join": oracles.OP9,
+    "op11_merkle_manifest": oracles.OP11,
+    "op12_divergence_audit": oracles.OP12,
     "op3_top_k": """WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * v.e[i])) AS BIGINT) AS score FROM v q JOIN v ON q.vec_id % 20 = 0 AND v.vec_id <> q.vec_id),
