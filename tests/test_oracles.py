@@ -2,20 +2,26 @@
 
 import duckdb
 import pytest
-from tidewatch.plans import catalog, legs
+from tidewatch.plans import catalog, control, legs
 
-assert legs  # adds its queries to the catalog
+assert legs and control  # they add their queries to the catalog
 
-SF = "/root/testdata/sf0.001"
+SF, LARGE = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
+#: Held against DuckDB on the larger tables too.
+ON_LARGE = ["composition", "deciles", "digest_rank", "history_read", "noise_top_checks", "psi", "river", "running_count", "team_load", "volume_guard"]
 TABLES = "nation customer orders lineitem events conversations".split()
 
 
 @pytest.fixture(scope="module")
 def duck():
+    return {sf: connected(sf) for sf in (SF, LARGE)}
+
+
+def connected(sf):
     con = duckdb.connect()
     con.execute("SET TimeZone = 'UTC'")
     for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     return con
 
 
@@ -24,10 +30,10 @@ def norm(columns, rows):
     return sorted(tuple(str(float(r[i])) if isinstance(r[i], float) or type(r[i]).__name__ == "Decimal" else str(r[i]) for i in order) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
-def test_oracle(spark, duck, name):
-    df = catalog.QUERIES[name](spark, SF)
-    want = duck.execute(catalog.ORACLES[name])
+@pytest.mark.parametrize("name,sf", [*((n, SF) for n in sorted(catalog.ORACLES)), *((n, LARGE) for n in ON_LARGE)])
+def test_oracle(spark, duck, name, sf):
+    df = catalog.QUERIES[name](spark, sf)
+    want = duck[sf].execute(catalog.ORACLES[name])
     columns = [c[0] for c in want.description]
     assert sorted(df.columns) == sorted(columns)
     assert norm(df.columns, df.collect()) == norm(columns, want.fetchall())

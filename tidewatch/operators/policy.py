@@ -16,8 +16,12 @@ BANS = [
     ("check", "tls_cert", "TLS certificate security-posture check"),
     ("team", "security|infosec|appsec|soc|csirt|redteam|red_team|blueteam|blue_team|threatintel|threat_intel|vulnmgmt|vuln_mgmt|secteam|secops|sec_ops", "security owning team"),
 ]
-#: Page budgets and bounds of degraded routing.
-DEGRADED = {"critical": "page_now", "high": "page_now", "warning": "page_business_hours"}
+#: Severities that always get an advice; actions of the first degraded step by severity (all others pass through); severities that the severity floor pages.
+ADVISED = ["critical", "high", "p1", "p2", "emergency", "fatal"]
+DEGRADED = {"critical": "page_now", "high": "page_business_hours", "medium": "page_business_hours"}
+FLOOR = ["critical", "p1"]
+#: What a calibration fit is bound to.
+REFERENCE_CLASS, FORMULA = "R(C,W,r=0.00)", "adr013-v1"
 
 
 def security_ban(check: Column, team: Column, bans=BANS) -> Column:
@@ -49,17 +53,25 @@ def freshness(legs: dict[str, Column]) -> Column:
     return F.array_distinct(F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in legs.items()])))
 
 
-def fit_reason(fit: Column, now_us: Column, model: str, bar: float = 0.002, z: float = 1.6449, day_us: int = 86_400_000_000) -> Column:
-    """`ok`, or the first rule that a calibration fit (struct) breaks."""
-    return (
-        F.when(fit["z"] != z, "z")
-        .when(fit["valid_until_us"] <= now_us, "elapsed")
-        .when(fit["model"] != model, "model")
-        .when(fit["shift"] != "OK", "shift")
-        .when(fit["window_end_us"] < now_us - 7 * day_us, "window")
-        .when(fit["upper"] >= bar, "bar")
-        .otherwise("ok")
-    )
+def advised(severity: Column, fingerprint: Column, percent: int = 1) -> Column:
+    """Whether an alert gets an advice: grave ones all, of the others a stable share by the hash of the fingerprint. Nulls count as empty."""
+    return F.lower(F.coalesce(severity, F.lit(""))).isin(*ADVISED) | hash_share(F.coalesce(fingerprint, F.lit("")), percent)
+
+
+def fit_reason(fit: Column, now_us: Column, model: str, bar: float = 0.002, z: float = 1.6449, day_us: int = 86_400_000_000, reference_class: str = REFERENCE_CLASS, formula: str = FORMULA) -> Column:
+    """`ok`, or the first rule that a calibration fit (struct) breaks; a field that is null breaks its rule. Its id is the digest of payload, its canonical text."""
+    breaks = {
+        "binding": (fit["fit_id"] != "") & (fit["fit_id"] == F.sha2(fit["payload"], 256)),
+        "class": fit["reference_class"] == reference_class,
+        "formula": fit["formula"] == formula,
+        "z": fit["z"] == z,
+        "elapsed": fit["valid_until_us"] > now_us,
+        "model": fit["model"] == model,
+        "shift": fit["shift"] == "OK",
+        "window": fit["window_end_us"] >= now_us - 7 * day_us,
+        "bar": fit["upper"] < bar,
+    }
+    return F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in breaks.items()], F.lit("ok"))
 
 
 def attested(entries: Column, author: Column, now_us: Column, max_days: int = 30, day_us: int = 86_400_000_000) -> Column:
@@ -69,22 +81,42 @@ def attested(entries: Column, author: Column, now_us: Column, max_days: int = 30
     return F.coalesce(good(one) & good(two) & (one["by"] != two["by"]), F.lit(False))
 
 
+def by_step(step: Column, severity: Column, admitted: Column) -> Column:
+    """What a degraded step does: the first goes by severity, the floor pages critical ones, the third what its budget admits; the rest is held."""
+    label = F.lower(F.trim(F.coalesce(severity, F.lit(""))))
+    first = F.coalesce(*[F.when(label == s, a) for s, a in DEGRADED.items()], F.lit("passthrough"))
+    pages = F.when(step == 2, label.isin(*FLOOR)).otherwise(F.coalesce(admitted, F.lit(False)))
+    return F.when(step == 1, first).when(pages, "page_now").otherwise("folded")
+
+
 def compose(d: DataFrame) -> DataFrame:
     """d with `path`, `final` and `why`, in the fixed order of paths.
 
-    d has the policy table's columns and: answered, kind (duplicate, storm, new),
-    prior (a duplicate's disposition), in_window, screened, step (of the ladder), stale (names), lifecycle
-    (ok, or what blocks), witnesses (distinct corroborations) and floor.
+    d has the policy table's columns and: answered, kind (change_window, duplicate, storm, new), prior (a
+    duplicate's disposition), screened, step (of the ladder), stale (names), lifecycle (ok, or what
+    blocks), witnesses (distinct corroborations), floor, and if it has them admitted (by the third step's
+    budget) and detectors (of the screen, joined).
+
+    A duplicate without prior goes on as if it were new. A screened alert pages, whatever else holds.
     """
-    table, quiet = F.col("action"), F.col("action") == "suppress"
-    structural = F.col("kind").isin("duplicate", "storm") | F.col("in_window")
-    path = F.when(structural, "structural").when(F.col("screened"), "screen").when(F.col("step") > 0, "degraded").otherwise("table")
-    by_severity = F.coalesce(*[F.when(F.col("severity_in") == s, a) for s, a in DEGRADED.items()], F.lit("passthrough"))
+    table, quiet, step = F.col("action"), F.col("action") == "suppress", F.coalesce("step", F.lit(0))
+    kind = F.when((F.col("kind") == "duplicate") & F.col("prior").isNull(), "new").otherwise(F.coalesce("kind", F.lit("new")))
+    structural = kind.isin("change_window", "duplicate", "storm")
+    path = F.when(structural, "structural").when(F.col("screened"), "screen").when(step > 0, "degraded").otherwise("table")
+    degraded = by_step(step, F.col("severity_in"), F.col("admitted") if "admitted" in d.columns else F.lit(False))
     stale = F.size("stale") > 0
-    judged = F.when(~F.col("answered"), "passthrough").when(quiet & stale, "page_now").when(quiet & (F.col("lifecycle") != "ok"), "passthrough").when(quiet & (F.col("witnesses") < F.col("floor")), "page_now").otherwise(table)
-    because = F.when(~F.col("answered"), "error:missing_answer").when(quiet & stale, F.concat(F.lit("freshness:"), F.array_join("stale", "+"))).when(quiet & (F.col("lifecycle") != "ok"), F.concat(F.lit("policy_blocked:"), F.col("lifecycle"))).when(quiet & (F.col("witnesses") < F.col("floor")), "uncorroborated").otherwise(F.col("reason"))
-    final = F.when(path == "structural", F.when(F.col("kind") == "duplicate", F.coalesce("prior", F.lit("passthrough"))).when(F.col("kind") == "storm", "folded").otherwise("page_business_hours")).when(path == "screen", "passthrough").when(path == "degraded", by_severity).otherwise(judged)
-    why = F.when(path == "structural", F.when(F.col("kind") != "new", F.col("kind")).otherwise("change_window")).when(path == "screen", "screened").when(path == "degraded", "degraded").otherwise(because)
+    legs = [
+        (~F.coalesce("answered", F.lit(False)), F.lit("passthrough"), F.lit("error:missing_answer")),
+        (quiet & stale, F.lit("page_now"), F.concat(F.lit("freshness:"), F.array_join("stale", "|"))),
+        (quiet & (F.col("lifecycle") != "ok"), F.lit("passthrough"), F.concat(F.lit("policy_blocked:"), F.col("lifecycle"))),
+        (quiet & (F.col("witnesses") < F.col("floor")), F.lit("page_now"), F.lit("uncorroborated")),
+    ]
+    judged = F.coalesce(*[F.when(c, a) for c, a, _ in legs], table)
+    because = F.coalesce(*[F.when(c, w) for c, _, w in legs], F.col("reason"))
+    bars = F.when(kind == "change_window", "page_business_hours").when(kind == "duplicate", F.col("prior")).otherwise("folded")
+    final = F.when(path == "structural", bars).when(path == "screen", "page_now").when(path == "degraded", degraded).otherwise(judged)
+    held = F.concat(F.lit("failopen_step"), step.cast("string"), F.when((step > 1) & (degraded == "folded"), "_digest").otherwise(""))
+    why = F.when(path == "structural", F.when(kind == "duplicate", "dedup").otherwise(kind)).when(path == "screen", F.concat_ws(":", F.lit("firewall"), F.col("detectors") if "detectors" in d.columns else F.lit(None).cast("string"))).when(path == "degraded", held).otherwise(because)
     return d.withColumns({"path": path, "final": final, "why": why})
 
 
@@ -101,11 +133,13 @@ def corroborate(alerts: DataFrame, evidence: DataFrame, max_age_us: int, skew_us
 
 
 def lifecycle_tick(policies: DataFrame, now_us: int) -> DataFrame:
-    """At most one step each: an override reverts, live falls due for review, due expires. Columns: state, new_state, event."""
+    """At most one step each: a live override that is over expires, live falls due for review, review-due expires after its grace. Columns: state, new_state, event. Null times never come."""
+    said = lambda state, event: F.struct(F.lit(state).alias("new_state"), F.lit(event).alias("event"))
+    live = F.col("state") == "live"
     step = (
-        F.when(F.col("override_until_us") <= now_us, F.struct(F.lit("live").alias("new_state"), F.lit("override_reverted").alias("event")))
-        .when((F.col("state") == "live") & (F.col("review_at_us") <= now_us), F.struct(F.lit("review_due").alias("new_state"), F.lit("review_due").alias("event")))
-        .when((F.col("state") == "review_due") & (F.col("expires_at_us") <= now_us), F.struct(F.lit("expired").alias("new_state"), F.lit("expired").alias("event")))
+        F.when(live & (F.col("override_until_us") <= now_us), said("expired", "policy_override_reverted"))
+        .when(live & (F.col("review_at_us") <= now_us), said("review_due", "policy_review_due"))
+        .when((F.col("state") == "review_due") & (F.col("grace_until_us") <= now_us), said("expired", "policy_expired"))
         .otherwise(F.struct(F.col("state").alias("new_state"), F.lit(None).cast("string").alias("event")))
     )
     return policies.withColumn("s", step).select("policy_id", "version", "state", "s.new_state", "s.event")

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections import deque
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.operators import asof, ladder
+
 #: Seconds to the next attempt, by attempts made; the last one goes on.
 BACKOFF_S = [5, 15, 45, 120, 300, 900, 1800, 1800]
 
@@ -18,35 +24,127 @@ def band_trips(decided: DataFrame, baselines: DataFrame, window_us: int, least:
     return rows.select("policy_id", "window", "n", "k", F.round("rate", 6).alias("rate"), trip.alias("trip"))
 
 
-def page_rate(decided: DataFrame, budget: int) -> DataFrame:
-    """Pages a minute and estate, with what is over the budget."""
-    by = decided.where(F.col("action").startswith("page")).groupBy("estate", F.floor(F.col("at_us") / 60_000_000).alias("minute")).agg(F.count("*").alias("pages"))
-    return by.select("estate", "minute", "pages", F.greatest(F.col("pages") - budget, F.lit(0)).alias("over"))
+def page_rate(decided: DataFrame, budget: float, span_us: int = 300_000_000) -> DataFrame:
+    """Each decision with its estate's pages a minute over the trailing span (both ends count), and whether they are over the budget. Passing through is paging."""
+    rows = decided.select("estate", F.col("alert_id").alias("seq"), "at_us", F.coalesce(F.col("action").isin(*ladder.PAGES).cast("int"), F.lit(0)).alias("page"))
+    counted = ladder.trailing(rows, "estate", span_us, {"pages": "page"})
+    rate = F.col("pages") / F.lit(span_us / 60_000_000)
+    return counted.select("estate", F.col("seq").alias("alert_id"), "pages", (rate > budget).alias("over"))
+
+
+#: Rank of severity labels; unknown ones come last. Seconds in which a fingerprint that has paged does not page again.
+SEVERITY_RANK = {"critical": 0, "p1": 0, "high": 1, "p2": 1, "medium": 2, "p3": 2, "low": 3, "p4": 3, "info": 4}
+LAST_RANK, PAGED_AGAIN_US = 5, 300_000_000
+
+
+def severity_rank(severity: Column) -> Column:
+    label = F.lower(F.trim(F.coalesce(severity, F.lit(""))))
+    return F.coalesce(*[F.when(label == s, r) for s, r in SEVERITY_RANK.items()], F.lit(LAST_RANK))
+
+
+class Budget:
+    """The third step's admission over one activation: who pages within the minute's budget, and who is held.
+
+    Critical alerts may use the whole budget, others a share of it. Within a class an alert
+    pages if fewer held ones rank ahead of it than pages are left: graver first, then the
+    larger level shift, then who has been held longest.
+    """
+
+    def __init__(self, per_minute: int, share: float = 0.5, most: int = 10_000):
+        self.cap, self.other_cap, self.most = per_minute, int(per_minute * share), most
+        self.paged: dict[str, int] = {}
+        self.tokens: deque = deque()
+        self.held: dict[str, list] = {}  # fingerprint: key in rank, class, whether it has paged
+        self.waiting: dict[bool, list] = {True: [], False: []}  # keys in rank of those that have not
+
+    def _drop(self, entry: list) -> None:
+        if not entry[2]:
+            keys = self.waiting[entry[1]]
+            del keys[bisect_left(keys, entry[0])]
+
+    def hold(self, at: int, fingerprint: str, severity: str, z: float) -> list:
+        entry = self.held.get(fingerprint)
+        if entry is None:
+            if len(self.held) >= self.most:
+                oldest = next(iter(self.held))  # entries come in order of time
+                self._drop(self.held.pop(oldest))
+            entry = self.held[fingerprint] = [(SEVERITY_RANK.get(severity, LAST_RANK), -z, at, fingerprint), severity in ("critical", "p1"), False]
+            insort(self.waiting[entry[1]], entry[0])
+        elif entry[0][1] != -z:
+            self._drop(entry)
+            entry[0] = (entry[0][0], -z, *entry[0][2:])
+            if not entry[2]:
+                insort(self.waiting[entry[1]], entry[0])
+        return entry
+
+    def admit(self, at: int, fingerprint: str, severity: str | None, z: float | None) -> bool:
+        label, last = (severity or "").strip().lower(), self.paged.get(fingerprint)
+        entry = self.hold(at, fingerprint, label, z or 0.0)
+        if last is not None and at - last < PAGED_AGAIN_US:
+            return False
+        while self.tokens and self.tokens[0][0] < at - 60_000_000:
+            self.tokens.popleft()
+        critical = label in ("critical", "p1")
+        left = self.cap - len(self.tokens)
+        if not critical:
+            left = min(left, self.other_cap - sum(not c for _, c in self.tokens))
+        keys = self.waiting[critical]
+        if left <= 0 or bisect_left(keys, entry[0]) >= left:
+            return False
+        self._drop(entry)
+        entry[2] = True
+        self.tokens.append((at, critical))
+        self.paged[fingerprint] = at
+        return True
+
+
+def rate_capped(rows: DataFrame, per_minute: int, share: float = 0.5) -> DataFrame:
+    """estate, alert_id and state (`sent`, `held`) of the alerts of each activation of the third step.
+
+    rows: estate, activation, alert_id, at_us, fingerprint, severity_in, z. An activation starts anew,
+    so it is the unit that is folded; a null z is 0.
+    """
+
+    def run(part: pa.Table) -> pa.Table:
+        part = part.sort_by([("at_us", "ascending"), ("alert_id", "ascending")])
+        budget = Budget(per_minute, share)
+        sent = [budget.admit(r["at_us"], r["fingerprint"], r["severity_in"], r["z"]) for r in part.to_pylist()]
+        return pa.table({"estate": part["estate"], "alert_id": part["alert_id"], "state": pa.array(["sent" if s else "held" for s in sent], pa.string())})
+
+    return rows.select("estate", "activation", "alert_id", "at_us", "fingerprint", "severity_in", "z").groupBy("estate", "activation").applyInArrow(run, "estate string, alert_id long, state string")
 
 
-def rate_capped(decided: DataFrame, cap: int) -> DataFrame:
-    """Within each estate and minute the first cap pages go out, the rest are held for the digest."""
-    w = Window.partitionBy("estate", F.floor(F.col("at_us") / 60_000_000)).orderBy("at_us", "alert_id")
-    return decided.where(F.col("action") == "page_now").select("alert_id", "estate", F.when(F.row_number().over(w) <= cap, "sent").otherwise("held").alias("state"))
+def digest(held: DataFrame, top: int) -> DataFrame:
+    """Of each estate the top fingerprints of held alerts (estate, fingerprint, alert_id, at_us, severity_in, z): by severity as first held, level shift as last seen, time of the first and fingerprint."""
+    first, last = F.struct("at_us", "alert_id"), F.struct("at_us", "alert_id")
+    by = held.groupBy("estate", "fingerprint").agg(F.count("*").alias("n"), F.min_by("severity_in", first).alias("severity_in"), F.max_by(F.coalesce("z", F.lit(0.0)), last).alias("z"), F.min("at_us").alias("since_us"), F.max_by("alert_id", last).alias("alert_id"))
+    order = Window.partitionBy("estate").orderBy(severity_rank(F.col("severity_in")), F.col("z").desc(), "since_us", "fingerprint")
+    return by.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
-def digest(held: DataFrame, top: int) -> DataFrame:
-    """The fingerprints with most held alerts, grave ones first."""
-    grave = F.max((F.col("severity_in") == "critical").cast("int"))
-    by = held.groupBy("fingerprint").agg(F.count("*").alias("n"), grave.alias("grave"), F.min("at_us").alias("since_us"))
-    return by.orderBy(F.col("grave").desc(), F.col("n").desc(), "fingerprint").limit(top)
+def canary(observed: DataFrame, every: int) -> DataFrame:
+    """Every every-th observation (estate, seq, at_us, step) of an estate while it is degraded; the count goes on over all its time."""
+    return asof.running(observed.where("step > 0").select("estate", "seq", "at_us", "step"), "estate").where(F.col("nth") % every == 0)
+
 
+def daily_caps(costs: DataFrame, cap: float) -> DataFrame:
+    """estate, alert_id, admitted and spent (of the day, this one included if admitted) of each call in order of time.
 
-def canary(decided: DataFrame, every: int) -> DataFrame:
-    """Each every-th suppression of a fingerprint and day is looked at."""
-    w = Window.partitionBy("fingerprint", F.floor(F.col("at_us") / 86_400_000_000)).orderBy("at_us", "alert_id")
-    return decided.where("action = 'suppress'").withColumn("i", F.row_number().over(w)).where(F.col("i") % every == 0).select("alert_id", "fingerprint", "i")
+    A call that would pass the cap is refused and costs nothing, so a later, cheaper one may still be
+    admitted; which are depends on all before, so an estate's day is folded as one.
+    """
 
+    def run(part: pa.Table) -> pa.Table:
+        part = part.sort_by([("at_us", "ascending"), ("alert_id", "ascending")])
+        spent, admitted, so_far = 0, [], []
+        for cost in part["cost"].to_pylist():
+            fits = spent + cost <= cap
+            spent += cost if fits else 0
+            admitted.append(fits), so_far.append(spent)
+        return pa.table({"estate": part["estate"], "alert_id": part["alert_id"], "admitted": pa.array(admitted, pa.bool_()), "spent": pa.array(so_far, pa.float64())})
 
-def daily_caps(costs: DataFrame, cap: int) -> DataFrame:
-    """Spend by key and day in order of time; `latched` from the first row that would pass the cap."""
-    w = Window.partitionBy("estate", F.floor(F.col("at_us") / 86_400_000_000)).orderBy("at_us", "alert_id").rowsBetween(Window.unboundedPreceding, 0)
-    return costs.select("alert_id", "estate", F.sum("cost").over(w).alias("spent")).withColumn("latched", F.col("spent") > cap)
+    day = costs.select("estate", "alert_id", "at_us", F.coalesce(F.col("cost").cast("double"), F.lit(0.0)).alias("cost"), F.floor(F.col("at_us") / 86_400_000_000).alias("day"))
+    return day.groupBy("estate", "day").applyInArrow(run, "estate string, alert_id long, admitted boolean, spent double")
 
 
 def retry_delay(attempt: Column, error: Column, retry_after: Column, floor_s: int = 60) -> Column:

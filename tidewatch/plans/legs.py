@@ -41,7 +41,7 @@ over_decisions("decisions_projection", lambda d: decisionlog.project(log_of(d).w
 over_decisions("explorer_page", lambda d: decisionlog.page(d.select("alert_id", "team", "action", "fingerprint"), 25, before=900, order="alert_id", team="team-3", action="page_now"), ", q AS (SELECT * FROM d WHERE team = 'team-3' AND action = 'page_now' AND alert_id < 900), p AS (SELECT * FROM q ORDER BY alert_id DESC LIMIT 25) SELECT alert_id, team, action, fingerprint, (SELECT min(alert_id) FROM p) > (SELECT min(alert_id) FROM q) AS has_older FROM p")
 over_decisions("log_tail", lambda d: decisionlog.tail(d.select("alert_id", "action"), 40, 500, "alert_id"), "SELECT alert_id, action FROM d WHERE alert_id > 500 ORDER BY alert_id LIMIT 40")
 over_decisions("log_head", lambda d: d.agg(F.max("alert_id").alias("head"), F.count("*").alias("n")), "SELECT max(alert_id) AS head, count(*) AS n FROM d")
-over_decisions("decisions_by_fingerprint", lambda d: d.groupBy("fingerprint").agg(F.slice(F.sort_array(F.collect_list("alert_id"), False), 1, 1)[0].alias("newest"), F.max_by("action", "alert_id").alias("action")), "SELECT fingerprint, max(alert_id) AS newest, arg_max(action, alert_id) AS action FROM d GROUP BY 1")
+over_decisions("decisions_by_fingerprint", lambda d: d.groupBy("fingerprint").agg(F.max("alert_id").alias("newest"), F.max_by("action", "alert_id").alias("action")), "SELECT fingerprint, max(alert_id) AS newest, arg_max(action, alert_id) AS action FROM d GROUP BY 1")
 over_decisions("decision_outcomes", lambda d: d.select("alert_id", "action").join(d.where("became_sev12 is not null").select("alert_id", "became_sev12"), "alert_id", "left"), "SELECT alert_id, action, became_sev12 FROM d")
 over_decisions("accuracy_triple", lambda d: d.where("became_sev12 is not null").agg(F.count("*").alias("n"), F.round(F.avg(((F.col("p1_h") >= 10) == (F.col("became_sev12") == 1)).cast("double")), 6).alias("severity"), F.round(F.avg((F.col("action") == F.when(F.col("became_sev12") == 1, "page_now").otherwise("suppress")).cast("double")), 6).alias("disposition")), "SELECT count(*) AS n, round(avg(CASE WHEN (p1_h >= 10) = (became_sev12 = 1) THEN 1.0::DOUBLE ELSE 0 END), 6) AS severity, round(avg(CASE WHEN action = CASE WHEN became_sev12 = 1 THEN 'page_now' ELSE 'suppress' END THEN 1.0::DOUBLE ELSE 0 END), 6) AS disposition FROM d WHERE became_sev12 IS NOT NULL")
 
@@ -52,36 +52,40 @@ def stale_legs(now: int = 0) -> Column:
 
 def with_legs(d: DataFrame) -> DataFrame:
     return d.withColumns({
-        "answered": F.col("alert_id") % 97 > 0, "kind": F.when(F.col("alert_id") % 15 == 0, "duplicate").when(F.col("alert_id") % 15 == 1, "storm").otherwise("new"),
-        "prior": F.when(F.col("k") < 50, "suppress").when(F.col("k") < 80, "page_now"), "in_window": F.col("alert_id") % 61 == 0, "screened": F.col("alert_id") % 67 == 0, "step": F.when(F.col("alert_id") % 71 == 0, 1).otherwise(0),
+        "answered": F.col("alert_id") % 97 > 0, "kind": F.when(F.col("alert_id") % 61 == 0, "change_window").when(F.col("alert_id") % 15 == 0, "duplicate").when(F.col("alert_id") % 15 == 1, "storm").otherwise("new"),
+        "prior": F.when(F.col("k") < 50, "suppress").when(F.col("k") < 80, "page_now"), "screened": F.col("alert_id") % 67 == 0, "detectors": F.lit("roleplay"),
+        "step": F.when(F.col("alert_id") % 71 == 0, 1).when(F.col("alert_id") % 73 == 0, 2).when(F.col("alert_id") % 79 == 0, 3).otherwise(0), "admitted": F.col("user_id") % 2 == 0, "severity_in": F.when(F.col("k") % 3 == 0, F.concat(F.lit(" "), F.initcap("severity_in"))).otherwise(F.col("severity_in")),
         "stale": stale_legs(), "lifecycle": F.when(F.col("user_id") % 12 == 0, "expired").otherwise("ok"), "witnesses": F.col("user_id") % 3, "floor": F.lit(1),
     })
 
 
-_LEGS = """, g AS (SELECT *, alert_id % 97 > 0 AS answered, CASE WHEN alert_id % 15 = 0 THEN 'duplicate' WHEN alert_id % 15 = 1 THEN 'storm' ELSE 'new' END AS kind, CASE WHEN k < 50 THEN 'suppress' WHEN k < 80 THEN 'page_now' END AS prior,
- concat_ws('+', CASE WHEN k % 10 = 0 THEN 'fit' END, CASE WHEN k % 7 = 0 OR alert_id % 19 = 0 THEN 'thresholds' END, CASE WHEN user_id % 23 = 0 THEN 'allowlist' END) AS stale, user_id % 12 = 0 AS dead, user_id % 3 AS witnesses FROM d)"""
-_STRUCT = "alert_id % 15 < 2 OR alert_id % 61 = 0"
-over_decisions("composition", lambda d: policy.compose(with_legs(d)).select("alert_id", "path", "final", "why"), _LEGS + f""" SELECT alert_id, CASE WHEN {_STRUCT} THEN 'structural' WHEN alert_id % 67 = 0 THEN 'screen' WHEN alert_id % 71 = 0 THEN 'degraded' ELSE 'table' END AS path,
- CASE WHEN kind = 'duplicate' THEN coalesce(prior, 'passthrough') WHEN kind = 'storm' THEN 'folded' WHEN alert_id % 61 = 0 THEN 'page_business_hours' WHEN alert_id % 67 = 0 THEN 'passthrough' WHEN alert_id % 71 = 0 THEN CASE severity_in WHEN 'critical' THEN 'page_now' WHEN 'high' THEN 'page_now' WHEN 'warning' THEN 'page_business_hours' ELSE 'passthrough' END
- WHEN NOT answered THEN 'passthrough' WHEN action <> 'suppress' THEN action WHEN stale <> '' THEN 'page_now' WHEN dead THEN 'passthrough' WHEN witnesses < 1 THEN 'page_now' ELSE action END AS final,
- CASE WHEN kind <> 'new' THEN kind WHEN alert_id % 61 = 0 THEN 'change_window' WHEN alert_id % 67 = 0 THEN 'screened' WHEN alert_id % 71 = 0 THEN 'degraded' WHEN NOT answered THEN 'error:missing_answer' WHEN action <> 'suppress' THEN reason WHEN stale <> '' THEN concat('freshness:', stale) WHEN dead THEN 'policy_blocked:expired' WHEN witnesses < 1 THEN 'uncorroborated' ELSE reason END AS why FROM g""")
+_LEGS = """, g AS (SELECT *, alert_id % 97 > 0 AS answered, CASE WHEN alert_id % 61 = 0 THEN 'change_window' WHEN alert_id % 15 = 0 THEN 'duplicate' WHEN alert_id % 15 = 1 THEN 'storm' ELSE 'new' END AS kind, CASE WHEN k < 50 THEN 'suppress' WHEN k < 80 THEN 'page_now' END AS prior,
+ CASE WHEN alert_id % 71 = 0 THEN 1 WHEN alert_id % 73 = 0 THEN 2 WHEN alert_id % 79 = 0 THEN 3 ELSE 0 END AS step,
+ concat_ws('|', CASE WHEN k % 10 = 0 THEN 'fit' END, CASE WHEN k % 7 = 0 OR alert_id % 19 = 0 THEN 'thresholds' END, CASE WHEN user_id % 23 = 0 THEN 'allowlist' END) AS stale, user_id % 12 = 0 AS dead, user_id % 3 AS witnesses FROM d)"""
+#: Structural bars, in order, then the screen, the ladder's steps, the answer, and for a suppression freshness, lifecycle and corroboration.
+over_decisions("composition", lambda d: policy.compose(with_legs(d)).select("alert_id", "path", "final", "why"), _LEGS + """, s AS (SELECT *, CASE WHEN kind = 'change_window' THEN 1 WHEN kind = 'duplicate' AND prior IS NOT NULL THEN 2 WHEN kind = 'storm' THEN 3 WHEN alert_id % 67 = 0 THEN 4 WHEN step > 0 THEN 4 + step WHEN NOT answered THEN 8 WHEN action <> 'suppress' THEN 12 WHEN stale <> '' THEN 9 WHEN dead THEN 10 WHEN witnesses < 1 THEN 11 ELSE 12 END AS way FROM g)
+ SELECT alert_id, CASE WHEN way <= 3 THEN 'structural' WHEN way = 4 THEN 'screen' WHEN way <= 7 THEN 'degraded' ELSE 'table' END AS path,
+ CASE way WHEN 1 THEN 'page_business_hours' WHEN 2 THEN prior WHEN 3 THEN 'folded' WHEN 4 THEN 'page_now' WHEN 5 THEN CASE severity_in WHEN 'critical' THEN 'page_now' WHEN 'high' THEN 'page_business_hours' ELSE 'passthrough' END WHEN 6 THEN CASE WHEN severity_in = 'critical' THEN 'page_now' ELSE 'folded' END WHEN 7 THEN CASE WHEN user_id % 2 = 0 THEN 'page_now' ELSE 'folded' END WHEN 8 THEN 'passthrough' WHEN 9 THEN 'page_now' WHEN 10 THEN 'passthrough' WHEN 11 THEN 'page_now' ELSE action END AS final,
+ CASE way WHEN 1 THEN 'change_window' WHEN 2 THEN 'dedup' WHEN 3 THEN 'storm' WHEN 4 THEN 'firewall:roleplay' WHEN 5 THEN 'failopen_step1' WHEN 6 THEN CASE WHEN severity_in = 'critical' THEN 'failopen_step2' ELSE 'failopen_step2_digest' END WHEN 7 THEN CASE WHEN user_id % 2 = 0 THEN 'failopen_step3' ELSE 'failopen_step3_digest' END WHEN 8 THEN 'error:missing_answer' WHEN 9 THEN concat('freshness:', stale) WHEN 10 THEN 'policy_blocked:expired' WHEN 11 THEN 'uncorroborated' ELSE reason END AS why FROM s""")
 over_decisions("freshness_transitions", lambda d: d.groupBy("fingerprint").agg(F.min_by(F.struct((F.size(stale_legs()) == 0).alias("f")), "alert_id").alias("a"), F.max_by(F.struct((F.size(stale_legs()) == 0).alias("f")), "alert_id").alias("b")).where("a.f and not b.f").select("fingerprint"), _LEGS + " SELECT fingerprint FROM g GROUP BY 1 HAVING arg_min(stale, alert_id) = '' AND arg_max(stale, alert_id) <> ''")
 over_alerts("security_ban", lambda a: a.select("alert_id", policy.security_ban(F.when(F.col("k") % 6 == 0, "edge/WAF-block").when(F.col("k") % 6 == 1, "cve.scan").when(F.col("k") % 6 == 2, "waffle").otherwise(F.col("check_name")), F.when(F.col("user_id") % 9 == 0, "eu-SecOps").otherwise(F.col("team"))).alias("ban")), " SELECT alert_id, CASE WHEN k % 6 = 0 THEN 'security detection/response platform check' WHEN k % 6 = 1 THEN 'vulnerability-management check' WHEN user_id % 9 = 0 THEN 'security owning team' END AS ban FROM a")
-over_alerts("volume_guard", lambda a: a.where(F.col("severity_in").isin(policy.GRAVE) | policy.hash_share(F.concat_ws("-", "fingerprint", "alert_id"), 10)).select("alert_id"), "SELECT alert_id FROM a WHERE severity_in IN ('critical', 'high') OR list_reduce(list_transform(range(1, 65), lambda i: strpos('0123456789abcdef', sha256(concat_ws('-', fingerprint, alert_id))[i]) - 1), lambda x, y: (x * 16 + y) % 100) < 10")
+_LABEL = "CASE WHEN k % 11 = 0 THEN 'Fatal' WHEN k % 13 = 0 THEN 'EMERGENCY' WHEN severity_in = 'high' THEN 'notice' ELSE severity_in END"
+over_alerts("volume_guard", lambda a: a.select("alert_id", F.expr(_LABEL).alias("label"), F.concat("fingerprint", (F.col("alert_id") % 50).cast("string")).alias("fp")).where(policy.advised(F.col("label"), F.col("fp"))).select("alert_id"), f"SELECT alert_id FROM a WHERE lower({_LABEL}) IN ('critical', 'high', 'p1', 'p2', 'emergency', 'fatal') OR list_reduce(list_prepend(0, list_transform(range(1, 65), lambda i: strpos('0123456789abcdef', sha256(concat(fingerprint, alert_id % 50))[i]) - 1)), lambda x, y: (x * 16 + y) % 100) = 0")
 over_alerts("window_texts", lambda a: a.select(F.concat((F.col("k") % 40).cast("string"), F.element_at(F.array(*[F.lit(u) for u in ("s", "m", "h", "d", "w")]), (F.col("k") % 5 + 1).cast("int"))).alias("w")).distinct().select("w", policy.window_seconds(F.col("w")).alias("seconds")), ", t AS (SELECT DISTINCT k % 40 AS n, ['s', 'm', 'h', 'd', 'w'][k % 5 + 1] AS u FROM a) SELECT concat(n, u) AS w, CAST(n * CASE u WHEN 's' THEN 1 WHEN 'm' THEN 60 WHEN 'h' THEN 3600 WHEN 'd' THEN 86400 END AS BIGINT) AS seconds FROM t")
 over_alerts("quantised", lambda a: a.select(F.concat(F.lit("0."), (F.col("k") * 7 % 1000).cast("string")).alias("p")).distinct().select("p", policy.hundredths(F.col("p")).alias("h")), ", t AS (SELECT DISTINCT concat('0.', k * 7 % 1000) AS p FROM a) SELECT p, CASE WHEN CAST(p AS DECIMAL(12,10)) * 100 = floor(CAST(p AS DECIMAL(12,10)) * 100) THEN CAST(CAST(p AS DECIMAL(12,10)) * 100 AS INT) END AS h FROM t")
 _NOW = 1_706_000_000_000_000
-over_alerts("fit_validity", lambda a: a.select("alert_id", policy.fit_reason(F.struct(F.when(F.col("k") == 3, 1.96).otherwise(1.6449).alias("z"), (F.col("at_us") + 30 * DAY).alias("valid_until_us"), F.when(F.col("k") % 8 == 0, "m1").otherwise("m2").alias("model"), F.when(F.col("k") % 9 == 0, "SHIFT").otherwise("OK").alias("shift"), F.col("at_us").alias("window_end_us"), (F.col("k") / 20_000.0).alias("upper")), F.lit(_NOW), "m2").alias("reason")), f" SELECT alert_id, CASE WHEN k = 3 THEN 'z' WHEN at_us + {30 * DAY} <= {_NOW} THEN 'elapsed' WHEN k % 8 = 0 THEN 'model' WHEN k % 9 = 0 THEN 'shift' WHEN at_us < {_NOW - 7 * DAY} THEN 'window' WHEN k >= 40 THEN 'bar' ELSE 'ok' END AS reason FROM a")
+_FIT = {"reference_class": "CASE WHEN k % 17 = 5 THEN 'R(C,W,r=0.05)' ELSE 'R(C,W,r=0.00)' END", "formula": "CASE WHEN k % 19 = 7 THEN 'adr013-v0' ELSE 'adr013-v1' END", "payload": "concat('{\"n\":', alert_id, '}')"}
+over_alerts("fit_validity", lambda a: a.select("alert_id", policy.fit_reason(F.struct(F.when(F.col("k") % 23 > 0, F.sha2(F.expr(_FIT["payload"]), 256)).otherwise("").alias("fit_id"), *[F.expr(e).alias(c) for c, e in _FIT.items()], F.when(F.col("k") == 3, 1.96).otherwise(1.6449).alias("z"), (F.col("at_us") + 30 * DAY).alias("valid_until_us"), F.when(F.col("k") % 8 == 0, "m1").otherwise("m2").alias("model"), F.when(F.col("k") % 9 == 0, "SHIFT").otherwise("OK").alias("shift"), F.col("at_us").alias("window_end_us"), (F.col("k") / 20_000.0).alias("upper")), F.lit(_NOW), "m2").alias("reason")), f" SELECT alert_id, CASE WHEN k % 23 = 0 THEN 'binding' WHEN k % 17 = 5 THEN 'class' WHEN k % 19 = 7 THEN 'formula' WHEN k = 3 THEN 'z' WHEN at_us + {30 * DAY} <= {_NOW} THEN 'elapsed' WHEN k % 8 = 0 THEN 'model' WHEN k % 9 = 0 THEN 'shift' WHEN at_us < {_NOW - 7 * DAY} THEN 'window' WHEN k >= 40 THEN 'bar' ELSE 'ok' END AS reason FROM a")
 over_alerts("dual_attestation", lambda a: a.select("alert_id", policy.attested(F.array(*[F.struct(F.concat(F.lit("u"), (F.col(c) % 4).cast("string")).alias("by"), F.col("at_us").alias("at_us"), F.when(F.col("k") % 6 == 0, "see #ops").otherwise("run-1").alias("ref"), (F.col("k") % 40).alias("ttl_days")) for c in ("user_id", "k")]), F.lit("u1"), F.lit(_NOW)).alias("ok")), f" SELECT alert_id, user_id % 4 <> k % 4 AND user_id % 4 <> 1 AND k % 4 <> 1 AND k % 6 > 0 AND k % 40 BETWEEN 1 AND 30 AND at_us <= {_NOW} AND {_NOW} < at_us + (k % 40) * {DAY} AS ok FROM a")
 over_alerts("corroboration", lambda a: policy.corroborate(a.where("k < 30"), a.where("k >= 30").select("fingerprint", "at_us", F.col("check_name").alias("kind"), (F.col("user_id") % 5).alias("witness"), (F.col("k") % 4 > 0).alias("valid")), 6 * 3_600_000_000), " SELECT x.alert_id, count(DISTINCT CASE WHEN y.alert_id IS NOT NULL THEN concat(y.check_name, '|', y.user_id % 5) END) AS witnesses FROM a x LEFT JOIN a y ON y.k >= 30 AND y.k % 4 > 0 AND x.fingerprint = y.fingerprint AND y.at_us BETWEEN x.at_us - 21600000000 AND x.at_us + 300000000 WHERE x.k < 30 GROUP BY 1")
 
 
 def policies(a: DataFrame) -> DataFrame:
-    return a.select(F.col("fingerprint").alias("policy_id"), F.col("alert_id").alias("version"), F.when(F.col("k") % 3 == 0, "live").when(F.col("k") % 3 == 1, "review_due").otherwise("draft").alias("state"), F.when(F.col("k") % 10 == 0, F.col("at_us")).alias("override_until_us"), (F.col("at_us") + DAY).alias("review_at_us"), (F.col("at_us") + 9 * DAY).alias("expires_at_us"))
+    return a.select(F.col("fingerprint").alias("policy_id"), F.col("alert_id").alias("version"), F.when(F.col("k") % 3 == 0, "live").when(F.col("k") % 3 == 1, "review_due").otherwise("draft").alias("state"), F.when(F.col("k") % 10 == 0, F.col("at_us")).alias("override_until_us"), (F.col("at_us") + DAY).alias("review_at_us"), (F.col("at_us") + 9 * DAY).alias("grace_until_us"))
 
 
 _POL = ", p AS (SELECT *, CASE k % 3 WHEN 0 THEN 'live' WHEN 1 THEN 'review_due' ELSE 'draft' END AS state FROM a)"
-over_alerts("lifecycle_tick", lambda a: policy.lifecycle_tick(policies(a), _NOW), _POL + f" SELECT fingerprint AS policy_id, alert_id AS version, state, CASE WHEN k % 10 = 0 AND at_us <= {_NOW} THEN 'live' WHEN state = 'live' AND at_us + {DAY} <= {_NOW} THEN 'review_due' WHEN state = 'review_due' AND at_us + {9 * DAY} <= {_NOW} THEN 'expired' ELSE state END AS new_state, CASE WHEN k % 10 = 0 AND at_us <= {_NOW} THEN 'override_reverted' WHEN state = 'live' AND at_us + {DAY} <= {_NOW} THEN 'review_due' WHEN state = 'review_due' AND at_us + {9 * DAY} <= {_NOW} THEN 'expired' END AS event FROM p")
+over_alerts("lifecycle_tick", lambda a: policy.lifecycle_tick(policies(a), _NOW), _POL + f", q AS (SELECT *, CASE WHEN state = 'live' AND k % 10 = 0 AND at_us <= {_NOW} THEN 1 WHEN state = 'live' AND at_us + {DAY} <= {_NOW} THEN 2 WHEN state = 'review_due' AND at_us + {9 * DAY} <= {_NOW} THEN 3 END AS way FROM p) SELECT fingerprint AS policy_id, alert_id AS version, state, CASE WHEN way = 2 THEN 'review_due' WHEN way IS NOT NULL THEN 'expired' ELSE state END AS new_state, CASE way WHEN 1 THEN 'policy_override_reverted' WHEN 2 THEN 'policy_review_due' WHEN 3 THEN 'policy_expired' END AS event FROM q")
 over_alerts("effective_versions", lambda a: policy.effective_versions(policies(a)), _POL + " SELECT fingerprint AS policy_id, max(alert_id) AS version FROM p WHERE state <> 'draft' GROUP BY 1")
 over_alerts("policies_without_baseline", lambda a: policy.without_baseline(policies(a), policies(a).where("version % 2 = 0").select("policy_id", "version", F.array(F.lit("a"), F.when(F.col("version") % 3 == 0, "a").otherwise("b")).alias("signed_by"))), _POL + ", e AS (SELECT fingerprint AS policy_id, max(alert_id) AS version FROM p WHERE state <> 'draft' GROUP BY 1) SELECT * FROM e WHERE NOT (version % 2 = 0 AND version % 3 > 0)")
 
@@ -135,11 +139,6 @@ def baselines(d: DataFrame) -> DataFrame:
 
 
 over_decisions("band_trips", lambda d: watch.band_trips(d.withColumn("policy_id", F.col("team")), baselines(d), 7 * DAY), f", t AS (SELECT team AS policy_id, at_us // {7 * DAY} AS \"window\", count(*) AS n, count(*) FILTER (action = 'suppress') AS k FROM d GROUP BY 1, 2), u AS (SELECT *, k / n::DOUBLE AS r FROM t) SELECT policy_id, \"window\", n, k, round(r, 6) AS rate, CASE WHEN n < 30 THEN NULL WHEN r > 0.5 THEN 'absolute_guardrail' WHEN policy_id = 'team-1' THEN CASE WHEN abs(r - 0.1) / 0.01 > 2 THEN 'review_due_drift' END WHEN abs(r - 0.1) / 0.01 > 3 THEN 'slo_band' END AS trip FROM u")
-over_decisions("page_rate", lambda d: watch.page_rate(d, 1), "SELECT estate, at_us // 60000000 AS minute, count(*) AS pages, greatest(count(*) - 1, 0) AS over FROM d WHERE action LIKE 'page%' GROUP BY 1, 2")
-over_decisions("rate_capped", lambda d: watch.rate_capped(d, 1), "SELECT alert_id, estate, CASE WHEN row_number() OVER (PARTITION BY estate, at_us // 60000000 ORDER BY at_us, alert_id) <= 1 THEN 'sent' ELSE 'held' END AS state FROM d WHERE action = 'page_now'")
-over_decisions("digest_rank", lambda d: watch.digest(d.where("action = 'page_now'"), 20), "SELECT fingerprint, count(*) AS n, max(CASE WHEN severity_in = 'critical' THEN 1 ELSE 0 END) AS grave, min(at_us) AS since_us FROM d WHERE action = 'page_now' GROUP BY 1 ORDER BY grave DESC, n DESC, fingerprint LIMIT 20")
-over_decisions("canary", lambda d: watch.canary(d, 2), f", t AS (SELECT alert_id, fingerprint, CAST(row_number() OVER (PARTITION BY fingerprint, at_us // {DAY} ORDER BY at_us, alert_id) AS INT) AS i FROM d WHERE action = 'suppress') SELECT * FROM t WHERE i % 2 = 0")
-over_decisions("daily_caps", lambda d: watch.daily_caps(d.withColumn("cost", F.col("k") + 1), 300), f", t AS (SELECT alert_id, estate, CAST(sum(k + 1) OVER (PARTITION BY estate, at_us // {DAY} ORDER BY at_us, alert_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS spent FROM d) SELECT *, spent > 300 AS latched FROM t")
 over_decisions("outbox_due", lambda d: watch.due(d.where("action = 'page_now'").select("alert_id", F.when(F.col("alert_id") % 5 > 0, "queued").otherwise("delivered").alias("status"), F.col("at_us").alias("next_us"), F.when(F.col("alert_id") % 3 == 0, F.lit(_NOW + 1)).alias("lease_us"), F.when(F.col("severity_in") == "critical", 2).otherwise(1).alias("priority")), _NOW, 50).select("alert_id", "priority", "next_us"), f"SELECT alert_id, CASE WHEN severity_in = 'critical' THEN 2 ELSE 1 END AS priority, at_us AS next_us FROM d WHERE action = 'page_now' AND alert_id % 5 > 0 AND at_us <= {_NOW} AND alert_id % 3 > 0 ORDER BY priority DESC, next_us, alert_id LIMIT 50")
 over_alerts("retry_schedule", lambda a: a.select("alert_id", watch.retry_delay(F.col("k") % 12, F.when(F.col("k") % 4 == 0, "rate_limited").otherwise("timeout"), F.when(F.col("k") % 8 == 0, F.lit(100))).alias("delay_s")), ", t AS (SELECT alert_id, k, [5, 15, 45, 120, 300, 900, 1800, 1800][least(greatest(k % 12 - 1, 0), 7) + 1] AS b FROM a) SELECT alert_id, CASE WHEN k % 4 = 0 THEN greatest(b, 60, CASE WHEN k % 8 = 0 THEN 100 ELSE 0 END) ELSE b END AS delay_s FROM t")
 over_alerts("expired_mutes", lambda a: watch.expired_mutes(a.select(F.col("alert_id").alias("seq"), "fingerprint", F.when(F.col("k") < 60, "applied").otherwise("expired").alias("type"), (F.col("at_us") + 5 * DAY).alias("until_us"), F.when(F.col("k") >= 60, F.col("alert_id") - 1).alias("applied_seq")), _NOW), f"SELECT alert_id AS seq, fingerprint FROM a WHERE k < 60 AND at_us + {5 * DAY} <= {_NOW} AND alert_id NOT IN (SELECT alert_id - 1 FROM a WHERE k >= 60)")
