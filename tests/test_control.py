@@ -99,9 +99,9 @@ def test_what_is_screened_pages_and_a_duplicate_without_prior_goes_on(spark):
     ]
     got = {r["alert_id"]: (r["path"], r["final"], r["why"]) for r in policy.compose(spark.createDataFrame(rows, schema)).collect()}
     assert got == {
-        1: ("screen", "page_now", "firewall"), 2: ("table", "suppress", "allowlist"), 3: ("structural", "page_now", "dedup"), 4: ("structural", "page_business_hours", "change_window"), 5: ("structural", "folded", "storm"),
+        1: ("screen", "page_now", "firewall_flagged"), 2: ("table", "suppress", "allowlist"), 3: ("structural", "page_now", "dedup"), 4: ("structural", "page_business_hours", "change_window"), 5: ("structural", "folded", "storm"),
         6: ("degraded", "page_business_hours", "failopen_step1"), 7: ("degraded", "page_now", "failopen_step2"), 8: ("degraded", "folded", "failopen_step2_digest"), 9: ("degraded", "folded", "failopen_step3_digest"),
-        10: ("table", "page_now", "freshness:fit|allowlist"), 11: ("table", "passthrough", "policy_blocked:expired"), 12: ("table", "page_now", "uncorroborated"), 13: ("table", "passthrough", "error:missing_answer"), 14: ("screen", "page_now", "firewall"), 15: ("degraded", "passthrough", "failopen_step1"),
+        10: ("table", "page_now", "freshness:fit|allowlist"), 11: ("table", "passthrough", "policy_blocked:expired"), 12: ("table", "page_now", "uncorroborated"), 13: ("table", "passthrough", "error:missing_answer"), 14: ("screen", "page_now", "firewall_flagged"), 15: ("degraded", "passthrough", "failopen_step1"),
     }
 
 

@@ -1,23 +1,10 @@
-"""Screens of free text and accounting of its size."""
+"""Accounting of the size of free text."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Category and pattern of instructions that do not belong into an alert's text.
-SCREENS = [("override", "(?i)(ignore|disregard) (all |the )?(previous|above|prior)"), ("role", "(?i)you are now|system prompt"), ("exfiltrate", "(?i)(send|post|upload) .{0,40}https?://"), ("markup", "<(script|iframe|img)[ >]"), ("secret", "(?i)(password|token|secret) ?[:=]")]
-
-
-def flagged(text: Column) -> Column:
-    """Names of the screens that a text meets, comma-joined."""
-    return F.array_join(F.array_compact(F.array(*[F.when(text.rlike(p), n) for n, p in SCREENS])), ",")
-
-
-def screen(rows: DataFrame, text: str = "text") -> DataFrame:
-    return rows.withColumn("found", flagged(F.coalesce(F.col(text), F.lit(""))))
-
-
 def tokens(text: Column) -> Column:
     """A token for each four characters, one at least."""
     return F.greatest(F.lit(1), F.floor(F.length(F.coalesce(text, F.lit(""))) / 4))

@@ -146,3 +146,43 @@ def latency_quantiles(d: DataFrame, by: str = "check_name", x: str = "metric_val
 
 def cold_summary(d: DataFrame) -> DataFrame:
     return d.select("action", "check_name", F.floor(F.col("at_us") / 86_400_000_000).alias("day")).groupingSets([["action"], ["check_name"], ["day"]], "action", "check_name", "day").agg(F.count("*").alias("n")).select("action", "check_name", "day", "n")
+
+
+#: Resamples of an interval, its seed, and the ranks of its ends.
+RESAMPLES, SEED, LOW, HIGH = 200, 20261004, 0.025, 0.975
+
+
+def auc_interval(d: DataFrame, score: str = "p1_h", label: str = "became_sev12", resamples: int = RESAMPLES, seed: int = SEED) -> DataFrame:
+    """positives, negatives and the ends of a bootstrap interval of the rank AUC; ends are null where there are no positives or no negatives.
+
+    Each row would be drawn as often as a Poisson variable of mean 1 says, so the c rows of a score
+    and label are drawn as often as one of mean c says: a draw for each cell of the histogram and
+    resample, by a generator keyed by both. Rows are aggregated once, and neither their order nor
+    their partitions matter. A resample without positives or negatives counts as 0.5. Rows without
+    label take no part; a null score is the lowest.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    cells = d.where(F.col(label).isNotNull()).groupBy(F.col(score).cast("double").alias("s")).agg(F.sum(F.col(label)).cast("long").alias("pos"), F.sum(1 - F.col(label)).cast("long").alias("neg"))
+
+    def draw(batches):
+        for batch in batches:
+            pos, neg = [], []
+            for s, p, n in zip(*(c.to_pylist() for c in batch.columns)):
+                bits = 0 if s is None else int(np.float64(s).view(np.uint64)) ^ (1 << 63)
+                pos.append(np.random.Generator(np.random.Philox(key=[seed, bits], counter=1)).poisson(p, resamples))
+                neg.append(np.random.Generator(np.random.Philox(key=[seed, bits], counter=1 << 64)).poisson(n, resamples))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pos, pa.list_(pa.int64())), pa.array(neg, pa.list_(pa.int64()))], ["s", "pos", "neg"])
+
+    drawn = cells.select("s", "pos", "neg").mapInArrow(draw, "s double, pos array<long>, neg array<long>")
+    each = drawn.select("s", F.posexplode(F.arrays_zip("pos", "neg")).alias("b", "w")).select("s", "b", F.col("w.pos").alias("pos"), F.col("w.neg").alias("neg"))
+    below = Window.partitionBy("b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    won = each.withColumn("below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    pairs = F.sum("pos").cast("double") * F.sum("neg")
+    aucs = won.groupBy("b").agg(F.when(pairs > 0, F.sum(F.col("pos").cast("double") * (2 * F.col("below") + F.col("neg"))) / 2 / pairs).otherwise(0.5).alias("auc"))
+    ends = aucs.agg(F.sort_array(F.collect_list("auc")).alias("a"))  # as many as there are resamples
+    totals = cells.agg(F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"))
+    both = F.coalesce((F.col("positives") > 0) & (F.col("negatives") > 0), F.lit(False))
+    at = lambda k: F.when(both, F.round(F.get("a", F.lit(min(int(k * resamples), resamples - 1))), 4))
+    return totals.crossJoin(ends).select("positives", "negatives", at(LOW).alias("low"), at(HIGH).alias("high"))

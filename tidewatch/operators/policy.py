@@ -116,7 +116,7 @@ def compose(d: DataFrame) -> DataFrame:
     bars = F.when(kind == "change_window", "page_business_hours").when(kind == "duplicate", F.col("prior")).otherwise("folded")
     final = F.when(path == "structural", bars).when(path == "screen", "page_now").when(path == "degraded", degraded).otherwise(judged)
     held = F.concat(F.lit("failopen_step"), step.cast("string"), F.when((step > 1) & (degraded == "folded"), "_digest").otherwise(""))
-    why = F.when(path == "structural", F.when(kind == "duplicate", "dedup").otherwise(kind)).when(path == "screen", F.concat_ws(":", F.lit("firewall"), F.col("detectors") if "detectors" in d.columns else F.lit(None).cast("string"))).when(path == "degraded", held).otherwise(because)
+    why = F.when(path == "structural", F.when(kind == "duplicate", "dedup").otherwise(kind)).when(path == "screen", F.concat_ws(":", F.lit("firewall_flagged"), F.col("detectors") if "detectors" in d.columns else F.lit(None).cast("string"))).when(path == "degraded", held).otherwise(because)
     return d.withColumns({"path": path, "final": final, "why": why})
 
 

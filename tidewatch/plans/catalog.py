@@ -154,11 +154,6 @@ def vendor_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src.from_pager(raw).select("alert_id", "service", "check_name", "problem")
 
 
-@add("text_screen", "SELECT conv_id, turn, concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(coalesce(text, ''), '{p}') THEN '{n}' END" for n, p in text.SCREENS) + ") AS found FROM conversations")
-def text_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.screen(read(spark, sf_dir, "conversations")).select("conv_id", "turn", "found")
-
-
 @add("state_cap", "WITH t AS (SELECT conv_id, turn, greatest(1, length(coalesce(text, '')) // 4) AS tokens FROM conversations), u AS (SELECT *, CAST(sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM t) SELECT * FROM u WHERE upto <= 850")
 def state_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.cap_state(read(spark, sf_dir, "conversations"), 850)

@@ -53,7 +53,7 @@ def stale_legs(now: int = 0) -> Column:
 def with_legs(d: DataFrame) -> DataFrame:
     return d.withColumns({
         "answered": F.col("alert_id") % 97 > 0, "kind": F.when(F.col("alert_id") % 61 == 0, "change_window").when(F.col("alert_id") % 15 == 0, "duplicate").when(F.col("alert_id") % 15 == 1, "storm").otherwise("new"),
-        "prior": F.when(F.col("k") < 50, "suppress").when(F.col("k") < 80, "page_now"), "screened": F.col("alert_id") % 67 == 0, "detectors": F.lit("roleplay"),
+        "prior": F.when(F.col("k") < 50, "suppress").when(F.col("k") < 80, "page_now"), "screened": F.col("alert_id") % 67 == 0, "detectors": F.lit("fake_resolve"),
         "step": F.when(F.col("alert_id") % 71 == 0, 1).when(F.col("alert_id") % 73 == 0, 2).when(F.col("alert_id") % 79 == 0, 3).otherwise(0), "admitted": F.col("user_id") % 2 == 0, "severity_in": F.when(F.col("k") % 3 == 0, F.concat(F.lit(" "), F.initcap("severity_in"))).otherwise(F.col("severity_in")),
         "stale": stale_legs(), "lifecycle": F.when(F.col("user_id") % 12 == 0, "expired").otherwise("ok"), "witnesses": F.col("user_id") % 3, "floor": F.lit(1),
     })
@@ -66,7 +66,7 @@ _LEGS = """, g AS (SELECT *, alert_id % 97 > 0 AS answered, CASE WHEN alert_id %
 over_decisions("composition", lambda d: policy.compose(with_legs(d)).select("alert_id", "path", "final", "why"), _LEGS + """, s AS (SELECT *, CASE WHEN kind = 'change_window' THEN 1 WHEN kind = 'duplicate' AND prior IS NOT NULL THEN 2 WHEN kind = 'storm' THEN 3 WHEN alert_id % 67 = 0 THEN 4 WHEN step > 0 THEN 4 + step WHEN NOT answered THEN 8 WHEN action <> 'suppress' THEN 12 WHEN stale <> '' THEN 9 WHEN dead THEN 10 WHEN witnesses < 1 THEN 11 ELSE 12 END AS way FROM g)
  SELECT alert_id, CASE WHEN way <= 3 THEN 'structural' WHEN way = 4 THEN 'screen' WHEN way <= 7 THEN 'degraded' ELSE 'table' END AS path,
  CASE way WHEN 1 THEN 'page_business_hours' WHEN 2 THEN prior WHEN 3 THEN 'folded' WHEN 4 THEN 'page_now' WHEN 5 THEN CASE severity_in WHEN 'critical' THEN 'page_now' WHEN 'high' THEN 'page_business_hours' ELSE 'passthrough' END WHEN 6 THEN CASE WHEN severity_in = 'critical' THEN 'page_now' ELSE 'folded' END WHEN 7 THEN CASE WHEN user_id % 2 = 0 THEN 'page_now' ELSE 'folded' END WHEN 8 THEN 'passthrough' WHEN 9 THEN 'page_now' WHEN 10 THEN 'passthrough' WHEN 11 THEN 'page_now' ELSE action END AS final,
- CASE way WHEN 1 THEN 'change_window' WHEN 2 THEN 'dedup' WHEN 3 THEN 'storm' WHEN 4 THEN 'firewall:roleplay' WHEN 5 THEN 'failopen_step1' WHEN 6 THEN CASE WHEN severity_in = 'critical' THEN 'failopen_step2' ELSE 'failopen_step2_digest' END WHEN 7 THEN CASE WHEN user_id % 2 = 0 THEN 'failopen_step3' ELSE 'failopen_step3_digest' END WHEN 8 THEN 'error:missing_answer' WHEN 9 THEN concat('freshness:', stale) WHEN 10 THEN 'policy_blocked:expired' WHEN 11 THEN 'uncorroborated' ELSE reason END AS why FROM s""")
+ CASE way WHEN 1 THEN 'change_window' WHEN 2 THEN 'dedup' WHEN 3 THEN 'storm' WHEN 4 THEN 'firewall_flagged:fake_resolve' WHEN 5 THEN 'failopen_step1' WHEN 6 THEN CASE WHEN severity_in = 'critical' THEN 'failopen_step2' ELSE 'failopen_step2_digest' END WHEN 7 THEN CASE WHEN user_id % 2 = 0 THEN 'failopen_step3' ELSE 'failopen_step3_digest' END WHEN 8 THEN 'error:missing_answer' WHEN 9 THEN concat('freshness:', stale) WHEN 10 THEN 'policy_blocked:expired' WHEN 11 THEN 'uncorroborated' ELSE reason END AS why FROM s""")
 over_decisions("freshness_transitions", lambda d: d.groupBy("fingerprint").agg(F.min_by(F.struct((F.size(stale_legs()) == 0).alias("f")), "alert_id").alias("a"), F.max_by(F.struct((F.size(stale_legs()) == 0).alias("f")), "alert_id").alias("b")).where("a.f and not b.f").select("fingerprint"), _LEGS + " SELECT fingerprint FROM g GROUP BY 1 HAVING arg_min(stale, alert_id) = '' AND arg_max(stale, alert_id) <> ''")
 over_alerts("security_ban", lambda a: a.select("alert_id", policy.security_ban(F.when(F.col("k") % 6 == 0, "edge/WAF-block").when(F.col("k") % 6 == 1, "cve.scan").when(F.col("k") % 6 == 2, "waffle").otherwise(F.col("check_name")), F.when(F.col("user_id") % 9 == 0, "eu-SecOps").otherwise(F.col("team"))).alias("ban")), " SELECT alert_id, CASE WHEN k % 6 = 0 THEN 'security detection/response platform check' WHEN k % 6 = 1 THEN 'vulnerability-management check' WHEN user_id % 9 = 0 THEN 'security owning team' END AS ban FROM a")
 _LABEL = "CASE WHEN k % 11 = 0 THEN 'Fatal' WHEN k % 13 = 0 THEN 'EMERGENCY' WHEN severity_in = 'high' THEN 'notice' ELSE severity_in END"
