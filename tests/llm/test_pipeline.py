@@ -1,6 +1,7 @@
 """The pipeline as a whole, over the smallest tables."""
 
 import corpus_pipeline
+from tidewatch.llm import secrets
 
 SF = "/root/testdata/sf0.001"
 
@@ -75,3 +76,51 @@ def test_language_stage_without_languages(spark):
     rows = lambda lang: spark.createDataFrame([(1, "a b", lang), (2, None, None)], "doc_id long, text string, lang string")
     assert sorted(r[0] for r in corpus_pipeline.language_id(spark, rows(None), "").collect()) == [1, 2]
     assert [r[0] for r in corpus_pipeline.language_id(spark, rows("x"), "").collect()] == [1]
+
+
+def test_stages_with_the_names_that_they_use_inside(spark, tmp_path):
+    """Whatever a stage calls its own columns, a document may have them."""
+    inside = "row key hash spans found_assign found_access found_hex __kinds __key __key2 __row __text __id __x __own __hash __n_words __items __ends __lang __score found_lang found_score id x n t c a".split()
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in inside)
+    extra = tuple(f"own {n}" for n in inside)
+    texts = [(1, "kara mala password=hunter2222 tara " * 3, "aa"), (2, "kara mala password=hunter2222 tara " * 3, "aa"), (3, "öxi lüti zök " * 5, "bb"), (None, "mala kara " * 9, "aa")]
+    docs = spark.createDataFrame([(i, t, lang, "s", 0, *extra) for i, t, lang in texts], schema)
+    spark.createDataFrame([("i", "zök lüti nix")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    df = docs
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        df = stage(spark, df, str(tmp_path))
+        assert df.columns == docs.columns
+    rows = df.collect()
+    assert len(rows) == 3 and all(tuple(r[n] for n in inside) == extra for r in rows)
+    assert not any("hunter" in r["text"] for r in rows)
+
+
+def test_redaction_of_many_and_overlapping_spans(spark):
+    import random
+    import re
+    import time
+
+    rng = random.Random(5)
+    part = lambda: rng.choice(["é東 ", "😀", "plain words ", "password=" + "a1b2" * rng.randint(1, 9) + " ", "f" * rng.randint(20, 40) + " ", "AKIA" + "Z9" * 9 + " ", "token: 'deadbeefdeadbeefdeadbeefdeadbeef' "])
+    texts = ["".join(part() for _ in range(rng.randint(0, 12))) for _ in range(200)] + [None, "", "password=hunter2222"]
+    rules = [*secrets.BASE, *secrets.MORE]
+    want = []
+    for k, t in enumerate(texts):
+        out, at = [], 0
+        for a, b in sorted(s for r in rules for s in secrets.plain_matches(t or "", r)):
+            if a >= at:
+                out += [t[at:a], "[SECRET]"]
+            at = max(at, b)
+        want.append((k, t if not out else "".join(out) + t[at:]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(map(tuple, secrets.redact(docs).collect())) == want
+    took = []
+    for n in (10, 10_000):
+        long = " ".join(f"secret=value{k:06d} and {k} words" for k in range(n))
+        one = spark.createDataFrame([(1, long)], "doc_id long, text string")
+        secrets.redact(one).collect()
+        began = time.time()
+        got = secrets.redact(one).first()["text"]
+        took.append(time.time() - began)
+        assert got == re.sub(r"secret=value\d+", "[SECRET]", long)
+    assert took[1] - took[0] < 3  # the rest is planning, whatever the text

@@ -224,9 +224,12 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", max_coverage: f
     word's last. Columns and types are those of docs.
     """
     cols = docs.columns
-    found = contamination(docs.select(*cols), items, text=text, keep=[c for c in cols if c != text], cut=True, **columns)
+    # the other columns go as one, so they may have any names
+    others = [c for c in cols if c != text]
+    packed = docs.select(F.col(f"`{text}`").alias("text"), (F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(0)).alias("row"))
+    found = contamination(packed, items, key="row", text="text", keep=["row"], cut=True, **columns)
     found = found.where((F.col("__n_words") == 0) | (n_hit() <= max_coverage * F.col("__n_words")))
-    return found.select(*[F.col("__text").alias(c) if c == text else F.col(c) for c in cols])
+    return found.select(*[F.col("__text").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in cols])
 
 
 def without(text: str | None, ends) -> str | None:

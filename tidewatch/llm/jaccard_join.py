@@ -420,8 +420,10 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: in
     first = placed.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "c", "x")).alias("first"))
     kept = first.select(F.col("first.id").alias("__id"), F.col("first.x").alias("__x"), F.lit(False).alias("__own")).union(sets.where("n = 0").select("id", "x", F.col("id").isNull()).distinct())
     kept = stored(kept, "kept")
-    held = docs.withColumn("__hash", text_hash(text)).join(kept, F.col(key).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__x")))
+    # rows go as one column, so theirs may have any names
+    asked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{key}`").alias("key"), text_hash(text).alias("hash"))
+    held = asked.join(kept, F.col("key").eqNullSafe(F.col("__id")) & (F.col("hash") == F.col("__x")))
     again = sets.groupBy("id", "x").count().where("count > 1")
     if again.isEmpty():
-        return held.select(*docs.columns)
-    return held.where("__own").union(held.where("not __own").dropDuplicates([key, "__hash"])).select(*docs.columns)
+        return held.select("row.*")
+    return held.where("__own").select("row").union(held.where("not __own").dropDuplicates(["key", "hash"]).select("row")).select("row.*")

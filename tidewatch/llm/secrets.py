@@ -147,6 +147,18 @@ def running_totals(steps: Column) -> Column:
     return let(steps, lambda t: F.when(F.size(t) == 0, F.array().cast("array<long>")).otherwise(upto(t)))
 
 
+def running_greatest(steps: Column) -> Column:
+    """The greatest of the first 1, 2, ... elements (0 at least), by blocks as well."""
+    most = lambda x: F.coalesce(F.array_max(x), F.lit(0).cast("long"))
+    first = lambda i: F.floor(i / BLOCK) * BLOCK
+
+    def upto(t):
+        tops = F.transform(F.sequence(F.lit(0), F.greatest(F.size(t) - 1, F.lit(0)), F.lit(BLOCK)), lambda b: most(F.slice(t, b + 1, F.lit(BLOCK))))
+        return let(tops, lambda s: F.transform(t, lambda _, i: F.greatest(most(F.slice(s, F.lit(1), F.floor(i / BLOCK).cast("int"))), most(F.slice(t, (first(i) + 1).cast("int"), i % BLOCK + 1)))))
+
+    return let(steps, upto)
+
+
 def spans_of(text: Column, rule: Rule, order: int) -> Column:
     """Array of (start, order of kind, end, kind): texts between matches and matches, laid end to end."""
     p = F.lit(rule.pattern)
@@ -213,18 +225,29 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text", base: list[
 
 
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", base: list[Rule] = BASE, more: list[Rule] = MORE, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every span replaced by mark; overlapping spans are replaced as one."""
-    cols, rules = docs.columns, [*base, *more]
-    found = scan(docs, key, text, base, more, keep=cols)
-    spans = F.array_sort(F.concat(*[f"found_{r.kind}" for r in rules]))
-    state = "struct<out:string,at:bigint>"
+    """docs with every span replaced by mark; overlapping spans are replaced as one.
 
-    def step(a, s):
-        piece = F.when(s.start >= a.at, F.concat(a.out, F.substring(F.col(text), (a.at + 1).cast("int"), (s.start - a.at).cast("int")), F.lit(mark))).otherwise(a.out)
-        return F.struct(piece.alias("out"), F.greatest(a.at, s.end).alias("at")).cast(state)
-
-    cut = F.aggregate(spans, F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")).cast(state), step, lambda a: F.concat(a.out, F.substring(F.col(text), (a.at + 1).cast("int"), F.length(text))))
-    return found.select(*[F.when(F.size(spans) > 0, cut).otherwise(F.col(text)).alias(c) if c == text else F.col(c) for c in cols])
+    Texts are cut at four bytes a character, so a piece costs its own length wherever it is, and a
+    text with thousands of spans no more than their sum. Columns may have any names.
+    """
+    cols, rules = docs.columns, [*base, *more]
+    others = [c for c in cols if c != text]
+    row = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.struct(F.lit(0))
+    packed = docs.select(row.alias("row"), F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
+    found = scan(packed, "key", "text", base, more, keep=["row", "text"])
+    spans = found.select("row", "text", F.array_sort(F.concat(*[f"found_{r.kind}" for r in rules])).alias("spans"))
+    chars = lambda raw, a, b: F.decode(F.substring(raw, (4 * a + 1).cast("int"), (4 * (b - a)).cast("int")), "UTF-32")
+
+    def pieces(raw):
+        def between(highs):
+            before = F.transform(F.col("spans"), lambda s, i: F.struct(F.when(i > 0, F.get(highs, i - 1)).otherwise(0).alias("a"), s.start.alias("b")))
+            kept = F.transform(F.filter(before, lambda p: p.b >= p.a), lambda p: chars(raw, p.a, p.b))
+            return F.concat(kept, F.array(chars(raw, F.element_at(highs, -1), F.length("text"))))
+
+        return let(running_greatest(F.transform("spans", lambda s: s.end)), between)
+
+    cut = F.when(F.size("spans") > 0, F.array_join(let(F.encode("text", "UTF-32"), pieces), mark)).otherwise(F.col("text"))
+    return spans.select(*[cut.alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in cols])
 
 
 def plain_matches(text: str, rule: Rule) -> list[tuple[int, int]]:
