@@ -28,13 +28,22 @@ def measured(docs: DataFrame, columns: list[str]) -> DataFrame:
     return docs.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in columns])
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """A name that no column of docs has."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without letters (null and empty ones too) and texts of no clear language. Ties in score go to the first language by name; repeated rows fare alike. Where no document has a language, nothing is learned and all stay."""
     model = langid.fit(docs)
     if not model.languages:
         return docs
-    found = langid.identify(docs, model, keep=docs.columns, into=("__lang", "__score"))
-    return found.where((F.col("__lang") != langid.UNKNOWN) & (F.col("__score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    lang, score = unused(docs, "found_lang"), unused(docs, "found_score")
+    found = langid.identify(docs, model, keep=docs.columns, into=(lang, score))
+    return found.where((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
