@@ -26,6 +26,8 @@ FIT_ROWS = 20_000
 #: The matrix goes to every executor: more languages than this are refused.
 MAX_LANGUAGES = 1_000
 CHUNK_CHARS = 250_000
+#: Rows of a batch whose texts are Python strings together.
+SLICE = 500
 UNKNOWN = "und"
 
 _FOLD: list[np.ndarray] = []
@@ -112,7 +114,7 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in (whole.slice(begin, SLICE) for whole in batches for begin in range(0, whole.num_rows, SLICE)):
             texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for begin, end in chunks(texts, CHUNK_CHARS):
                 buckets, owner, _ = hashed_ngrams(texts[begin:end])
@@ -144,8 +146,10 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", key: str
     at = keep.index(text) if text in keep else len(keep)
 
     def run(batches):
-        for batch in batches:
-            names, scores = shipped.value.predict(batch.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, *into])
+        for whole in batches:
+            for begin in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(begin, SLICE)
+                names, scores = shipped.value.predict(batch.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, *into])
 
     return docs.select(*keep, *[] if text in keep else [F.col(text).cast("string").alias("__text")]).mapInArrow(run, schema)
