@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions import signature
-from tidewatch.operators import analytics, firewall
+from tidewatch.operators import analytics, firewall, scheduler
 from tidewatch.operators.tables import shared_dir
 from tidewatch.plans.catalog import ALERTS, add, over_decisions, read
 from tidewatch.sources import alerts as src
@@ -134,3 +134,17 @@ def replay(d: DataFrame) -> DataFrame:
 
 over_decisions("log_replay", replay, ", n AS (SELECT count(*) AS n FROM d), o AS (SELECT row_number() OVER (ORDER BY alert_id) AS seq, CAST(alert_id AS VARCHAR) AS alert_id FROM d) SELECT n - 500 AS seq, 'gap' AS kind, 200::BIGINT AS missed, NULL AS alert_id FROM n UNION ALL SELECT seq, 'event', NULL, alert_id FROM o, n WHERE seq > n - 500")
 over_decisions("log_audit", lambda d: log.audit(*kept(d)).agg(F.sum("rows").alias("n"), F.count("problem").alias("faults")), _EPISODES + " SELECT (SELECT count(*) FROM d) + (SELECT count(*) FILTER (answered) FROM s) AS n, 0::BIGINT AS faults")
+
+
+def schedule(d: DataFrame) -> DataFrame:
+    """Orders of all pages, with a result for some of their first three attempts."""
+    paged = d.where(F.col("action").startswith("page")).withColumn("outbox_id", F.col("alert_id").cast("string"))
+    orders = paged.select("outbox_id", "at_us", F.col("alert_id").alias("seq"), F.col("at_us").alias("next_us"), (F.col("at_us") + F.when(F.col("k") % 7 == 0, 100_000_000).otherwise(DAY)).alias("max_age_us"))
+    said = F.when(F.col("k") % 5 == 0, "terminal").when((F.col("k") + F.col("attempt")) % 3 == 0, "accepted").when(F.col("k") % 4 == 0, "rate_limited").otherwise("timeout")
+    tries = paged.withColumn("attempt", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+    results = tries.where("(k + attempt) % 11 > 0").select("outbox_id", (F.col("at_us") + F.element_at(F.array(F.lit(2), F.lit(40), F.lit(200)), F.col("attempt")) * 1_000_000).alias("at_us"), F.col("attempt").cast("long").alias("seq"), "attempt", said.alias("outcome"), F.lit("e").alias("error"), F.lit(None).cast("double").alias("retry_after_s"))
+    return scheduler.schedule(scheduler.inputs(orders, results), 1_707_000_000_000_000)
+
+
+#: The jitter of a retry is drawn from a digest, and what follows depends on it; tests hold it against an account by the second.
+over_decisions("outbox_schedule", schedule, None)
