@@ -139,7 +139,7 @@ over_decisions("log_audit", lambda d: log.audit(*kept(d)).agg(F.sum("rows").alia
 def schedule(d: DataFrame) -> DataFrame:
     """Orders of all pages, with a result for some of their first three attempts."""
     paged = d.where(F.col("action").startswith("page")).withColumn("outbox_id", F.col("alert_id").cast("string"))
-    orders = paged.select("outbox_id", "at_us", F.col("alert_id").alias("seq"), F.col("at_us").alias("next_us"), (F.col("at_us") + F.when(F.col("k") % 7 == 0, 100_000_000).otherwise(DAY)).alias("max_age_us"))
+    orders = paged.select("outbox_id", "at_us", F.col("alert_id").alias("seq"), F.col("at_us").alias("next_us"), (F.col("at_us") + F.when(F.col("k") % 7 == 0, 100_000_000).otherwise(3_600_000_000)).alias("max_age_us"))
     said = F.when(F.col("k") % 5 == 0, "terminal").when((F.col("k") + F.col("attempt")) % 3 == 0, "accepted").when(F.col("k") % 4 == 0, "rate_limited").otherwise("timeout")
     tries = paged.withColumn("attempt", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
     results = tries.where("(k + attempt) % 11 > 0").select("outbox_id", (F.col("at_us") + F.element_at(F.array(F.lit(2), F.lit(40), F.lit(200)), F.col("attempt")) * 1_000_000).alias("at_us"), F.col("attempt").cast("long").alias("seq"), "attempt", said.alias("outcome"), F.lit("e").alias("error"), F.lit(None).cast("double").alias("retry_after_s"))
