@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.operators import asof, ladder, watch
+from tidewatch.operators import asof, baseline, ladder, watch
 from tidewatch.plans.catalog import ORACLES, over_decisions
 
 DAY, HOUR = 86_400_000_000, 3_600_000_000
@@ -85,3 +85,27 @@ over_decisions("rate_capped", lambda d: watch.rate_capped(d.select("estate", F.f
 over("daily_caps", lambda d: watch.daily_caps(d.withColumn("cost", F.col("k") + 1), 300), f""", q AS (SELECT estate, alert_id, (k + 1)::DOUBLE AS cost, at_us // {DAY} AS day, row_number() OVER (PARTITION BY estate, at_us // {DAY} ORDER BY at_us, alert_id) AS i FROM d),
  spend AS (SELECT estate, day, 0::BIGINT AS i, 0::BIGINT AS alert_id, false AS admitted, 0::DOUBLE AS spent FROM q GROUP BY estate, day UNION ALL SELECT q.estate, q.day, q.i, q.alert_id, s.spent + cost <= 300, CASE WHEN s.spent + cost <= 300 THEN s.spent + cost ELSE s.spent END FROM spend s JOIN q ON q.estate = s.estate AND q.day = s.day AND q.i = s.i + 1)
  SELECT estate, alert_id, admitted, spent FROM spend WHERE i > 0""")
+
+#: An estate's ticks are its hours; the baseline of an hour grows with the month in two of the estates, one of which is signed for halfway.
+_B = "CASE WHEN estate IN ('e0', 'e1') AND at_us >= 1705600000000000 THEN 40.0 ELSE 4.0 + hour % 3 END"
+
+
+def ticks(d: DataFrame) -> DataFrame:
+    hourly = d.groupBy("estate", F.floor(F.col("at_us") / HOUR).alias("hour")).agg(F.count_distinct("fingerprint").alias("w"))
+    return hourly.withColumn("at_us", F.col("hour") * HOUR).select("estate", "at_us", F.col("hour").alias("seq"), "w", F.expr(_B).cast("double").alias("b"))
+
+
+def guard(d: DataFrame) -> DataFrame:
+    signed = d.sparkSession.sql("SELECT 'e1' AS estate, 19744L AS day, 30.0D AS baseline")
+    return baseline.growth(ticks(d), signed)
+
+
+_TICKS = f", tk0 AS (SELECT estate, at_us // {HOUR} AS hour, count(DISTINCT fingerprint) AS w FROM d GROUP BY 1, 2), tk AS (SELECT estate, hour, hour // 24 AS day, w, {_B.replace('at_us', f'hour * {HOUR}')}::DOUBLE AS b FROM tk0)"
+over_decisions("baseline_guard", guard, _TICKS + """, dy AS (SELECT estate, day, arg_max(b, hour) AS baseline, list_sort(list(w))[count(*) // 2 + 1]::BIGINT AS velocity FROM tk GROUP BY 1, 2),
+ md AS (SELECT x.estate, x.day, any_value(x.baseline) AS baseline, any_value(x.velocity) AS velocity, list_sort(list(y.baseline))[count(*) // 2 + 1] AS median FROM dy x JOIN dy y ON x.estate = y.estate AND y.day <= x.day AND (SELECT count(*) FROM dy z WHERE z.estate = x.estate AND z.day > y.day AND z.day <= x.day) < 40 GROUP BY 1, 2),
+ rt AS (SELECT *, greatest(median, CASE WHEN estate = 'e1' AND day >= 19744 THEN 30.0 ELSE 0 END) AS ref FROM md), rr AS (SELECT *, CASE WHEN ref > 0 THEN greatest(baseline, velocity) / ref ELSE 0 END AS ratio FROM rt)
+ SELECT estate, day, baseline, median, velocity, ratio, CASE WHEN ratio > 3 THEN (SELECT min(u.day) FROM rr u WHERE u.estate = rr.estate AND u.day <= rr.day AND NOT EXISTS (SELECT 1 FROM rr c WHERE c.estate = rr.estate AND c.day BETWEEN u.day AND rr.day AND c.ratio <= 3)) END AS since FROM rr""")
+over_decisions("baseline_bootstrap", lambda d: baseline.bootstrap(ticks(d).select(F.concat_ws("|", "estate", F.floor(F.col("at_us") / DAY).cast("string")).alias("estate"), "at_us", "seq", "w"), 4), _TICKS + """, bt AS (SELECT concat_ws('|', estate, day) AS estate, w, row_number() OVER (PARTITION BY estate, day ORDER BY hour) - 1 AS i, count(*) OVER (PARTITION BY estate, day) AS n FROM tk),
+ bs AS (SELECT estate, any_value(n) AS n, list_sort(list(w)) AS whole, list_sort(list(w) FILTER (2 * i + 1 < 4 * n / 3.0)) AS early, list_sort(list(w) FILTER (2 * i + 1 >= 4 * n / 3.0)) AS late FROM bt GROUP BY 1),
+ bo AS (SELECT *, CASE WHEN n < 5 THEN 'few' WHEN early[len(early) // 2 + 1] < 4 AND late[len(late) // 2 + 1] >= 4 THEN 'refused' WHEN whole[n // 2 + 1] < 4 THEN 'quiet' ELSE 'learned' END AS outcome FROM bs)
+ SELECT estate, n, outcome, CASE WHEN outcome = 'learned' THEN whole[n // 2 + 1]::DOUBLE END AS baseline FROM bo""")
