@@ -53,14 +53,18 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grades: 0 fit to use, 1 of low quality, 2 toxic."""
     docs = table(spark, sf_dir, "documents")
-    return toxicity.score(docs, toxicity.fit(graded(docs, table(spark, sf_dir, "labels")), F.col("grade")))
+    return toxicity.score(docs, toxicity.fit(docs, F.col("grade"), labels=gravest(table(spark, sf_dir, "labels"))))
 
 
-def graded(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text and grade of labelled documents; of several labels of a document the gravest counts."""
+def gravest(labels: DataFrame) -> DataFrame:
+    """doc_id and grade; of several labels of a document the gravest counts."""
     grade = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 0)
-    gravest = labels.groupBy("doc_id").agg(F.max(grade).alias("grade"))
-    return docs.select("doc_id", "text").join(gravest, "doc_id")
+    return labels.groupBy("doc_id").agg(F.max(grade).alias("grade"))
+
+
+def graded(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, text and grade of labelled documents."""
+    return docs.select("doc_id", "text").join(gravest(labels), "doc_id")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,9 +106,14 @@ def contrast(buckets: np.ndarray, row: np.ndarray, upper: np.ndarray, weight: np
     return z
 
 
-def fit(rows: DataFrame, grade: Column, text: str = "text", key: str = "doc_id", fit_rows: int = FIT_ROWS, floor: float | None = 0.0) -> OrdinalModel:
-    """Fit on about fit_rows of the rows whose grade (0, 1, ...) is not null."""
-    graded = rows.select(F.col(key).cast("string").alias("k"), grade.cast("int").alias("y"), F.col(text).alias("t")).where("y is not null")
+def fit(rows: DataFrame, grade: Column, text: str = "text", key: str = "doc_id", fit_rows: int = FIT_ROWS, floor: float | None = 0.0, labels: DataFrame | None = None) -> OrdinalModel:
+    """Fit on about fit_rows of the rows whose grade (0, 1, ...) is not null.
+
+    labels: a table of key (each once) that holds the grade instead of rows. It is drawn from before texts are joined
+    to it, so no more than about fit_rows labels are broadcast, and no text is shuffled.
+    """
+    own = [F.col(text).alias("t")] if labels is None else []
+    graded = (rows if labels is None else labels).select(F.col(key).cast("string").alias("k"), grade.cast("int").alias("y"), *own).where("y is not null")
     there = dict(graded.groupBy("y").count().collect())
     part, left = {}, fit_rows
     for k, (y, n) in enumerate(sorted(there.items(), key=lambda x: x[1])):  # rarest first: what it leaves goes to the others
@@ -116,6 +121,8 @@ def fit(rows: DataFrame, grade: Column, text: str = "text", key: str = "doc_id",
         left -= part[y] * n
     draw = F.pmod(F.xxhash64("k", F.lit("toxicity")), F.lit(1 << 20))
     graded = graded.where(F.coalesce(*[F.when(F.col("y") == y, draw < int((1 << 20) * p)) for y, p in part.items()], F.lit(True)))
+    if labels is not None:
+        graded = rows.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).join(F.broadcast(graded), "k").select("k", "y", "t")
 
     def features(batches):
         for batch in batches:
