@@ -52,9 +52,9 @@ def episodes(rows: DataFrame, hours: int = 1) -> DataFrame:
 
 
 def in_change_window(rows: DataFrame, windows: DataFrame) -> DataFrame:
-    """Alerts inside a window (service, begin_us, end_us; ends included; service `*` fits all). Hour buckets make the interval join an equi-join; critical and high alerts are exempt."""
+    """Alerts inside a window (service, begin_us, end_us; ends included; service `*` fits all). Hour buckets make the interval join an equi-join; critical, high, p1 and p2 alerts are exempt, in any case; an alert without severity is not."""
     spread = windows.withColumn("hour", F.explode(F.sequence(F.floor(F.col("begin_us") / HOUR), F.floor(F.col("end_us") / HOUR)))).withColumnRenamed("service", "for_service")
-    asked = rows.where(~F.col("severity_in").isin("critical", "high")).withColumn("own", F.floor(F.col("at_us") / HOUR)).withColumn("name", F.explode(F.array("service", F.lit("*"))))
+    asked = rows.where(~F.lower(F.trim(F.coalesce("severity_in", F.lit("")))).isin("critical", "high", "p1", "p2")).withColumn("own", F.floor(F.col("at_us") / HOUR)).withColumn("name", F.explode(F.array("service", F.lit("*"))))
     fits = (F.col("own") == F.col("hour")) & (F.col("name") == F.col("for_service")) & F.col("at_us").between(F.col("begin_us"), F.col("end_us"))
     return asked.join(spread, fits, "left_semi").select("alert_id", "service").distinct()
 

@@ -102,6 +102,19 @@ over_alerts("chain_verify", lambda a: eventlog.verify(eventlog.chain(a.select(F.
 over_alerts("correlator", correlator.correlate, None)
 
 
+def _episodes(d: DataFrame) -> DataFrame:
+    """All steps: 600 times denser than the events, so that there are storms; every third alert is resolved a second later, and decisions are told to duplicates."""
+    dense = d.withColumn("at_us", (F.col("at_us") / 600).cast("long"))
+    shut = dense.where("k >= 98 AND alert_id % 10 = 0").select("service", F.col("at_us").alias("begin_us"), (F.col("at_us") + 3_000_000).alias("end_us"))
+    late = lambda us: (F.col("at_us") + us).alias("at_us")
+    resolves = dense.where("alert_id % 3 = 0").select("estate", late(1_000_000), F.col("alert_id").alias("seq"), "fingerprint", F.when(F.col("k") % 10 == 0, "silence").otherwise("verified_resolve").alias("authority"))
+    verdicts = dense.select("estate", late(1), F.col("alert_id").alias("seq"), "fingerprint", "action")
+    return correlator.correlate(correlator.hold(dense, shut), resolves, verdicts)
+
+
+over_decisions("correlator_episodes", _episodes, None)
+
+
 def _pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     orders, lines = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")
     action = F.when(F.col("o_orderstatus") == "F", "page_now").when(F.col("o_orderstatus") == "O", "page_business_hours").otherwise("passthrough")
