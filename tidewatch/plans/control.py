@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.operators import asof, baseline, ladder, watch
+from tidewatch.operators import asof, baseline, freshness, ladder, watch
 from tidewatch.plans.catalog import ORACLES, over_decisions
 
 DAY, HOUR = 86_400_000_000, 3_600_000_000
@@ -109,3 +109,37 @@ over_decisions("baseline_bootstrap", lambda d: baseline.bootstrap(ticks(d).selec
  bs AS (SELECT estate, any_value(n) AS n, list_sort(list(w)) AS whole, list_sort(list(w) FILTER (2 * i + 1 < 4 * n / 3.0)) AS early, list_sort(list(w) FILTER (2 * i + 1 >= 4 * n / 3.0)) AS late FROM bt GROUP BY 1),
  bo AS (SELECT *, CASE WHEN n < 5 THEN 'few' WHEN early[len(early) // 2 + 1] < 4 AND late[len(late) // 2 + 1] >= 4 THEN 'refused' WHEN whole[n // 2 + 1] < 4 THEN 'quiet' ELSE 'learned' END AS outcome FROM bs)
  SELECT estate, n, outcome, CASE WHEN outcome = 'learned' THEN whole[n // 2 + 1]::DOUBLE END AS baseline FROM bo""")
+
+#: Proofs as they stand at the end of January 2024; each decision carries its own.
+NOW_US, LIVE, BAR = 1_706_486_400_000_000, {"conf_min": 0.95, "window": "5m"}, 0.95
+_AT = "concat('2024-0', {0}, '-', lpad(CAST(1 + alert_id % 28 AS STRING), 2, '0'), 'T0', alert_id % 10, ':30:00', CASE alert_id % 3 WHEN 0 THEN 'Z' WHEN 1 THEN '+02:00' ELSE '-05:30' END)"
+_PROOF = {
+    "trained_at": f"CASE WHEN alert_id % 31 = 0 THEN 'soon' WHEN alert_id % 29 = 0 THEN '2024-01-28T00:00:00' ELSE {_AT.format(1)} END",
+    "issued_by": "CASE WHEN alert_id % 23 = 0 THEN 'ana' WHEN alert_id % 23 = 1 THEN 'run 1/v2' WHEN alert_id % 23 > 2 THEN concat('run-', user_id, '/v1') END",
+    "days": "k % 60", "model": "CASE WHEN alert_id % 19 > 0 THEN 'm1' END", "pipeline": "CASE WHEN alert_id % 17 = 0 THEN 'p0' ELSE 'p1' END",
+    "threshold": "CASE WHEN alert_id % 13 = 0 THEN CAST(0.8 AS DOUBLE) WHEN alert_id % 13 = 1 THEN CAST(0.9 AS DOUBLE) ELSE CAST(0.95 AS DOUBLE) END",
+    "second": "CASE WHEN alert_id % 11 = 0 THEN 'ana' WHEN alert_id % 11 = 1 THEN '' WHEN alert_id % 11 > 2 THEN 'ben' END",
+    "due_at": f"CASE WHEN alert_id % 37 = 0 THEN 'later' ELSE {_AT.format('CASE WHEN k % 3 = 0 THEN 1 ELSE 2 END')} END",
+    "digest": f"CASE WHEN alert_id % 7 = 0 THEN 'edited' ELSE '{freshness.config_hash(LIVE)}' END",
+    "banned": "user_id % 41 = 0", "pending": "k % 5 = 0", "migration_until": "CASE WHEN user_id % 3 = 0 THEN '2024-02-15' WHEN user_id % 3 = 1 THEN '2024-01-15T12:00:00' END",
+}
+
+
+def proofs(d: DataFrame) -> DataFrame:
+    rows = d.select("alert_id", "fingerprint", *[F.expr(e).alias(c) for c, e in _PROOF.items()])
+    rows = freshness.with_drift(rows, d.where("became_sev12 = 1 AND k >= 95").select("fingerprint", F.concat(F.lit("inc-"), "alert_id").alias("incident")), d.where("alert_id % 97 = 0"))
+    both, now = F.array(F.lit("ana"), F.col("second")), F.lit(NOW_US)
+    fit = freshness.fit_leg(F.struct("trained_at", "issued_by", F.col("days").alias("valid_days"), "model", "pipeline"), now, "m1", "p1")
+    bar = freshness.threshold_leg(F.struct("threshold", both.alias("attested_by"), "due_at", F.col("digest").alias("config_hash")), now, LIVE, BAR)
+    entry = freshness.entry_leg(F.struct("banned", "pending", both.alias("attested_by"), F.col("trained_at").alias("attested_at"), F.col("days").alias("ttl_days"), "incident", "rewritten"), now, F.col("migration_until"))
+    legs = rows.select("alert_id", fit.alias("fit"), bar.alias("bar"), entry.alias("entry"))
+    return legs.select("alert_id", F.col("fit.reason").alias("fit"), F.col("bar.reason").alias("threshold"), F.col("entry.reason").alias("entry"), F.array_join(freshness.stale_reasons(F.col("fit"), F.col("bar"), F.col("entry")), "|").alias("stale"))
+
+
+over_decisions("freshness_legs", proofs, ", p AS (SELECT alert_id, fingerprint, " + ", ".join(f"{e} AS {c}" for c, e in _PROOF.items()) + f""" FROM d),
+ t AS (SELECT *, CASE WHEN regexp_matches(trained_at, '(Z|[+-][0-9]{{2}}:[0-9]{{2}})$') THEN epoch_us(TRY_CAST(trained_at AS TIMESTAMPTZ)) END AS made, epoch_us(TRY_CAST(due_at AS TIMESTAMPTZ)) AS due, greatest(days, 1) * {DAY} AS span FROM p),
+ l AS (SELECT alert_id, CASE WHEN made IS NULL THEN 'invalid fit_trained_at' WHEN alert_id % 23 < 3 THEN 'invalid issued_by' WHEN {NOW_US} > made + span THEN 'fit TTL expired' WHEN model IS NULL THEN 'model_pin mismatch' WHEN pipeline <> 'p1' THEN 'label pipeline drift' END AS fit,
+  CASE WHEN threshold < 0.85 THEN 'below conf floor' WHEN alert_id % 11 < 3 THEN 'not two operators' WHEN due IS NULL THEN 'invalid revalidation_due_at' WHEN {NOW_US} > due THEN 'revalidation clock lapsed' WHEN threshold <> 0.95 THEN 'threshold is not the live bar' WHEN digest = 'edited' THEN 'config_hash mismatch' END AS threshold,
+  CASE WHEN banned THEN 'security category banned' WHEN pending AND coalesce(migration_until, '') <> '2024-02-15' THEN 're-attestation pending' WHEN alert_id % 11 < 3 THEN 'not two people' WHEN made IS NULL THEN 'invalid attested_at' WHEN {NOW_US} > made + span THEN 'entry TTL expired'
+   WHEN fingerprint IN (SELECT fingerprint FROM d WHERE became_sev12 = 1 AND k >= 95) THEN 'incident linkage' WHEN fingerprint IN (SELECT fingerprint FROM d WHERE alert_id % 97 = 0) THEN 'drift check failed' END AS entry FROM t)
+ SELECT alert_id, fit, threshold, entry, concat_ws('|', 'lock1_stale: ' || fit, 'lock2_stale: ' || threshold, 'lock3_stale: ' || entry) AS stale FROM l""")
