@@ -2,13 +2,13 @@
 
 import duckdb
 import pytest
-from tidewatch.plans import catalog, control, intake, legs
+from tidewatch.plans import catalog, control, intake, legs, tap
 
-assert legs and control and intake  # they add their queries to the catalog
+assert legs and control and intake and tap  # they add their queries to the catalog
 
 SF, LARGE = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 #: Held against DuckDB on the larger tables too.
-ON_LARGE = ["composition", "deciles", "digest_rank", "history_read", "noise_top_checks", "psi", "river", "running_count", "team_load", "volume_guard"]
+ON_LARGE = ["composition", "deciles", "digest_rank", "history_read", "noise_top_checks", "psi", "river", "running_count", "tap_observations", "team_load", "volume_guard"]
 TABLES = "nation customer orders lineitem events conversations".split()
 
 
