@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.functions import signature
+from tidewatch.functions import canonical, signature
 from tidewatch.operators import analytics, firewall, scheduler
 from tidewatch.operators.tables import shared_dir
 from tidewatch.plans.catalog import ALERTS, add, over_decisions, read
@@ -148,3 +148,17 @@ def schedule(d: DataFrame) -> DataFrame:
 
 #: The jitter of a retry is drawn from a digest, and what follows depends on it; tests hold it against an account by the second.
 over_decisions("outbox_schedule", schedule, None)
+
+#: Turns as nested values whose texts need escapes.
+_SPOKEN = "CASE turn % 3 WHEN 0 THEN concat('\"', text, chr(10), chr(233)) WHEN 1 THEN concat(text, chr(92), chr(9)) ELSE text END"
+
+
+def turns(rows: DataFrame) -> DataFrame:
+    said, n = F.expr(_SPOKEN), F.length("text")
+    return rows.select("conv_id", "turn", F.struct(said.alias("text"), F.create_map(F.lit("turn"), F.col("turn").cast("string"), F.lit("conv"), F.when(F.col("turn") > 0, F.col("conv_id").cast("string"))).alias("at"), F.array(n / 7, (n + 1) * 1e15, F.lit(None), n / 1e9).alias("Figures"), (F.col("turn") == 0).alias("first")).alias("v"))
+
+
+@add("canonical_json", f"""WITH t AS (SELECT conv_id, turn, text, {_SPOKEN} AS said, length(text) AS n FROM conversations WHERE text IS NOT NULL) SELECT conv_id, turn, sha256(concat('{{"Figures":[', n / 7::DOUBLE, ',', (n + 1) * 1e15::DOUBLE, ',null,', n / 1e9::DOUBLE, '],"at":{{"conv":', CASE WHEN turn > 0 THEN concat('"', conv_id, '"') ELSE 'null' END, ',"turn":"', turn, '"}},"first":', turn = 0, ',"text":', to_json(said), '}}')) AS input_sha256 FROM t""")
+def canonical_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = turns(read(spark, sf_dir, "conversations").where("text is not null"))
+    return rows.select("conv_id", "turn", canonical.digest(F.col("v"), rows.schema["v"].dataType).alias("input_sha256"))
