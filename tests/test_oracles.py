@@ -2,9 +2,9 @@
 
 import duckdb
 import pytest
-from tidewatch.plans import catalog, control, intake, legs, tap
+from tidewatch.plans import catalog, control, intake, legs, made, tap
 
-assert legs and control and intake and tap  # they add their queries to the catalog
+assert legs and control and intake and made and tap  # they add their queries to the catalog
 
 SF, LARGE = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 #: Held against DuckDB on the larger tables too.
