@@ -162,3 +162,30 @@ def due(outbox: DataFrame, now_us: int, limit: int) -> DataFrame:
 def expired_mutes(log: DataFrame, now_us: int) -> DataFrame:
     """Applied mutes past their end that no expiry names."""
     return log.where((F.col("type") == "applied") & (F.col("until_us") <= now_us)).select("seq", "fingerprint").join(log.where("type = 'expired'").select(F.col("applied_seq").alias("seq")), "seq", "left_anti")
+
+
+#: Decisions a window needs, and what a baseline that does not say has.
+LEAST_DECISIONS, BAND_SIGMAS, REVIEW_SIGMAS, MOST_SUPPRESSED = 30, 3.0, 2.0, 0.5
+
+
+def trips(decided: DataFrame, baselines: DataFrame, windows_us: list[int]) -> DataFrame:
+    """Each decision of a policy with a baseline: suppressions of the trailing window (both ends count), and `trip`, why the rate is out of band (null: it is not).
+
+    decided: policy_id, seq, at_us, action. baselines: one row a policy, with window_us (one of windows_us), expected,
+    sigma, signed_by, review_due, and if it says band_sigmas, review_sigmas and most. A baseline that fewer than two
+    different people signed is none. A rate over the most is out whatever the band; a review that is due narrows it.
+    """
+    signed = baselines.where(F.size(F.array_distinct(F.array_compact("signed_by"))) >= 2)
+    rows = decided.where("policy_id is not null and at_us is not null").select("policy_id", "seq", "at_us", F.coalesce((F.col("action") == "suppress").cast("int"), F.lit(0)).alias("quiet"))
+    has = lambda c, otherwise: F.coalesce(F.col(c), F.lit(otherwise)) if c in baselines.columns else F.lit(otherwise)
+    out = None
+    for span in windows_us:
+        mine = signed.where(F.col("window_us") == span)
+        counted = ladder.trailing(rows.join(mine.select("policy_id"), "policy_id", "left_semi").withColumn("one", F.lit(1)), "policy_id", span, {"n": "one", "k": "quiet"})
+        rate = F.col("k") / F.col("n")
+        off = F.abs(rate - F.col("expected")) / F.when(F.col("sigma") > 0, F.col("sigma")).otherwise(1e-9)
+        due = F.coalesce(F.col("review_due"), F.lit(False))
+        trip = F.when(F.col("n") < LEAST_DECISIONS, None).when(rate > has("most", MOST_SUPPRESSED), "absolute_guardrail").when(due & (off > has("review_sigmas", REVIEW_SIGMAS)), "review_due_drift").when(~due & (off > has("band_sigmas", BAND_SIGMAS)), "slo_band")
+        part = counted.join(mine, "policy_id").select("policy_id", "seq", "at_us", "n", "k", trip.alias("trip"))
+        out = part if out is None else out.unionByName(part)
+    return out

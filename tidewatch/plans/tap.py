@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.operators import tap
+from tidewatch.operators import shadow, tap, watch
 from tidewatch.operators.tables import stored
-from tidewatch.plans.catalog import ALERTS, add, over_decisions, read
+from tidewatch.plans.catalog import ALERTS, add, over_decisions, read, wilson_sql
 from tidewatch.plans.legs import SEVERITIES
 from tidewatch.sources import alerts as src
 from tidewatch.sources import vendors
@@ -92,3 +92,50 @@ def asked(d: DataFrame) -> DataFrame:
 
 over_decisions("verdicts_told_again", lambda d: tap.told_again(asked(d), ["action", "conf_h"]).select("alert_id", "action", "conf_h", "from_cache"), """, y AS (SELECT alert_id, alert_id % 3 > 0 AS dup, fingerprint, at_us, max(CASE WHEN alert_id % 3 = 0 THEN {'at': at_us, 'seq': alert_id, 'action': action, 'conf_h': conf_h} END) OVER (PARTITION BY fingerprint ORDER BY at_us, alert_id ROWS UNBOUNDED PRECEDING) AS last FROM d)
  SELECT alert_id, last.action AS action, last.conf_h AS conf_h, dup AS from_cache FROM y""")
+
+
+DAY = 24 * HOUR
+_SIDE = {
+    "human_disposition": "CASE WHEN severe = 1 THEN 'paged' WHEN days % 3 = 0 THEN 'unknown' ELSE 'unpaged' END",
+    "latency_ms": "alert_id % 977 + k / 64.0",
+}
+
+
+def week(d: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Episodes are a fingerprint's days; people were paged where one became grave. One in eight has no evaluated observation."""
+    seen = d.withColumn("days", F.floor(F.col("at_us") / DAY)).withColumn("episode", F.concat_ws("|", "fingerprint", F.col("days").cast("string")))
+    found = seen.groupBy("episode", "days").agg(F.coalesce(F.max("became_sev12"), F.lit(0)).alias("severe"), F.min_by("severity_in", "alert_id").alias("severity"))
+    looked = seen.where("days % 8 > 0").select("episode", F.col("action").alias("would"), "at_us", "alert_id", F.col("alert_id").alias("arrival"), F.expr(f"cast({_SIDE['latency_ms']} as double)").alias("latency_ms"), "conf_h")
+    return found.select("episode", "severity", F.expr(_SIDE["human_disposition"]).alias("human_disposition")), looked
+
+
+def judged(d: DataFrame) -> DataFrame:
+    found, looked = week(d)
+    return shadow.evaluated(found.withColumn("human_paged", F.col("human_disposition") == "paged"), looked.drop("latency_ms", "conf_h"))
+
+
+_WEEK = f""", x AS (SELECT *, at_us // {DAY} AS days, concat(fingerprint, '|', at_us // {DAY}) AS episode, CAST({_SIDE['latency_ms']} AS DOUBLE) AS latency_ms FROM d), g AS (SELECT episode, any_value(days) AS days, coalesce(max(became_sev12), 0) AS severe, arg_min(severity_in, alert_id) AS severity FROM x GROUP BY 1),
+ p AS (SELECT *, {_SIDE['human_disposition']} AS people FROM g), z AS (SELECT p.*, people = 'paged' AS paged, x.action AS would, x.latency_ms, x.conf_h, x.at_us, x.alert_id FROM p JOIN x USING (episode) WHERE p.days % 8 > 0 QUALIFY row_number() OVER (PARTITION BY episode ORDER BY x.alert_id DESC) = 1),
+ b AS (SELECT low_h, high_h, count(*) AS n, count(*) FILTER (paged) AS k FROM z JOIN (VALUES (95, 100), (90, 94), (85, 89), (70, 84), (50, 69)) t(low_h, high_h) ON conf_h BETWEEN low_h AND high_h GROUP BY 1, 2), c AS (SELECT *, n < 30 AS thin, round(abs((low_h + high_h) / 2.0::DOUBLE - 100.0::DOUBLE * k / n), 1) AS off FROM b)"""
+over_decisions("shadow_report", lambda d: shadow.report(*week(d)), _WEEK + """ SELECT (SELECT count(*) FROM p) AS alerts_observed, count(*) AS episodes, count(*) FILTER (paged) AS human_paged, count(*) FILTER (people = 'unpaged') AS human_unpaged_resolved, count(*) FILTER (would <> 'suppress') AS would_page, count(*) FILTER (would = 'suppress') AS would_suppress,
+ round(100.0::DOUBLE * count(*) FILTER (paged = (would <> 'suppress')) / count(*), 4) AS agreement_pct, round(100.0::DOUBLE * count(*) FILTER (would = 'suppress') / count(*), 1) AS noise_reduction_pct, count(*) FILTER (paged AND would = 'suppress') AS suppress_vs_page, count(*) FILTER (NOT paged AND would = 'page_now') AS page_vs_suppress,
+ count(*) FILTER (paged AND would = 'suppress' AND severity IN ('critical', 'high')) AS severe_misses, count(*) FILTER (paged AND would = 'suppress' AND severity IN ('critical', 'high')) = 0 AS zero_bar, (SELECT round(latency_ms, 1) FROM z ORDER BY latency_ms LIMIT 1 OFFSET (SELECT CAST(ceil(0.99 * count(*)) AS BIGINT) - 1 FROM z)) AS p99_latency_ms, (SELECT bool_or(NOT thin AND off > 5) FROM c) AS calibration_hold FROM z""")
+over_decisions("shadow_calibration", lambda d: shadow.calibration(judged_with(d)), _WEEK + f" SELECT low_h, high_h, n, k, thin, CASE WHEN NOT thin THEN off END AS off_points, round({wilson_sql('k', 'n', 1.96, '-')}, 3) AS low, round({wilson_sql('k', 'n', 1.96, '+')}, 3) AS high, NOT thin AND off > 5 AS hold FROM c")
+over_decisions("divergence_ids", lambda d: shadow.numbered(judged(d)).select("id", "episode", "would", "direction"), _WEEK + " SELECT printf('D-%03d', row_number() OVER (ORDER BY at_us, alert_id)) AS id, episode, would, CASE WHEN paged THEN 'suppress-vs-page' ELSE 'page-vs-suppress' END AS direction FROM z WHERE (paged AND would = 'suppress') OR (NOT paged AND would = 'page_now')")
+
+
+def judged_with(d: DataFrame) -> DataFrame:
+    found, looked = week(d)
+    last = looked.groupBy("episode").agg(F.max_by("conf_h", "arrival").alias("conf_h"))
+    return found.withColumn("human_paged", F.col("human_disposition") == "paged").join(last, "episode")
+
+
+def signed(d: DataFrame) -> DataFrame:
+    """Baselines of teams, one of them signed by one person twice."""
+    team = F.col("policy_id")
+    return d.select(F.col("team").alias("policy_id")).distinct().select("policy_id", F.when(team < "team-4", 2 * DAY).otherwise(4 * DAY).alias("window_us"), F.when(team < "team-2", 0.3).otherwise(0.1).alias("expected"), F.when(team == "team-6", 0.0).otherwise(0.02).alias("sigma"), F.array(F.lit("ana"), F.when(team == "team-3", "ana").otherwise("bo")).alias("signed_by"), (team == "team-1").alias("review_due"), F.when(team == "team-2", 0.15).alias("most"))
+
+
+over_decisions("suppression_trips", lambda d: watch.trips(d.select(F.col("team").alias("policy_id"), F.col("alert_id").alias("seq"), "at_us", "action"), signed(d), [2 * DAY, 4 * DAY]).drop("at_us"), f""", r2 AS (SELECT team AS policy_id, alert_id AS seq, CASE WHEN team < 'team-4' THEN count(*) OVER a ELSE count(*) OVER b END AS n, CASE WHEN team < 'team-4' THEN count(*) FILTER (action = 'suppress') OVER a ELSE count(*) FILTER (action = 'suppress') OVER b END AS k
+ FROM d WHERE team <> 'team-3' WINDOW a AS (PARTITION BY team ORDER BY at_us RANGE BETWEEN {2 * DAY} PRECEDING AND CURRENT ROW), b AS (PARTITION BY team ORDER BY at_us RANGE BETWEEN {4 * DAY} PRECEDING AND CURRENT ROW))
+ SELECT policy_id, seq, n, k, CASE WHEN n < 30 THEN NULL WHEN k / n::DOUBLE > CASE policy_id WHEN 'team-2' THEN 0.15::DOUBLE ELSE 0.5 END THEN 'absolute_guardrail' WHEN abs(k / n::DOUBLE - CASE WHEN policy_id < 'team-2' THEN 0.3::DOUBLE ELSE 0.1 END) / CASE policy_id WHEN 'team-6' THEN 1e-9 ELSE 0.02::DOUBLE END > CASE policy_id WHEN 'team-1' THEN 2 ELSE 3 END THEN CASE policy_id WHEN 'team-1' THEN 'review_due_drift' ELSE 'slo_band' END END AS trip FROM r2""")
