@@ -110,3 +110,12 @@ def test_river_fold(spark):
     got = {r["alert_id"]: r["status"] for r in eventlog.river(log, 100_000_000).collect()}
     late, some = "PAGED_ANOMALY", "passthrough_decided"
     assert got == {1: late, 2: "decided_unconfirmed", 3: late, 4: "paged", 5: late, 6: "suppressed", 7: "requested", 8: "passthrough_unconfirmed", 9: some, 10: some, 11: "folded_into_aggregate", 12: "unknown", 13: late, 14: late, 15: "unknown"}
+
+
+def test_a_page_tells_whether_there_are_older_rows(spark):
+    from tidewatch.operators import decisionlog
+
+    rows = spark.range(10).select(F.col("id").alias("seq"))
+    for before, want, older in ((None, [9, 8, 7], True), (4, [3, 2, 1], True), (3, [2, 1, 0], False), (2, [1, 0], False), (0, [], None)):
+        got = decisionlog.page(rows, 3, before).orderBy(F.col("seq").desc()).collect()
+        assert [r["seq"] for r in got] == want and {r["has_older"] for r in got} == ({older} if got else set())

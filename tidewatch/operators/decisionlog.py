@@ -61,10 +61,10 @@ def page(rows: DataFrame, limit: int, before: int | None = None, order: str = "s
     for c, v in equal.items():
         rows = rows.where(F.col(c) == v)
     rows = rows if before is None else rows.where(F.col(order) < before)
-    found = rows.orderBy(F.col(order).desc()).limit(limit)
-    # the window is over the `limit` rows of the page
-    least = rows.agg(F.min(order).alias("__first"))
-    return found.crossJoin(F.broadcast(least)).withColumn("has_older", F.min(order).over(Window.partitionBy(F.lit(1))) > F.col("__first")).drop("__first")
+    # one row more than the page tells whether there are older ones; the windows are over these rows only
+    found, whole = rows.orderBy(F.col(order).desc()).limit(limit + 1), Window.partitionBy(F.lit(1))
+    placed = found.withColumns({"__nth": F.row_number().over(whole.orderBy(F.col(order).desc())), "has_older": F.count(F.lit(1)).over(whole) > limit})
+    return placed.where(F.col("__nth") <= limit).drop("__nth")
 
 
 def tail(rows: DataFrame, limit: int, after: int, order: str = "seq") -> DataFrame:
