@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import forget, stored
 
 #: verdict, host and path of each rule.
-RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/")]
+RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 DEPTH = 6
 #: Prior of a blocked label and its weight, and the smoothed share from which a template is rejected.
 PRIOR, WEIGHT, UNLABELLED, PURITY = 0.2, 4.0, 0.1, 0.8
