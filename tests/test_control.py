@@ -120,3 +120,24 @@ def test_advice_by_severity_and_a_share_of_fingerprints(spark):
     got = sorted(repr(tuple(r)) for r in df.where(policy.advised(F.col("severity"), F.col("fingerprint"))).collect())
     want = [(f, s) for f, s in [(f, "low") for f in fps] + [("x", s) for s in ("Emergency", "FATAL", "p2", "notice", None)] + [(None, None)] if (s or "").lower() in ("critical", "high", "p1", "p2", "emergency", "fatal") or int(hashlib.sha256((f or "").encode()).hexdigest(), 16) % 100 == 0]
     assert got == sorted(map(repr, want))
+
+
+def test_history_is_strictly_earlier(spark, tmp_path):
+    """Decisions of one microsecond do not see each other, whatever their ids; one of them at most is history, so SQL leaves no tie."""
+    import duckdb
+    from tidewatch.plans import catalog, control
+
+    assert control  # it adds the query to the catalog
+
+    rows = [(i, 1_704_067_200 + i // 4, 11, "view", 30.0, f'{{"k": {45 if i % 4 != (i // 4) % 4 else 3}}}') for i in range(80)]
+    events = spark.createDataFrame(rows, "event_id long, s long, user_id long, event_type string, value double, props string")
+    k = F.get_json_object("props", "$.k").cast("int")
+    events = events.withColumn("user_id", F.when(k < 30, 15).otherwise(5)).select("event_id", F.timestamp_seconds("s").cast("timestamp_ntz").alias("ts"), "user_id", "event_type", "value", "props")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"SET TimeZone = 'UTC'; CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    columns = ["alert_id", "prior_id", "prior_action"]
+    want = con.execute(f"SELECT {', '.join(columns)} FROM ({catalog.ORACLES['history_read']})").fetchall()
+    got = catalog.QUERIES["history_read"](spark, str(tmp_path)).select(columns)
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    assert len(want) == 80 and sum(w[1] is None for w in want) == 4

@@ -72,9 +72,9 @@ over("ladder_intervals", lambda d: ladder.intervals(changes(d)), _LADDER + ", i
 over("canary", lambda d: watch.canary(stepped(d), 10).select("estate", "seq", "step", "nth"), _LADDER + ", s AS (SELECT lw.estate, lw.seq, lw.at_us, m.step FROM lw JOIN m ON m.estate = lw.estate AND m.rn = lw.rn - 1), c AS (SELECT estate, seq, step, row_number() OVER (PARTITION BY estate ORDER BY at_us, seq) AS nth FROM s WHERE step > 0) SELECT * FROM c WHERE nth % 10 = 0")
 
 
-#: What was last decided of the same service before: a read of history up to a cutoff.
+#: What was last decided of the same service before: a read of history up to a cutoff. Decisions of the cutoff's own microsecond are not before it, so what asks has no seq, which comes first.
 _PAST = " SELECT x.alert_id, y.alert_id AS prior_id, y.action AS prior_action FROM d x ASOF LEFT JOIN (SELECT service, action, alert_id, at_us FROM d WHERE k < 30) y ON x.service = y.service AND x.at_us > y.at_us"
-over_decisions("history_read", lambda d: asof.asof(d.select("service", "at_us", F.col("alert_id").alias("seq"), "alert_id"), d.where("k < 30").select("service", "at_us", F.col("alert_id").alias("seq"), "alert_id", "action"), "service", inclusive=False).select("alert_id", F.col("found.alert_id").alias("prior_id"), F.col("found.action").alias("prior_action")), _PAST)
+over_decisions("history_read", lambda d: asof.asof(d.select("service", "at_us", F.lit(None).cast("long").alias("seq"), "alert_id"), d.where("k < 30").select("service", "at_us", F.col("alert_id").alias("seq"), "alert_id", "action"), "service", inclusive=False).select("alert_id", F.col("found.alert_id").alias("prior_id"), F.col("found.action").alias("prior_action")), _PAST)
 over_decisions("running_count", lambda d: asof.running(d.select("fingerprint", "at_us", F.col("alert_id").alias("seq")), "fingerprint").select("fingerprint", F.col("seq").alias("alert_id"), "nth"), "SELECT fingerprint, alert_id, row_number() OVER (PARTITION BY fingerprint ORDER BY at_us, alert_id) AS nth FROM d")
 over_decisions("page_rate", lambda d: watch.page_rate(d, 0.02, 6 * HOUR), f"SELECT x.estate, x.alert_id, count(*) FILTER (y.action IN ('page_now', 'page_business_hours', 'passthrough')) AS pages, count(*) FILTER (y.action IN ('page_now', 'page_business_hours', 'passthrough')) / 360::DOUBLE > 0.02 AS over FROM d x JOIN d y ON x.estate = y.estate AND y.at_us BETWEEN x.at_us - {6 * HOUR} AND x.at_us AND (y.at_us, y.alert_id) <= (x.at_us, x.alert_id) GROUP BY 1, 2")
 _Z = "CAST((alert_id * 7) % 13 - 6 AS DOUBLE)"
