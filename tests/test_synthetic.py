@@ -1,5 +1,7 @@
 """What is made up does not depend on partitions, and has the shares and rates asked for."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 from tidewatch.sources import synthetic
@@ -69,3 +71,22 @@ def test_cells_without_a_mean_have_no_arrivals(spark):
     assert synthetic.arrivals(cells, 1, "id").count() == 0
     with pytest.raises(Exception, match="at most"):
         synthetic.arrivals(cells.withColumn("mean", F.lit(1e6)), 1, "id").collect()
+
+
+@pytest.mark.parametrize("mean", [3.0, 499.0, 501.0, 1_260.0, 7_560.0])
+def test_counts_of_any_mean_are_the_distributions(spark, mean):
+    """Against sums of terms by the logarithm of the factorial; means over 500 were refused."""
+    us = [0.001, 0.2, 0.5, 0.77, 0.999, 1 - 1e-9]
+    want, k, upto = [], 0, 0.0
+    for u in us:
+        while (upto_k := upto + math.exp(k * math.log(mean) - mean - math.lgamma(k + 1))) <= u:
+            upto, k = upto_k, k + 1
+        want.append(k)
+    df = spark.createDataFrame(list(enumerate(us)), "id long, u double").withColumn("mean", F.lit(mean))
+    assert [r["n"] for r in df.select("id", synthetic.poisson(F.col("mean"), F.col("u")).alias("n")).orderBy("id").collect()] == want
+
+
+def test_a_busy_cell_has_all_its_arrivals(spark):
+    cells = spark.range(200).select(F.col("id"), F.lit(900.0).alias("mean"), F.lit(0).alias("from_us"), F.lit(1_000).alias("span_us"))
+    n = synthetic.arrivals(cells, 4, "id").count()
+    assert abs(n - 180_000) < 5 * 180_000**0.5

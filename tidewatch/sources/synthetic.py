@@ -19,8 +19,8 @@ TEMPLATES = {
 SERVICES, CHECKS, REGIONS = [f"svc-{i}" for i in range(10)], ["error_rate", "latency", "cpu", "queue", "disk"], ["r0", "r1", "r2"]
 #: Each so many-th triple of service, check and region is noise's own.
 NOISE_EACH = 8
-#: A cell of arrivals has at most this mean; a mean above some 700 has no Poisson term in double precision.
-MAX_MEAN = 500.0
+#: A cell of arrivals has at most this mean, and from WIDE_MEAN on its Poisson terms are taken from 12 deviations below the mean on: e to the minus 700 and less has no double precision.
+MAX_MEAN, WIDE_MEAN = 100_000.0, 500.0
 
 
 def uniform(seed: int, purpose: str, *counter: Column | str) -> Column:
@@ -93,9 +93,15 @@ def answers(rows: DataFrame, seed: int, counter: str, label_noise: float = 0.0)
 
 
 def poisson(mean: Column, u: Column) -> Column:
-    """The number of arrivals whose distribution function first exceeds u; terms beyond 12 deviations of the mean are under 1e-16."""
-    steps = F.sequence(F.lit(1), F.ceil(mean + 12 * F.sqrt(mean) + 24).cast("int"))
-    start = F.struct(F.exp(-mean).alias("term"), F.exp(-mean).alias("upto"), F.lit(0).alias("n"))
+    """The number of arrivals whose distribution function first exceeds u; terms beyond 12 deviations of the mean are under 1e-16, those left out below under 1e-24."""
+    wide = mean > WIDE_MEAN
+    least = F.when(wide, F.floor(mean - 12 * F.sqrt(mean) - 24)).otherwise(0).cast("int")
+    steps = F.sequence(least + 1, F.ceil(mean + 12 * F.sqrt(mean) + 24).cast("int"))
+    k = least.cast("double")
+    # the least term's logarithm, by Stirling's series; the next part of it is under 1e-14
+    log = k * F.log(mean / k) + k - mean - F.log(2 * F.pi() * k) / 2 - 1 / (12 * k) + 1 / (360 * k * k * k)
+    term = F.when(wide, F.exp(log)).otherwise(F.exp(-mean))
+    start = F.struct(term.alias("term"), term.alias("upto"), least.alias("n"))
 
     def step(s: Column, k: Column) -> Column:
         term = s["term"] * mean / k
