@@ -120,3 +120,19 @@ def test_stream_is_batch(spark, tmp_path):
         spark.conf.set(key, had)
     got = spark.read.schema(scheduler.EVENT).parquet(str(tmp_path / "out")).where((F.col("at_us") <= END) & (F.col("outbox_id") != "end"))
     assert sorted(map(repr, map(tuple, got.collect()))) == want
+
+
+def test_orders_stream_through_tasks(spark):
+    """No Python call for each order, and an order whose inputs lie in several batches is one fold."""
+    o, r = tables(spark, *cases(40, 7))
+    rows = scheduler.inputs(o, r)
+    out = scheduler.schedule(rows, END, RULES)
+    plan = out._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+    want, key = sorted(map(repr, map(tuple, out.collect()))), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    had = spark.conf.get(key)
+    spark.conf.set(key, "3")
+    try:
+        assert sorted(map(repr, map(tuple, scheduler.schedule(rows, END, RULES).collect()))) == want
+    finally:
+        spark.conf.set(key, had)

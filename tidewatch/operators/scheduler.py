@@ -2,7 +2,7 @@
 
 Orders and results are one stream of inputs; what falls due in between (a claim, a lease
 that runs out, an age that is exceeded, the second channel) is done at its own time. In
-batch, each order's inputs are folded; as a stream, the same fold is its state, and timers
+batch, each order's inputs are sorted and folded; as a stream, the same fold is its state, and timers
 wake it. An order is small and independent of others, so no key is a task of its own.
 
 A result counts if it is of the attempt that is in flight; others come too late and are
@@ -16,6 +16,7 @@ import hashlib
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import batched
 
 import pandas as pd
 import pyarrow as pa
@@ -27,6 +28,8 @@ from tidewatch.operators.watch import BACKOFF_S
 
 SECOND = 1_000_000
 EVENT = "outbox_id string, at_us long, event string, attempt int, status string, error string"
+#: Events that a task sends at a time.
+EVENTS = 8_192
 INPUT = ["outbox_id", "at_us", "seq", "kind", "next_us", "max_age_us", "attempt", "outcome", "error", "retry_after_s"]
 
 
@@ -137,19 +140,29 @@ def inputs(orders: DataFrame, results: DataFrame) -> DataFrame:
     return wide(orders, "order").unionByName(wide(results, "result")).where("outbox_id is not null and at_us is not null")
 
 
+def folded(batches: Iterator[pa.RecordBatch], until_us: int, rules: Rules) -> Iterator[tuple]:
+    """The events of orders whose inputs come one order after the other, in order of time."""
+    order: Order | None = None
+    for batch in batches:
+        for values in zip(*(c.to_pylist() for c in batch.columns)):
+            if order is None or order.id != values[0]:
+                if order is not None:
+                    yield from order.until(until_us)
+                order = Order(values[0], rules)
+            if values[1] <= until_us:
+                yield from order.take(dict(zip(INPUT, values)))
+    if order is not None:
+        yield from order.until(until_us)
+
+
 def schedule(rows: DataFrame, until_us: int, rules: Rules = Rules()) -> DataFrame:
-    """All events of all orders up to a time, from inputs()."""
-
-    def run(part: pa.Table) -> pa.Table:
-        part = part.sort_by([("at_us", "ascending"), ("seq", "ascending")])
-        order, out = Order(part["outbox_id"][0].as_py(), rules), []
-        for row in part.to_pylist():
-            if row["at_us"] <= until_us:
-                out += order.take(row)
-        out += order.until(until_us)
-        return pa.Table.from_pylist([dict(zip(_ARROW.names, e)) for e in out], _ARROW)
-
-    return rows.select(*INPUT).groupBy("outbox_id").applyInArrow(run, EVENT)
+    """All events of all orders up to a time, from inputs(). Orders are sorted and stream through the fold, so neither an order nor a task's orders are held."""
+
+    def run(batches):
+        for events in batched(folded(batches, until_us, rules), EVENTS):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*events), _ARROW.types)], schema=_ARROW)
+
+    return rows.select(*INPUT).repartition("outbox_id").sortWithinPartitions("outbox_id", "at_us", F.col("seq").asc_nulls_last()).mapInArrow(run, EVENT)
 
 
 class Scheduler(StatefulProcessor):
