@@ -128,3 +128,11 @@ def test_auc_interval(spark):
     none = analytics.auc_interval(df.where("became_sev12 = 1")).first()
     assert (none["low"], none["high"]) == (None, None)
     assert analytics.auc_interval(df.limit(0)).count() == 1
+
+
+def test_a_literal_secrets_pads_are_worked_out_once(spark):
+    for secret in ("first", "k" * 70, "\u00e9" * 32, "6" * 64):
+        df = spark.range(1).select(signature.hmac(signature.pads(F.lit(secret)), F.lit("m")).alias("h"), signature.pads(F.lit(secret)).alias("p"))
+        assert df.first()["h"] == hmac.new(secret.encode(), b"m", hashlib.sha256).hexdigest()
+        plan = spark.range(1).select(signature.pads(F.lit(secret)).alias("p"))._jdf.queryExecution().optimizedPlan().toString()
+        assert "unhex" not in plan and "transform" not in plan

@@ -20,8 +20,9 @@ def pads(secret: Column) -> Column:
     raw = secret.cast("binary")
     key = F.when(F.length(raw) > BLOCK, F.unhex(F.sha2(raw, 256))).otherwise(raw)
     digits = F.rpad(F.hex(key), 2 * BLOCK, "0")
-    byte = lambda i: F.conv(F.substring(digits, 2 * i + 1, F.lit(2)), 16, 10).cast("int")
-    pad = lambda x: F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(BLOCK - 1)), lambda i: F.lpad(F.hex(byte(i).bitwiseXOR(F.lit(x))), 2, "0")), ""))
+    # eight bytes at a time and without lambdas: a literal secret's pads are literals to Spark
+    words = [F.conv(F.substring(digits, 16 * i + 1, 16), 16, -10).cast("long") for i in range(BLOCK // 8)]
+    pad = lambda x: F.unhex(F.concat(*[F.lpad(F.hex(w.bitwiseXOR(F.lit(int.from_bytes([x] * 8, "big")))), 16, "0") for w in words]))
     return F.when(F.length(raw) > 0, F.struct(pad(0x36).alias("inner"), pad(0x5C).alias("outer")))
 
 
@@ -61,7 +62,9 @@ def verify(deliveries: DataFrame, secrets: DataFrame, now_s: Column, onboarding:
     asked = deliveries.select(F.col(key).alias("endpoint"), F.col("signature"), F.col("timestamp"), F.col("body"), now_s.alias("now_s"), row.alias("row"))
     known = secrets.select(F.col(key).alias("endpoint"), pads(F.col("current")).alias("current"), pads(F.col("next")).alias("next"))
     rows = asked.join(known, "endpoint", "left")
-    one, two = (failure(F.col(c), F.col("signature"), F.col("timestamp"), F.col("body"), F.col("now_s"), onboarding) for c in ("current", "next"))
+    of = lambda c: failure(F.col(c), F.col("signature"), F.col("timestamp"), F.col("body"), F.col("now_s"), onboarding)
+    rows = rows.withColumns({"one": of("current"), "two": of("next")})  # each is read twice below
+    one, two = F.col("one"), F.col("two")
     has = lambda c: F.col(c).isNotNull()
     why = F.when(has("current") & has("next"), F.when(one.isNull() | two.isNull(), None).otherwise(one)).when(has("next"), two).otherwise(one)
     return rows.select("row.*", why.alias("failure"))

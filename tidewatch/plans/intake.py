@@ -71,8 +71,9 @@ def deliveries(a: DataFrame) -> DataFrame:
     stamp = F.when(F.col("k") % 7 == 0, None).when(F.col("k") % 11 == 0, "soon").otherwise(F.concat(F.lit(" "), sent.cast("string")))
     body = F.expr(_BODY)
     message = F.when(stamp.isNull(), body).otherwise(F.concat(sent.cast("string"), F.lit("."), body))
-    key = F.when(F.col("service") == "svc-2", "k" * 70).when(F.col("k") % 3 == 0, "second").when(F.col("k") % 13 == 0, "third").otherwise("first")
-    mac = signature.hmac(signature.pads(key), message)
+    pads = lambda key: signature.pads(F.lit(key))
+    padded = F.when(F.col("service") == "svc-2", pads("k" * 70)).when(F.col("k") % 3 == 0, pads("second")).when(F.col("k") % 13 == 0, pads("third")).otherwise(pads("first"))
+    mac = signature.hmac(padded, message)
     given = F.when(F.col("k") % 17 == 0, None).when(F.col("k") % 19 == 0, mac).otherwise(F.concat(F.lit("sha256="), mac))
     return a.where("user_id % 10 in (1, 2, 3)").select("alert_id", F.col("service").alias("endpoint"), given.alias("signature"), stamp.alias("timestamp"), body.alias("body"), (sent + F.col("k") * 4).alias("now_s"))
 
