@@ -86,3 +86,13 @@ def test_a_duplicate_is_told_the_last_verdict_before_it(spark):
     df = spark.createDataFrame(rows, "fingerprint string, at_us long, seq long, duplicate boolean, action string")
     got = {r["seq"]: (r["action"], r["from_cache"]) for r in tap.told_again(df, ["action"], 4).collect()}
     assert got == {1: (None, True), 2: ("page", False), 3: ("page", True), 4: (None, False), 5: (None, True), 6: ("own", False), 7: (None, True)}
+
+
+def test_a_payload_is_parsed_once(spark):
+    """What is asked of parsed fields does not parse again; the first row of a key is kept whole, and rows without order come last."""
+    rows = hook(spark, '{"alertId": "a"}', "[]")
+    for of, n in ((vendors.from_pager_v3, 1), (vendors.from_genie, 1), (vendors.from_manager, 1)):
+        plan = of(rows, LEVELS).where("problem is null and event_type <> ''").select("seq", "title", "service")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json(") == n
+    keyed = spark.createDataFrame([("k", 2, "b"), ("k", 1, "a"), ("k", None, "c"), (None, 5, "d"), (None, 4, "e"), ("o", None, "f")], "idempotency_key string, seq long, title string")
+    assert sorted(map(repr, map(tuple, vendors.first_of_each(keyed, "seq").collect()))) == ["('k', 1, 'a')", "('o', None, 'f')", "(None, 4, 'e')"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 COLUMNS = ["vendor", "event_type", "event_id", "incident_id", "occurred_at", "service", "title", "severity_raw", "estate_severity", "gate_relevant", "idempotency_key", "incident_url", "region", "has_details", "problem"]
@@ -25,8 +25,13 @@ def filled(c: Column) -> Column:
     return F.when(c != "", c)
 
 
+def parsed(raw: DataFrame, e: Column) -> DataFrame:
+    """raw with e, worked out once a row: a filter on what was parsed goes no further down than an explode, else it would parse again for each field it reads."""
+    return raw.select(*[F.col(f"`{c}`") for c in raw.columns], F.explode(F.array(e)).alias("e"))
+
+
 def from_pager_v3(raw: DataFrame, table: dict[str, str], column: str = "body", subscription: str = "subscription") -> DataFrame:
-    rows = raw.withColumn("e", F.from_json(column, PAGER)["event"])
+    rows = parsed(raw, F.from_json(column, PAGER)["event"])
     e, p = F.col("e"), F.col("e.data")
     said = F.coalesce(filled(p["priority"]["summary"]), filled(p["urgency"]))
     return rows.select(
@@ -39,7 +44,7 @@ def from_pager_v3(raw: DataFrame, table: dict[str, str], column: str = "body", s
 
 def from_genie(raw: DataFrame, table: dict[str, str], column: str = "body") -> DataFrame:
     """A payload without an `alert` object is the alert itself."""
-    rows = raw.withColumn("e", F.from_json(column, GENIE))
+    rows = parsed(raw, F.from_json(column, GENIE))
     e = F.col("e")
     a = F.when(e["alert"].isNotNull(), e["alert"]).otherwise(F.struct(*[e[k].alias(k) for k in GENIE_ALERT]))
     key, action = F.coalesce(filled(a["alertId"]), e["alertId"]), F.coalesce(filled(e["action"]), filled(a["action"]), F.lit("Create"))
@@ -69,8 +74,9 @@ def from_manager(raw: DataFrame, table: dict[str, str], column: str = "body") ->
 
 
 def first_of_each(events: DataFrame, order: str) -> DataFrame:
-    """Vendors deliver at least once: the first row of each idempotency key."""
-    return events.groupBy("idempotency_key").agg(F.min_by(F.struct(*[c for c in events.columns if c != "idempotency_key"]), order).alias("r")).select("idempotency_key", "r.*")
+    """Vendors deliver at least once: the first row of each idempotency key. Rows without order come last. Each task first keeps one row of a key, and only columns that are read later are shuffled."""
+    nth = F.row_number().over(Window.partitionBy("idempotency_key").orderBy(F.col(order).asc_nulls_last()))
+    return events.withColumn("__nth", nth).where("__nth = 1").select("idempotency_key", *[F.col(f"`{c}`") for c in events.columns if c != "idempotency_key"])
 
 
 def by_vendor(table: dict[str, str]) -> Column:
