@@ -124,3 +124,16 @@ def test_redaction_of_many_and_overlapping_spans(spark):
         took.append(time.time() - began)
         assert got == re.sub(r"secret=value\d+", "[SECRET]", long)
     assert took[1] - took[0] < 3  # the rest is planning, whatever the text
+
+
+def test_near_duplicates_send_texts_to_python_in_small_batches(spark):
+    import pyarrow as pa
+    from tidewatch.llm import common
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["id"])
+
+    had = spark.conf.get(common.BATCH)
+    out = common.stored(spark.range(0, 5_000, 1, 1).mapInArrow(sizes, "id long"), "sizes", common.BATCH_ROWS)
+    assert [r["id"] for r in out.collect()] == [1_000] * 5 and spark.conf.get(common.BATCH) == had

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,18 +29,29 @@ _PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 #: Spark drops the shuffle files of an execution when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows that go to a Python worker at a time: of whole texts, Spark's 10,000 are tens of MB in each task, in the JVM and in the worker.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors, and leaves no shuffle files."""
+@contextmanager
+def conf(spark: SparkSession, **settings: str) -> Iterator[None]:
+    """Settings of the session within a block, then as they were."""
+    had = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in had.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def stored(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors, and leaves no shuffle files. batch_rows: of Python batches, if not the session's."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tidewatch/{name}-{uuid.uuid4().hex}"
-    had = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with conf(spark, **{CLEANUP: "true"}, **({BATCH: str(batch_rows)} if batch_rows else {})):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, had)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
     return out

@@ -55,7 +55,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import forget, stored
+from tidewatch.llm.common import BATCH_ROWS, forget, stored
 from tidewatch.llm.components import components
 from tidewatch.llm.hashing import ODD, mix, word_hashes, words_lower
 
@@ -332,7 +332,7 @@ def verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, seed: int, j
     wanted = stored(classes.join(compared, "c", "left_semi").select(F.col("rep").alias("id_"), F.col("rep_x").alias("x_")), "compared")
     few = wanted.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
     found = rows.join(F.broadcast(wanted) if few else wanted, F.col("id").eqNullSafe(F.col("id_")) & (F.col("x") == F.col("x_")), "left_semi")
-    sets = stored(scan_shingles(found, seed, join).dropDuplicates(["c"]), "shingles")
+    sets = stored(scan_shingles(found, seed, join).dropDuplicates(["c"]), "shingles", BATCH_ROWS)
     out = stored(linked(pairs, sets, join), "links")
     forget(wanted, sets)
     return out
@@ -347,7 +347,7 @@ def members(docs: DataFrame, key: str, text: str, join: Join) -> tuple[DataFrame
     """Per row: id, x (hash of the text), n, c (class). Per class: c, rep (its least id) and component."""
     rows = docs.select(F.col(key).alias("id"), text_hash(text).alias("x"), F.col(text).cast("string").alias("t"))
     for seed in range(8):
-        sets = stored(scan_sets(rows, seed, join), "sets")
+        sets = stored(scan_sets(rows, seed, join), "sets", BATCH_ROWS)
         classes = stored(sets.where("n > 0").groupBy("c").agg(F.min("id").alias("rep"), F.coalesce(F.min_by("x", "id"), F.min("x")).alias("rep_x"), F.max("wide").alias("wide"), (F.min("d") != F.max("d")).alias("mixed"), *[F.max(x).alias(x) for x in FACTS]), "classes")
         if classes.where("mixed").isEmpty():
             break
@@ -356,10 +356,10 @@ def members(docs: DataFrame, key: str, text: str, join: Join) -> tuple[DataFrame
     facts, classes = classes.select("c", *FACTS), classes.select("c", "rep", "rep_x", "n", "wide")
     facts_of = lambda side: facts.select(F.col("c").alias(side), *[F.col(x).alias(f"{x}_{side}") for x in FACTS])
     frequent = frequent_signatures(rows, sets.count(), seed, join)
-    buckets = stored(shared_signatures(rows, seed, join, frequent), "buckets")
+    buckets = stored(shared_signatures(rows, seed, join, frequent), "buckets", BATCH_ROWS)
     shown = lambda df: df.distinct().join(facts_of("u"), "u").join(facts_of("v"), "v").where(join.may_link("_u", "_v")).select("u", "v")
     # with the least class of all its buckets; then with the least of each bucket, unless they are connected by now
-    first = stored(narrowed(shown(buckets.where("c <> m").groupBy(F.col("c").alias("u")).agg(F.min("m").alias("v"))), classes, join), "pairs")
+    first = stored(narrowed(shown(buckets.where("c <> m").groupBy(F.col("c").alias("u")).agg(F.min("m").alias("v"))), classes, join), "pairs", BATCH_ROWS)
     links = verified(first, classes, rows, seed, join)
     known = components(links)
     near = buckets.where("c <> m").select(F.col("c").alias("u"), F.col("m").alias("v"))
@@ -368,7 +368,7 @@ def members(docs: DataFrame, key: str, text: str, join: Join) -> tuple[DataFrame
         near = near.union(buckets.select("sig", F.col("m").alias("u")).distinct().join(least, "sig").where("u <> v").select("u", "v"))
     placed_of = lambda side: known.select(F.col("id").alias(side), F.col("component").alias(f"c{side}"))
     near = near.distinct().join(placed_of("u"), "u", "left").join(placed_of("v"), "v", "left").where("not coalesce(cu, u) <=> coalesce(cv, v)").select("u", "v").join(first, ["u", "v"], "left_anti")
-    second = stored(narrowed(shown(near), classes, join), "pairs")
+    second = stored(narrowed(shown(near), classes, join), "pairs", BATCH_ROWS)
     new = verified(second, classes, rows, seed, join)
     had, links = links, stored(links.union(new), "links")
     known = components(links)
@@ -388,7 +388,7 @@ def members(docs: DataFrame, key: str, text: str, join: Join) -> tuple[DataFrame
             apart = (F.col("cu") != F.col("cv")) & (F.col("u") > F.col("v"))
         right = right.withColumnRenamed("sig", "sig_")
         more = left.join(right, (F.col("sig") == F.col("sig_")) & apart & join.may_link("_u", "_v")).select("u", "v").distinct()
-        more = stored(narrowed(more.join(links, ["u", "v"], "left_anti"), classes, join), "pairs")
+        more = stored(narrowed(more.join(links, ["u", "v"], "left_anti"), classes, join), "pairs", BATCH_ROWS)
         if not more.isEmpty():
             had, new = links, verified(more, classes, rows, seed, join)
             links = stored(had.union(new), "links")
