@@ -481,6 +481,27 @@ def test_keep_one_of_repeated_and_null_ids(spark):
     assert by_row(kept, ["doc_id", "text"]) == sorted(map(repr, want))
 
 
+def test_jaccard_join_keeps_one_bucket_for_the_same_classes(spark):
+    texts = [" ".join(f"w{k}" for k in range(200)), " ".join(f"w{k}" for k in range(201)), " ".join(f"v{k}" for k in range(200))]
+    rows = table(spark, list(enumerate(texts))).select(F.col("doc_id").alias("id"), F.lit(0).alias("x"), F.col("text").alias("t"))
+    join = jaccard_join.Join(3, 90)
+    shared = jaccard_join.shared_signatures(rows, 0, join, np.empty(0, np.int64)).collect()
+    assert len(shared) == 2 and len({r.sig for r in shared}) == 1  # before, two rows for each of the signatures they share
+    assert {r.c for r in shared} == {jaccard_join.class_of(s)[0] for s in jaccard_join.sets_of(texts[:2], 0, 3)}
+
+
+def test_jaccard_join_meets_a_pair_about_once(spark):
+    rng = np.random.default_rng(5)
+    held = [(int(s), int(u)) for u in range(30) for s in rng.choice(100, rng.integers(1, 90), replace=False)]
+    left = jaccard_join.with_earlier(spark.createDataFrame(held, "sig long, u long"))
+    right = left.select("sig", F.col("u").alias("v"), F.col("earlier_u").alias("earlier_v"))
+    all_met = left.join(right, "sig").where("u > v")
+    met = all_met.where(jaccard_join.first_met())
+    pairs = {(r.u, r.v) for r in all_met.select("u", "v").collect()}
+    assert {(r.u, r.v) for r in met.select("u", "v").collect()} == pairs
+    assert met.count() < 2 * len(pairs) < all_met.count() / 5  # before, all that met
+
+
 def test_jaccard_join_links_through_a_row_without_id(spark):
     word = lambda k: f"w{k}"
     texts = [" ".join(map(word, range(a, a + 100))) for a in (0, 4, 8)]

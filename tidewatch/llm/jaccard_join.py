@@ -63,6 +63,8 @@ from tidewatch.llm.hashing import ODD, mix, word_hashes, words_lower
 MAX_BROADCAST_IDS = 1_000_000
 #: Rows of the sample that shows frequent signatures, the share from which one is salted, and by how many salts.
 SAMPLE_ROWS, FREQUENT, SALTS = 2_000, 0.01, 64
+#: Buckets of a class before the present one that tell whether a pair has been met.
+EARLIER = 8
 #: Parities kept of a set, in 64-bit words.
 WORDS = 8
 BITS = 64 * WORDS
@@ -284,11 +286,24 @@ def frequent_signatures(rows: DataFrame, n: int, seed: int, join: Join) -> np.nd
 
 
 def shared_signatures(rows: DataFrame, seed: int, join: Join, frequent: np.ndarray) -> DataFrame:
-    """(sig, c, m) of signatures that several classes have, each once; m is the least class of the signature, among those of its salt."""
+    """(sig, c, m) of signatures that several classes have, each once; m is the least class of the signature, among those of its salt.
+
+    Signatures of the same classes become one, named by a hash of these; where two names clash, their classes share a bucket, and no pair is lost.
+    """
     each = Window.partitionBy("sig", "salt")
     hits = scan_signatures(rows, seed, join, frequent).withColumn("before", F.lag("c").over(each.orderBy("c"))).where("before is null or before <> c")
-    hits = hits.withColumns({"m": F.min("c").over(each), "top": F.max("c").over(each)})
-    return hits.where("m <> top or salt > 0").select("sig", "c", "m")
+    hits = hits.withColumns({"m": F.min("c").over(each), "top": F.max("c").over(each), "all": F.bit_xor(F.xxhash64("c")).over(each)})
+    return hits.where("m <> top or salt > 0").select(F.when(F.col("salt") > 0, F.col("sig")).otherwise(F.col("all")).alias("sig"), "c", "m").distinct()
+
+
+def with_earlier(left: DataFrame) -> DataFrame:
+    """left (sig, u, ...) and earlier_u: the EARLIER buckets before sig that class u is in."""
+    return left.withColumn("earlier_u", F.collect_list("sig").over(Window.partitionBy("u").orderBy("sig").rowsBetween(-EARLIER, -1)))
+
+
+def first_met():
+    """u and v have not just been in one bucket. It holds in the first bucket of every pair, and in few others."""
+    return ~F.arrays_overlap("earlier_u", "earlier_v")
 
 
 def scan_shingles(docs: DataFrame, seed: int, join: Join) -> DataFrame:
@@ -382,12 +397,14 @@ def members(docs: DataFrame, key: str, text: str, join: Join) -> tuple[DataFrame
             degree = links.select("u").union(links.select("v")).groupBy("u").agg(F.count("*").alias("degree"))
             hub = left.join(degree, "u", "left").groupBy("sig").agg(F.max_by(F.struct("u", "cu", *[f"{x}_u" for x in FACTS]), F.struct(F.coalesce("degree", F.lit(0)), "u")).alias("h"))
             right = hub.select("sig", F.col("h.u").alias("v"), F.col("h.cu").alias("cv"), *[F.col(f"h.{x}_u").alias(f"{x}_v") for x in FACTS])
-            apart = (F.col("cu") != F.col("cv")) & (F.col("u") != F.col("v"))
+            apart, fresh = (F.col("cu") != F.col("cv")) & (F.col("u") != F.col("v")), F.lit(True)
         else:
-            right = left.select("sig", F.col("u").alias("v"), F.col("cu").alias("cv"), *[F.col(f"{x}_u").alias(f"{x}_v") for x in FACTS])
+            left = with_earlier(left)
+            right = left.select("sig", F.col("u").alias("v"), F.col("cu").alias("cv"), F.col("earlier_u").alias("earlier_v"), *[F.col(f"{x}_u").alias(f"{x}_v") for x in FACTS])
             apart = (F.col("cu") != F.col("cv")) & (F.col("u") > F.col("v"))
+            fresh = first_met()
         right = right.withColumnRenamed("sig", "sig_")
-        more = left.join(right, (F.col("sig") == F.col("sig_")) & apart & join.may_link("_u", "_v")).select("u", "v").distinct()
+        more = left.join(right, (F.col("sig") == F.col("sig_")) & apart & join.may_link("_u", "_v") & fresh).select("u", "v").distinct()
         more = stored(narrowed(more.join(links, ["u", "v"], "left_anti"), classes, join), "pairs", BATCH_ROWS)
         if not more.isEmpty():
             had, new = links, verified(more, classes, rows, seed, join)
