@@ -44,6 +44,28 @@ def by_row(df, columns):
     return sorted(map(repr, (tuple(r[c] for c in columns) for r in df.collect())))
 
 
+def test_bpe_resolves_a_pre_token_once_and_forgets(spark, monkeypatch):
+    tokenizer = bpe.BpeTokenizer(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    coder = bpe.built(tokenizer.key, tokenizer.ranked.value, tokenizer.pattern)
+    coder.forget()
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["the", "qzx" * rng.randrange(1, 9), "x" * rng.randrange(1, 40)]) for _ in range(50)) for _ in range(40)]
+    asked = collections.Counter()
+    merge = coder.merge
+    monkeypatch.setattr(coder, "merge", lambda token: asked.update([token]) or merge(token))
+    resolve = coder.resolve
+    seen = collections.Counter()
+    monkeypatch.setattr(coder, "resolve", lambda tokens: seen.update(tokens) or resolve(tokens))
+    library = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=dict(bpe.read_ranks(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))), special_tokens={})
+    assert [coder.encode(t) for t in texts] == [library.encode_ordinary(t) for t in texts]
+    assert set(asked.values()) == {1} and set(seen.values()) == {1}  # before, entries of the vocabulary were resolved for each chunk again
+    monkeypatch.setattr(bpe, "MEMO_ENTRIES", 5)
+    assert [coder.encode(t) for t in texts] == [library.encode_ordinary(t) for t in texts]
+    assert len(coder.memo) <= 5 + 50 * 2
+    coder.forget()
+    assert not coder.memo and not len(coder.flat)
+
+
 def test_bpe(spark, texts):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     import base64

@@ -2,8 +2,8 @@
 
 Two tiers. A minimal perfect hash over the vocabulary resolves every pre-token
 that is a vocabulary entry. A pre-token that is none is merged by a heap of
-ranked pairs over a linked list of its bytes. Distinct pre-tokens of a chunk are
-resolved once; a bounded memo keeps merged misses between chunks.
+ranked pairs over a linked list of its bytes. A bounded memo numbers the distinct
+pre-tokens of a task and keeps their ids, so each is resolved once while it is there.
 
 Null text counts as empty text: no ids. Empty text has no ids; without rows there is no result. Texts of any
 length are handled in pieces of pre-tokens, so memory does not grow with them.
@@ -30,14 +30,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import chunks
+from tidewatch.llm.common import BATCH_ROWS, chunks
 
 #: Rank files above this size are refused: the vocabulary goes to every executor.
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Characters of text whose pre-tokens are held at once, and pre-tokens of a piece of a longer text.
 CHUNK_CHARS, PIECE_TOKENS = 400_000, 100_000
-#: Merged misses that a worker remembers.
-MEMO_ENTRIES = 400_000
+#: Pre-tokens, and ids of these, that a task remembers.
+MEMO_ENTRIES, MEMO_IDS = 400_000, 4_000_000
 #: Odd multipliers of the displacement and of the mixing, and the word they wrap in.
 STEP, MIX, MASK = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, (1 << 64) - 1
 
@@ -138,6 +138,18 @@ def ranges(chars: list[str]) -> str:
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
 
 
+class Numbered(dict):
+    """Numbers keys in the order in which they are first asked for; new are those that were not looked up before."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self.new.append(key)
+        n = self[key] = len(self)
+        return n
+
+
 class ByteBpe:
     """Encoder and decoder for a table of ranked byte strings."""
 
@@ -156,7 +168,12 @@ class ByteBpe:
         self.pairs = {(ids[k[:i]] << 32) | ids[k[i:]]: r for k, r in ranked for i in range(1, len(k)) if k[:i] in ids and k[i:] in ids}
         self.byte_pairs = [self.pairs.get(a << 32 | b, -1) for a in self.byte_ids for b in self.byte_ids]
         self.packed = [r.to_bytes(4, "little") for _, r in ranked]
-        self.memo: dict[str, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the memo: numbers of pre-tokens, and of each number its first place in flat and how many ids it has."""
+        self.memo = Numbered()
+        self.flat, self.begin, self.length = np.empty(0, "<u4"), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def pre_tokens(self, text: str) -> list[str]:
         if self.split_latin is not None and not BEYOND_LATIN.search(text):
@@ -172,54 +189,54 @@ class ByteBpe:
         n, pair, first = len(token), self.pairs.get, self.byte_pairs
         ids = [*map(self.byte_ids.__getitem__, token)]
         after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
-        heap = [(r << 32) | i for i, (a, b) in enumerate(zip(token, token[1:])) if (r := first[a << 8 | b]) >= 0]
+        # of each part that is left, the rank of its pair with the next one; -1: none
+        ranks = [first[a << 8 | b] for a, b in zip(token, token[1:])]
+        ranks.append(-1)
+        heap = [r << 32 | i for i, r in enumerate(ranks) if r >= 0]
         heapify(heap)
         while heap:
             top = heappop(heap)
             i, rank = top & 0xFFFFFFFF, top >> 32
-            j = after[i]
             # an entry is stale if its left part was merged away or its pair has changed since
-            if j >= n or (left := ids[i]) < 0 or pair(left << 32 | ids[j]) != rank:
+            if ranks[i] != rank:
                 continue
-            ids[i], ids[j] = rank, -1
+            j = after[i]
+            ids[i], ids[j], ranks[j] = rank, -1, -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if (r := pair(rank << 32 | ids[k])) is not None:
+                r = ranks[i] = pair(rank << 32 | ids[k], -1)
+                if r >= 0:
                     heappush(heap, r << 32 | i)
-            if (h := before[i]) >= 0 and (r := pair(ids[h] << 32 | rank)) is not None:
-                heappush(heap, r << 32 | h)
+            else:
+                ranks[i] = -1
+            if (h := before[i]) >= 0:
+                r = ranks[h] = pair(ids[h] << 32 | rank, -1)
+                if r >= 0:
+                    heappush(heap, r << 32 | h)
         return [x for x in ids if x >= 0]
 
     def resolve(self, tokens: list[str]) -> list[bytes]:
         """Ids of each of some distinct pre-tokens, as little-endian 32-bit integers."""
         raw = [t.encode("utf-8", "surrogatepass") for t in tokens]
-        found, keys, packed, memo = self.hash.slots(raw).tolist(), self.keys, self.packed, self.memo
-        if len(memo) > MEMO_ENTRIES:
-            memo.clear()
-        out = []
-        for text, token, key in zip(tokens, raw, found):
-            if keys[key] == token:
-                out.append(packed[key])
-            else:
-                if (ids := memo.get(text)) is None:
-                    ids = memo[text] = array("I", self.merge(token)).tobytes()
-                out.append(ids)
-        return out
+        found, keys, packed, merge = self.hash.slots(raw).tolist(), self.keys, self.packed, self.merge
+        return [packed[key] if keys[key] == token else array("I", merge(token)).tobytes() for token, key in zip(raw, found)]
 
     def encode_tokens(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids one after another, number of ids of each pre-token)."""
-        index = {t: i for i, t in enumerate(dict.fromkeys(tokens))}
-        codes = np.fromiter(map(index.__getitem__, tokens), np.int64, len(tokens))
-        if not index:
-            return np.empty(0, "<u4"), codes
-        ids = self.resolve(list(index))
-        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        begin = np.cumsum(length) - length
-        n = length[codes]
-        at = np.repeat(begin[codes] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        return flat[at], n
+        if len(self.memo) > MEMO_ENTRIES or len(self.flat) > MEMO_IDS:
+            self.forget()
+        codes = np.fromiter(map(self.memo.__getitem__, tokens), np.int64, len(tokens))
+        if new := self.memo.new:
+            ids = self.resolve(new)
+            length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            self.begin = np.append(self.begin, len(self.flat) + np.cumsum(length) - length)
+            self.length = np.append(self.length, length)
+            self.flat = np.append(self.flat, np.frombuffer(b"".join(ids), "<u4"))
+            new.clear()
+        n = self.length[codes]
+        at = np.repeat(self.begin[codes] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        return self.flat[at], n
 
     def encode(self, text: str | None) -> list[int]:
         return self.encode_tokens(self.pre_tokens(text or ""))[0].tolist()
@@ -314,11 +331,14 @@ class BpeTokenizer:
         def run(batches):
             bpe = built(name, ranked.value, pattern)
             for batch in batches:
-                rows = list(bpe.digest(batch.column(1).to_pylist()))
+                rows = [row for begin in range(0, batch.num_rows, BATCH_ROWS) for row in bpe.digest(batch.column(1).slice(begin, BATCH_ROWS).to_pylist())]
                 columns = list(zip(*rows)) if rows else [(), (), ()]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())],
                     names=[key, "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
+            # the worker may go on to other operators
+            bpe.forget()
+            pa.default_memory_pool().release_unused()
 
         return df.select(key, F.col(text).cast("string")).mapInArrow(run, schema)
