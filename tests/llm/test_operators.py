@@ -313,6 +313,30 @@ def test_loser_tree():
     assert keys == [flat[items[k]] for k in new] == sorted(set(flat))
 
 
+@pytest.mark.parametrize("bits", [1 << 16, 1 << 8])
+def test_each_pass_over_texts_is_one(spark, texts, monkeypatch, bits):
+    """However many keys there are; more keys than the sketch had cells for were dealt to up to 8 rounds, each over all texts. A filter too full for its keys loses none."""
+    for name, value in (("MAX_CELLS", 64), ("MIN_BITS", bits), ("MAX_BITS", bits)):
+        monkeypatch.setattr(suffix_dedup.repeats, name, value, raising=False)
+    calls, build = [], suffix_dedup.repeats.build
+    monkeypatch.setattr(suffix_dedup.repeats, "build", lambda rows, *a: (calls.append(rows.columns), build(rows, *a))[1])
+    out = suffix_dedup.dedup(table(spark, texts), digest=True)
+    assert by_row(out, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]) == brute_suffixes(texts)
+    assert calls == [["b"], ["s"]]
+
+
+def test_filter_of_repeated_keys(spark):
+    rng = np.random.default_rng(5)
+    once, several = rng.integers(0, 1 << 63, 30_000).astype(np.uint64), rng.integers(0, 1 << 63, 3_000).astype(np.uint64)
+    rows = spark.createDataFrame([(k.tobytes(),) for k in np.array_split(rng.permutation(np.concatenate([once, *[several] * 3])), 20)], "b binary").repartition(5)
+    for expected in (0, 39_000, 1e9):
+        known = suffix_dedup.repeats.build(rows, lambda blobs: (np.frombuffer(b, np.uint64) for b in blobs), expected)
+        assert known.repeated(several).all() and known.repeated(once).mean() < 0.02
+    for width in (1, 2, 3, 4):
+        at = np.sort(rng.integers(0, 1 << 20, 500))
+        assert (suffix_dedup.repeats.from_gaps(suffix_dedup.repeats.gaps(at, width), width) == at).all()
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     rows = []

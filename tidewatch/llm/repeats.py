@@ -1,9 +1,9 @@
-"""What the two exact substring deduplications share: rolling hashes, anchors, and a count-min sketch of anchors.
+"""What the two exact substring deduplications share: rolling hashes, anchors, and a filter of repeated anchors.
 
 A window of fixed length is represented by its anchor, the short gram in it with
 the least hash, leftmost among equals. Equal windows have equal anchors at equal
 offsets, and two places of a window have two places of the anchor; so a window's
-count is at most its anchor's, and a sketch that never underestimates anchors
+count is at most its anchor's, and a filter that lets every repeated anchor pass
 never loses a repeated window.
 """
 
@@ -20,10 +20,10 @@ from tidewatch.llm.hashing import ODD, mix
 BASES = [int(ODD[0]), int(ODD[1])]
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-#: Rows of the sketch, cells to an anchor and row, bounds of a row's cells (2 bits each: 128 MB in all), cells of a piece.
-DEPTH, CELLS_PER_KEY, MIN_CELLS, MAX_CELLS, PIECE = 2, 4, 1 << 16, 1 << 28, 1 << 22
-#: Rounds at most, and cells to an anchor from which another round is worth it. A sketch that is fuller passes more anchors on, and loses none.
-MAX_ROUNDS, LEAST_CELLS_PER_KEY = 8, 2
+#: Bits of a key's fingerprint besides those that number the expected keys; keys of a piece, as planned; pieces at most; keys of a message to the pieces.
+SPARE, PIECE, MAX_PIECES, MESSAGE = 8, 1 << 19, 1 << 14, 1 << 22
+#: Bits of the filter to a repeated key, and their bounds (128 MB). A fuller filter passes more keys on, and loses none.
+BITS_PER_KEY, MIN_BITS, MAX_BITS = 16, 1 << 16, 1 << 30
 #: Low bits that hold a position while the least hash of a window is sought.
 PLACE = np.uint64((1 << 28) - 1)
 
@@ -73,101 +73,127 @@ def anchors(grams: np.ndarray, width: int) -> np.ndarray:
     return (v & PLACE).astype(np.int64)
 
 
-class Sketch:
-    """Merged count-min sketch; a cell says whether it counted 0, 1 or more."""
+class Places:
+    """Where keys of an expected number go: a fingerprint of bits each, whose upper ones are the piece."""
 
-    def __init__(self, cells: int, packed: np.ndarray):
-        self.cells, self.packed = cells, packed
+    def __init__(self, expected: float):
+        pieces = 1
+        while pieces < min(MAX_PIECES, expected / PIECE):
+            pieces *= 2
+        self.pieces, self.bits = pieces, max(20, int(expected).bit_length()) + SPARE
+
+    def fingerprints(self, keys: np.ndarray) -> np.ndarray:
+        return (mix(keys) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    @property
+    def span(self) -> int:
+        """Fingerprints of a piece."""
+        return (1 << self.bits) // self.pieces
 
-    def repeated(self, keys: np.ndarray) -> np.ndarray:
-        """Whether each key's estimate is 2 at least."""
-        out = np.ones(len(keys), bool)
-        for row in range(DEPTH):
-            at = cell(keys, row, self.cells)
-            out &= ((self.packed[at >> 2] >> ((at & 3) << 1).astype(np.uint8)) & 3) > 1
-        return out
 
+class Filter:
+    """Two bits for each repeated fingerprint, within the slots of its piece."""
 
-def cell(keys: np.ndarray, row: int, cells: int) -> np.ndarray:
-    return (mix(keys, row) & np.uint64(cells - 1)).astype(np.int64) + row * cells
+    def __init__(self, places: Places, slots: int, packed: np.ndarray):
+        self.places, self.slots, self.packed = places, slots, packed
 
+    def repeated(self, keys: np.ndarray) -> np.ndarray:
+        """Whether each key passes: all that occur twice do, and some others."""
+        prints = self.places.fingerprints(keys)
+        out, piece = np.ones(len(keys), bool), prints // self.places.span * self.slots
+        for at in slots_of(prints, self.slots):
+            at = piece + at
+            out &= (self.packed[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+        return out
 
-def plan(keys: float) -> tuple[int, int]:
-    """(cells of a row, rounds): cells follow the expected number of keys up to a bound; beyond it, keys are dealt to a few rounds by hash."""
-    cells = MIN_CELLS
-    while cells < min(MAX_CELLS, keys * CELLS_PER_KEY):
-        cells *= 2
-    return cells, min(MAX_ROUNDS, max(1, -(-int(keys * LEAST_CELLS_PER_KEY) // MAX_CELLS)))
 
+def slots_of(prints: np.ndarray, slots: int):
+    h = mix(prints.view(np.uint64), 1)
+    for k in range(2):
+        yield (h >> np.uint64(32 * k) & np.uint64(slots - 1)).astype(np.int64)
 
-def of_round(keys: np.ndarray, k: int, rounds: int) -> np.ndarray:
-    return np.ones(len(keys), bool) if rounds == 1 else mix(keys, 3) % np.uint64(rounds) == k
 
+def width_of(mean: float) -> int:
+    """Bytes of a difference."""
+    return next((w for w in (1, 2, 3) if 256**w >= 2 * mean), 4)
 
-def gaps(at: np.ndarray) -> bytes:
-    """Sorted integers as differences, a byte each: 255 adds 255 and goes on."""
+
+def gaps(at: np.ndarray, width: int) -> bytes:
+    """Sorted integers as differences, width bytes each: the greatest number adds itself and goes on."""
+    most = 256**width - 1
     step = np.diff(at, prepend=0)
-    more = step // 255
-    out = np.full(len(at) + int(more.sum()), 255, np.uint8)
-    out[np.cumsum(more + 1) - 1] = step % 255
-    return out.tobytes()
+    more = step // most
+    out = np.full(len(at) + int(more.sum()), most, "<u4")
+    out[np.cumsum(more + 1) - 1] = step % most
+    return out.view(np.uint8).reshape(-1, 4)[:, :width].tobytes()
 
 
-def from_gaps(raw) -> np.ndarray:
-    step = np.frombuffer(raw, np.uint8)
-    return np.cumsum(step, dtype=np.int64)[step < 255]
+def from_gaps(raw, width: int) -> np.ndarray:
+    step = np.zeros((len(raw) // width, 4), np.uint8)
+    step[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
+    step = step.view("<u4").ravel()
+    return np.cumsum(step, dtype=np.int64)[step < 256**width - 1]
 
 
-def build(rows: DataFrame, keys_of, cells: int, k: int, rounds: int) -> Sketch:
-    """Sketch of the keys that keys_of yields for a column of texts.
+def build(rows: DataFrame, keys_of, expected: float) -> Filter:
+    """Filter of the repeated ones of the keys that keys_of yields for a column of texts, which are read once. expected: about how many keys there are.
 
-    Each task counts its own keys and sends the cells they touch, once or twice
-    each; a task per piece of the sketch adds them up. The merged sketch, whose size
-    is bounded, passes through the driver to the executors.
+    Each task sends the fingerprints of its own keys, once or twice each, to their
+    pieces; there the repeated ones are told exactly. The filter is sized by their
+    number, within bounds, and passes through the driver to the executors.
     """
-    pieces = max(1, DEPTH * cells // PIECE)
-    piece = DEPTH * cells // pieces
+    places = Places(expected)
 
     def touched(batches):
         def send(held):
-            at = np.sort(np.concatenate([cell(held, row, cells) for row in range(DEPTH)]))
-            number = at // piece
+            at = np.sort(np.concatenate([places.fingerprints(keys) for keys in held]))
+            more = np.ones(len(at), bool)
+            more[2:] = at[2:] != at[:-2]
+            at = at[more]
+            width, number = width_of((1 << places.bits) / len(at)), at // places.span
             edge = np.concatenate([[0], np.flatnonzero(np.diff(number)) + 1, [len(at)]])
-            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                if b > a:
-                    yield pa.RecordBatch.from_arrays([pa.array([int(number[a])], pa.int32()), pa.array([gaps(at[a:b] - number[a] * piece)], pa.binary())], names=["piece", "cells"])
+            for k in range(0, len(edge) - 1, 64):
+                some = list(zip(edge[k : k + 64].tolist(), edge[k + 1 : k + 65].tolist()))
+                yield pa.RecordBatch.from_arrays([pa.array([int(number[a]) for a, _ in some], pa.int32()), pa.array([width] * len(some), pa.int32()), pa.array([gaps(at[a:b] - number[a] * places.span, width) for a, b in some], pa.binary())], names=["piece", "width", "prints"])
 
         held, size = [], 0
         for batch in batches:
             for keys in keys_of(batch.column(0).to_pylist()):
-                keys = keys[of_round(keys, k, rounds)]
                 held.append(keys)
                 size += len(keys)
-            if size > 1 << 21:
-                yield from send(np.concatenate(held))
-                held, size = [], 0
+                if size >= MESSAGE:
+                    yield from send(held)
+                    held, size = [], 0
         if size:
-            yield from send(np.concatenate(held))
-
-    def merged(batches):
-        sums: dict[int, np.ndarray] = {}
+            yield from send(held)
+
+    def told(table: pa.Table) -> pa.Table:
+        at = np.sort(np.concatenate([from_gaps(raw.as_buffer(), w) for w, raw in zip(table["width"].to_pylist(), table["prints"])]))
+        at = np.unique(at[1:][at[1:] == at[:-1]])
+        width = width_of(places.span / max(1, len(at)))
+        return pa.table([pa.array([table["piece"][0].as_py()], pa.int32()), pa.array([width], pa.int32()), pa.array([gaps(at, width)], pa.binary()), pa.array([len(at)], pa.int64())], names=["piece", "width", "prints", "n"])
+
+    sent = rows.mapInArrow(touched, "piece int, width int, prints binary")
+    found = stored(sent.groupBy("piece").applyInArrow(told, "piece int, width int, prints binary, n long"), "repeated")
+    repeated = found.agg(F.sum("n")).first()[0] or 0
+    bits = max(MIN_BITS, 64 * places.pieces)
+    while bits < min(MAX_BITS, repeated * BITS_PER_KEY):
+        bits *= 2
+    slots = bits // places.pieces
+
+    def packed(batches):
         for batch in batches:
-            for number, local in zip(batch.column(0).to_pylist(), batch.column(1)):
-                had = sums.setdefault(number, np.zeros(piece, np.uint8))
-                at, times = np.unique(from_gaps(local.as_buffer()), return_counts=True)
-                had[at] = np.minimum(2, had[at] + np.minimum(times, 2)).astype(np.uint8)
-        for number, had in sums.items():
-            quads = had.reshape(-1, 4)
-            packed = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([packed.astype(np.uint8).tobytes()], pa.binary())], names=["piece", "cells"])
-
-    sent = rows.mapInArrow(touched, "piece int, cells binary")
-    packed = np.zeros(DEPTH * cells // 4, np.uint8)
-    whole = stored(sent.repartition(min(pieces, 64), "piece").mapInArrow(merged, "piece int, cells binary"), "sketch")
-    for row in whole.toLocalIterator():
-        packed[row["piece"] * piece // 4 : (row["piece"] + 1) * piece // 4] = np.frombuffer(row["cells"], np.uint8)
-    forget(whole)
-    return Sketch(cells, packed)
+            for piece, width, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                prints, on = from_gaps(raw.as_buffer(), width) + piece * places.span, np.zeros(slots, np.uint8)
+                for at in slots_of(prints, slots):
+                    on[at] = 1
+                yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([np.packbits(on, bitorder="little").tobytes()], pa.binary())], names=["piece", "bits"])
+
+    whole = np.zeros(bits // 8, np.uint8)
+    for row in found.mapInArrow(packed, "piece int, bits binary").toLocalIterator():
+        whole[row["piece"] * slots // 8 : (row["piece"] + 1) * slots // 8] = np.frombuffer(row["bits"], np.uint8)
+    forget(found)
+    return Filter(places, slots, whole)
 
 
 def total_bytes(rows: DataFrame) -> int:

@@ -1,9 +1,9 @@
-"""Substring dedup of word windows with a count-min prefilter.
+"""Substring dedup of word windows with a prefilter of repeated anchors.
 
 Words are runs of bytes other than space and \\t to \\r. A window is WINDOW
-consecutive words of one document. The first pass sketches the anchors of all
-windows (see repeats), partition by partition, and merges the sketches. The second
-pass sends on only what the sketch estimates as repeated, and not a row a window:
+consecutive words of one document. The first pass counts the anchors of all
+windows (see repeats), partition by partition, into a filter of the repeated ones. The second
+pass sends on only what passes the filter, and not a row a window:
 windows that follow each other and share an anchor form a segment, known by a
 128-bit cryptographic digest of its words.
 
@@ -87,34 +87,27 @@ def blocks(texts: list[str | None], window: int, gram: int):
 
 
 def segments(rows: DataFrame, window: int, gram: int) -> DataFrame:
-    """(k: hash of the anchor, h1, h2: digest; id, x, code: start and number of windows) of segments whose anchor is estimated as repeated, stored."""
-    density = 2 / (window - gram + 2)
-    cells, rounds = repeats.plan(repeats.total_bytes(rows.select("t")) / 5 * density)
+    """(k: hash of the anchor, h1, h2: digest; id, x, code: start and number of windows) of segments whose anchor passes the filter of repeated ones, stored."""
+    expected = repeats.total_bytes(rows.select("t")) / 5 * 2 / (window - gram + 2)
     id_type = rows.schema["id"].dataType.simpleString()
-    found, sketches = None, []
-    for k in range(rounds):
-        sketch = rows.sparkSession.sparkContext.broadcast(repeats.build(rows.select("t"), lambda texts: (b.segments()[0] for _, b in blocks(texts, window, gram)), cells, k, rounds))
-        sketches.append(sketch)
-
-        def candidates(batches, sketch=sketch, k=k):
-            for batch in batches:
-                for first, b in blocks(batch.column(2).to_pylist(), window, gram):
-                    key, owner, start, n = b.segments()
-                    hit = np.flatnonzero(sketch.value.repeated(key) & repeats.of_round(key, k, rounds)) if len(key) else key
-                    if not len(hit):
-                        continue
-                    owner, start, n = owner[hit], start[hit], n[hit]
-                    h = b.digests(start, start + n + window - 1)
-                    row = pa.array(owner + first)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key[hit].view(np.int64)), pa.array(h[:, 0]), pa.array(h[:, 1]), batch.column(0).take(row), batch.column(1).take(row), pa.array((start - b.begin[owner]) * window + n - 1)], names=["k", "h1", "h2", "id", "x", "code"]
-                    )
-
-        part = rows.mapInArrow(candidates, f"k long, h1 long, h2 long, id {id_type}, x long, code long")
-        found = part if found is None else found.unionByName(part)
-    out = stored(found, "segments")
-    for sketch in sketches:
-        sketch.destroy()
+    known = rows.sparkSession.sparkContext.broadcast(repeats.build(rows.select("t"), lambda texts: (b.segments()[0] for _, b in blocks(texts, window, gram)), expected))
+
+    def candidates(batches):
+        for batch in batches:
+            for first, b in blocks(batch.column(2).to_pylist(), window, gram):
+                key, owner, start, n = b.segments()
+                hit = np.flatnonzero(known.value.repeated(key)) if len(key) else key
+                if not len(hit):
+                    continue
+                owner, start, n = owner[hit], start[hit], n[hit]
+                h = b.digests(start, start + n + window - 1)
+                row = pa.array(owner + first)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key[hit].view(np.int64)), pa.array(h[:, 0]), pa.array(h[:, 1]), batch.column(0).take(row), batch.column(1).take(row), pa.array((start - b.begin[owner]) * window + n - 1)], names=["k", "h1", "h2", "id", "x", "code"]
+                )
+
+    out = stored(rows.mapInArrow(candidates, f"k long, h1 long, h2 long, id {id_type}, x long, code long"), "segments")
+    known.destroy()
     return out
 
 
